@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .media import media_report
 from .packing import pack_documents
 from .secrets import secret_report
 
@@ -25,8 +26,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_links, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op2_secret_links, op8_best_fit_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
