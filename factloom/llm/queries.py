@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .media import media_report
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .secrets import secret_report
 
@@ -22,6 +23,10 @@ def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,7 +36,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_links, op8_best_fit_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op2_secret_links, op5_minmax_neardup, op8_best_fit_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
