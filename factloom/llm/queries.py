@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contamination_report
 from .media import media_report
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -31,12 +32,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_links, op5_minmax_neardup, op8_best_fit_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op2_secret_links, op5_minmax_neardup, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
