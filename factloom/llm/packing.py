@@ -11,6 +11,7 @@ its own; other columns of the input are not read; an empty table gives no pieces
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,15 +28,17 @@ from .common import stash, text_of
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_200_000
+CACHE_CHUNKS = 500_000
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
     """ids of texts as little-endian unsigned 32-bit integers.
 
-    Spaces and newlines part the vocabulary's words and are dropped, so what stands between them is encoded once and kept.
-    New words are encoded in one call, with the tokenizer's own special token between them.
+    Spaces and newlines part the vocabulary's words and are dropped, so what stands between them (a chunk) is encoded once and
+    kept. A Latin chunk is cut into the tokenizer's own words, which are encoded once too, many in one call: each word's last
+    token is one that ends a word. Any other chunk is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -42,27 +46,40 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.between, self.mark = max((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items())
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<" not in w]
-        ids = np.array(self.tokenizer.encode(self.between.join(plain), add_special_tokens=False).ids, "<u4")
-        cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-        for word, a, b in zip(plain, cuts, cuts[1:], strict=False):
-            self.known[word] = ids[a + 1 : b].tobytes()
-        for word in words:
-            if "<" in word:
-                self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # the cutting rule of the vocabulary's file; up to U+024F nothing changes by NFC, and lower case is character by character
+        rule = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = regex.compile(rule).findall
+        self.latin = regex.compile("[!-;=-\u024f]+").fullmatch
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, chunks: list[str]) -> None:
+        cut = {c: self.cut(c.lower()) for c in chunks if self.latin(c) and not any(map(str.isspace, c))}
+        new = list(dict.fromkeys(w for words in cut.values() for w in words if w not in self.words))
+        if new:
+            ids = self.encode(" ".join(new))
+            data, ends = ids.tobytes(), (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            for word, a, b in zip(new, [0, *ends], ends, strict=False):
+                self.words[word] = data[4 * a : 4 * b]
+        for chunk in chunks:
+            self.chunks[chunk] = b"".join([self.words[w] for w in cut[chunk]]) if chunk in cut else self.encode(chunk).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.known.get, words))
+        chunks = text.replace("\n", " ").split(" ")
+        found = list(map(self.chunks.get, chunks))
         if None in found:
-            if len(self.known) > CACHE_WORDS:
-                self.known = {"": b""}
-            self.learn([w for w in dict.fromkeys(words) if w not in self.known])
-            found = list(map(self.known.__getitem__, words))
+            if len(self.chunks) > CACHE_CHUNKS:
+                self.chunks = {"": b""}
+            if len(self.words) > CACHE_WORDS:
+                self.words = {}
+            self.learn([c for c in dict.fromkeys(chunks) if c not in self.chunks])
+            found = list(map(self.chunks.__getitem__, chunks))
         return b"".join(found)
 
 
@@ -161,7 +178,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bins = parts.withColumn("b", F.explode(F.sequence("b0", F.least(F.col("b0") + step, F.col("bins")) - 1)))
     each = bins.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1)))
     slots = each.select("length", (F.col("first_rank") + F.col("b") * F.col("each") + F.col("j")).alias("__rank"), (F.col("first_sequence") + F.col("b")).alias("sequence_id"), (F.col("first_offset") + F.col("j") * F.col("length")).alias("offset"))
-    return ranked.join(slots, ["length", "__rank"]).drop("__slot", "__salt", "__rank", "__before")
+    # slots are as many as pieces, which the small plan they come from hides from the optimizer
+    return ranked.join(slots.hint("merge"), ["length", "__rank"]).drop("__slot", "__salt", "__rank", "__before")
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
