@@ -11,6 +11,7 @@ from .decontaminate import contamination_report
 from .media import media_report
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .quality import quality_report
 from .secrets import secret_report
 
 
@@ -20,6 +21,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_links, op5_minmax_neardup, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns)}
+    return {f.__name__: f for f in (op1_byte_cnn_quality, op2_secret_links, op5_minmax_neardup, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
