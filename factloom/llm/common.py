@@ -57,3 +57,10 @@ def text_of(column: str | Column) -> Column:
 
 def sha256_of(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path in it) of a folder that tasks write and read by themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import fresh_path, text_of
+from .common import filesystem, fresh_path, text_of
 
 UNIT = 192
 ARCHIVE_BYTES = 64 << 20
@@ -83,12 +83,6 @@ def decode_png(image: bytes) -> bytes:
 # ---- writing ----------------------------------------------------------------------------------------------------------------
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write_archives(documents: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> int:
     """Writes every row's payload into archives in folder; gives back how many there are."""
 
@@ -96,7 +90,7 @@ def write_archives(documents: DataFrame, folder: str, id_col: str = "doc_id", te
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        place, root = _filesystem(folder)
+        place, root = filesystem(folder)
         place.create_dir(root, recursive=True)
         number, members, total, stream, archive, temporary = 0, 0, 0, None, None, ""
 
@@ -174,7 +168,7 @@ class MediaReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        place, root = _filesystem(self.folder)
+        place, root = filesystem(self.folder)
         files = place.get_file_info(fs.FileSelector(root, allow_not_found=True))
         whole = sorted((f.path, f.size) for f in files if f.base_name.endswith(".zip"))
         return [ByteRange(p, a, a + self.range_bytes) for p, n in whole for a in range(0, n, self.range_bytes)] or [ByteRange("", 0, 0)]
@@ -203,7 +197,7 @@ class MediaReader(DataSourceReader):
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        place, _ = _filesystem(self.folder)
+        place, _ = filesystem(self.folder)
         with place.open_input_file(partition.path) as f, zipfile.ZipFile(f) as archive:
             own = [m for m in archive.infolist() if partition.start <= m.header_offset < partition.end]
         rows, held = [], 0

@@ -13,6 +13,7 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_report
 from .secrets import secret_report
+from .warc import warc_round_trip
 
 
 def tokenizer_path() -> str:
@@ -29,6 +30,10 @@ def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_cnn_quality, op2_secret_links, op5_minmax_neardup, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns)}
+    return {f.__name__: f for f in (op1_byte_cnn_quality, op2_secret_links, op3_warc_boundary_chain, op5_minmax_neardup, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
