@@ -1,10 +1,12 @@
 """Near-duplicate groups by min-max hashing.
 
 A document's set is its distinct word shingles. Under each permutation both the minimum and the maximum are kept, so a
-signature of 2 x PERMUTATIONS values costs PERMUTATIONS hash evaluations; each of the bands takes both ends of two permutations.
-Equal sets are collapsed to one node first. In a bucket each node is compared with the bucket's pivot, not with every
-other node. A bucket is closed once all its nodes hang together or all pairs across components have been compared; what is
-left gets more pivots, four times as many a round, so nothing is capped. Every link is confirmed on the full sets.
+signature of 2 x PERMUTATIONS values costs PERMUTATIONS hash evaluations; each band takes both ends of three permutations.
+Equal sets are collapsed to one node first. In a bucket each node is compared with one pivot, the node that shares the most
+buckets, not with every other node. What then still lies in different components is searched for missing links exactly and
+without all pairs: within the nodes of a pivot P, two sets A and B that are similar enough, not both to P, share elements of
+their differences to P (see missing_links()), so rare elements of the differences index the candidates. Every link is confirmed
+on the full sets.
 
 Defined results: null, empty and blank texts have an empty set (n_shingles 0) and stand alone; with fewer words than a
 shingle has, the whole sequence is the one shingle; rows with equal ids count as one document; a row with a null id stands
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash, unstash
@@ -25,8 +27,9 @@ from .words import byte_column, mix, slabs, word_hashes, word_spans
 
 SHINGLE = 5
 THRESHOLD = 85  # hundredths
-PERMUTATIONS = 48
-BANDS = 24  # each of the minima and maxima of PERMUTATIONS / BANDS permutations: a pair at 0.85 misses all with 2e-8
+PERMUTATIONS = 120
+BANDS = 40  # each of the minima and maxima of PERMUTATIONS / BANDS permutations: a pair at 0.85 misses all with 6e-9
+SMALL_GROUP = 8
 
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[0x20, *range(0x09, 0x0E)]] = False
@@ -147,53 +150,85 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def comparable(x: str, y: str, threshold: int = THRESHOLD) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return threshold * F.greatest(x, y) <= 100 * F.least(x, y)
+
+
+def pivot_groups(banded: DataFrame) -> DataFrame:
+    """pivot, pn, node, n: each node with the pivots of its buckets, itself not. banded: node, n, key, a row a band."""
+    buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
+    members = stash(banded.join(buckets, "key"), "members")
+    score = members.groupBy("node").agg(F.sum("size").alias("score"))
+    scored = members.join(score, "node")
+    pivots = scored.groupBy("key").agg(F.max(F.struct("score", -F.col("node"), "node", "n")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
+    groups = stash(members.join(pivots, "key").where("node <> pivot").select("pivot", "pn", "node", "n").distinct(), "groups")
+    unstash(members)
+    return groups
+
+
+def missing_links(groups: DataFrame, links: DataFrame, comps: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Candidate pairs (a, b) of the same pivot's nodes, in different components, that may be links.
+
+    With d(A) the symmetric difference of A and the pivot P, and D = |A symdiff B| = |d(A)| + |d(B)| - 2 |d(A) & d(B)|: A and B
+    are similar enough only if D <= r (|A| + |B|) with r = (100 - t) / (100 + t). At least one of the pair, B, has no link to P, so
+    |d(B)| > r (|B| + |P|); hence the differences share more than (|d(A)| + r (|P| - |A|)) / 2 elements, at least one. Also
+    |d(A)| >= |d(B)| - D, so they share at least |d(B)| - D; and if |d(A)| <= |d(B)|, at least |d(A)| - D / 2. Two sets that share
+    o elements share one among the first |d| - o + 1 in any common order: here from rare to frequent within the pivot's nodes.
+    """
+    rise, fall = 100 - threshold, 100 + threshold
+    linked = links.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(True).alias("linked"))
+    placed = groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    tops = comps.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
+    placed = placed.join(tops, "pivot", "left").withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot"))
+    state = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("size > 1 and low < high").select("pivot", "size")
+    left = stash(placed.join(state, "pivot").join(linked, ["pivot", "node"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).drop("pivot_comp"), "open")
+
+    few = left.where(F.col("size") <= SMALL_GROUP)
+    other = few.select("pivot", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = few.join(other, "pivot").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("cb")) & comparable("n", "nb", threshold)).select(F.col("node").alias("a"), "b")
+
+    many = left.where(F.col("size") > SMALL_GROUP)
+    own, base = sets.select(F.col("id").alias("node"), F.col("shingles").alias("s")), sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p"))
+    differ = F.concat(F.array_except("s", "p"), F.array_except("p", "s"))
+    diffs = stash(many.join(own, "node").join(base, "pivot").select("pivot", "pn", "node", "n", "comp", "linked", differ.alias("d")), "differences")
+    each = diffs.select("pivot", "node", F.explode("d").alias("e"))
+    common = each.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # an element of one node is no candidate's
+    ranked = each.join(common, ["pivot", "e"], "left").groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("order"))
+    sized = diffs.withColumn("x", F.size("d").cast("long")).drop("d").join(ranked, ["pivot", "node"])
+    most = F.floor(F.lit(rise) * F.col("n") / F.lit(threshold))  # of D, whatever the other's size
+    by_free = F.floor((fall * F.col("x") + rise * (F.col("pn") - F.col("n"))) / F.lit(2 * fall)) + 1
+    by_size = F.col("x") - F.floor(most / 2)
+    share = F.greatest(F.lit(1), F.when(F.col("linked"), by_free).otherwise(F.greatest(by_free, by_size)))
+    first = lambda length: F.explode(F.filter(F.slice("order", 1, F.greatest(F.lit(0), length).cast("int")), lambda o: o["df"] > 1))
+    index = sized.select("pivot", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("x").alias("xa"), "linked", first(F.col("x") - share + 1).alias("o")).withColumn("e", F.col("o.e"))
+    probe = sized.where("not linked").select("pivot", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("x").alias("xb"), first(F.least(F.col("x"), most + 1)).alias("o")).withColumn("e", F.col("o.e"))
+    ordered = F.col("linked") | (F.struct("xa", "a") < F.struct("xb", "b"))
+    met = index.drop("o").join(probe.drop("o"), ["pivot", "e"]).where((F.col("ca") != F.col("cb")) & ordered & comparable("na", "nb", threshold))
+    return pairs.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: <id_col>, n_shingles, component_id, kept."""
     signed = stash(signatures(documents, id_col, text_col), "signatures")
     some = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    nodes = some.groupBy("n", "f1", "f2").agg(F.min("id").alias("node"))
+    nodes = stash(some.groupBy("n", "f1", "f2").agg(F.min("id").alias("node")), "nodes")
     chosen = some.join(nodes, ["n", "f1", "f2"]).where("id = node")
-    banded = chosen.select("node", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("top"), F.count(F.lit(1)).alias("size")).where("pivot.node < top")
-    members = stash(banded.join(buckets, "key").select("key", "node", "n", "size", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "members")
+    groups = pivot_groups(chosen.select("node", "n", F.explode("bands").alias("key")))
 
-    wanted = members.select(F.col("node").alias("__node")).distinct()
+    together = groups.join(groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot").where((F.col("size") > 1) | comparable("n", "pn", threshold))
+    wanted = together.select(F.col("node").alias("__node")).union(together.select("pivot")).distinct()
     candidates = documents.join(wanted, F.col(id_col).cast("long") == F.col("__node"), "left_semi")
     sets = stash(full_sets(candidates, id_col, text_col), "sets")
-    comparable = lambda x, y: threshold * F.greatest(x, y) <= 100 * F.least(x, y)
-    pairs = members.where("node <> pivot").where(comparable("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = stash(pairs, "pairs")
-    edges = stash(confirmed(tested, sets, threshold), "links")
-    groups = components(edges)
 
-    pivots = 4
-    while True:
-        now = members.where("size > 2").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_buckets = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        left = stash(now.join(open_buckets, "key").select("key", "node", "n", "size", "comp"), "open")
-        biggest = left.agg(F.max("size")).first()[0]
-        if biggest is None:
-            unstash(left)
-            break
-        share = F.least(F.lit(1.0), F.lit(float(pivots)) / F.col("size"))
-        drawn = left.where(F.pmod(F.xxhash64("node", "key"), F.lit(1 << 20)) < share * (1 << 20))
-        other = left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        across = drawn.join(other, "key").where((F.col("comp") != F.col("cb")) & comparable("n", "nb"))
-        fresh = across.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = stash(fresh, "pairs")
-        found = stash(confirmed(more, sets, threshold), "links")
-        if found.limit(1).count():
-            edges_all = stash(edges.union(found), "links")
-            unstash(edges, groups)
-            edges, groups = edges_all, components(edges_all)
-        both = stash(tested.union(more), "pairs")
-        unstash(tested, more, found, left)
-        tested = both
-        if pivots >= biggest:  # every node of every open bucket has been a pivot
-            break
-        pivots *= 4
-    unstash(sets, tested, members)
-
-    placed = signed.join(nodes, ["n", "f1", "f2"], "left").join(groups, "node", "left")
+    stars = groups.where(comparable("n", "pn", threshold)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    links = stash(confirmed(stars, sets, threshold), "links")
+    comps = components(links)
+    more = stash(confirmed(missing_links(groups, links, comps, sets, threshold), sets, threshold), "links")
+    if more.limit(1).count():
+        comps = components(links.union(more))
+    unstash(sets, groups)
+
+    placed = signed.drop("bands").join(nodes, ["n", "f1", "f2"], "left").join(comps, "node", "left")
     component = F.coalesce(F.when(F.col("id").isNotNull(), F.coalesce("comp", "node")), "id")
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

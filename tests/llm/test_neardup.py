@@ -83,3 +83,21 @@ def test_components_of_a_long_chain(spark):
     random.Random(1).shuffle(order)
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(n, n + 1)], "a long, b long")
     assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(n)} | {(n, n), (n + 1, n)}
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_copies_of_copies_around_one_base(docs, seed):
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(400)}" for _ in range(120)]
+    texts = [base]
+    for n in range(140):
+        words = list(base if rnd.random() < 0.6 else rnd.choice(texts))
+        for k in range(rnd.randrange(0, 5)):
+            at = rnd.randrange(len(words))
+            words[at : at + rnd.choice([0, 1, 1, 2])] = rnd.choice([[], [f"n{n}x{k}"], [f"n{n}x{k}", rnd.choice(base)]])
+        texts.append(words)
+    texts = [" ".join(t) for t in texts]
+    rnd.shuffle(texts)
+    want = brute(texts)
+    assert len({r[2] for r in want}) > 5
+    assert sorted(tuple(r) for r in near_duplicates(docs(texts)).collect()) == want
