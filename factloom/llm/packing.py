@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,57 +30,48 @@ from .common import stash, text_of
 CAPACITY = 2048
 END_ID = 0
 CACHE_WORDS = 1_200_000
-CACHE_CHUNKS = 500_000
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _latin_rule(rule: str) -> str:
+    """The vocabulary's cutting rule for texts up to U+017F, with its classes spelled out as `re` has none."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(0x180)]
+    of = lambda kind: "".join(re.escape(chr(c)) for c, k in enumerate(kinds) if k == kind)
+    return rule.replace("[\\p{L}]", f"[{of('L')}]").replace("[\\p{N}]", f"[{of('N')}]").replace("\\p{L}\\p{N}", of("L") + of("N"))
+
+
 class WordTokenizer:
     """ids of texts as little-endian unsigned 32-bit integers.
 
-    Spaces and newlines part the vocabulary's words and are dropped, so what stands between them (a chunk) is encoded once and
-    kept. A Latin chunk is cut into the tokenizer's own words, which are encoded once too, many in one call: each word's last
-    token is one that ends a word. Any other chunk is encoded by itself.
+    A text up to U+017F is lower-cased and cut by the vocabulary's own rule, and each word is encoded once and kept: up to there
+    NFC changes nothing and lower case goes character by character. Any other text is left to the library as a whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        # the cutting rule of the vocabulary's file; up to U+024F nothing changes by NFC, and lower case is character by character
-        rule = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = regex.compile(rule).findall
-        self.latin = regex.compile("[!-;=-\u024f]+").fullmatch
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, chunks: list[str]) -> None:
-        cut = {c: self.cut(c.lower()) for c in chunks if self.latin(c) and not any(map(str.isspace, c))}
-        new = list(dict.fromkeys(w for words in cut.values() for w in words if w not in self.words))
-        if new:
-            ids = self.encode(" ".join(new))
-            data, ends = ids.tobytes(), (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            for word, a, b in zip(new, [0, *ends], ends, strict=False):
-                self.words[word] = data[4 * a : 4 * b]
-        for chunk in chunks:
-            self.chunks[chunk] = b"".join([self.words[w] for w in cut[chunk]]) if chunk in cut else self.encode(chunk).tobytes()
+        self.cut = re.compile(_latin_rule(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])).findall
+        self.latin = re.compile("[\t-\r -;=-~\u00a0-\u017f]*").fullmatch  # without "<", which may begin a special token
+        self.model = self.tokenizer.model
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, word: str) -> bytes:
+        seen = word if word.isascii() else self.as_bytes.pre_tokenize_str(word)[0][0]
+        data = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+        if len(self.known) < CACHE_WORDS:
+            self.known[word] = data
+        return data
 
     def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        found = list(map(self.chunks.get, chunks))
+        if not self.latin(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = self.cut(text.lower())
+        found = list(map(self.known.get, words))
         if None in found:
-            if len(self.chunks) > CACHE_CHUNKS:
-                self.chunks = {"": b""}
-            if len(self.words) > CACHE_WORDS:
-                self.words = {}
-            self.learn([c for c in dict.fromkeys(chunks) if c not in self.chunks])
-            found = list(map(self.chunks.__getitem__, chunks))
+            found = [self.learn(w) if x is None else x for w, x in zip(words, found, strict=True)]
         return b"".join(found)
 
 

@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import Counter
 
@@ -11,10 +12,15 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", " \n ", "Plain words, and don't 12 more.", "x" * 9000, "a <|endoftext|> b<|startoftext|>c", "Á́b İ ẞ ΑΣ １２ a\x1cb q\x85z　w", "word " * 5000, "same", "same"]
 
 
-def ids_of(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def gapless(rows, capacity):
@@ -63,3 +69,16 @@ def test_plan_grows_with_lengths_not_pieces():
 def test_null_ids_and_empty_table(docs):
     assert pack_documents(docs([]), PATH).count() == 0
     assert sorted((r.doc_id is None, r.length) for r in pack_documents(docs(["a", "a"], [None, 4]), PATH).collect()) == [(False, 2), (True, 2)]
+
+
+def test_every_latin_character_and_a_random_mix(docs):
+    import random
+
+    from factloom.llm.packing import WordTokenizer
+
+    rnd = random.Random(8)
+    own = WordTokenizer(PATH)
+    texts = [chr(c) + f"a{chr(c)}{chr(c)}1 {chr(c).upper()}'s" for c in range(1, 0x260)]
+    texts += ["".join(rnd.choice(["the", "ER", "'s", "'", "'ll", "é", "ß", "1", "²", "!", "-", " ", "\n", "\xa0", "\x85", "\x1c", "İ", "ŉ", "ǰ", "ﬁ", "<", "|", "Σ", "語"][: rnd.choice([18, 24])]) for _ in range(40)) for _ in range(400)]
+    for text in texts:
+        assert own(text) == np.array(ids_of(text)[:-1], "<u4").tobytes(), ascii(text)
