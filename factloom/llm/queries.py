@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination_report
+from .licenses import license_report, report_sql
 from .media import media_report
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -34,6 +35,10 @@ def op3_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,8 +56,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_cnn_quality, op2_secret_links, op3_warc_boundary_chain, op5_minmax_neardup, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns)}
+    return {f.__name__: f for f in (op1_byte_cnn_quality, op2_secret_links, op3_warc_boundary_chain, op4_license_dice, op5_minmax_neardup, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_dice": report_sql()}
