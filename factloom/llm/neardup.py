@@ -232,3 +232,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     placed = signed.drop("bands").join(nodes, ["n", "f1", "f2"], "left").join(comps, "node", "left")
     component = F.coalesce(F.when(F.col("id").isNotNull(), F.coalesce("comp", "node")), "id")
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group: the one whose id is the group's; of rows with an equal id, one. Rows with a null id stay."""
+    found = near_duplicates(documents, id_col, text_col).select(F.col(id_col).alias("__id"), "kept")
+    verdicts = stash(found.where("__id is not null").groupBy("__id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdicts")
+    kept = documents.join(verdicts.where("kept").select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
+    if verdicts.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(documents.where(F.col(id_col).isNull()))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sha256_of, stash, text_of
+from .common import sha256_of, stash, text_of, unstash
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # as AKIA[A-Z0-9]+ with at least 20 characters: a run that is too short holds no longer one
@@ -34,6 +34,7 @@ KINDS = {
 COMPLEMENT = {"secret": ["ident"], "ident": ["secret"], "endpoint": ["ident", "secret"]}
 BASE = ("assign", "access", "hex")
 REACH = 400
+BROADCAST_ROWS = 50_000
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -51,10 +52,10 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def find_parts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "secret-parts") -> tuple[DataFrame, DataFrame]:
-    """(rows, parts). rows: rid, id. parts: rid, kind, start, end in code points (end exclusive), of every kind, weak ones too."""
+    """(rows, parts). rows: rid, id, print (a hash of the text). parts: rid, kind, start, end in code points (end exclusive), of every kind, weak ones too."""
     text = text_of(text_col)
     none = F.array().cast("array<struct<kind:string,i:int,gap:int,len:int,ok:boolean>>")
-    read = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.flatten(F.array(*[F.coalesce(_matches(text, k), none) for k in KINDS])).alias("m"))
+    read = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), F.flatten(F.array(*[F.coalesce(_matches(text, k), none) for k in KINDS])).alias("m"))
     rows = stash(read, label)  # one pass over the texts; it also freezes rid
     each = rows.where(F.size("m") > 0).select("rid", F.explode("m").alias("x")).select("rid", "x.*")
     upto = W.partitionBy("rid", "kind").orderBy("i")
@@ -88,19 +89,51 @@ def _covered(weak: DataFrame, strong: DataFrame) -> DataFrame:
     return seen.where((F.col("s") == 0) & free).select("rid", "kind", "start", "end")
 
 
+def _reported(parts: DataFrame, reach: int) -> DataFrame:
+    """rid, kind, start, end of the strong parts and of the linked weak ones."""
+    base = parts.where(F.col("kind").isin(*[k for k, v in KINDS.items() if v[2]]))
+    return base.unionByName(_covered(link_parts(parts, reach), base))
+
+
 def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """One row per input row: <id_col>, spans array<struct<start, ord, end, kind>> (base ones and linked weak ones, sorted)."""
     rows, parts = find_parts(documents, id_col, text_col)
-    strong = [k for k, v in KINDS.items() if v[2]]
-    base = parts.where(F.col("kind").isin(*strong))
-    linked = _covered(link_parts(parts, reach), base)
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    every = base.unionByName(linked).select("rid", F.struct("start", order[F.col("kind")].alias("ord"), "end", "kind").alias("span"))
+    every = _reported(parts, reach).select("rid", F.struct("start", order[F.col("kind")].alias("ord"), "end", "kind").alias("span"))
     spans = every.groupBy("rid").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     none = F.array().cast(spans.schema["spans"].dataType)
     return rows.select("rid", "id").join(spans, "rid", "left").select(F.col("id").alias(id_col), F.coalesce("spans", none).alias("spans"))
 
 
+def redact_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", mask: str = "[secret]", reach: int = REACH) -> DataFrame:
+    """documents with mask in place of each maximal run of reported spans, and size_col, if there is one, made right.
+
+    A text without a span is handed on as it is. What to keep of a text is worked out on places alone; it comes back to the
+    texts by a broadcast if it is small, counted before, and else by a merge join.
+    """
+    rows, parts = find_parts(documents, id_col, text_col)
+    before = W.partitionBy("rid").orderBy("start", "end")
+    seen = _reported(parts, reach).withColumn("prev", F.coalesce(F.max("end").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    first = F.row_number().over(before) == 1
+    cuts = seen.withColumn("cut", first | (F.col("start") > F.col("prev"))).groupBy("rid").agg(
+        F.array_sort(F.collect_list(F.when(F.col("cut"), F.struct(F.col("prev").alias("a"), F.col("start").alias("b"))))).alias("keep"), F.max("end").alias("tail")
+    )
+    keyed = cuts.join(rows, "rid").select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.struct("keep", "tail").alias("__cuts"))
+    found = stash(keyed.groupBy("__id", "__print").agg(F.min("__cuts").alias("__cuts")), "redactions")
+    unstash(rows)
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__print"))
+    joined = documents.join(F.broadcast(found) if few else found.hint("merge"), same, "left")
+    letters = F.split(text_of(text_col), "")
+    piece = lambda a, n: F.array_join(F.slice(letters, (a + 1).cast("int"), n.cast("int")), "")
+    pieces = F.concat(F.transform("__cuts.keep", lambda k: piece(k["a"], k["b"] - k["a"])), F.array(piece(F.col("__cuts.tail"), F.length(text_col))))
+    new = F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, mask))
+    out = joined.withColumn(text_col, new)
+    if size_col in documents.columns:
+        out = out.withColumn(size_col, F.when(F.col("__cuts").isNull(), F.col(size_col)).otherwise(F.length(text_col).cast(documents.schema[size_col].dataType)))
+    return out.select(*documents.columns)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

@@ -1,7 +1,10 @@
 import hashlib
 import re
 
-from factloom.llm.secrets import scan_secrets, secret_report
+import pytest
+
+from factloom.llm import secrets
+from factloom.llm.secrets import redact_secrets, scan_secrets, secret_report
 
 PATTERNS = {
     "assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -63,3 +66,29 @@ def test_empty_table_repeated_rows_and_null_ids(docs):
     assert secret_report(docs([])).count() == 0
     rows = secret_report(docs(["token = abcdefg"] * 3, [1, 1, None])).collect()
     assert sorted((r.doc_id or -1, r.n_assign) for r in rows) == [(-1, 1), (1, 1), (1, 1)]
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_redaction_takes_out_the_spans_and_nothing_else(docs, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", most)
+    texts = TEXTS + ["deadbeefdeadbeefdeadbeefapi_key=12345678 é😀 token=abcdef", "client_id = acme7 and Zm9vYmFyMTIzNDU2Nzg5MHh5", "token=abcdef", "token=abcdef"]
+    table = docs(texts, [None if n % 5 == 4 else n for n in range(len(texts))])
+    spans = scan_secrets(docs(texts)).collect()
+    want = []
+    for r in spans:
+        text, out, at = texts[r.doc_id], "", 0
+        merged = []
+        for s in r.spans:
+            if merged and s["start"] <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], s["end"])
+            else:
+                merged.append([s["start"], s["end"]])
+        for a, b in merged:
+            out, at = out + text[at:a] + "[secret]", b
+        want.append(text if not merged else out + text[at:])
+    got = redact_secrets(table)
+    assert got.columns == table.columns
+    rows = got.collect()
+    assert sorted(map(str, (r.text for r in rows))) == sorted(map(str, want))
+    assert all(r.n_chars == len(r.text or "") for r in rows)
+    assert redact_secrets(docs([])).count() == 0
