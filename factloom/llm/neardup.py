@@ -30,6 +30,8 @@ THRESHOLD = 85  # hundredths
 PERMUTATIONS = 120
 BANDS = 40  # each of the minima and maxima of PERMUTATIONS / BANDS permutations: a pair at 0.85 misses all with 6e-9
 SMALL_GROUP = 8
+MARK_BITS = 1 << 28
+BROADCAST_IDS = 200_000
 
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[0x20, *range(0x09, 0x0E)]] = False
@@ -108,18 +110,36 @@ def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def full_sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, shingles (sorted distinct hashes)."""
+def marks(ids: DataFrame, most_bits: int = MARK_BITS) -> np.ndarray:
+    """A bitmap of hashed ids, of a bounded size whatever the number of ids. ids: one column, id."""
+    n = ids.count()
+    bits = min(most_bits, 1 << max(16, (16 * n).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    made = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    out = np.zeros(bits + 32768, bool)
+    for row in made.collect():  # 4 KB for each 32768 bits
+        first = (row["k"] - 1) * 32768 + 1  # bucket k holds 32768 (k - 1) + 1 and on; slot 0 falls in bucket 0
+        own = np.unpackbits(np.frombuffer(row["m"], np.uint8), bitorder="little")
+        out[max(0, first) : first + 32768] |= own[max(0, -first) :].astype(bool)
+    return np.packbits(out[:bits])
+
+
+def full_sets(documents: DataFrame, id_col: str, text_col: str, marked: np.ndarray) -> DataFrame:
+    """id, shingles (sorted distinct hashes) of the rows whose id is marked, where they are read: no text is shuffled."""
+    bits = 8 * len(marked)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = batch.filter(pa.array(marked[slot >> 3] >> (7 - (slot & 7)) & 1 == 1))
             data, offsets = byte_column(batch.column(1))
             for first, last in slabs(offsets):
                 hashes, bounds = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], ["id", "shingles"])
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(build, "id long, shingles array<long>")
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    return rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(bits))).mapInArrow(build, "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -217,9 +237,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     groups = pivot_groups(chosen.select("node", "n", F.explode("bands").alias("key")))
 
     together = groups.join(groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot").where((F.col("size") > 1) | comparable("n", "pn", threshold))
-    wanted = together.select(F.col("node").alias("__node")).union(together.select("pivot")).distinct()
-    candidates = documents.join(wanted, F.col(id_col).cast("long") == F.col("__node"), "left_semi")
-    sets = stash(full_sets(candidates, id_col, text_col), "sets")
+    wanted = together.select(F.col("node").alias("id")).union(together.select("pivot")).distinct()
+    sets = stash(full_sets(documents, id_col, text_col, marks(wanted)), "sets")
 
     stars = groups.where(comparable("n", "pn", threshold)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = stash(confirmed(stars, sets, threshold), "links")
@@ -238,7 +257,9 @@ def without_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_c
     """One document of each group: the one whose id is the group's; of rows with an equal id, one. Rows with a null id stay."""
     found = near_duplicates(documents, id_col, text_col).select(F.col(id_col).alias("__id"), "kept")
     verdicts = stash(found.where("__id is not null").groupBy("__id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdicts")
-    kept = documents.join(verdicts.where("kept").select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
+    gone = verdicts.where("not kept").select("__id")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = documents.join(F.broadcast(gone) if few else gone.hint("merge"), F.col(id_col) == F.col("__id"), "left_anti")
     if verdicts.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(documents.where(F.col(id_col).isNull()))
+        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    return kept

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from factloom.llm.neardup import components, near_duplicates, shingle_sets
+from factloom.llm.neardup import components, marks, near_duplicates, shingle_sets, without_near_duplicates
 from factloom.llm.words import byte_column
 
 
@@ -101,3 +101,21 @@ def test_copies_of_copies_around_one_base(docs, seed):
     want = brute(texts)
     assert len({r[2] for r in want}) > 5
     assert sorted(tuple(r) for r in near_duplicates(docs(texts)).collect()) == want
+
+
+def test_marks_hold_every_id_and_little_else(spark):
+    from pyspark.sql import functions as F
+
+    for n, most in ((5000, 1 << 28), (5000, 1 << 16), (1, 1 << 28)):
+        bitmap = marks(spark.range(n), most)
+        bits = 8 * len(bitmap)
+        slots = np.array([r[0] for r in spark.range(2 * n).select(F.pmod(F.xxhash64("id"), F.lit(bits))).collect()])
+        held = bitmap[slots >> 3] >> (7 - (slots & 7)) & 1
+        assert held[:n].all() and held[n:].mean() < (0.1 if most > 1 << 16 else 0.2)
+
+
+def test_one_document_of_each_group_stays(docs):
+    texts = ["a b c d e f g"] * 3 + [None, None, "other words here", "other words here"]
+    table = docs(texts, [4, 2, 3, 8, None, 9, 9])
+    kept = without_near_duplicates(table)
+    assert kept.columns == table.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "8", "9", "None"]
