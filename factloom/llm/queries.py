@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .personal import personal_report
 from .quality import quality_report
 from .secrets import secret_report
+from .substrings import repeats_report
 from .warc import warc_round_trip
 
 
@@ -48,6 +49,10 @@ def op6_bootstrapped_personal_data(spark: SparkSession, sf_dir: str) -> DataFram
     return personal_report(table(spark, sf_dir, "documents"))
 
 
+def op7_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,7 +66,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_cnn_quality, op2_secret_links, op3_warc_boundary_chain, op4_license_dice, op5_minmax_neardup, op6_bootstrapped_personal_data, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns)}
+    return {f.__name__: f for f in (op1_byte_cnn_quality, op2_secret_links, op3_warc_boundary_chain, op4_license_dice, op5_minmax_neardup, op6_bootstrapped_personal_data, op7_difference_cover_dedup, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
