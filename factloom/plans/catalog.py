@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from factloom.plans import oracle
+from factloom.plans.queries import FOUND
+
 
 def queries() -> dict:
-    return {}
+    return dict(FOUND)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracle.oracle_sql()
