@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +74,23 @@ def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def freed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow or mapInPandas function that hands memory back to the system once its last batch is out.
+
+    Python workers outlive their tasks, and what numpy and Arrow keep for later would add up over the stages of a job.
+    """
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sha256_of
+from .common import freed, sha256_of
 from .words import byte_column, slabs, word_hashes, word_spans
 
 WINDOW = 13
@@ -247,7 +247,7 @@ def with_hits(documents: DataFrame, benchmark: DataFrame, text_col: str = "text"
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in found.schema])
     at = documents.columns.index(text_col)
     for phrases in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
-        found = found.mapInArrow(_searcher(phrases, at), schema)
+        found = found.mapInArrow(freed(_searcher(phrases, at)), schema)
     return found
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash, text_of
+from .common import freed, stash, text_of
 
 CAPACITY = 2048
 END_ID = 0
@@ -102,7 +102,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer_path: str, id_col: str = "d
             made["id"] = made["id"].astype("Int64")
             yield made
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInPandas(cut, PIECES)
+    return documents.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInPandas(freed(cut), PIECES)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

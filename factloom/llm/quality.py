@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import freed
 from .words import byte_column
 
 CHUNK, HOP = 512, 448
@@ -164,7 +165,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
 
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen_texts = texts.join(F.broadcast(chosen.select("id")), "id", "left_semi")  # at most 2 x TRAIN_ROWS ids
-    cut_texts = chosen_texts.mapInPandas(cut, "id long, chunks binary, n_bytes long").join(F.broadcast(chosen), "id")
+    cut_texts = chosen_texts.mapInPandas(freed(cut), "id long, chunks binary, n_bytes long").join(F.broadcast(chosen), "id")
     rows = {(r["id"], r["label"], bytes(r["chunks"]), r["n_bytes"]) for r in cut_texts.collect()}
     rows = sorted(rows)
     return [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, _, c, _ in rows], np.array([r[1] for r in rows], np.float32), np.array([r[3] for r in rows], np.float32), 1.0 if share is None else float(share)
@@ -204,7 +205,7 @@ def with_score(documents: DataFrame, net: Network, text_col: str = "text", score
     schema = documents.withColumn(score_col, F.lit(0.0)).schema
     for field in schema:
         field.nullable = True
-    return documents.mapInArrow(score, schema)
+    return documents.mapInArrow(freed(score), schema)
 
 
 class _Chunks:

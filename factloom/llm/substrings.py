@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stash, unstash
+from .common import freed, release, stash, unstash
 from .neardup import marks
 from .words import BASE, BYTE_VALUES, INVERSE, _powers, byte_column, mix
 
 LENGTH = 400
-SLAB = 4 << 20
+SLAB = 2 << 20
 
 
 def difference_cover(q: int) -> tuple[int, np.ndarray]:
@@ -177,9 +177,9 @@ def tied_places(rows: DataFrame, length: int, buckets: int, chosen) -> DataFrame
         if held:
             yield close()
 
-    dealt = rows.mapInArrow(deal, _ENTRIES)
+    dealt = rows.mapInArrow(freed(deal), _ENTRIES)
     key = F.when(F.col("bucket") < 0, F.col("slab")).otherwise(F.col("bucket").cast("long"))
-    sorted_buckets = dealt.repartition(max(1, buckets // 4), key).sortWithinPartitions("bucket").mapInArrow(settle, _TIED)
+    sorted_buckets = dealt.repartition(max(1, buckets // 4), key).sortWithinPartitions("bucket").mapInArrow(freed(settle), _TIED)
     settled = stash(sorted_buckets, "ties")
 
     # the slab's own row says where its texts begin; places of a slab come together there
@@ -202,7 +202,7 @@ def tied_places(rows: DataFrame, length: int, buckets: int, chosen) -> DataFrame
             made["id"] = pd.array([None if x is None or x != x else int(x) for x in made["id"]], dtype="Int64")
             yield made
 
-    return meta.join(places, "slab").mapInPandas(to_texts, "id long, hash long, runs binary")
+    return meta.join(places, "slab").mapInPandas(freed(to_texts), "id long, hash long, runs binary")
 
 
 def runs(places: np.ndarray) -> np.ndarray:
@@ -271,7 +271,7 @@ def _filtered(rows: DataFrame, bitmap: np.ndarray, inside: bool) -> DataFrame:
             slot = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             yield batch.filter(pa.array((bitmap[slot >> 3] >> (7 - (slot & 7)) & 1 == 1) == inside)).select(["id", "hash", "text"])
 
-    return rows.withColumn("slot", F.pmod(F.xxhash64("hash"), F.lit(bits))).mapInArrow(keep, "id long, hash long, text string")
+    return rows.withColumn("slot", F.pmod(F.xxhash64("hash"), F.lit(bits))).mapInArrow(freed(keep), "id long, hash long, text string")
 
 
 def removal_spans(lists: list[bytes]) -> np.ndarray:
@@ -312,4 +312,4 @@ def repeats_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     whole = _filtered(rows, bitmap, False).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    return touched.mapInArrow(cut, schema).unionByName(whole).withColumnRenamed("id", id_col)
+    return touched.mapInArrow(freed(cut), schema).unionByName(whole).withColumnRenamed("id", id_col)
