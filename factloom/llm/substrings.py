@@ -106,6 +106,24 @@ def ties(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, tied
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then their second lowest ones and so on: what shuffles and files compress well if the top bytes agree."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def steps(places: np.ndarray) -> bytes:
+    """Ascending places as the planes of their differences."""
+    return planes(np.diff(places.astype(np.int32), prepend=np.int32(0)).astype(np.int32))
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.int32), dtype=np.int64).astype(np.int32)
+
+
 # ---- a sort over all slabs --------------------------------------------------------------------------------------------------
 
 _ENTRIES = "bucket int, slab long, prints binary, places binary, ids array<long>, hashes array<long>, starts array<int>, bases array<long>"
@@ -141,15 +159,17 @@ def tied_places(rows: DataFrame, length: int, buckets: int, chosen) -> DataFrame
                 value, place = values[order], places[order].astype(np.int32)
                 first = np.ones(len(value), bool)
                 first[1:] = value[1:] != value[:-1]
-                settled = {"bucket": -1, "slab": slab, "prints": None, "places": place[tied].tobytes(), "ids": [ids[p[0]] for p in pieces], "hashes": [hashes[p[0]] for p in pieces], "starts": starts.tolist(), "bases": [p[1] for p in pieces]}
+                settled = {"bucket": -1, "slab": slab, "prints": None, "places": steps(np.sort(place[tied])), "ids": [ids[p[0]] for p in pieces], "hashes": [hashes[p[0]] for p in pieces], "starts": starts.tolist(), "bases": [p[1] for p in pieces]}
                 out = [settled]
                 value, place = value[first], place[first]
                 bucket = (value >> shift).astype(np.int64) if shift is not None else np.zeros(len(value), np.int64)
                 cuts = np.searchsorted(bucket, np.arange(bucket.max() + 2 if len(bucket) else 1))
+                by_place = np.lexsort((place, bucket))
+                value, place = value[by_place], place[by_place]
                 for k in range(len(cuts) - 1):
                     a, b = cuts[k], cuts[k + 1]
                     if a < b:
-                        out.append({"bucket": k, "slab": slab, "prints": value[a:b].tobytes(), "places": place[a:b].tobytes()})
+                        out.append({"bucket": k, "slab": slab, "prints": planes(value[a:b]), "places": steps(place[a:b])})
                 yield pa.RecordBatch.from_pylist(out, schema=_ENTRY_TYPES)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +177,12 @@ def tied_places(rows: DataFrame, length: int, buckets: int, chosen) -> DataFrame
 
         def close() -> pa.RecordBatch:
             """Sorts one bucket."""
-            values = [np.frombuffer(r["prints"], np.uint64) for r in held]
+            values = [from_planes(r["prints"], np.uint64) for r in held]
             order, tied = ties(np.concatenate(values))
             flag = np.zeros(len(order), bool)
             flag[order] = tied
             ends = np.cumsum([len(v) for v in values])
-            out = [{"slab": r["slab"], "places": np.frombuffer(r["places"], np.int32)[flag[e - len(v) : e]].tobytes()} for r, v, e in zip(held, values, ends, strict=True)]
+            out = [{"slab": r["slab"], "places": steps(from_steps(r["places"])[flag[e - len(v) : e]])} for r, v, e in zip(held, values, ends, strict=True)]
             return pa.RecordBatch.from_pylist([r for r in out if r["places"]], schema=pa.schema([f for f in _ENTRY_TYPES if f.name not in ("bucket", "prints")]))
 
         for batch in batches:
@@ -190,7 +210,7 @@ def tied_places(rows: DataFrame, length: int, buckets: int, chosen) -> DataFrame
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                at = np.unique(np.concatenate([np.frombuffer(p, np.int32) for p in row.places]))
+                at = np.unique(np.concatenate([from_steps(p) for p in row.places]))
                 if not len(at):
                     continue
                 starts, bases = np.asarray(row.starts), np.asarray(row.bases)
