@@ -8,7 +8,7 @@ two sorts, each a bucket at a time:
    alone (8 % of all) are ranked on SAMPLE bytes; only those that tie matter further on.
 2. Suffixes. Only places whose string holds a tied sample can tie on LENGTH bytes. These suffixes are sorted the same way.
 
-Both sorts deal suffixes to buckets by the leading bits of a 64-bit print of their bytes, and a task holds one bucket at a time. A slab (a run
+A text that is there more than once takes part once: all of it is removed. Both sorts deal suffixes to buckets by the leading bits of a 64-bit print of their bytes, and a task holds one bucket at a time. A slab (a run
 of texts) settles its own ties and sends each distinct print once with one 4-byte place, so a string that every document has
 costs a bucket one entry a slab. Bitmaps of hashed ids, of a bounded size, keep texts without ties out of the joins.
 
@@ -267,18 +267,35 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
-def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, hash, runs: for texts with any, the runs of places whose LENGTH bytes also start elsewhere (lists of [first, last])."""
-    rows = _keyed(documents, id_col, text_col)
-    buckets = 1 << max(4, (4 * documents.rdd.getNumPartitions() - 1).bit_length())
+def parted_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, held, alone) of rows (id, hash, text): every text once; the rows that may be copies, with `again` if they are; all other rows.
+
+    A whole text that is there again is removed from its first byte to its last, so only one row of it takes part in the sorts. Texts
+    are held to be equal by two 64-bit hashes and their length.
+    """
+    keys = {"check": F.xxhash64(F.lit(1), "text"), "n_bytes": F.octet_length("text").cast("long")}
+    prints = rows.select("id", "hash", *[c.alias(n) for n, c in keys.items()]).where(F.col("n_bytes") >= LENGTH)
+    repeated = stash(prints.groupBy("hash", *keys).agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    bitmap = marks(repeated.select(F.col("hash").alias("id")))
+    maybe = _filtered(rows, bitmap, True).withColumns(keys).join(repeated.withColumn("again", F.lit(True)), ["hash", *keys], "left")
+    held = stash(maybe.select("id", "hash", "text", "again", "kept_id"), "copies")
+    unstash(repeated)
+    once = held.where(F.col("again").isNull() | F.col("id").eqNullSafe(F.col("kept_id"))).select("id", "hash", "text")
+    alone = _filtered(rows, bitmap, False).select("id", "hash", "text")
+    return alone.unionByName(once), held, alone
+
+
+def repeated_runs(rows: DataFrame, partitions: int) -> DataFrame:
+    """id, hash, runs: for texts with any, the runs of places whose LENGTH bytes also start elsewhere (lists of [first, last]). rows: id, hash, text."""
+    buckets = 1 << max(4, (4 * partitions - 1).bit_length())
     sampled = stash(tied_places(rows, SAMPLE, buckets, _sampled).groupBy("id", "hash").agg(F.collect_list("runs").alias("runs")), "sample")
-    release(documents.sparkSession)
+    release(rows.sparkSession)
     bitmap = marks(sampled.select(F.col("hash").alias("id")).distinct())
     held = _filtered(rows, bitmap, True)
     joined = held.join(sampled.withColumnRenamed("id", "__id").withColumnRenamed("hash", "__hash"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).select("id", "hash", "text", "runs")
     found = stash(tied_places(joined, LENGTH, buckets, _holding_ties).groupBy("id", "hash").agg(F.collect_list("runs").alias("runs")), "repeats")
     unstash(sampled)
-    release(documents.sparkSession)
+    release(rows.sparkSession)
     return found
 
 
@@ -307,8 +324,11 @@ def removal_spans(lists: list[bytes]) -> np.ndarray:
 
 
 def repeats_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    found = repeated_runs(documents, id_col, text_col)
-    rows = _keyed(documents, id_col, text_col)
+    texts, held, alone = parted_copies(_keyed(documents, id_col, text_col))
+    found = repeated_runs(texts, documents.rdd.getNumPartitions())
+    copies = held.where("again")
+    # a row that stood for its copies took part for the others' sake; its own result is theirs
+    rows = alone.unionByName(held.where("again is null").select("id", "hash", "text"))
     bitmap = marks(found.select(F.col("hash").alias("id")).distinct())
     keyed = found.withColumnRenamed("id", "__id").withColumnRenamed("hash", "__hash")
     touched = _filtered(rows, bitmap, True).join(keyed, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left").select("id", "text", "runs")
@@ -332,4 +352,6 @@ def repeats_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     whole = _filtered(rows, bitmap, False).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    return touched.mapInArrow(freed(cut), schema).unionByName(whole).withColumnRenamed("id", id_col)
+    n_bytes = F.octet_length("text").cast("long")
+    removed = copies.select("id", n_bytes.alias("n_bytes"), n_bytes.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
+    return touched.mapInArrow(freed(cut), schema).unionByName(whole).unionByName(removed).withColumnRenamed("id", id_col)
