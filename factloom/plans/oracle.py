@@ -328,6 +328,13 @@ def oracle_sql() -> dict[str, str]:
         "q33_token_admission": f"SELECT conv_id, turn, model, estimated_input, requested_output, input_limit, output_limit, CASE WHEN estimated_input > input_limit THEN 'input' WHEN requested_output > output_limit THEN 'output' END AS refusal FROM (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 16384 ELSE least(8192, output_limit) END AS requested_output FROM (SELECT conv_id, turn, model, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) + CASE WHEN turn % 2 = 0 THEN 400000 ELSE 0 END AS estimated_input, coalesce(mi, CASE WHEN conv_id % 2 = 0 THEN 1048576 ELSE 128000 END) AS input_limit, coalesce(mo, CASE WHEN conv_id % 2 = 0 THEN 65536 ELSE 16384 END) AS output_limit FROM conversations JOIN {limits} ON i = conv_id % 8) a) b",
         "q34_broad_range": f"WITH {CHECKS}, ends AS (SELECT document_id, start_page AS a, end_page AS b FROM {_SPANS} s WHERE candidate_ord % 10 = 3 UNION ALL SELECT document_id, coalesce(found_page, expected_page), coalesce(found_page, expected_page) FROM checks WHERE {any_of('title', ['재무상태표', '손익계산서', '현금흐름표', '자본변동표'])}) SELECT d.document_id, coalesce(greatest(1, min(a) - 2), 1) AS start_page, least(any_value(page_count), coalesce(max(b) + 2, 20)) AS end_page FROM docs d LEFT JOIN ends e ON e.document_id = d.document_id GROUP BY 1",
         "q35_evidence_rows": f"WITH {EVIDENCE} SELECT k.document_id, k.page_number, k.row_index, k.kind, k.numeric_cell_count, k.text, string_agg(coalesce(v.col, '.'), '|' ORDER BY v.cell_index) AS value_columns FROM kinds k JOIN valued v USING (document_id, page_number, row_index) GROUP BY ALL",
+        "q36_structure_facts": f"""WITH cells AS (SELECT * FROM {V.cells_demo_sql(DUCK)} v), d AS (SELECT DISTINCT l_orderkey % 997 AS k FROM lineitem), refs AS (SELECT * FROM (VALUES (0, '2024', 1, 0, 1, 0), (0, '2023', 1, 0, 1, 1), (0, '2023', 1, 0, 2, 0), (1, '2024', 2, 0, 1, 0), (1, '2023', 2, 50, 1, 0)) v(row_pos, key, page, row_index, pos, cell_index)),
+            got AS (SELECT k, row_pos, key, page, string_agg(c.text, '' ORDER BY pos) AS text FROM d CROSS JOIN refs LEFT JOIN cells c ON c.document_id = 'O' || k AND c.page_number = page AND c.row_index = refs.row_index AND c.cell_index = refs.cell_index GROUP BY 1, 2, 3, 4 HAVING bool_and(c.text IS NOT NULL)),
+            cols AS (SELECT DISTINCT k, key, CASE WHEN k % 3 = 0 THEN key ELSE translate(key, '34', '43') END AS ord, CASE WHEN k % 3 <> 0 AND key = '2024' THEN '당기' ELSE key END AS lbl FROM got),
+            grid AS (SELECT r.k, r.row_pos, c.key, ord, lbl, coalesce(text, '') AS text, page FROM (SELECT DISTINCT k, row_pos FROM got) r JOIN cols c ON c.k = r.k LEFT JOIN got g ON g.k = r.k AND g.row_pos = r.row_pos AND g.key = c.key),
+            f AS (SELECT k, row_pos, list(text ORDER BY ord) AS vals, list(key ORDER BY ord) AS keys, list(lbl ORDER BY ord) AS lbls, arg_min(page, key) FILTER (page IS NOT NULL) AS page, CASE row_pos WHEN 0 THEN '자산 총계' ELSE '부채 ' || k END AS label FROM grid GROUP BY 1, 2 HAVING max(text) <> ''),
+            g AS (SELECT *, list_filter(vals, lambda x: x <> '')[1] AS v FROM f)
+            SELECT 'O' || k AS document_id, 0 AS candidate_ord, CAST(row_number() OVER (PARTITION BY k ORDER BY row_pos DESC) - 1 AS INT) AS row_ord, label, {concept('label')} AS concept, keys[1] AS period, {number('v')} * 1000 AS value, '천원' AS unit, page AS page_number, array_to_string(vals, '|') AS all_values, array_to_string(keys, '|') AS period_labels, array_to_string(lbls, '|') AS column_labels FROM g""",
         "q37_vision_facts": f"""WITH r AS (SELECT s.document_id, s.candidate_ord, s.start_page, json_extract_string(response, '$.unit') AS raw_unit, unnest(CAST(json_extract(response, '$.rows') AS JSON[])) AS item, generate_subscripts(CAST(json_extract(response, '$.rows') AS JSON[]), 1) AS pos FROM {V.vision_json_sql(DUCK)} v JOIN {_SPANS} s USING (document_id, candidate_ord)),
             f AS (SELECT *, trim(coalesce(json_extract_string(item, '$.label'), '')) AS label, coalesce(json_extract_string(item, '$.values.c1'), '') AS c1, coalesce(json_extract_string(item, '$.values.c2'), '') AS c2 FROM r),
             k AS (SELECT *, {unit_label('raw_unit')} AS unit, CASE WHEN c1 <> '' THEN c1 ELSE c2 END AS v FROM f WHERE label <> '' AND (c1 NOT IN ('', '-') OR c2 NOT IN ('', '-')))
