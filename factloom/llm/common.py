@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table, read by Spark only (the path may be in any store Spark knows)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -94,3 +97,12 @@ def freed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
             libc.malloc_trim(0)
 
     return run
+
+
+def in_arrow(rows: DataFrame, task: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """rows.mapInArrow(task, schema) in batches of about BATCH_BYTES (a longer row is a batch of its own), for whatever reads rows of texts.
+
+    By default a batch holds up to 64 MB of texts, several times over: in the executor, in its Arrow copy and in the Python worker.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(freed(task), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, stash, unstash
+from .common import in_arrow, stash, unstash
 from .words import byte_column, mix, slabs, word_hashes, word_spans
 
 SHINGLE = 5
@@ -107,7 +107,7 @@ def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 columns = [batch.column(0).slice(first, last - first), pa.array(n.astype(np.int64)), *[pa.array(p.view(np.int64)) for p in prints], pa.array(bands.tolist(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f1", "f2", "bands"])
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(freed(sign), "id long, n long, f1 long, f2 long, bands array<long>")
+    return in_arrow(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), sign, "id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def marks(ids: DataFrame, most_bits: int = MARK_BITS) -> np.ndarray:
@@ -139,7 +139,7 @@ def full_sets(documents: DataFrame, id_col: str, text_col: str, marked: np.ndarr
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], ["id", "shingles"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(bits))).mapInArrow(freed(build), "id long, shingles array<long>")
+    return in_arrow(rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(bits))), build, "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

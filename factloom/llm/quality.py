@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed
+from .common import freed, in_arrow
 from .words import byte_column
 
 CHUNK, HOP = 512, 448
@@ -205,7 +205,7 @@ def with_score(documents: DataFrame, net: Network, text_col: str = "text", score
     schema = documents.withColumn(score_col, F.lit(0.0)).schema
     for field in schema:
         field.nullable = True
-    return documents.mapInArrow(freed(score), schema)
+    return in_arrow(documents, score, schema)
 
 
 class _Chunks:

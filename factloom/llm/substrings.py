@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, release, stash, unstash
+from .common import freed, in_arrow, release, stash, unstash
 from .neardup import marks
 from .words import BASE, BYTE_VALUES, INVERSE, _powers, byte_column, mix
 
@@ -197,7 +197,7 @@ def tied_places(rows: DataFrame, length: int, buckets: int, chosen) -> DataFrame
         if held:
             yield close()
 
-    dealt = rows.mapInArrow(freed(deal), _ENTRIES)
+    dealt = in_arrow(rows, deal, _ENTRIES)
     key = F.when(F.col("bucket") < 0, F.col("slab")).otherwise(F.col("bucket").cast("long"))
     sorted_buckets = dealt.repartition(max(1, buckets // 4), key).sortWithinPartitions("bucket").mapInArrow(freed(settle), _TIED)
     settled = stash(sorted_buckets, "ties")
@@ -308,7 +308,7 @@ def _filtered(rows: DataFrame, bitmap: np.ndarray, inside: bool) -> DataFrame:
             slot = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             yield batch.filter(pa.array((bitmap[slot >> 3] >> (7 - (slot & 7)) & 1 == 1) == inside)).select(["id", "hash", "text"])
 
-    return rows.withColumn("slot", F.pmod(F.xxhash64("hash"), F.lit(bits))).mapInArrow(freed(keep), "id long, hash long, text string")
+    return in_arrow(rows.withColumn("slot", F.pmod(F.xxhash64("hash"), F.lit(bits))), keep, "id long, hash long, text string")
 
 
 def removal_spans(lists: list[bytes]) -> np.ndarray:
@@ -354,4 +354,4 @@ def repeats_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = _filtered(rows, bitmap, False).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     n_bytes = F.octet_length("text").cast("long")
     removed = copies.select("id", n_bytes.alias("n_bytes"), n_bytes.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
-    return touched.mapInArrow(freed(cut), schema).unionByName(whole).unionByName(removed).withColumnRenamed("id", id_col)
+    return in_arrow(touched, cut, schema).unionByName(whole).unionByName(removed).withColumnRenamed("id", id_col)
