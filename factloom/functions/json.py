@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import text, trimmed
+from .text import let, text, trimmed
 
 
 def unfenced(raw: Column) -> Column:
@@ -20,10 +20,13 @@ def _valid(t: Column) -> Column:
 
 def json_text(raw: Column) -> Column:
     """The response's JSON: as it stands, else from its first { to its last }; null where neither is JSON."""
-    t = unfenced(raw)
-    first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
-    inner = F.when((first > 0) & t.contains("}") & (last > first), F.substring(t, first, last - first + 1))
-    return F.when(_valid(t), t).when(_valid(inner), inner)
+
+    def braced(t: Column) -> Column:
+        first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+        inner = F.when((first > 0) & t.contains("}") & (last > first), F.substring(t, first, last - first + 1))
+        return let(inner, lambda x: F.when(_valid(x), x))
+
+    return let(unfenced(raw), lambda t: F.when(_valid(t), t).otherwise(braced(t)))
 
 
 def non_blank(value: Column) -> Column:

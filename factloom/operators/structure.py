@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.amounts import amount, concept, unit_label
 from factloom.functions.json import json_text
-from factloom.functions.text import WS, rounded, text, trimmed
+from factloom.functions.text import WS, let, rounded, text, trimmed
 
 CANDIDATE = ["document_id", "candidate_ord"]
 MAX_COLUMNS = 8
@@ -25,9 +25,8 @@ def structure_label(label: Column) -> Column:
 
 def _number(item: Column, name: str) -> Column:
     """A JSON number, or text that is one; JSON null and "" are 0, a missing key is null."""
-    value = F.get_json_object(item, f"$.{name}")
     there = F.array_contains(F.json_object_keys(item), name)
-    return F.when(there & (value.isNull() | (F.trim(value) == "")), F.lit(0.0)).otherwise(value.try_cast("double"))
+    return let(F.get_json_object(item, f"$.{name}"), lambda v: F.when(there & (v.isNull() | (F.trim(v) == "")), F.lit(0.0)).otherwise(v.try_cast("double")))
 
 
 def _notes(raw: Column) -> Column:
@@ -36,7 +35,7 @@ def _notes(raw: Column) -> Column:
 
 def parsed(responses: DataFrame) -> DataFrame:
     doc = F.from_json(json_text(F.col("response")), "unit string, columns array<string>, rows array<string>")
-    return responses.select(*CANDIDATE, doc.alias("doc")).where("doc is not null")
+    return responses.select(*CANDIDATE, doc.alias("doc"))
 
 
 def structure_rows(responses: DataFrame) -> DataFrame:
@@ -100,7 +99,8 @@ def structure_columns(responses: DataFrame, valid: DataFrame) -> DataFrame:
 def structure_facts(responses: DataFrame, cells: DataFrame, candidates: DataFrame, documents: DataFrame) -> DataFrame:
     """Facts of the rows that read anything, in the order of the rows; the first value that isn't empty counts."""
     rows = structure_rows(responses)
-    valid = read_references(references(rows), cells).where("valid")
+    # columns, rows and values are all made of these few references; reading the cells once is what costs
+    valid = read_references(references(rows), cells).where("valid").persist()
     columns = structure_columns(responses, valid)
     read = valid.select(*CANDIDATE, "row_pos", F.col("column_key").alias("key"), "key_ord", "page", "text", "bbox")
     # a row with no valid reference goes; every column of the candidate is then read for each row that stays
