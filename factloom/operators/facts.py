@@ -103,10 +103,8 @@ def numbered(facts: DataFrame, documents: DataFrame) -> DataFrame:
     The order a candidate starts at counts only the facts that stayed of earlier ones, while its own rows keep their gaps: orders can
     repeat. fact_ord can't.
     """
-    kept = facts.groupBy("document_id", "candidate_ord").agg(F.count("*").alias("kept"))
-    before = W.partitionBy("document_id").orderBy("candidate_ord").rowsBetween(W.unboundedPreceding, -1)
-    starts = kept.select("document_id", "candidate_ord", F.coalesce(F.sum("kept").over(before), F.lit(0)).alias("start"))
-    joined = facts.join(starts, ["document_id", "candidate_ord"]).join(documents.select("document_id", "doc_ord"), "document_id")
+    before = W.partitionBy("document_id").orderBy("candidate_ord").rangeBetween(W.unboundedPreceding, -1)
+    joined = facts.withColumn("start", F.count("*").over(before)).join(documents.select("document_id", "doc_ord"), "document_id")
     # documents in their order, candidates and rows in theirs: one sortable key, no global sort
     ord_key = F.format_string("%012d:%08d:%08d:%s", F.col("doc_ord").cast("long"), F.col("candidate_ord"), F.col("row_ord"), F.col("document_id"))
     return joined.select(*[F.col(c) if c != "extraction_order" else (F.col("row_ord") + F.col("start")).cast("int").alias(c) for c in FACT_COLUMNS], ord_key.alias("fact_ord"))

@@ -51,14 +51,22 @@ def page_signals(pages: DataFrame, span: int = MAX_SPAN) -> DataFrame:
 
     ahead: page_number, titled, other_section, tail and, by type, continues - of the next 2 * (span - 1) page numbers.
     """
-    signals = with_carried_scope(with_titles(pages))
-    goes_on = F.struct(*[continues(statement_slice(F.col("text"), F.col("lines"), F.col("titles"), F.lit(kind)), kind).alias(kind) for kind in STATEMENT_TYPES])
-    signals = signals.withColumn("signal", F.struct(F.col("page_number").alias("page_number"), (F.size("titles") > 0).alias("titled"), starts_other_section(F.col("text")).alias("other_section"), cash_flow_tail(F.col("text")).alias("tail"), goes_on.alias("continues")))
+    reach = 2 * (span - 1)
     document = W.partitionBy("document_id")
     order = document.orderBy("page_number")
+    signals = with_carried_scope(with_titles(pages)).withColumn("kinds", F.array_distinct(F.transform("titles", lambda t: t.statement_type)))
+    # a page is asked only whether it goes on with what a page before it has a title of; most pages are asked nothing
+    signals = signals.withColumn("recent", F.flatten(F.collect_list("kinds").over(order.rangeBetween(-reach, -1))))
+
+    def asked(kind: str) -> Column:
+        own = statement_slice(F.col("text"), F.col("lines"), F.col("titles"), F.lit(kind))
+        return F.when(F.array_contains("recent", kind), continues(own, kind)).otherwise(False)
+
+    goes_on = F.struct(*[asked(kind).alias(kind) for kind in STATEMENT_TYPES])
+    signals = signals.withColumn("signal", F.struct(F.col("page_number").alias("page_number"), (F.size("titles") > 0).alias("titled"), starts_other_section(F.col("text")).alias("other_section"), cash_flow_tail(F.col("text")).alias("tail"), goes_on.alias("continues")))
     return (
         forward_text(signals, span)
-        .withColumn("ahead", F.collect_list("signal").over(order.rangeBetween(1, 2 * (span - 1))))
+        .withColumn("ahead", F.collect_list("signal").over(order.rangeBetween(1, reach)))
         .withColumn("last_page", F.max("page_number").over(document))
         .withColumn("scope", page_scope(F.col("text"), F.col("context_scope")))
     )
@@ -96,8 +104,7 @@ def scored_pages(pages: DataFrame, span: int = MAX_SPAN) -> DataFrame:
         return let(segment, lambda x: let(by_type(kind, lambda k: score(x, k)), lambda own: F.struct(kind.alias("statement_type"), x.alias("segment"), F.when(own.score > 0, own).otherwise(forward_score(kind)).alias("scored"))))
 
     # scored and filtered inside one array: a filter over the rows would evaluate the score again
-    kinds = F.array_distinct(F.transform("titles", lambda t: t.statement_type))
-    found = F.filter(F.transform(kinds, of_kind), lambda f: f.scored.score > 0)
+    found = F.filter(F.transform("kinds", of_kind), lambda f: f.scored.score > 0)
     return page_signals(pages, span).withColumn("found", F.explode(found)).select("document_id", "page_number", "scope", "ahead", "last_page", "found.*")
 
 
