@@ -58,3 +58,19 @@ def test_repeated_rows_null_ids_and_empty_table(docs):
     rows = S.repeats_report(docs([text, text, "one " * 3], [None, 1, 1])).collect()
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in rows) == [(-1, 450, 450), (1, 12, 0), (1, 450, 450)]
     assert sorted((r.doc_id, r.n_removed) for r in S.repeats_report(docs([text, text], [1, 1])).collect()) == [(1, 450), (1, 450)]
+
+
+def test_copies_stand_in_for_each_other(docs):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    whole, short = word(900), word(399)
+    texts = [whole, whole, whole, word(30) + whole[100:620] + word(40), short, short, whole[:450], word(500), word(100) + short]
+    rows = {r.doc_id: tuple(r)[1:] for r in S.repeats_report(docs(texts).repartition(4)).collect()}
+    assert [rows[n] for n in range(len(texts))] == brute(texts)
+
+
+def test_planes_and_steps_keep_numbers():
+    values = np.random.default_rng(1).integers(0, 2**64 - 1, 1000, dtype=np.uint64)
+    assert (S.from_planes(S.planes(values), np.uint64) == values).all()
+    places = np.sort(np.random.default_rng(2).choice(1 << 21, 500, replace=False)).astype(np.int32)
+    assert (S.from_steps(S.steps(places)) == places).all() and not len(S.from_steps(S.steps(places[:0])))
