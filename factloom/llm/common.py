@@ -79,26 +79,38 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def freed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+#: What a Python worker keeps from task to task, such as tokenizers with the words they have seen.
+KEPT: dict[str, object] = {}
+
+
+def freed(task: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
     """A mapInArrow or mapInPandas function that hands memory back to the system once its last batch is out.
 
-    Python workers outlive their tasks, and what numpy and Arrow keep for later would add up over the stages of a job.
+    Python workers outlive their tasks, and what numpy and Arrow keep for later would add up over the stages of a job. A task that
+    doesn't itself use what other operators' tasks have kept drops it first.
     """
 
     @functools.wraps(task)
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+        if KEPT and not keeps:
+            KEPT.clear()
+            _hand_back()
         yield from task(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        _hand_back()
 
     return run
 
 
+def _hand_back() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def in_arrow(rows: DataFrame, task: Callable[[Iterator], Iterator], schema) -> DataFrame:
     """rows.mapInArrow(task, schema) in batches of about BATCH_BYTES (a longer row is a batch of its own), for whatever reads rows of texts.
 

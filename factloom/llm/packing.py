@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import freed, stash, text_of
+from .common import KEPT, freed, stash, text_of
 
 CAPACITY = 2048
 END_ID = 0
@@ -75,14 +75,11 @@ class WordTokenizer:
         return b"".join(found)
 
 
-#: Kept by a Python worker from task to task.
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    """One for each worker and path, with the words that it has learnt, until a task of another operator drops it."""
+    if path not in KEPT:
+        KEPT[path] = WordTokenizer(path)
+    return KEPT[path]
 
 
 def tokenized_pieces(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -102,7 +99,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer_path: str, id_col: str = "d
             made["id"] = made["id"].astype("Int64")
             yield made
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInPandas(freed(cut), PIECES)
+    return documents.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInPandas(freed(cut, keeps=True), PIECES)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
