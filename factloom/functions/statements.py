@@ -34,19 +34,28 @@ def title_type(line: Column) -> Column:
     return let(compact(line), _title_type)
 
 
+def _names_a_statement(c: Column) -> Column:
+    return c.contains("손익계산서") | c.contains("재무상태표") | c.contains("현금흐름표") | c.contains("자본변동표")
+
+
 def _title_type(c: Column) -> Column:
     pure = F.regexp_replace(c, _PREFIX, "")
     named = F.when(pure.rlike(TITLE_PATTERNS["income_statement"]), "income_statement")
     for kind in ("balance_sheet", "cash_flow_statement", "equity_changes"):
         named = named.when(pure.rlike(TITLE_PATTERNS[kind]), kind)
-    fits = F.length(c).between(1, 50) & ~c.contains("주석") & ~c.contains("인식") & ~c.contains("관련")
+    fits = F.length(c).between(1, 50) & _names_a_statement(c) & ~c.contains("주석") & ~c.contains("인식") & ~c.contains("관련")
     return F.when(fits & (~c.rlike(_PREFIX) | c.rlike(r"^0*[1-4](?:-0*[1-4])?\.")), named)
 
 
 def titles(page_lines: Column) -> Column:
-    """All titles among the lines: index, statement_type, has_section_prefix."""
-    found = F.transform(page_lines, lambda line, i: let(compact(line), lambda c: F.struct(i.alias("index"), _title_type(c).alias("statement_type"), c.rlike(_PREFIX).alias("has_section_prefix"))))
-    return F.filter(found, lambda t: t.statement_type.isNotNull())
+    """All titles among the lines: index, statement_type, has_section_prefix. Most pages hold no statement's name and are done with one look."""
+    none = F.array().cast("array<struct<index:int,statement_type:string,has_section_prefix:boolean>>")
+
+    def listed(page: Column) -> Column:
+        found = F.transform(page_lines, lambda line, i: let(compact(line), lambda c: F.struct(i.alias("index"), _title_type(c).alias("statement_type"), c.rlike(_PREFIX).alias("has_section_prefix"))))
+        return F.when(_names_a_statement(page), F.filter(found, lambda t: t.statement_type.isNotNull())).otherwise(none)
+
+    return let(compact(F.array_join(page_lines, "")), listed)
 
 
 def has_title(found: Column, statement_type: Column) -> Column:
@@ -133,16 +142,16 @@ def heading_scope(squeezed_text: Column) -> Column:
 
     def last(s: Column) -> Column:
         found = [F.struct(last_match_at(s, pattern).alias("at"), F.lit(-order).alias("order"), F.lit(scope).alias("scope")) for order, (pattern, scope) in enumerate(SCOPE_HEADINGS)]
-        return F.array_max(F.filter(F.array(*found), lambda x: x["at"].isNotNull()))["scope"]
+        return F.when(s.contains("재무제표"), F.array_max(F.filter(F.array(*found), lambda x: x["at"].isNotNull()))["scope"])
 
     return let(squeezed_text, last)
 
 
 def page_scope(page_text: Column, carried: Column) -> Column:
-    """Scope by a title, by a heading on the page, carried on from an earlier page, or by the word itself."""
+    """Scope by a title, by the last heading up to and with the page (carried), or by the word itself."""
 
     def by_text(s: Column) -> Column:
-        other = F.coalesce(heading_scope(s), carried, F.when(s.contains("consolidated"), "consolidated").otherwise("unknown"))
+        other = F.coalesce(carried, F.when(s.contains("consolidated"), "consolidated").otherwise("unknown"))
         return F.when(s.rlike(f"연결 *{_NAMES}"), "consolidated").when(s.rlike(f"(?:개별|별도) *{_NAMES}"), "separate").otherwise(other)
 
     return let(squeezed(page_text), by_text)
