@@ -27,7 +27,7 @@ from .common import freed, sha256_of
 from .words import byte_column, slabs, word_hashes, word_spans
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_CHARS = 16 << 20
 SAMPLE = 16
 PERCENT = 5

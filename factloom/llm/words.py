@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 1 << 20
 HASH_BYTES = 1 << 20
 _random = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
