@@ -42,7 +42,7 @@ def op4_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op6_bootstrapped_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

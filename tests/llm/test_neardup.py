@@ -119,3 +119,28 @@ def test_one_document_of_each_group_stays(docs):
     table = docs(texts, [4, 2, 3, 8, None, 9, 9])
     kept = without_near_duplicates(table)
     assert kept.columns == table.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "8", "9", "None"]
+
+
+def test_the_pipeline_stage_takes_pairs_from_four_fifths_on(spark, docs):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    texts, pairs = [], []
+    for n in range(40):
+        words = [f"p{n}w{k}" for k in range(rnd.randrange(50, 120))]
+        other = list(words)
+        for at in rnd.sample(range(5, len(words) - 5), 1 + n % 3):
+            other[at] += "x"
+        pairs.append((" ".join(words), " ".join(other)))
+    alike = [100 * len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in pairs]
+    assert sum(80 <= x < 85 for x in alike) > 5 and sum(x < 80 for x in alike) > 5
+    for pair in pairs:
+        texts += pair
+    words = [f"e{k}" for k in range(49)]  # 45 shingles, 5 of them changed: 40 of 50 are shared, 0.80 exactly
+    exact = " ".join(words), " ".join([*words[:20], "new", *words[21:]])
+    a, b = map(shingles, exact)
+    assert (len(a & b), len(a | b)) == (40, 50)
+    texts += exact
+    alike.append(80)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(texts), "").collect()}
+    assert kept == {k for n, x in enumerate(alike) for k in ((2 * n,) if x >= 80 else (2 * n, 2 * n + 1))}
