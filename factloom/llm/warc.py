@@ -3,7 +3,8 @@
 Reading never trusts a magic string alone. Tasks over byte ranges emit, for every place that looks like a record, the place of
 its successor (header length plus Content-Length). Pointer jumping from the start of each file - in round k a place knows its
 2^k-th successor - keeps the reachable places only, in as many rounds as the logarithm of the longest chain. Records are then
-read by offset.
+read by offset. A header may have any length. A chain that does not end where its file ends, and a round trip that finds another
+number of records than it wrote, are errors.
 
 Defined results: a null or empty html has an empty payload; null urls are left out; a row with a null page_id revisits
 the equal page with an id, if there is one; rows with the largest page_id of equal payloads are all responses; other columns are not
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, fresh_path, stash, text_of, unstash
 
-MAGIC = b"WARC/1.1\r\n"
+MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
-HEADER_BYTES = 64 << 10
+HEADER_BYTES = 64 << 10  # read at first for a header; more is read until it ends
 BROADCAST_ROWS = 100_000
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -54,6 +55,26 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in head.decode("utf-8", "replace").split("\r\n") if ":" in line)}
 
 
+def _header(f, data: bytes, at: int) -> tuple[bytes, int]:
+    """(data, the place in it where the header at `at` ends, or -1). Data grows by what f reads on, until the header or the file ends."""
+    head = data.find(END, at)
+    while head < 0 and (more := f.read(max(HEADER_BYTES, len(data)))):
+        data, since = data + more, max(at, len(data) - len(END) + 1)
+        head = data.find(END, since)
+    return data, head
+
+
+def _length(data: bytes, at: int, head: int) -> tuple[int, str]:
+    """(place, value) of the last Content-Length in the header from at to head; the place is -1 if there is none."""
+    end = head
+    while (start := data.rfind(b"\r\n", at, end)) >= 0:
+        name, _, value = data[start + 2 : end].partition(b":")
+        if name.strip().lower() == b"content-length":
+            return start, value.strip().decode("utf-8", "replace")
+        end = start
+    return -1, ""
+
+
 # ---- writing ----------------------------------------------------------------------------------------------------------------
 
 
@@ -131,13 +152,17 @@ def candidates(ranges: DataFrame, folder: str) -> DataFrame:
                 with place.open_input_file(file) as f:
                     f.seek(first)
                     data = f.read(min(size, last + HEADER_BYTES) - first)
-                at = data.find(MAGIC)
-                while 0 <= at < last - first:
-                    head = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-                    length = _fields(data[at + len(MAGIC) : head]).get("content-length", "") if head >= 0 else ""
-                    if length.isascii() and length.isdigit():
-                        rows.append((file, first + at, first + head + 4 + int(length[:18]) + 4))
-                    at = data.find(MAGIC, at + 1)
+                    till = last - first + len(MAGIC) - 1
+                    at, head = data.find(MAGIC, 0, till), -1
+                    while at >= 0:
+                        if head < at:  # else the places up to the same end share its last length
+                            data, head = _header(f, data, at)
+                            if head < 0:
+                                break  # no header ends from here on
+                            line, length = _length(data, at + len(MAGIC) - 2, head)
+                        if line >= at + len(MAGIC) - 2 and length.isascii() and length.isdigit():
+                            rows.append((file, first + at, first + head + 4 + int(length[:18]) + 4))
+                        at = data.find(MAGIC, at + 1, till)
             yield pd.DataFrame(rows, columns=["file", "at", "next"])
 
     return ranges.mapInPandas(scan, "file string, at long, next long")
@@ -175,8 +200,7 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
                 with place.open_input_file(file) as f:
                     for at in sorted(group["at"]):
                         f.seek(at)
-                        data = f.read(HEADER_BYTES)
-                        head = data.index(b"\r\n\r\n")
+                        data, head = _header(f, f.read(HEADER_BYTES), 0)
                         fields = _fields(data[len(MAGIC) : head])
                         kind, length = fields["warc-type"], int(fields["content-length"])
                         if kind not in ("response", "revisit"):
@@ -196,12 +220,28 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
     return together.mapInArrow(read, RECORDS)
 
 
+def record_places(ranges: DataFrame, folder: str) -> DataFrame:
+    """file, at of all records, of archives whose chains end where the files end."""
+    links = stash(candidates(ranges, folder), "links")
+    places = reachable(links)
+    ends = links.join(places.groupBy("file").agg(F.max("at").alias("at")), ["file", "at"]).select("file", F.col("next").alias("end"))
+    broken = ranges.select("file", "size").distinct().join(ends, "file", "left").where("end IS NULL OR end <> size").first()
+    if broken:
+        raise ValueError(f"{broken['file']}: the chain of records ends at {broken['end']}, the file at {broken['size']}")
+    unstash(links)
+    return places
+
+
 def read_warc(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    links = candidates(archive_ranges(spark, folder, range_bytes), folder)
-    return read_records(reachable(links), folder)
+    return read_records(record_places(archive_ranges(spark, folder, range_bytes), folder), folder)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    write_warc(with_references(pages), folder)
-    return read_warc(pages.sparkSession, folder)
+    written = write_warc(with_references(pages), folder)
+    ranges = archive_ranges(pages.sparkSession, folder)
+    places = record_places(ranges, folder)
+    found = places.where("at > 0").count()  # at 0 is the archive's own record
+    if found != written:
+        raise ValueError(f"{folder}: {written} records were written, {found} are found")
+    return read_records(places, folder)

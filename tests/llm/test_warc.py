@@ -55,3 +55,32 @@ def test_many_equal_payloads_without_the_broadcast(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert warc.warc_round_trip(pages(spark, [])).count() == 0
+
+
+LONG = [(1, "http://" + "a" * 70_000, "one"), (2, "b " * 200_000, "two" * 500), (3, "http://x/WARC/1.1", "three"), (4, "u", "WARC/1.1\r\n" * 9000), (5, "c" * 65_536, "two" * 500), (6, "u", "x")]
+
+
+@pytest.mark.parametrize("range_bytes", [5000, 1 << 22])
+def test_headers_of_any_length(spark, tmp_path, range_bytes):
+    folder = f"file://{tmp_path}/l"
+    assert warc.write_warc(warc.with_references(pages(spark, LONG).coalesce(1)), folder) == len(LONG)
+    minus = lambda x: -1 if x is None else x
+    rows = warc.read_warc(spark, folder, range_bytes).collect()
+    assert sorted((minus(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, minus(r.refers_to)) for r in rows) == brute(LONG)
+    assert warc.warc_round_trip(pages(spark, LONG).coalesce(1)).count() == len(LONG)
+
+
+def test_a_broken_chain_and_missing_records_are_errors(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "b"
+    warc.write_warc(warc.with_references(pages(spark, ROWS).coalesce(1)), f"file://{folder}")
+    (file,) = folder.glob("*.warc")
+    whole = file.read_bytes()
+    at = whole.index(b"Content-Length", len(whole) // 2)
+    for cut in (whole[:-1], whole[:at] + b"Kontent-Length" + whole[at + 14 :], b"x" + whole):
+        file.write_bytes(cut)
+        with pytest.raises(ValueError, match="chain of records ends"):
+            warc.read_warc(spark, f"file://{folder}")
+    write = warc.write_warc
+    monkeypatch.setattr(warc, "write_warc", lambda *a: write(*a) + 1)
+    with pytest.raises(ValueError, match="are found"):
+        warc.warc_round_trip(pages(spark, ROWS))
