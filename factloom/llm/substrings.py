@@ -1,16 +1,24 @@
-"""Exact removal of repeated substrings by blockwise suffix sorting with a difference cover.
+"""Exact removal of repeated substrings by blockwise suffix sorting with difference covers.
 
 Which places start a LENGTH-byte string that also starts elsewhere is a question about ties in a suffix array. It is answered in
 two sorts, each a bucket at a time:
 
-1. Cover sample. PERIOD and COVER form a difference cover: for any two places i and j there is a d < PERIOD with i + d and j + d
-   both in the sample, so two equal LENGTH-byte strings hold two equal SAMPLE-byte strings at sampled places. The sampled suffixes
-   alone (8 % of all) are ranked on SAMPLE bytes; only those that tie matter further on.
-2. Suffixes. Only places whose string holds a tied sample can tie on LENGTH bytes. These suffixes are sorted the same way.
+1. Sparse cover. PERIOD and its cover form a difference cover: for any two places i and j there is a d < PERIOD with i + d and j + d
+   both in the sample, so two equal LENGTH-byte strings hold two equal strings of LENGTH - PERIOD + 1 bytes at sampled places. The
+   sampled suffixes alone (8 % of all) are ranked; only those that tie matter further on.
+2. Suffixes. Of the places whose string holds a tied sample, those in a dense cover (4 of each 13) are ranked on 388 bytes. A
+   suffix at p - d, with p the cover place it shares with a suffix that it is compared to, orders by its first d bytes, the rank of
+   p, and the bytes behind: a tie of 388 bytes is settled by the rank, and only the 12 bytes around it are compared (shift_ties()).
+   So a suffix costs a bucket 13 bytes, whatever its length, and no text has to be where its suffixes are sorted.
 
-A text that is there more than once takes part once: all of it is removed. Both sorts deal suffixes to buckets by the leading bits of a 64-bit print of their bytes, and a task holds one bucket at a time. A slab (a run
-of texts) settles its own ties and sends each distinct print once with one 4-byte place, so a string that every document has
-costs a bucket one entry a slab. Bitmaps of hashed ids, of a bounded size, keep texts without ties out of the joins.
+Both sorts deal suffixes to buckets by the leading bits of their rank's print, and a task holds one bucket at a time. The ranks of
+the second sort order 128-bit prints, those of the first, which only choose candidates, 64-bit ones. A slab (a run of texts) settles
+its own ties and sends each distinct suffix once, so a string that every document has costs a bucket one entry a slab. A text that
+is there more than once takes part once: all of it is removed. Bitmaps of hashed ids, of a bounded size, keep texts without ties
+out of the joins.
+
+Passages of over PASSAGE - 1 words that another document has too are found in the same way, words in place of bytes: a passage of
+short words has fewer than LENGTH bytes, so nothing of it is removed, but the document is reported (`shares_passage`).
 
 Defined results: a null or empty text has no bytes; texts shorter than LENGTH stay whole; repeated rows are documents of
 their own, so their strings repeat; a null id is carried along; other columns of the input are not read; an empty table gives an
@@ -20,20 +28,22 @@ empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import freed, in_arrow, release, stash, unstash
-from .neardup import marks
-from .words import BASE, BYTE_VALUES, INVERSE, _powers, byte_column, mix
+from .neardup import WORD_BYTES, marks
+from .words import BASE, BYTE_VALUES, INVERSE, _powers, byte_column, mix, word_hashes, word_spans
 
 LENGTH = 400
-SLAB = 2 << 20
+PASSAGE = 51
+TASK_BYTES = 16 << 20
+BUCKETS_A_TASK = 4
 
 
 def difference_cover(q: int) -> tuple[int, np.ndarray]:
@@ -55,64 +65,175 @@ def difference_cover(q: int) -> tuple[int, np.ndarray]:
     raise ValueError(f"{q} is no prime")
 
 
-PERIOD, _COVER = difference_cover(13)
-SAMPLE = LENGTH - PERIOD + 1
-IN_COVER = np.zeros(PERIOD, bool)
-IN_COVER[_COVER] = True
-_POWERS, _INVERSES = _powers(BASE, SLAB + LENGTH + 1), _powers(INVERSE, SLAB + LENGTH + 1)
+class Cover(NamedTuple):
+    period: int
+    holds: np.ndarray
+
+    @classmethod
+    def of(cls, q: int) -> Cover:
+        period, cover = difference_cover(q)
+        holds = np.zeros(period, bool)
+        holds[cover] = True
+        return cls(period, holds)
+
+
+class Symbols(NamedTuple):
+    """What strings are made of. whole: texts are not cut, and a string has to be in two texts."""
+
+    length: int
+    sparse: Cover
+    dense: Cover | None  # None: every place
+    read: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+    value: Callable[[np.ndarray], np.ndarray]
+    whole: bool
+    slab: int  # symbols that are sorted together before any are sent
+
+    @property
+    def around(self) -> int:
+        return self.dense.period - 1 if self.dense else 0
+
+
+#: Unlike for words, upper and lower case differ here.
+VALUES = BYTE_VALUES.copy()
+VALUES[65:91] = mix(np.arange(65, 91, dtype=np.uint64)) | np.uint64(1)
+_SECOND = np.uint64(0xD1342543DE82EF95)
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of words, offsets of texts in them)."""
+    data, offsets = byte_column(texts)
+    starts, ends, rows = word_spans(data, offsets, WORD_BYTES)
+    return word_hashes(data, starts, ends), np.searchsorted(rows, np.arange(len(offsets)))
+
+
+BYTES = Symbols(LENGTH, Cover.of(13), Cover.of(3), byte_column, lambda data: VALUES[data], False, 2 << 20)
+WORDS = Symbols(PASSAGE, Cover.of(5), None, words_of, lambda hashes: hashes, True, 1 << 18)
 
 
 # ---- one slab ---------------------------------------------------------------------------------------------------------------
 
 
-def slab_pieces(offsets: np.ndarray, most: int = SLAB) -> Iterator[list[tuple[int, int, int]]]:
-    """Lists of (row, begin in the row, end in the row) of about `most` bytes; parts of a long row overlap by LENGTH - 1."""
+def slab_pieces(offsets: np.ndarray, length: int, most: int, whole: bool = False) -> Iterator[list[tuple[int, int, int]]]:
+    """Lists of (row, begin in the row, end in the row) of about `most` symbols; parts of a long row overlap by length - 1."""
     held, size = [], 0
     for row, n in enumerate(np.diff(offsets).tolist()):
         at = 0
-        while at == 0 or at < n - LENGTH + 1:
-            end = min(n, at + most)
+        while at == 0 or at < n - length + 1:
+            end = n if whole else min(n, at + most)
             if held and size + end - at > most:
                 yield held
                 held, size = [], 0
             held.append((row, at, end))
             size += end - at
-            at = end - LENGTH + 1 if end < n else n
+            at = end - length + 1 if end < n else n
             if end == n:
                 break
     if held:
         yield held
 
 
-def prints(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """64-bit prints of the `length` bytes at places."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(VALUES[data] * _POWERS[: len(data)], out=sums[1:])
-    return mix((sums[places + length] - sums[places]) * _INVERSES[places])
+_TABLES: list[np.ndarray] = []
 
 
-#: Unlike for words, upper and lower case differ here.
-VALUES = BYTE_VALUES.copy()
-VALUES[65:91] = mix(np.arange(65, 91, dtype=np.uint64)) | np.uint64(1)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n."""
+    if not _TABLES or len(_TABLES[0]) < n:
+        _TABLES[:] = [_powers(BASE, n), _powers(INVERSE, n)]
+    return _TABLES[0], _TABLES[1]
+
+
+def prints(values: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """64-bit prints of the `length` symbols at places, from the values of all symbols."""
+    powers, inverses = _tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[: len(values)], out=sums[1:])
+    return mix((sums[places + length] - sums[places]) * inverses[places])
+
+
+class Suffixes(NamedTuple):
+    """Cover places with what orders the suffixes that lead to them."""
+
+    print: np.ndarray
+    check: np.ndarray  # a second print, or nothing
+    near: np.ndarray  # (n, 2 * around) symbols before and behind the ranked string; 0 outside of the text
+    least: np.ndarray  # the shifts d, from least to most, that lead to suffixes of full length
+    most: np.ndarray
+
+    def take(self, at: np.ndarray) -> Suffixes:
+        return Suffixes(*[x[at] if len(x) else x for x in self])
+
+    def by_rank(self) -> np.ndarray:
+        return np.lexsort((self.check, self.print)) if len(self.check) else np.argsort(self.print, kind="stable")
 
 
-def ties(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, tied) of a bucket or slab: the sorted order, and which sorted entries equal a neighbour."""
-    order = np.argsort(values, kind="stable")
-    same = values[order[1:]] == values[order[:-1]]
-    tied = np.zeros(len(values), bool)
-    tied[1:] |= same
-    tied[:-1] |= same
-    return order, tied
+def ranks(ordered: Suffixes) -> np.ndarray:
+    """The rank of each of some suffixes in the order of by_rank(): equal prints, equal ranks."""
+    new = np.ones(len(ordered.print), np.int64)
+    new[1:] = ordered.print[1:] != ordered.print[:-1]
+    if len(ordered.check):
+        new[1:] |= ordered.check[1:] != ordered.check[:-1]
+    return np.cumsum(new) - 1
+
+
+def neighbours_equal(*keys: np.ndarray) -> np.ndarray:
+    """Which entries of sorted keys equal the one before or behind."""
+    same = np.ones(max(0, len(keys[0]) - 1), bool)
+    for key in keys:
+        same &= key[1:] == key[:-1]
+    out = np.zeros(len(keys[0]), bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
+def shift_ties(ordered: Suffixes, around: int) -> np.ndarray:
+    """Bit d of entry k: the suffix d symbols before cover place k ties with another one. Entries are in the order of by_rank().
+
+    Within a rank, suffixes d before their cover places order by the d symbols before and the around - d behind. Where all entries of
+    a rank have the same symbols on both sides, nothing is left to sort.
+    """
+    rank = ranks(ordered)
+    size = np.bincount(rank) if len(rank) else np.zeros(0, np.int64)
+    out = np.where(size[rank] > 1, np.uint16((1 << (around + 1)) - 1), np.uint16(0))
+    if not around or not out.any():
+        return out
+    first = np.flatnonzero(np.diff(rank, prepend=-1))
+    own = (ordered.near == ordered.near[first][rank]).all(axis=1) & (ordered.least == 0) & (ordered.most == around)
+    alike = np.bincount(rank[own], minlength=len(size)) == size
+    mixed = np.flatnonzero((size[rank] > 1) & ~alike[rank])
+    out[mixed] = 0
+    for d in range(around + 1):
+        at = mixed[(ordered.least[mixed] <= d) & (ordered.most[mixed] >= d)]
+        if len(at) < 2:
+            continue
+        beside = np.ascontiguousarray(ordered.near[at, around - d : 2 * around - d])
+        keys = (*beside.view(np.uint32).T, rank[at])
+        order = np.lexsort(keys)
+        tied = neighbours_equal(*[k[order] for k in keys])
+        out[at[order[tied]]] |= np.uint16(1 << d)
+    return out
+
+
+def distinct(ordered: Suffixes) -> np.ndarray:
+    """One place of each group of entries, ordered by rank, that are equal in all."""
+    new = np.ones(len(ordered.print), bool)
+    if ordered.near.size:
+        order = np.lexsort((ordered.most, ordered.least, *np.ascontiguousarray(ordered.near).view(np.uint32).T, ranks(ordered)))
+        inner = ordered.take(order)
+        new[1:] = (np.diff(ranks(ordered)[order]) != 0) | (inner.near[1:] != inner.near[:-1]).any(axis=1) | (inner.least[1:] != inner.least[:-1]) | (inner.most[1:] != inner.most[:-1])
+        return order[new]
+    new[1:] = np.diff(ranks(ordered)) != 0
+    return np.flatnonzero(new)
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Numbers as their lowest bytes, then their second lowest ones and so on: what shuffles and files compress well if the top bytes agree."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Numbers, or rows of bytes, as their first bytes, then their second ones and so on: what shuffles and files compress well if the top bytes agree."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
 
 
-def from_planes(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def from_planes(data: bytes, kind: type, wide: int = 1) -> np.ndarray:
+    made = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize * wide, -1).T).view(kind)
+    return made if wide > 1 else made.ravel()
 
 
 def steps(places: np.ndarray) -> bytes:
@@ -126,27 +247,56 @@ def from_steps(data: bytes) -> np.ndarray:
 
 # ---- a sort over all slabs --------------------------------------------------------------------------------------------------
 
-_ENTRIES = "bucket int, slab long, prints binary, places binary, ids array<long>, hashes array<long>, starts array<int>, bases array<long>"
-_TIED = "slab long, places binary, ids array<long>, hashes array<long>, starts array<int>, bases array<long>"
-_ENTRY_TYPES = pa.schema([("bucket", pa.int32()), ("slab", pa.int64()), ("prints", pa.binary()), ("places", pa.binary()), ("ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("bases", pa.list_(pa.int64()))])
+_ENTRY = {"bucket": "int", "slab": "long", "places": "binary", "shifts": "binary", "prints": "binary", "checks": "binary", "near": "binary", "reach": "binary"}
+_OWN = {"ids": "array<long>", "hashes": "array<long>", "starts": "array<int>", "bases": "array<long>"}
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+_DEALT = _ENTRY | _OWN
+_TIED = {k: v for k, v in _DEALT.items() if k in ("slab", "places", "shifts") or k in _OWN}
+_RUNS = {"id": "long", "hash": "long", "runs": "binary"}
+
 
+def _spark(fields: dict[str, str]) -> str:
+    return ", ".join(f"{k} {v}" for k, v in fields.items())
 
-def tied_places(rows: DataFrame, length: int, buckets: int, chosen) -> DataFrame:
-    """id, hash, places: where in each text a suffix ties with another on `length` bytes.
 
-    rows: id, hash, text and whatever else `chosen` needs. chosen(batch, pieces, lengths, row numbers) -> the places, as indices
-    into the joined pieces, that take part.
+def _batch(rows: list[dict], fields: dict[str, str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(k, _KINDS[v]) for k, v in fields.items()]))
+
+
+def suffixes(joined: np.ndarray, places: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, around: int, checked: bool, value) -> Suffixes:
+    """Of the cover places (indices into joined), each in a piece from begins to ends, ranked on `length` symbols."""
+    values = value(joined)
+    least, most = np.maximum(0, places + length + around - ends).astype(np.int8), np.minimum(around, places - begins).astype(np.int8)
+    near = np.zeros((len(places), 0), np.uint8)
+    if around:
+        padded = np.concatenate([np.zeros(around, joined.dtype), joined, np.zeros(around, joined.dtype)])
+        shift = np.arange(around)
+        before = padded[places[:, None] + shift] * (around - shift <= most[:, None])
+        behind = padded[places[:, None] + around + length + shift] * (shift < around - least[:, None])
+        near = np.concatenate([before, behind], axis=1)
+    return Suffixes(prints(values, places, length), prints(mix(values ^ _SECOND) | np.uint64(1), places, length) if checked else np.zeros(0, np.uint64), near, least, most)
+
+
+def tied_places(rows: DataFrame, symbols: Symbols, cover: bool, tasks: int, chosen) -> DataFrame:
+    """id, hash, runs: where in each text a suffix ties with another one.
+
+    rows: id, hash, text and whatever else `chosen` needs. cover: rank the sparse cover's strings; else the full strings. chosen(batch,
+    pieces, starts, sizes) -> the places, as indices into the joined pieces, that take part.
     """
-    shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
+    around = 0 if cover else symbols.around
+    length = symbols.length - symbols.sparse.period + 1 if cover else symbols.length - around
+    checked, across = not cover, symbols.whole and not cover
+    buckets = 1 << max(4, (BUCKETS_A_TASK * tasks - 1).bit_length())
+    shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         slab = TaskContext.get().partitionId() << 32
         for batch in batches:
-            data, offsets = byte_column(batch.column(2))
+            data, offsets = symbols.read(batch.column(2))
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for pieces in slab_pieces(offsets):
+            for pieces in slab_pieces(offsets, symbols.length, symbols.slab, symbols.whole):
                 sizes = np.array([e - b for _, b, e in pieces])
                 starts = np.cumsum(sizes) - sizes
                 joined = np.concatenate([data[offsets[r] + b : offsets[r] + e] for r, b, e in pieces])
@@ -154,41 +304,57 @@ def tied_places(rows: DataFrame, length: int, buckets: int, chosen) -> DataFrame
                 if not len(places):
                     continue
                 slab += 1
-                values = prints(joined, places, length)
-                order, tied = ties(values)
-                value, place = values[order], places[order].astype(np.int32)
-                first = np.ones(len(value), bool)
-                first[1:] = value[1:] != value[:-1]
-                settled = {"bucket": -1, "slab": slab, "prints": None, "places": steps(np.sort(place[tied])), "ids": [ids[p[0]] for p in pieces], "hashes": [hashes[p[0]] for p in pieces], "starts": starts.tolist(), "bases": [p[1] for p in pieces]}
-                out = [settled]
-                value, place = value[first], place[first]
-                bucket = (value >> shift).astype(np.int64) if shift is not None else np.zeros(len(value), np.int64)
-                cuts = np.searchsorted(bucket, np.arange(bucket.max() + 2 if len(bucket) else 1))
-                by_place = np.lexsort((place, bucket))
-                value, place = value[by_place], place[by_place]
-                for k in range(len(cuts) - 1):
-                    a, b = cuts[k], cuts[k + 1]
-                    if a < b:
-                        out.append({"bucket": k, "slab": slab, "prints": planes(value[a:b]), "places": steps(place[a:b])})
-                yield pa.RecordBatch.from_pylist(out, schema=_ENTRY_TYPES)
+                piece = np.searchsorted(starts, places, "right") - 1
+                made = suffixes(joined, places, starts[piece], (starts + sizes)[piece], length, around, checked, symbols.value)
+                order = made.by_rank()
+                made, place, piece = made.take(order), places[order].astype(np.int32), piece[order]
+                tied = shift_ties(made, around)
+                if across:  # what only one text has is no tie
+                    rank = ranks(made)
+                    lone = np.ones(len(rank) and rank[-1] + 1, bool)
+                    lone[rank[1:][(rank[1:] == rank[:-1]) & (piece[1:] != piece[:-1])]] = False
+                    tied[lone[rank]] = 0
+                own = np.flatnonzero(tied)
+                own = own[np.argsort(place[own])]
+                out = [{"bucket": -1, "slab": slab, "places": steps(place[own]), "shifts": planes(tied[own]), "ids": [ids[p[0]] for p in pieces], "hashes": [hashes[p[0]] for p in pieces], "starts": starts.tolist(), "bases": [p[1] for p in pieces]}]
+                kept = distinct(made)
+                bucket = (made.print[kept] >> shift).astype(np.int64)
+                kept = kept[np.lexsort((place[kept], bucket))]
+                bucket = (made.print[kept] >> shift).astype(np.int64)
+                edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    one = made.take(kept[a:b])
+                    entry = {"bucket": int(bucket[a]), "slab": slab, "places": steps(place[kept[a:b]]), "prints": planes(one.print)}
+                    if checked:
+                        entry["checks"] = planes(one.check)
+                    if around:
+                        entry |= {"near": planes(one.near), "reach": planes(np.stack([one.least, one.most], axis=1))}
+                    out.append(entry)
+                yield _batch(out, _DEALT)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def close() -> pa.RecordBatch:
             """Sorts one bucket."""
-            values = [from_planes(r["prints"], np.uint64) for r in held]
-            order, tied = ties(np.concatenate(values))
-            flag = np.zeros(len(order), bool)
-            flag[order] = tied
-            ends = np.cumsum([len(v) for v in values])
-            out = [{"slab": r["slab"], "places": steps(from_steps(r["places"])[flag[e - len(v) : e]])} for r, v, e in zip(held, values, ends, strict=True)]
-            return pa.RecordBatch.from_pylist([r for r in out if r["places"]], schema=pa.schema([f for f in _ENTRY_TYPES if f.name not in ("bucket", "prints")]))
+            each = [from_planes(r["prints"], np.uint64) for r in held]
+            none = np.zeros((sum(map(len, each)), 0), np.uint8)
+            reach = np.concatenate([from_planes(r["reach"], np.int8, 2) for r in held]) if around else np.zeros((len(none), 2), np.int8)
+            made = Suffixes(np.concatenate(each), np.concatenate([from_planes(r["checks"], np.uint64) for r in held]) if checked else np.zeros(0, np.uint64), np.concatenate([from_planes(r["near"], np.uint8, 2 * around) for r in held]) if around else none, reach[:, 0], reach[:, 1])
+            order = made.by_rank()
+            tied = np.zeros(len(order), np.uint16)
+            tied[order] = shift_ties(made.take(order), around)
+            ends, out = np.cumsum([len(v) for v in each]), []
+            for r, e, n in zip(held, ends, map(len, each), strict=True):
+                own = tied[e - n : e]
+                if own.any():
+                    out.append({"slab": r["slab"], "places": steps(from_steps(r["places"])[own > 0]), "shifts": planes(own[own > 0])})
+            return _batch(out, _TIED)
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] < 0:
-                    yield pa.RecordBatch.from_pylist([{k: row[k] for k in row if k not in ("bucket", "prints")}], schema=pa.schema([f for f in _ENTRY_TYPES if f.name not in ("bucket", "prints")]))
+                    yield _batch([{k: row[k] for k in _TIED}], _TIED)
                     continue
                 if held and held[0]["bucket"] != row["bucket"]:
                     yield close()
@@ -197,32 +363,41 @@ def tied_places(rows: DataFrame, length: int, buckets: int, chosen) -> DataFrame
         if held:
             yield close()
 
-    dealt = in_arrow(rows, deal, _ENTRIES)
-    key = F.when(F.col("bucket") < 0, F.col("slab")).otherwise(F.col("bucket").cast("long"))
-    sorted_buckets = dealt.repartition(max(1, buckets // 4), key).sortWithinPartitions("bucket").mapInArrow(freed(settle), _TIED)
-    settled = stash(sorted_buckets, "ties")
-
-    # the slab's own row says where its texts begin; places of a slab come together there
-    meta = settled.where("ids is not null").select("slab", "ids", "hashes", "starts", "bases")
-    places = settled.groupBy("slab").agg(F.collect_list("places").alias("places"))
+    def to_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a slab come one after the other, the slab's own row, which says where its texts begin, among them."""
+        held: list[dict] = []
 
-    def to_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        def close() -> pa.RecordBatch:
+            own = next(r for r in held if r["ids"] is not None)
+            found = [(from_steps(r["places"]), from_planes(r["shifts"], np.uint16)) for r in held if r["places"]]
             out = []
-            for row in batch.itertuples(index=False):
-                at = np.unique(np.concatenate([from_steps(p) for p in row.places]))
-                if not len(at):
-                    continue
-                starts, bases = np.asarray(row.starts), np.asarray(row.bases)
+            if found:
+                place, bits = np.concatenate([p for p, _ in found]).astype(np.int64), np.concatenate([b for _, b in found])
+                at = np.unique(np.concatenate([place[bits >> d & 1 > 0] - d for d in range(around + 1)]))
+                starts, bases = np.asarray(own["starts"]), np.asarray(own["bases"])
                 piece = np.searchsorted(starts, at, "right") - 1
                 cuts = np.flatnonzero(np.diff(piece)) + 1
-                for part, own in zip(np.split(at, cuts), piece[np.concatenate([[0], cuts])], strict=True):
-                    out.append((row.ids[own], row.hashes[own], runs(part - starts[own] + bases[own]).tobytes()))
-            made = pd.DataFrame(out, columns=["id", "hash", "runs"])
-            made["id"] = pd.array([None if x is None or x != x else int(x) for x in made["id"]], dtype="Int64")
-            yield made
+                for part, k in zip(np.split(at, cuts), piece[np.concatenate([[0], cuts])], strict=True):
+                    out.append({"id": own["ids"][k], "hash": own["hashes"][k], "runs": runs(part - starts[k] + bases[k]).tobytes()})
+            return _batch(out, _RUNS)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["slab"] != row["slab"]:
+                    yield close()
+                    held = []
+                held.append(row)
+        if held:
+            yield close()
 
-    return meta.join(places, "slab").mapInPandas(freed(to_texts), "id long, hash long, runs binary")
+    key = F.when(F.col("bucket") < 0, F.col("slab")).otherwise(F.col("bucket").cast("long"))
+    dealt = in_arrow(rows, deal, _spark(_DEALT)).repartition(tasks, key).sortWithinPartitions("bucket")
+    settled = stash(dealt.mapInArrow(freed(settle), _spark(_TIED)), "ties")
+    by_slab = settled.repartition(tasks, "slab").sortWithinPartitions("slab")
+    found = stash(by_slab.mapInArrow(freed(to_texts), _spark(_RUNS)).groupBy("id", "hash").agg(F.collect_list("runs").alias("runs")), "runs")
+    unstash(settled)
+    release(rows.sparkSession)
+    return found
 
 
 def runs(places: np.ndarray) -> np.ndarray:
@@ -231,32 +406,45 @@ def runs(places: np.ndarray) -> np.ndarray:
     return np.stack([places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])]], axis=1).astype(np.int64).ravel()
 
 
-def _sampled(batch: pa.RecordBatch, pieces: list, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Cover-sample places with SAMPLE bytes left. A piece after the first begins LENGTH - 1 bytes before what is new in it."""
-    out = []
-    for (_, base, _), start, size in zip(pieces, starts, sizes, strict=True):
-        if size >= LENGTH:
-            out.append(start + np.flatnonzero(IN_COVER[(base + np.arange(size - SAMPLE + 1)) % PERIOD]))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+def sampled(symbols: Symbols):
+    """Chooses the sparse cover's places whose strings lie in the text."""
+    length = symbols.length - symbols.sparse.period + 1
 
+    def choose(batch: pa.RecordBatch, pieces: list, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = []
+        for (_, base, _), start, size in zip(pieces, starts, sizes, strict=True):
+            if size >= symbols.length:
+                out.append(start + np.flatnonzero(symbols.sparse.holds[(base + np.arange(size - length + 1)) % symbols.sparse.period]))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    return choose
 
-def _holding_ties(batch: pa.RecordBatch, pieces: list, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Places whose LENGTH bytes hold a tied sample."""
-    lists = batch.column(3).to_pylist()
-    out = []
-    for (row, base, _), start, size in zip(pieces, starts, sizes, strict=True):
-        if size < LENGTH:
-            continue
-        cover = np.zeros(size + 1, np.int32)
-        for flat in lists[row]:
-            spans = np.frombuffer(flat, np.int64).reshape(-1, 2)
-            first, last = np.clip(spans[:, 0] - PERIOD + 1 - base, 0, size), np.clip(spans[:, 1] - base, -1, size - 1)
-            some = first <= last
-            np.add.at(cover, first[some], 1)
-            np.add.at(cover, last[some] + 1, -1)
-        held = np.cumsum(cover[: size - LENGTH + 1]) > 0
-        out.append(start + np.flatnonzero(held))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+def holding_ties(symbols: Symbols):
+    """Chooses the places, of the dense cover if there is one, that suffixes lead to which hold a tied sample."""
+    around = symbols.around
+
+    def choose(batch: pa.RecordBatch, pieces: list, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        lists = batch.column(3).to_pylist()
+        out = []
+        for (row, base, _), start, size in zip(pieces, starts, sizes, strict=True):
+            if size < symbols.length:
+                continue
+            cover = np.zeros(size + around + 2, np.int32)
+            for flat in lists[row]:
+                spans = np.frombuffer(flat, np.int64).reshape(-1, 2)
+                first = np.clip(spans[:, 0] - symbols.sparse.period + 1 - base, 0, size)
+                last = np.clip(spans[:, 1] - base, -1, size - symbols.length)
+                some = first <= last
+                np.add.at(cover, first[some], 1)
+                np.add.at(cover, last[some] + around + 1, -1)
+            led = np.cumsum(cover[: size - symbols.length + around + 1]) > 0
+            if symbols.dense:
+                led &= symbols.dense.holds[(base + np.arange(len(led))) % symbols.dense.period]
+            out.append(start + np.flatnonzero(led))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    return choose
 
 
 # ---- over tables ------------------------------------------------------------------------------------------------------------
@@ -274,7 +462,7 @@ def parted_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     are held to be equal by two 64-bit hashes and their length.
     """
     keys = {"check": F.xxhash64(F.lit(1), "text"), "n_bytes": F.octet_length("text").cast("long")}
-    prints = rows.select("id", "hash", *[c.alias(n) for n, c in keys.items()]).where(F.col("n_bytes") >= LENGTH)
+    prints = rows.select("id", "hash", *[c.alias(n) for n, c in keys.items()]).where(F.col("n_bytes") >= SHORTEST)
     repeated = stash(prints.groupBy("hash", *keys).agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
     bitmap = marks(repeated.select(F.col("hash").alias("id")))
     maybe = _filtered(rows, bitmap, True).withColumns(keys).join(repeated.withColumn("again", F.lit(True)), ["hash", *keys], "left")
@@ -285,17 +473,17 @@ def parted_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return alone.unionByName(once), held, alone
 
 
-def repeated_runs(rows: DataFrame, partitions: int) -> DataFrame:
-    """id, hash, runs: for texts with any, the runs of places whose LENGTH bytes also start elsewhere (lists of [first, last]). rows: id, hash, text."""
-    buckets = 1 << max(4, (4 * partitions - 1).bit_length())
-    sampled = stash(tied_places(rows, SAMPLE, buckets, _sampled).groupBy("id", "hash").agg(F.collect_list("runs").alias("runs")), "sample")
-    release(rows.sparkSession)
-    bitmap = marks(sampled.select(F.col("hash").alias("id")).distinct())
+SHORTEST = 2 * PASSAGE - 1  # bytes of a text that can be removed or share a passage
+
+
+def repeated_runs(rows: DataFrame, symbols: Symbols, tasks: int) -> DataFrame:
+    """id, hash, runs: for texts with any, the runs of places whose full strings also start elsewhere (lists of [first, last]). rows: id, hash, text."""
+    sample = tied_places(rows, symbols, True, tasks, sampled(symbols))
+    bitmap = marks(sample.select(F.col("hash").alias("id")).distinct())
     held = _filtered(rows, bitmap, True)
-    joined = held.join(sampled.withColumnRenamed("id", "__id").withColumnRenamed("hash", "__hash"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).select("id", "hash", "text", "runs")
-    found = stash(tied_places(joined, LENGTH, buckets, _holding_ties).groupBy("id", "hash").agg(F.collect_list("runs").alias("runs")), "repeats")
-    unstash(sampled)
-    release(rows.sparkSession)
+    joined = held.join(sample.withColumnRenamed("id", "other_id").withColumnRenamed("hash", "other"), F.col("id").eqNullSafe(F.col("other_id")) & (F.col("hash") == F.col("other"))).select("id", "hash", "text", "runs")
+    found = tied_places(joined, symbols, False, tasks, holding_ties(symbols))
+    unstash(sample)
     return found
 
 
@@ -323,15 +511,21 @@ def removal_spans(lists: list[bytes]) -> np.ndarray:
     return np.stack([spans[new, 0], ends[last]], axis=1)
 
 
-def repeats_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    texts, held, alone = parted_copies(_keyed(documents, id_col, text_col))
-    found = repeated_runs(texts, documents.rdd.getNumPartitions())
+def repeats_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Symbols, Symbols] = (BYTES, WORDS)) -> DataFrame:
+    """One row per input row: <id_col>, n_bytes, n_removed, n_spans, kept_sha256, shares_passage."""
+    keyed = _keyed(documents, id_col, text_col)
+    tasks = 1 + int(keyed.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]) // TASK_BYTES
+    texts, held, alone = parted_copies(keyed)
+    gone, shared = (repeated_runs(texts, kind, tasks) for kind in kinds)
+    both = gone.withColumn("shares", F.lit(False)).unionByName(shared.select("id", "hash", F.array().cast("array<binary>").alias("runs"), F.lit(True).alias("shares")))
+    found = stash(both.groupBy("id", "hash").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.max("shares").alias("shares")), "repeats")
+    unstash(gone, shared)
     copies = held.where("again")
     # a row that stood for its copies took part for the others' sake; its own result is theirs
     rows = alone.unionByName(held.where("again is null").select("id", "hash", "text"))
     bitmap = marks(found.select(F.col("hash").alias("id")).distinct())
-    keyed = found.withColumnRenamed("id", "__id").withColumnRenamed("hash", "__hash")
-    touched = _filtered(rows, bitmap, True).join(keyed, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left").select("id", "text", "runs")
+    named = found.withColumnRenamed("id", "other_id").withColumnRenamed("hash", "other")
+    touched = _filtered(rows, bitmap, True).join(named, F.col("id").eqNullSafe(F.col("other_id")) & (F.col("hash") == F.col("other")), "left").select("id", "text", "runs", F.coalesce("shares", F.lit(False)).alias("shares_passage"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,10 +542,13 @@ def repeats_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                 out.append((len(own), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), kept.hexdigest()))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    whole = _filtered(rows, bitmap, False).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    n_bytes = F.octet_length("text").cast("long")
-    removed = copies.select("id", n_bytes.alias("n_bytes"), n_bytes.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
-    return in_arrow(touched, cut, schema).unionByName(whole).unionByName(removed).withColumnRenamed("id", id_col)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)], batch.column(3)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage"])
+
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean"
+    n_bytes, none = F.octet_length("text").cast("long"), F.lit(0).cast("long")
+    is_whole = _filtered(rows, bitmap, False).select("id", n_bytes.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.lit(False).alias("shares_passage"))
+    long_enough = n_bytes >= LENGTH
+    kept_text = F.when(long_enough, F.lit("")).otherwise(F.col("text")).cast("binary")
+    has_passage = F.col("text").rlike(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){%d}" % PASSAGE)
+    removed = copies.select("id", n_bytes.alias("n_bytes"), F.when(long_enough, n_bytes).otherwise(none).alias("n_removed"), long_enough.cast("long").alias("n_spans"), F.sha2(kept_text, 256).alias("kept_sha256"), has_passage.alias("shares_passage"))
+    return in_arrow(touched, cut, schema).unionByName(is_whole).unionByName(removed).withColumnRenamed("id", id_col)
