@@ -57,6 +57,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def numbered(documents: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """documents with their columns called c0, c1 and so on, so that none clashes with a name inside an operator, and what `names` are called there.
+
+    The operator's last step is ``toDF(*documents.columns)``.
+    """
+    return documents.toDF(*[f"c{k}" for k in range(len(documents.columns))]), [f"c{documents.columns.index(n)}" for n in names]
+
+
 def text_of(column: str | Column) -> Column:
     """A text with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")

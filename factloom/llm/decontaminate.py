@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freed, sha256_of
+from .common import freed, numbered, sha256_of
 from .words import byte_column, slabs, word_hashes, word_spans
 
 WINDOW = 13
@@ -306,4 +306,5 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, id_col: str
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """documents without those that are contaminated; the others as they are."""
-    return with_hits(documents, benchmark, text_col).where(~contaminated()).drop(_WORDS, _SPANS, _ITEMS)
+    rows, (text,) = numbered(documents, text_col)
+    return with_hits(rows, benchmark, text).where(~contaminated()).drop(_WORDS, _SPANS, _ITEMS).toDF(*documents.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, stash, unstash
+from .common import in_arrow, numbered, stash, unstash
 from .words import byte_column, mix, slabs, word_hashes, word_spans
 
 SHINGLE = 5
@@ -256,11 +256,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 def without_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = STAGE_THRESHOLD) -> DataFrame:
     """One document of each group: the one whose id is the group's; of rows with an equal id, one. Rows with a null id stay."""
-    found = near_duplicates(documents, id_col, text_col, threshold).select(F.col(id_col).alias("__id"), "kept")
-    verdicts = stash(found.where("__id is not null").groupBy("__id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdicts")
-    gone = verdicts.where("not kept").select("__id")
+    rows, (key, text) = numbered(documents, id_col, text_col)
+    found = near_duplicates(rows, key, text, threshold).select(F.col(key).alias("id"), "kept")
+    verdicts = stash(found.where("id is not null").groupBy("id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdicts")
+    gone = verdicts.where("not kept").select("id")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = documents.join(F.broadcast(gone) if few else gone.hint("merge"), F.col(id_col) == F.col("__id"), "left_anti")
+    kept = rows.join(F.broadcast(gone) if few else gone.hint("merge"), F.col(key) == F.col("id"), "left_anti")
     if verdicts.where("n > 1").limit(1).count():
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
-    return kept
+        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    return kept.toDF(*documents.columns)

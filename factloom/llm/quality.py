@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, in_arrow
+from .common import freed, in_arrow, numbered
 from .words import byte_column
 
 CHUNK, HOP = 512, 448
@@ -184,7 +184,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def with_score(documents: DataFrame, net: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """documents with score: the probability of label 1."""
+    """documents with score: the probability of label 1. documents have no column of that name."""
     at = documents.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,4 +238,5 @@ def quality_report(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
 def quality_filtered(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents that the classifier does not reject."""
     net = train(documents, labels, id_col, text_col)
-    return with_score(documents, net, text_col, "__score").where(F.col("__score") >= REJECT_BELOW).drop("__score")
+    rows, (text,) = numbered(documents, text_col)
+    return with_score(rows, net, text).where(F.col("score") >= REJECT_BELOW).drop("score").toDF(*documents.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sha256_of, stash, text_of, unstash
+from .common import numbered, sha256_of, stash, text_of, unstash
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # as AKIA[A-Z0-9]+ with at least 20 characters: a run that is too short holds no longer one
@@ -35,6 +35,7 @@ COMPLEMENT = {"secret": ["ident"], "ident": ["secret"], "endpoint": ["ident", "s
 BASE = ("assign", "access", "hex")
 REACH = 400
 BROADCAST_ROWS = 50_000
+BLOCK = 1024
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -111,27 +112,40 @@ def redact_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     A text without a span is handed on as it is. What to keep of a text is worked out on places alone; it comes back to the
     texts by a broadcast if it is small, counted before, and else by a merge join.
     """
-    rows, parts = find_parts(documents, id_col, text_col)
+    inner, (key, own) = numbered(documents, id_col, text_col)
+    rows, parts = find_parts(inner, key, own)
     before = W.partitionBy("rid").orderBy("start", "end")
     seen = _reported(parts, reach).withColumn("prev", F.coalesce(F.max("end").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     first = F.row_number().over(before) == 1
     cuts = seen.withColumn("cut", first | (F.col("start") > F.col("prev"))).groupBy("rid").agg(
         F.array_sort(F.collect_list(F.when(F.col("cut"), F.struct(F.col("prev").alias("a"), F.col("start").alias("b"))))).alias("keep"), F.max("end").alias("tail")
     )
-    keyed = cuts.join(rows, "rid").select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.struct("keep", "tail").alias("__cuts"))
-    found = stash(keyed.groupBy("__id", "__print").agg(F.min("__cuts").alias("__cuts")), "redactions")
+    keyed = cuts.join(rows, "rid").select("id", "print", F.struct("keep", "tail").alias("cuts"))
+    found = stash(keyed.groupBy("id", "print").agg(F.min("cuts").alias("cuts")), "redactions")
     unstash(rows)
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__print"))
-    joined = documents.join(F.broadcast(found) if few else found.hint("merge"), same, "left")
-    letters = F.split(text_of(text_col), "")
-    piece = lambda a, n: F.array_join(F.slice(letters, (a + 1).cast("int"), n.cast("int")), "")
-    pieces = F.concat(F.transform("__cuts.keep", lambda k: piece(k["a"], k["b"] - k["a"])), F.array(piece(F.col("__cuts.tail"), F.length(text_col))))
-    new = F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, mask))
-    out = joined.withColumn(text_col, new)
+    same = F.col(key).eqNullSafe(F.col("id")) & (F.xxhash64(text_of(own)) == F.col("print"))
+    joined = inner.join(F.broadcast(found) if few else found.hint("merge"), same, "left")
+    out = joined.withColumn(own, F.when(F.col("cuts").isNull(), F.col(own)).otherwise(_cut_out(F.col(own), F.col("cuts"), mask)))
     if size_col in documents.columns:
-        out = out.withColumn(size_col, F.when(F.col("__cuts").isNull(), F.col(size_col)).otherwise(F.length(text_col).cast(documents.schema[size_col].dataType)))
-    return out.select(*documents.columns)
+        size = f"c{documents.columns.index(size_col)}"
+        out = out.withColumn(size, F.when(F.col("cuts").isNull(), F.col(size)).otherwise(F.length(own).cast(documents.schema[size_col].dataType)))
+    return out.select(*inner.columns).toDF(*documents.columns)
+
+
+def _cut_out(text: Column, cuts: Column, mask: str) -> Column:
+    """What cuts keep of text, with mask between. The text is cut into blocks once, and a piece opens only the blocks that it lies in."""
+    blocks = F.array(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0)))
+
+    def piece(held: Column, a: Column, n: Column) -> Column:
+        block = F.floor(a / BLOCK)
+        return F.substring(F.array_join(F.slice(held, (block + 1).cast("int"), (F.floor((a + n) / BLOCK) - block + 1).cast("int")), ""), (a - block * BLOCK + 1).cast("int"), n.cast("int"))
+
+    def kept(held: Column) -> Column:
+        pieces = F.transform(cuts["keep"], lambda k: piece(held, k["a"], k["b"] - k["a"]))
+        return F.array_join(F.concat(pieces, F.array(piece(held, cuts["tail"], F.length(text) - cuts["tail"]))), mask)
+
+    return F.transform(blocks, kept)[0]
 
 
 def _joined(spans: Column) -> Column:

@@ -129,8 +129,8 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
 # ---- reading ----------------------------------------------------------------------------------------------------------------
 
 
-def archive_ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """file, size, first, last: byte ranges over the archives of a folder. Only names and sizes pass the driver."""
+def archive_ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, int]:
+    """(file, size, first, last: byte ranges over the archives of a folder; how many tasks they are dealt to). Only names and sizes pass the driver."""
     from pyarrow import fs
 
     place, root = filesystem(folder)
@@ -138,7 +138,7 @@ def archive_ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BY
     listed = spark.createDataFrame(sorted(files), "file string, size long")
     ranges = listed.where("size > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))))
     tasks = max(1, min(sum(-(-n // range_bytes) for _, n in files), 10_000))
-    return ranges.withColumn("last", F.least(F.col("first") + range_bytes, "size")).repartition(tasks, "file", "first")
+    return ranges.withColumn("last", F.least(F.col("first") + range_bytes, "size")).repartition(tasks, "file", "first"), tasks
 
 
 def candidates(ranges: DataFrame, folder: str) -> DataFrame:
@@ -169,7 +169,10 @@ def candidates(ranges: DataFrame, folder: str) -> DataFrame:
 
 
 def reachable(links: DataFrame) -> DataFrame:
-    """file, at of the places that the chain from place 0 of each file comes to. links: file, at, next."""
+    """file, at of the places that the chain from place 0 of each file comes to. links: file, at, next.
+
+    Both sides of each join have a row a record, so neither is ever broadcast.
+    """
     known = stash(links.select("file", "at", F.col("next").alias("jump"), (F.col("at") == 0).alias("seen")), "chain")
     before = -1
     while True:
@@ -177,16 +180,16 @@ def reachable(links: DataFrame) -> DataFrame:
         if seen == before:
             return known.where("seen").select("file", "at")
         before = seen
-        ahead = known.select("file", F.col("at").alias("jump"), F.col("jump").alias("beyond"))
-        arrived = known.where("seen").select("file", F.col("jump").alias("at")).distinct().withColumn("arrived", F.lit(True))
+        ahead = known.select("file", F.col("at").alias("jump"), F.col("jump").alias("beyond")).hint("merge")
+        arrived = known.where("seen").select("file", F.col("jump").alias("at")).distinct().withColumn("arrived", F.lit(True)).hint("merge")
         moved = known.join(ahead, ["file", "jump"], "left").select("file", "at", F.coalesce("beyond", F.lit(-1).cast("long")).alias("jump"), "seen")
         step = stash(moved.join(arrived, ["file", "at"], "left").select("file", "at", "jump", (F.col("seen") | F.col("arrived").isNotNull()).alias("seen")), "chain")
         unstash(known)
         known = step
 
 
-def read_records(places: DataFrame, folder: str) -> DataFrame:
-    """The page records at places (file, at), each read by its own offset."""
+def read_records(places: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """The page records at places (file, at), each read by its own offset, in `tasks` tasks: places alone are too small a table for Spark to tell how many."""
 
     def page(value: str | None) -> int | None:
         number = (value or "").removeprefix("<urn:page:").removesuffix(">")
@@ -216,7 +219,7 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
                         rows.append({"page_id": page(fields["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page(fields.get("warc-refers-to"))})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    together = places.repartition("file", F.floor(F.col("at") / RANGE_BYTES))  # neighbours in a file are read by one task
+    together = places.repartition(tasks, "file", F.floor(F.col("at") / RANGE_BYTES))  # neighbours in a file are read by one task
     return together.mapInArrow(read, RECORDS)
 
 
@@ -224,7 +227,7 @@ def record_places(ranges: DataFrame, folder: str) -> DataFrame:
     """file, at of all records, of archives whose chains end where the files end."""
     links = stash(candidates(ranges, folder), "links")
     places = reachable(links)
-    ends = links.join(places.groupBy("file").agg(F.max("at").alias("at")), ["file", "at"]).select("file", F.col("next").alias("end"))
+    ends = links.join(places.groupBy("file").agg(F.max("at").alias("at")).hint("merge"), ["file", "at"]).select("file", F.col("next").alias("end"))
     broken = ranges.select("file", "size").distinct().join(ends, "file", "left").where("end IS NULL OR end <> size").first()
     if broken:
         raise ValueError(f"{broken['file']}: the chain of records ends at {broken['end']}, the file at {broken['size']}")
@@ -233,15 +236,16 @@ def record_places(ranges: DataFrame, folder: str) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    return read_records(record_places(archive_ranges(spark, folder, range_bytes), folder), folder)
+    ranges, tasks = archive_ranges(spark, folder, range_bytes)
+    return read_records(record_places(ranges, folder), folder, tasks)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or fresh_path(pages.sparkSession, "warc")
     written = write_warc(with_references(pages), folder)
-    ranges = archive_ranges(pages.sparkSession, folder)
+    ranges, tasks = archive_ranges(pages.sparkSession, folder)
     places = record_places(ranges, folder)
     found = places.where("at > 0").count()  # at 0 is the archive's own record
     if found != written:
         raise ValueError(f"{folder}: {written} records were written, {found} are found")
-    return read_records(places, folder)
+    return read_records(places, folder, tasks)

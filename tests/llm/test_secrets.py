@@ -72,6 +72,7 @@ def test_empty_table_repeated_rows_and_null_ids(docs):
 def test_redaction_takes_out_the_spans_and_nothing_else(docs, monkeypatch, most):
     monkeypatch.setattr(secrets, "BROADCAST_ROWS", most)
     texts = TEXTS + ["deadbeefdeadbeefdeadbeefapi_key=12345678 é😀 token=abcdef", "client_id = acme7 and Zm9vYmFyMTIzNDU2Nzg5MHh5", "token=abcdef", "token=abcdef"]
+    texts += ["é😀\n" * 400 + " token=abcdefgh " + "y" * 1024 + " secret: zzzzzzzz" + "w " * 700, "password=" + "Q1" * 1500 + " end", "x" * 1011 + " token=abcdef", "x" * 1024 + " token=abcdef "]
     table = docs(texts, [None if n % 5 == 4 else n for n in range(len(texts))])
     spans = scan_secrets(docs(texts)).collect()
     want = []

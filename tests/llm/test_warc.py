@@ -41,7 +41,7 @@ def test_round_trip_equals_brute_force(spark, tmp_path, range_bytes):
 def test_magic_inside_payloads_is_found_and_rejected(spark, tmp_path):
     folder = f"file://{tmp_path}/f"
     warc.write_warc(warc.with_references(pages(spark, ROWS)), folder)
-    links = warc.candidates(warc.archive_ranges(spark, folder), folder)
+    links = warc.candidates(warc.archive_ranges(spark, folder)[0], folder)
     files = links.select("file").distinct().count()
     assert links.count() == len(ROWS) + files + 41 and warc.reachable(links).count() == len(ROWS) + files
 
