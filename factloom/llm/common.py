@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 
 BATCH_BYTES = 4 << 20
+LEAST_FILES, ROWS_A_FILE = 8, 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +36,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
+def stash(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back. rows: about how many, if known, so that few rows make few files."""
     path = fresh_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, rows // ROWS_A_FILE))
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stash_path = path

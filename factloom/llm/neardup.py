@@ -33,6 +33,7 @@ BANDS = 40  # each of the minima and maxima of PERMUTATIONS / BANDS permutations
 SMALL_GROUP = 8
 MARK_BITS = 1 << 28
 BROADCAST_IDS = 200_000
+ROWS_A_SET = 2000
 
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[0x20, *range(0x09, 0x0E)]] = False
@@ -125,8 +126,17 @@ def marks(ids: DataFrame, most_bits: int = MARK_BITS) -> np.ndarray:
     return np.packbits(out[:bits])
 
 
-def full_sets(documents: DataFrame, id_col: str, text_col: str, marked: np.ndarray) -> DataFrame:
-    """id, shingles (sorted distinct hashes) of the rows whose id is marked, where they are read: no text is shuffled."""
+def full_sets(documents: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """id, shingles (sorted distinct hashes) of the rows with a wanted id (and of a few others), where they are read: no text is shuffled.
+
+    More wanted ids than a bitmap of MARK_BITS can tell apart are joined instead.
+    """
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    if 4 * wanted.count() > MARK_BITS:
+        rows = rows.join(wanted.hint("merge"), "id", "left_semi")
+        marked = np.full(1, 255, np.uint8)
+    else:
+        marked = marks(wanted)
     bits = 8 * len(marked)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,22 +149,33 @@ def full_sets(documents: DataFrame, id_col: str, text_col: str, marked: np.ndarr
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], ["id", "shingles"])
 
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     return in_arrow(rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(bits))), build, "id long, shingles array<long>")
 
 
+def with_sets(rows: DataFrame, sets: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """rows with the set of `key`, called `name`. Rows of a key with many are dealt by `other` to as many tasks as it takes, each with a copy of the set.
+
+    Rows are ids alone, so that Spark, which goes by bytes, would not see which partition a set makes large.
+    """
+    parts = rows.groupBy(F.col(key).alias("id")).agg(F.floor(F.count(F.lit(1)) / ROWS_A_SET).alias("parts")).where("parts > 0")
+    own = sets.join(parts, "id", "left").select(F.col("id").alias(key), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(0).cast("long")))).alias("part"), F.col("shingles").alias(name))
+    dealt = rows.join(parts.withColumnRenamed("id", key), key, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(0).cast("long")) + 1)).drop("parts")
+    return dealt.join(own, [key, "part"]).drop("part")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    held = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("either"))
+    held = with_sets(pairs, sets, "a", "b", "sa").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("either"))
     return held.where(100 * F.col("both") >= threshold * F.col("either")).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) for every node of edges (a, b): hooking to smaller labels and pointer jumping."""
-    both = stash(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "edges")
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    n = 2 * edges.count()
+    both = stash(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "edges", n)
+    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels", n)
     while True:
         least = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         seen = labels.join(least, "node")
@@ -162,7 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = told.groupBy("node").agg(F.min("m").alias("h"))
         roots = hooked.select(F.col("node").alias("h"), F.col("h").alias("root"))
         moved = hooked.join(roots, "h").select("node", F.least("h", "root").alias("comp"))
-        next_labels = stash(moved, "labels")
+        next_labels = stash(moved, "labels", n)
         changed = next_labels.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()
         unstash(labels)
         labels = next_labels
@@ -210,9 +231,9 @@ def missing_links(groups: DataFrame, links: DataFrame, comps: DataFrame, sets: D
     pairs = few.join(other, "pivot").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("cb")) & comparable("n", "nb", threshold)).select(F.col("node").alias("a"), "b")
 
     many = left.where(F.col("size") > SMALL_GROUP)
-    own, base = sets.select(F.col("id").alias("node"), F.col("shingles").alias("s")), sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p"))
+    own = sets.select(F.col("id").alias("node"), F.col("shingles").alias("s"))
     differ = F.concat(F.array_except("s", "p"), F.array_except("p", "s"))
-    diffs = stash(many.join(own, "node").join(base, "pivot").select("pivot", "pn", "node", "n", "comp", "linked", differ.alias("d")), "differences")
+    diffs = stash(with_sets(many, sets, "pivot", "node", "p").join(own, "node").select("pivot", "pn", "node", "n", "comp", "linked", differ.alias("d")), "differences")
     each = diffs.select("pivot", "node", F.explode("d").alias("e"))
     common = each.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # an element of one node is no candidate's
     ranked = each.join(common, ["pivot", "e"], "left").groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("order"))
@@ -239,7 +260,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     together = groups.join(groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot").where((F.col("size") > 1) | comparable("n", "pn", threshold))
     wanted = together.select(F.col("node").alias("id")).union(together.select("pivot")).distinct()
-    sets = stash(full_sets(documents, id_col, text_col, marks(wanted)), "sets")
+    sets = stash(full_sets(documents, id_col, text_col, wanted), "sets")
 
     stars = groups.where(comparable("n", "pn", threshold)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = stash(confirmed(stars, sets, threshold), "links")
