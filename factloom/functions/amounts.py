@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, first_or_null, text, trimmed
+from .text import WS, first_or_null, let, text, trimmed
 from .vocabulary import CONCEPT_ALIASES
 
 #: What an amount in a unit is multiplied by.
@@ -17,32 +17,36 @@ def parsed_number(value: Column) -> Column:
 
     Only digits, dots and hyphens count, and of those the longest number they begin with: "1.2.3" is 1.2, "12-3" is 12.
     """
-    t = trimmed(text(value))
-    negative = t.startswith("(") & t.endswith(")")
+
+    def signed(t: Column) -> Column:
+        negative = t.startswith("(") & t.endswith(")")
+        return F.when(t != "-", let(_leading_number(t), lambda n: F.when(negative, -n).otherwise(n) + F.lit(0.0)))  # adding zero turns -0 into 0
+
+    return F.when(value.isNotNull(), let(trimmed(text(value)), signed))
+
+
+def _leading_number(t: Column) -> Column:
     digits = F.regexp_replace(t, r"[^0-9.-]", "")
-    number = F.when(digits.contains("."), F.regexp_extract(digits, r"^-?(?:\d+\.?\d*|\.\d+)", 0)).otherwise(F.regexp_extract(digits, r"^-?\d+", 0))
-    plain = first_or_null(number).try_cast("double")
-    # adding zero turns -0 into 0
-    return F.when(value.isNotNull() & (t != "-"), F.when(negative, -plain).otherwise(plain) + F.lit(0.0))
+    found = let(digits, lambda d: F.when(d.contains("."), F.regexp_extract(d, r"^-?(?:\d+\.?\d*|\.\d+)", 0)).otherwise(F.regexp_extract(d, r"^-?\d+", 0)))
+    return let(found, lambda n: first_or_null(n).try_cast("double"))
 
 
 def amount(value: Column, unit: Column, scale: Column | None = None) -> Column:
     """The number times the unit's factor; for a unit without one, times the scale."""
-    factor = F.when(unit == "KRW", F.lit(float(UNIT_FACTORS["KRW"])))
-    for name, times in UNIT_FACTORS.items():
-        factor = factor.when(unit == name, F.lit(float(times)))
+    factors = F.create_map(*[F.lit(x) for name, times in UNIT_FACTORS.items() for x in (name, float(times))])
+    factor = F.when(unit.isNotNull(), F.try_element_at(factors, unit))
     return parsed_number(value) * F.coalesce(factor, F.lit(1.0) if scale is None else scale.cast("double"), F.lit(1.0))
 
 
 def unit_label(value: Column) -> Column:
     """A unit's Korean name; the order of the cases is part of the result ("hundred_million_KRW" is 백만원)."""
-    t = trimmed(F.coalesce(value, F.lit("KRW")))
-    return (
-        F.when(t.rlike(rf"(?i)thousand|천{WS}*원"), "천원")
+    return let(
+        trimmed(F.coalesce(value, F.lit("KRW"))),
+        lambda t: F.when(t.rlike(rf"(?i)thousand|천{WS}*원"), "천원")
         .when(t.rlike(rf"(?i)million|백{WS}*만{WS}*원"), "백만원")
         .when(t.rlike(rf"(?i)hundred{WS}*million|억{WS}*원"), "억원")
         .when(t.rlike("(?i)won|원|krw"), "KRW")
-        .otherwise(F.coalesce(first_or_null(t), F.lit("KRW")))
+        .otherwise(F.coalesce(first_or_null(t), F.lit("KRW"))),
     )
 
 
@@ -59,9 +63,12 @@ def _alias_key(label: Column) -> Column:
 
 def concept(label: Column) -> Column:
     """The concept whose alias, the longest that the label holds, names it; else the label itself, 80 characters at most."""
-    key = _alias_key(unescaped(label))
-    (alias, name), *shorter = sorted(CONCEPT_ALIASES, key=lambda pair: -len(pair[0]))
-    named = F.when(key.contains(alias), name)
-    for alias, name in shorter:
-        named = named.when(key.contains(alias), name)
-    return F.coalesce(named, first_or_null(F.left(key, F.lit(80))), F.lit("UnknownConcept"))
+    (longest, its_name), *shorter = sorted(CONCEPT_ALIASES, key=lambda pair: -len(pair[0]))
+
+    def named(key: Column) -> Column:
+        found = F.when(key.contains(longest), its_name)
+        for alias, name in shorter:
+            found = found.when(key.contains(alias), name)
+        return F.coalesce(found, first_or_null(F.left(key, F.lit(80))), F.lit("UnknownConcept"))
+
+    return let(_alias_key(unescaped(label)), named)

@@ -34,13 +34,14 @@ def _notes(raw: Column) -> Column:
 
 
 def parsed(responses: DataFrame) -> DataFrame:
+    """CANDIDATE, unit, columns, rows. A generator's columns are never written out where they are used, so an answer is parsed once."""
     doc = F.from_json(json_text(F.col("response")), "unit string, columns array<string>, rows array<string>")
-    return responses.select(*CANDIDATE, doc.alias("doc"))
+    return responses.select(*CANDIDATE, F.inline_outer(F.array(doc)))
 
 
 def structure_rows(responses: DataFrame) -> DataFrame:
     """CANDIDATE, row_pos, unit, order, label, notes, cells (map of column to JSON reference, null if there is none)."""
-    rows = parsed(responses).select(*CANDIDATE, unit_label(F.col("doc.unit")).alias("unit"), F.posexplode("doc.rows").alias("row_pos", "item"))
+    rows = parsed(responses).select(*CANDIDATE, unit_label(F.col("unit")).alias("unit"), F.posexplode("rows").alias("row_pos", "item"))
     get = lambda name: F.get_json_object("item", f"$.{name}")
     return rows.select(*CANDIDATE, "row_pos", "unit", F.coalesce(_number(F.col("item"), "order"), F.lit(0.0)).alias("order"), structure_label(get("label")).alias("label"), _notes(get("notes")).alias("notes"), F.from_json(get("value_cells"), "map<string,string>").alias("cells"))
 
@@ -85,7 +86,7 @@ def structure_warnings(rows: DataFrame, read: DataFrame) -> DataFrame:
 
 def structure_columns(responses: DataFrame, valid: DataFrame) -> DataFrame:
     """CANDIDATE, column_ord, key, column_label: as the response lists them (eight at most), else the rows' keys as first seen; unused ones go."""
-    listed = parsed(responses).select(*CANDIDATE, F.posexplode("doc.columns").alias("pos", "item"))
+    listed = parsed(responses).select(*CANDIDATE, F.posexplode("columns").alias("pos", "item"))
     key = trimmed(text(F.get_json_object("item", "$.key")))
     listed = listed.select(*CANDIDATE, F.struct(F.lit(0).alias("row_pos"), F.struct(F.lit(0).alias("other"), F.col("pos").cast("long").alias("at")).alias("key_ord")).alias("seen"), key.alias("key"), trimmed(F.coalesce(F.get_json_object("item", "$.label"), key)).alias("column_label")).where("key != ''")
     nth = F.row_number().over(W.partitionBy(*CANDIDATE).orderBy("seen"))
@@ -99,8 +100,7 @@ def structure_columns(responses: DataFrame, valid: DataFrame) -> DataFrame:
 def structure_facts(responses: DataFrame, cells: DataFrame, candidates: DataFrame, documents: DataFrame) -> DataFrame:
     """Facts of the rows that read anything, in the order of the rows; the first value that isn't empty counts."""
     rows = structure_rows(responses)
-    # columns, rows and values are all made of these few references; reading the cells once is what costs
-    valid = read_references(references(rows), cells).where("valid").persist()
+    valid = read_references(references(rows), cells).where("valid")  # twice in the plan; its exchanges are reused
     columns = structure_columns(responses, valid)
     read = valid.select(*CANDIDATE, "row_pos", F.col("column_key").alias("key"), "key_ord", "page", "text", "bbox")
     # a row with no valid reference goes; every column of the candidate is then read for each row that stays
@@ -123,8 +123,8 @@ def structure_facts(responses: DataFrame, cells: DataFrame, candidates: DataFram
 def vision_facts(responses: DataFrame, candidates: DataFrame, documents: DataFrame) -> DataFrame:
     """Facts of rows that a model read from page images: rows with a label and any value besides "" and "-"."""
     doc = parsed(responses)
-    columns = F.filter(F.transform(F.coalesce("doc.columns", F.array().cast("array<string>")), lambda c: F.struct(F.get_json_object(c, "$.key").alias("key"), F.get_json_object(c, "$.label").alias("label"))), lambda c: F.coalesce(c.key, F.lit("")) != "")
-    rows = doc.withColumn("columns", columns).select(*CANDIDATE, unit_label(F.col("doc.unit")).alias("unit"), "columns", F.posexplode("doc.rows").alias("row_pos", "item"))
+    columns = F.filter(F.transform(F.coalesce("columns", F.array().cast("array<string>")), lambda c: F.struct(F.get_json_object(c, "$.key").alias("key"), F.get_json_object(c, "$.label").alias("label"))), lambda c: F.coalesce(c.key, F.lit("")) != "")
+    rows = doc.withColumn("columns", columns).select(*CANDIDATE, unit_label(F.col("unit")).alias("unit"), "columns", F.posexplode("rows").alias("row_pos", "item"))
     shown = F.coalesce(F.from_json(F.get_json_object("item", "$.values"), "map<string,string>"), F.create_map().cast("map<string,string>"))
     rows = rows.withColumn("shown", shown).withColumn("label", trimmed(text(F.get_json_object("item", "$.label")))).withColumn("all_values", F.transform("columns", lambda c: F.coalesce(F.try_element_at(F.col("shown"), c.key), F.lit(""))))
     rows = rows.where((F.col("label") != "") & F.exists("all_values", lambda v: ~v.isin("", "-")))
