@@ -3,7 +3,12 @@
 Base spans are entities of four fixed kinds; they are the seeds. Every seed and every unknown identifier-like token stands in
 lexical patterns (the words around it). Spark scores the graph of patterns and instances in rounds: a pattern's confidence for a
 kind is the mean confidence of the distinct instances it stands with, an instance's is the noisy-or over its confident
-patterns. After the last round, unknown tokens in confident patterns are reported as `seen_<kind>`.
+patterns. Confidences only grow from round to round, and rounds go on until those of the confident patterns stand still (to
+SETTLED in all). Then unknown tokens in confident patterns are reported as `seen_<kind>`.
+
+A pattern is confident with LEAST_SEEDS distinct instances and a confidence of LEAST_PATTERN, an instance with LEAST_INSTANCE. An
+unknown token is what stands between spaces, brackets, quotes, commas and semicolons and has a digit, an underscore or an @, of
+any length; a plain word, or an identifier in groups parted by spaces, is never one.
 
 Defined results: a null or empty text has no spans; a null id is carried along; repeated rows give repeated results and count once
 as evidence; ties between kinds go to the first by name; other columns of the input are not read; an empty table gives an
@@ -22,10 +27,11 @@ from pyspark.sql import functions as F
 from .common import sha256_of, stash, text_of, unstash
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2
 LEAST_SEEDS = 3  # distinct instances behind a pattern
 LEAST_PATTERN = 0.6
 LEAST_INSTANCE = 0.7
+SETTLED = 1e-6
+BROADCAST_ROWS = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,7 +39,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a match can't b
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_UNKNOWN = re.compile(r"(?<![A-Za-z0-9._/-])(?=[A-Za-z._/-]{0,24}[0-9])[A-Za-z0-9](?:[A-Za-z0-9._/-]{3,38}[A-Za-z0-9])(?![A-Za-z0-9._/-])")
+_PARTING = r"""\s"'<>(){}\[\],;|"""
+_UNKNOWN = re.compile(rf"(?<![^{_PARTING}])[^{_PARTING}0-9_@]*[0-9_@][^{_PARTING}]*")
 _WORD = re.compile(r"[^\W\d_]+|[=:#@]")
 _AROUND = 48
 SPANS = "array<struct<start:long,ord:int,end:long,kind:string>>"
@@ -91,15 +98,16 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def unknown_spans(text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens with a digit that no base span touches."""
+    """Identifier-like tokens that no base span touches, without the marks that end a sentence."""
     spans, k = sorted((s[0], s[2]) for s in taken), 0
     reach = 0
     for m in _UNKNOWN.finditer(text):
-        while k < len(spans) and spans[k][0] < m.end():
+        end = m.start() + len(m[0].rstrip(".:!?"))
+        while k < len(spans) and spans[k][0] < end:
             reach = max(reach, spans[k][1])
             k += 1
-        if reach <= m.start():
-            yield m.start(), m.end()
+        if reach <= m.start() < end:
+            yield m.start(), end
 
 
 def occurrences(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -119,31 +127,49 @@ def occurrences(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(find, schema)
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _few(rows: DataFrame) -> DataFrame:
+    """rows for the side of a join that is broadcast if it is small, counted before."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows.hint("merge")
+
+
+def _sure(doubts: Column) -> Column:
+    """The noisy-or of confidences."""
+    return 1 - F.exp(F.sum(F.log(F.greatest(1 - doubts, F.lit(1e-6)))))
+
+
+def bootstrap(found: DataFrame) -> DataFrame:
     """pattern, kind, confidence of the confident patterns. found: value, kind (null: unknown), pattern."""
     graph = stash(found.select("value", "kind", "pattern").distinct(), "graph")
-    instances = graph.groupBy("pattern").agg(F.count_distinct("value").alias("total"))
-    known = graph.where("kind is not null").select("value", "kind").distinct().withColumn("confidence", F.lit(1.0))
-    believed, confident = known, None
-    for _ in range(rounds):
-        met = graph.select("pattern", "value").distinct().join(believed, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("sum"), F.count(F.lit(1)).alias("n"))
-        scored = met.join(instances, "pattern").select("pattern", "kind", (F.col("sum") / F.col("total")).alias("confidence"), "n")
-        step = stash(scored.where((F.col("n") >= LEAST_SEEDS) & (F.col("confidence") >= LEAST_PATTERN)).drop("n"), "patterns")
-        unstash(*([confident] if confident is not None else []))
-        confident = step
-        doubt = graph.where("kind is null").select("pattern", "value").distinct().join(confident, "pattern").groupBy("value", "kind").agg(F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))).alias("doubt"))
-        believed = known.union(doubt.select("value", "kind", (1 - F.col("doubt")).alias("confidence")).where(F.col("confidence") >= LEAST_INSTANCE))
-    return confident
+    # a pattern of fewer instances can't be confident, and drops out with its edges
+    sizes = stash(graph.groupBy("pattern").agg(F.count_distinct("value").alias("total")).where(F.col("total") >= LEAST_SEEDS), "sizes")
+    edges = stash(graph.join(sizes, "pattern"), "edges")
+    unstash(sizes)
+    known = edges.where("kind is not null").select("value", "kind").distinct().withColumn("confidence", F.lit(1.0))
+    unknown = edges.where("kind is null").select("pattern", "value").distinct()
+    between = edges.select("pattern", "value", "total").distinct()
+    believed, confident, before = known, None, -1.0
+    while True:
+        scored = between.join(believed, "value").groupBy("pattern", "kind", "total").agg(F.sum("confidence").alias("sum"), F.count(F.lit(1)).alias("n"))
+        scored = scored.select("pattern", "kind", (F.col("sum") / F.col("total")).alias("confidence"), "n")
+        patterns_now = stash(scored.where((F.col("n") >= LEAST_SEEDS) & (F.col("confidence") >= LEAST_PATTERN)).drop("n"), "patterns")
+        seen = unknown.join(_few(patterns_now), "pattern").groupBy("value", "kind").agg(_sure(F.col("confidence")).alias("confidence"))
+        instances_now = stash(seen.where(F.col("confidence") >= LEAST_INSTANCE), "instances")
+        unstash(*([confident, instances] if confident is not None else []))  # noqa: F821
+        confident, instances = patterns_now, instances_now
+        believed = known.union(instances)
+        now = confident.agg(F.coalesce(F.sum("confidence"), F.lit(0.0))).first()[0]
+        if now - before <= SETTLED or not instances.limit(1).count():
+            unstash(graph, edges, instances)
+            return confident
+        before = now
 
 
 def personal_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: <id_col>, spans array<struct<start, ord, end, kind>>, base ones and discovered ones, sorted."""
     seen = stash(occurrences(documents, id_col, text_col), "occurrences")
     each = seen.where(F.size("spans") > 0).select("rid", F.explode("spans").alias("s")).select("rid", "s.*").withColumn("pattern", F.explode("patterns"))
-    confident = bootstrap(each)
-    hits = each.where("kind is null").drop("kind").join(confident, "pattern")
-    doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
-    places = hits.groupBy("rid", "start", "end", "kind").agg((1 - doubt).alias("c")).where(F.col("c") >= LEAST_INSTANCE)
+    hits = each.where("kind is null").drop("kind").join(_few(bootstrap(each)), "pattern")
+    places = hits.groupBy("rid", "start", "end", "kind").agg(_sure(F.col("confidence")).alias("c")).where(F.col("c") >= LEAST_INSTANCE)
     best = places.groupBy("rid", "start", "end").agg(F.min(F.struct((-F.round("c", 9)).alias("c"), "kind")).alias("b"))
     order = F.create_map(*[x for n, k in enumerate(KINDS) for x in (F.lit(k), F.lit(len(KINDS) + n))])
     new = best.groupBy("rid").agg(F.collect_list(F.struct("start", order[F.col("b.kind")].alias("ord"), "end", F.concat(F.lit("seen_"), "b.kind").alias("kind"))).alias("new"))
@@ -161,4 +187,4 @@ def personal_report(documents: DataFrame, id_col: str = "doc_id", text_col: str
     found = personal_spans(documents, id_col, text_col)
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["ord"] < len(KINDS))
-    return found.select(F.col(id_col), *[of(k) for k in KINDS], sha256_of(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select(F.col(id_col), *[of(k) for k in KINDS], sha256_of(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

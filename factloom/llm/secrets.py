@@ -157,6 +157,6 @@ def secret_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     found = scan_secrets(documents, id_col, text_col)
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["ord"] < len(BASE))
-    return found.select(F.col(id_col), *[of(k) for k in BASE], sha256_of(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select(F.col(id_col), *[of(k) for k in BASE], sha256_of(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
