@@ -84,7 +84,7 @@ class Symbols(NamedTuple):
     sparse: Cover
     dense: Cover | None  # None: every place
     read: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
-    value: Callable[[np.ndarray], np.ndarray]
+    values: tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray], np.ndarray]]
     whole: bool
     slab: int  # symbols that are sorted together before any are sent
 
@@ -96,7 +96,14 @@ class Symbols(NamedTuple):
 #: Unlike for words, upper and lower case differ here.
 VALUES = BYTE_VALUES.copy()
 VALUES[65:91] = mix(np.arange(65, 91, dtype=np.uint64)) | np.uint64(1)
-_SECOND = np.uint64(0xD1342543DE82EF95)
+
+
+def second(values: np.ndarray) -> np.ndarray:
+    """Other values for the same symbols, for a print that is independent of the first."""
+    return mix(values ^ np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+
+
+SECOND_VALUES = second(VALUES)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +113,8 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), np.searchsorted(rows, np.arange(len(offsets)))
 
 
-BYTES = Symbols(LENGTH, Cover.of(13), Cover.of(3), byte_column, lambda data: VALUES[data], False, 2 << 20)
-WORDS = Symbols(PASSAGE, Cover.of(5), None, words_of, lambda hashes: hashes, True, 1 << 18)
+BYTES = Symbols(LENGTH, Cover.of(13), Cover.of(3), byte_column, (lambda data: VALUES[data], lambda data: SECOND_VALUES[data]), False, 2 << 20)
+WORDS = Symbols(PASSAGE, Cover.of(5), None, words_of, (lambda hashes: hashes, second), True, 1 << 18)
 
 
 # ---- one slab ---------------------------------------------------------------------------------------------------------------
@@ -163,7 +170,12 @@ class Suffixes(NamedTuple):
         return Suffixes(*[x[at] if len(x) else x for x in self])
 
     def by_rank(self) -> np.ndarray:
-        return np.lexsort((self.check, self.print)) if len(self.check) else np.argsort(self.print, kind="stable")
+        order = np.argsort(self.print, kind="stable")
+        if len(self.check):
+            value, check = self.print[order], self.check[order]
+            if ((value[1:] == value[:-1]) & (check[1:] != check[:-1])).any():  # one print for two strings
+                return np.lexsort((self.check, self.print))
+        return order
 
 
 def ranks(ordered: Suffixes) -> np.ndarray:
@@ -186,21 +198,29 @@ def neighbours_equal(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def alike(ordered: Suffixes, rank: np.ndarray, around: int) -> np.ndarray:
+    """Of each rank, whether all its entries have the same symbols on both sides, as many as there can be."""
+    size = np.bincount(rank)
+    if not around:
+        return np.ones(len(size), bool)
+    several = np.flatnonzero(size[rank] > 1)
+    first = np.flatnonzero(np.diff(rank, prepend=-1))
+    near = np.ascontiguousarray(ordered.near).view(np.uint32)
+    own = (near[several] == near[first[rank[several]]]).all(axis=1) & (ordered.least[several] == 0) & (ordered.most[several] == around)
+    return (size == 1) | (np.bincount(rank[several[own]], minlength=len(size)) == size)
+
+
 def shift_ties(ordered: Suffixes, around: int) -> np.ndarray:
     """Bit d of entry k: the suffix d symbols before cover place k ties with another one. Entries are in the order of by_rank().
 
     Within a rank, suffixes d before their cover places order by the d symbols before and the around - d behind. Where all entries of
-    a rank have the same symbols on both sides, nothing is left to sort.
+    a rank are alike, nothing is left to sort.
     """
     rank = ranks(ordered)
-    size = np.bincount(rank) if len(rank) else np.zeros(0, np.int64)
-    out = np.where(size[rank] > 1, np.uint16((1 << (around + 1)) - 1), np.uint16(0))
+    out = np.where(np.bincount(rank)[rank] > 1, np.uint16((1 << (around + 1)) - 1), np.uint16(0))
     if not around or not out.any():
         return out
-    first = np.flatnonzero(np.diff(rank, prepend=-1))
-    own = (ordered.near == ordered.near[first][rank]).all(axis=1) & (ordered.least == 0) & (ordered.most == around)
-    alike = np.bincount(rank[own], minlength=len(size)) == size
-    mixed = np.flatnonzero((size[rank] > 1) & ~alike[rank])
+    mixed = np.flatnonzero(~alike(ordered, rank, around)[rank])
     out[mixed] = 0
     for d in range(around + 1):
         at = mixed[(ordered.least[mixed] <= d) & (ordered.most[mixed] >= d)]
@@ -214,16 +234,21 @@ def shift_ties(ordered: Suffixes, around: int) -> np.ndarray:
     return out
 
 
-def distinct(ordered: Suffixes) -> np.ndarray:
+def distinct(ordered: Suffixes, around: int) -> np.ndarray:
     """One place of each group of entries, ordered by rank, that are equal in all."""
-    new = np.ones(len(ordered.print), bool)
-    if ordered.near.size:
-        order = np.lexsort((ordered.most, ordered.least, *np.ascontiguousarray(ordered.near).view(np.uint32).T, ranks(ordered)))
-        inner = ordered.take(order)
-        new[1:] = (np.diff(ranks(ordered)[order]) != 0) | (inner.near[1:] != inner.near[:-1]).any(axis=1) | (inner.least[1:] != inner.least[:-1]) | (inner.most[1:] != inner.most[:-1])
-        return order[new]
-    new[1:] = np.diff(ranks(ordered)) != 0
-    return np.flatnonzero(new)
+    rank = ranks(ordered)
+    whole = alike(ordered, rank, around)[rank]
+    first = np.flatnonzero(whole & (np.diff(rank, prepend=-1) > 0))
+    mixed = np.flatnonzero(~whole)
+    if not len(mixed):
+        return first
+    keys = (ordered.most[mixed], ordered.least[mixed], *np.ascontiguousarray(ordered.near[mixed]).view(np.uint32).T, rank[mixed])
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    return np.concatenate([first, mixed[order[new]]])
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -263,9 +288,8 @@ def _batch(rows: list[dict], fields: dict[str, str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(k, _KINDS[v]) for k, v in fields.items()]))
 
 
-def suffixes(joined: np.ndarray, places: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, around: int, checked: bool, value) -> Suffixes:
+def suffixes(joined: np.ndarray, places: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, around: int, checked: bool, values) -> Suffixes:
     """Of the cover places (indices into joined), each in a piece from begins to ends, ranked on `length` symbols."""
-    values = value(joined)
     least, most = np.maximum(0, places + length + around - ends).astype(np.int8), np.minimum(around, places - begins).astype(np.int8)
     near = np.zeros((len(places), 0), np.uint8)
     if around:
@@ -274,7 +298,7 @@ def suffixes(joined: np.ndarray, places: np.ndarray, begins: np.ndarray, ends: n
         before = padded[places[:, None] + shift] * (around - shift <= most[:, None])
         behind = padded[places[:, None] + around + length + shift] * (shift < around - least[:, None])
         near = np.concatenate([before, behind], axis=1)
-    return Suffixes(prints(values, places, length), prints(mix(values ^ _SECOND) | np.uint64(1), places, length) if checked else np.zeros(0, np.uint64), near, least, most)
+    return Suffixes(prints(values[0](joined), places, length), prints(values[1](joined), places, length) if checked else np.zeros(0, np.uint64), near, least, most)
 
 
 def tied_places(rows: DataFrame, symbols: Symbols, cover: bool, tasks: int, chosen) -> DataFrame:
@@ -305,7 +329,7 @@ def tied_places(rows: DataFrame, symbols: Symbols, cover: bool, tasks: int, chos
                     continue
                 slab += 1
                 piece = np.searchsorted(starts, places, "right") - 1
-                made = suffixes(joined, places, starts[piece], (starts + sizes)[piece], length, around, checked, symbols.value)
+                made = suffixes(joined, places, starts[piece], (starts + sizes)[piece], length, around, checked, symbols.values)
                 order = made.by_rank()
                 made, place, piece = made.take(order), places[order].astype(np.int32), piece[order]
                 tied = shift_ties(made, around)
@@ -317,7 +341,7 @@ def tied_places(rows: DataFrame, symbols: Symbols, cover: bool, tasks: int, chos
                 own = np.flatnonzero(tied)
                 own = own[np.argsort(place[own])]
                 out = [{"bucket": -1, "slab": slab, "places": steps(place[own]), "shifts": planes(tied[own]), "ids": [ids[p[0]] for p in pieces], "hashes": [hashes[p[0]] for p in pieces], "starts": starts.tolist(), "bases": [p[1] for p in pieces]}]
-                kept = distinct(made)
+                kept = distinct(made, around)
                 bucket = (made.print[kept] >> shift).astype(np.int64)
                 kept = kept[np.lexsort((place[kept], bucket))]
                 bucket = (made.print[kept] >> shift).astype(np.int64)

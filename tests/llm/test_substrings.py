@@ -66,14 +66,14 @@ def test_ties_of_suffixes_equal_brute_force():
         begins, around = np.where(np.arange(300) < 100, 0, 100), 4
         ends = np.where(np.arange(300) < 100, 100, 300)
         places = np.concatenate([np.arange(0, 101 - length), np.arange(100, 301 - length)])
-        made = S.suffixes(joined, places, begins[places], ends[places], length, around, True, S.BYTES.value)
+        made = S.suffixes(joined, places, begins[places], ends[places], length, around, True, S.BYTES.values)
         order = made.by_rank()
         found = S.shift_ties(made.take(order), around)
         for d in range(around + 1):
             full = {p: joined[p - d : p - d + length + around].tobytes() for p in places.tolist() if p - d >= begins[p] and p - d + length + around <= ends[p]}
             times = Counter(full.values())
             assert {p for p, t in zip(places[order].tolist(), found.tolist(), strict=True) if t >> d & 1} == {p for p, s in full.items() if times[s] > 1}
-        kept = S.distinct(made.take(order))
+        kept = S.distinct(made.take(order), around)
         full = [(made.print[k], made.near[k].tobytes(), made.least[k], made.most[k]) for k in order]
         assert len(set(full)) == len(kept) == len({full[k] for k in kept})
 
