@@ -10,12 +10,18 @@ from factloom.llm import licenses as L
 def brute(text, least=L.LEAST_DICE):
     text = text or ""
     found = {}
-    for unit in {*re.split("[\r\n]+", text), *re.split("(?:\r?\n[ \t]*){2,}", text), text}:
-        words = L.normal_words(unit)
-        own = set(zip(words, words[1:], strict=False))
-        for name, template in L.TEMPLATES.items():
-            tw = L.normal_words(template)
-            t = set(zip(tw, tw[1:], strict=False))
+    units = [L.normal_words(u) for u in {*re.split("[\r\n]+", text), *re.split("(?:\r?\n[ \t]*){2,}", text), text}]
+    every = L.normal_words(text)
+    for name, template in L.TEMPLATES.items():
+        tw = L.normal_words(template)
+        order = list(zip(tw, tw[1:], strict=False))
+        t = set(order)
+        anchors = set(L.anchor_words(sorted(" ".join(g) for g in t), least))
+        at = [p - order.index(g) for p, g in enumerate(zip(every, every[1:], strict=False)) if g in t and anchors & set(g)]
+        for words in units + [every[max(0, s) : s + len(tw)] for s in at]:
+            own = set(zip(words, words[1:], strict=False))
+            if not own:
+                continue
             dice = 2 * len(own & t) / (len(own) + len(t))
             if dice >= least:
                 found[name] = max(found.get(name, 0), dice)
@@ -54,10 +60,20 @@ def test_report_equals_its_sql(docs, cases):
     assert sorted(map(tuple, L.license_report(table).collect()), key=key) == sorted(want, key=key)
 
 
-def test_every_template_finds_itself_and_needs_its_words():
-    tables = L.template_bigrams(L.TEMPLATES)
+def test_every_template_finds_itself_and_its_anchors_can_not_be_missed():
     assert all(brute(v)[k] == 1 for k, v in L.TEMPLATES.items())
-    assert set(L.needed_words(tables, 1.0)) <= {w for v in L.TEMPLATES.values() for w in L.normal_words(v)}
+    for t in L.prepared(L.TEMPLATES, L.LEAST_DICE).values():
+        rest = len(t.bigrams) - len(t.anchors)
+        assert t.anchors and 2 * rest < L.LEAST_DICE * (rest + len(t.bigrams))
+
+
+def test_notices_inside_lines_wrapped_and_in_comments_are_found(docs):
+    prose = "some words of prose " * 30
+    texts = [prose + "Released under the MIT License. " + prose, prose + "\nLicensed under the Apache License,\nVersion 2.0. " + prose]
+    texts += ["\n".join(" * " + line for line in re.findall(".{1,60}(?: |$)", L.TEMPLATES[k])) + "\n */ int main() {} " + prose for k in ("mit-text", "bsd-3-clause-text", "gpl-3.0", "apache-2.0-notice")]
+    found = [{m["name"]: m["dice"] for m in r.matches} for r in L.license_matches(docs(texts)).orderBy("doc_id").collect()]
+    for names, k in zip(found, ("mit-named-line", "apache-2.0-line", "mit-text", "bsd-3-clause-text", "gpl-3.0", "apache-2.0-notice"), strict=True):
+        assert names[k] == 1, (k, names)
 
 
 def test_empty_table(docs):
