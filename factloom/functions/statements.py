@@ -106,14 +106,26 @@ def by_type(statement_type: Column, make) -> Column:
     return out
 
 
+def _goes_on(segment: Column, e: Column) -> Column:
+    return F.coalesce((trimmed(segment) != "") & (((e.rows >= 1) & (e.numbers >= 2)) | (e.valued >= 2)), F.lit(False))
+
+
+def _strong(e: Column) -> Column:
+    return (e.rows >= 1) & (e.numbers >= 6) & (e.valued >= 2)
+
+
 def continues(segment: Column, statement_type: str) -> Column:
     """Does the segment go on with the statement?"""
-    enough = let(segment, lambda x: let(evidence(x, statement_type), lambda e: (trimmed(x) != "") & (((e.rows >= 1) & (e.numbers >= 2)) | (e.valued >= 2))))
-    return F.coalesce(enough, F.lit(False))
+    return let(segment, lambda x: let(evidence(x, statement_type), lambda e: _goes_on(x, e)))
 
 
 def has_strong_body(segment: Column, statement_type: str) -> Column:
-    return let(evidence(segment, statement_type), lambda e: (e.rows >= 1) & (e.numbers >= 6) & (e.valued >= 2))
+    return let(evidence(segment, statement_type), _strong)
+
+
+def shown(segment: Column, statement_type: str) -> Column:
+    """evidence() with goes_on and strong, all of one look at the segment."""
+    return let(evidence(segment, statement_type), lambda e: F.struct(e.rows.alias("rows"), e.numbers.alias("numbers"), e.valued.alias("valued"), _goes_on(segment, e).alias("goes_on"), _strong(e).alias("strong")))
 
 
 def cash_flow_tail(page_text: Column) -> Column:

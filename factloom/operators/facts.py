@@ -21,14 +21,14 @@ FACT_COLUMNS = ["document_id", "filename", "scope", "statement_type", "concept",
 
 
 def text_metrics(span_pages: DataFrame) -> DataFrame:
-    """Account rows of span pages (document_id, candidate_ord, scope, statement_type, page_number, text).
+    """Account rows of span pages (document_id, candidate_ord, scope, statement_type, page_number, text; lines and titles, if there already).
 
     Unit, period and period labels are read once from the page's slice; of equal rows of a page the first stays.
     """
     kind = F.col("statement_type")
-    page = span_pages.withColumn("lines", lines(F.col("text"))).withColumn("titles", titles(F.col("lines")))
+    page = span_pages if "titles" in span_pages.columns else span_pages.withColumn("lines", lines(F.col("text"))).withColumn("titles", titles(F.col("lines")))
     page = page.withColumn("segment", statement_slice(F.col("text"), F.col("lines"), F.col("titles"), kind))
-    keys = [c for c in span_pages.columns if c != "text"]
+    keys = [c for c in span_pages.columns if c not in ("text", "lines", "titles")]
 
     def account_row(line: Column, i: Column) -> Column:
         return let(parsed_line(line), lambda row: F.when(is_account(row.label), F.struct(i.alias("line_index"), line.alias("raw_line"), row.label.alias("label"), row["values"].alias("values"))))

@@ -95,8 +95,11 @@ def section_checks(types: DataFrame, pages: DataFrame) -> DataFrame:
     """document_id, section_ord, section, found_page: the first searchable page with each expected section, null without one."""
     expected = F.create_map(*[x for kind, names in REQUIRED_SECTIONS.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))])
     wanted = types.select("document_id", F.posexplode(F.element_at(expected, F.col("report_type"))).alias("section_ord", "section"))
-    # the sections of a document are few: they are tested page by page, and only the first page of each is shuffled further
-    hits = wanted.join(pages, "document_id").where(section_is_on(F.col("section"))).groupBy("document_id", "section_ord").agg(F.min("page_number").alias("found_page"))
+    # a page meets its document's few sections as one array, so its text is never copied for each
+    packed = wanted.groupBy("document_id").agg(F.collect_list(F.struct("section_ord", "section")).alias("sections"))
+    found = F.filter("sections", lambda s: section_is_on(s["section"]))
+    hits = pages.join(packed, "document_id").select("document_id", "page_number", F.explode(F.transform(found, lambda s: s["section_ord"])).alias("section_ord"))
+    hits = hits.groupBy("document_id", "section_ord").agg(F.min("page_number").alias("found_page"))
     return wanted.join(hits, ["document_id", "section_ord"], "left")
 
 
@@ -108,15 +111,22 @@ def contents_checks(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """
     words = F.slice(F.filter(F.split(F.col("title_key"), r"[.()/\-\d]+"), lambda t: F.length(t) >= 2), 1, 4)
     wanted = entries.withColumn("words", words).withColumn("joined", F.array_join("words", ""))
-    off = F.col("page_number") - F.col("expected_page")
-    by_title = (F.col("title_key") != "") & section_is_on(F.col("title_key"))
-    by_words = (F.size("words") > 0) & section_is_on(F.col("joined")) & F.forall("words", lambda w: F.col("compact_text").contains(w))
-    rank = (
-        F.when(by_title & (F.abs(off) <= REACH), F.struct(F.lit(0).alias("tier"), (F.abs(off) * 2 - F.when(off > 0, 1).otherwise(0)).cast("long").alias("near"), F.col("page_number").alias("page_number")))
-        .when(by_title, F.struct(F.lit(1).alias("tier"), F.lit(0).cast("long").alias("near"), F.col("page_number").alias("page_number")))
-        .when(by_words, F.struct(F.lit(2).alias("tier"), F.lit(0).cast("long").alias("near"), F.col("page_number").alias("page_number")))
-    )
-    best = wanted.join(pages, "document_id").withColumn("rank", rank).where("rank is not null").groupBy("document_id", "entry_ord").agg(F.min("rank").alias("best"))
+    # a page meets its document's entries (MAX_ENTRIES at most) as one array, so its text is never copied for each
+    packed = wanted.groupBy("document_id").agg(F.collect_list(F.struct("entry_ord", "title_key", "expected_page", "words", "joined")).alias("entries"))
+
+    def ranked(tier: int, near: Column) -> Column:
+        return F.struct(F.lit(tier).alias("tier"), near.cast("long").alias("near"), F.col("page_number").alias("page_number"))
+
+    def rank(e: Column) -> Column:
+        off = F.col("page_number") - e["expected_page"]
+        by_title = (e["title_key"] != "") & section_is_on(e["title_key"])
+        by_words = (F.size(e["words"]) > 0) & section_is_on(e["joined"]) & F.forall(e["words"], lambda w: F.col("compact_text").contains(w))
+        titled = F.when(F.abs(off) <= REACH, ranked(0, F.abs(off) * 2 - F.when(off > 0, 1).otherwise(0))).otherwise(ranked(1, F.lit(0)))
+        return F.when(by_title, titled).when(by_words, ranked(2, F.lit(0)))
+
+    met = F.filter(F.transform("entries", lambda e: F.struct(e["entry_ord"].alias("entry_ord"), rank(e).alias("rank"))), lambda m: m["rank"].isNotNull())
+    hits = pages.join(packed, "document_id").select("document_id", F.explode(met).alias("m"))
+    best = hits.groupBy("document_id", F.col("m.entry_ord").alias("entry_ord")).agg(F.min("m.rank").alias("best"))
     checked = entries.join(best, ["document_id", "entry_ord"], "left").withColumn("found_page", F.col("best.page_number"))
     apart = F.abs(F.col("found_page") - F.col("expected_page"))
     status = F.when(F.col("found_page").isNull(), "missing").when(apart == 0, "matched").when(apart <= 2, "near").otherwise("page_mismatch")

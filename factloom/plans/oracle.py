@@ -322,11 +322,11 @@ def oracle_sql() -> dict[str, str]:
         "q27_xbrl_contexts": f"SELECT context_ref, arg_max(scope, fact_ord) AS scope, arg_max(period, fact_ord) AS period, count(*) AS n_facts FROM (SELECT *, regexp_replace(scope || '_' || CASE WHEN period = '' THEN 'unknown' ELSE period END, '[ .]', '_', 'g') AS context_ref FROM {V.facts_demo_sql(DUCK)} f) x GROUP BY 1",
         "q28_statement_pivot": f"WITH {DISPLAY} SELECT scope, statement_type, extraction_order, fact_ord, {_LABEL} AS account, regexp_matches(regexp_replace(label, '{WS}+', '', 'g'), '{W.TOTAL_ROWS}') AS is_total, {shown('all_values[1]')} AS v0, {shown('all_values[2]')} AS v1, {shown('all_values[3]')} AS v2 FROM rows",
         "q29_column_labels": f"WITH {COLUMNS} SELECT * FROM columns",
-        "q30_history_upsert": f"WITH u AS (SELECT *, 0 AS n FROM {runs} a WHERE seq % 3 <> 0 UNION ALL SELECT *, 1 FROM {runs} b WHERE seq % 3 = 0 AND seq % 100 < 30) SELECT id, seq, filename, n_facts FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, seq DESC) = 1) x ORDER BY n DESC, seq DESC, id LIMIT 50",
-        "q31_history_find": f"SELECT w.name, w.size, arg_max(s.id, s.seq) AS run_id FROM (SELECT DISTINCT concat('f', c_custkey, '.pdf') AS name, c_custkey * 1000 AS size FROM customer WHERE c_custkey >= 0) w LEFT JOIN (SELECT id, seq, unnest(files) AS f FROM {runs} r WHERE seq % 3 <> 0) s ON s.f.name = w.name AND s.f.size = w.size GROUP BY 1, 2",
+        "q30_history_upsert": f"WITH u AS (SELECT *, 0 AS n FROM {runs} a WHERE seq % 3 <> 0 UNION ALL SELECT *, 1 FROM {runs} b WHERE seq % 3 = 0) SELECT id, seq, filename, n_facts FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, seq DESC) = 1) x ORDER BY n DESC, seq DESC, id LIMIT 50",
+        "q31_history_find": f"SELECT w.name, w.size, arg_max(s.id, s.seq) AS run_id FROM (SELECT DISTINCT concat('f', c_custkey, '.pdf') AS name, c_custkey * 1000 AS size FROM customer WHERE c_custkey >= 0) w LEFT JOIN (SELECT id, seq, unnest(files) AS f FROM {runs} r) s ON s.f.name = w.name AND s.f.size = w.size GROUP BY 1, 2",
         "q32_json_recover": f"SELECT conv_id, turn, CASE WHEN kind < 3 THEN conv_id END AS n, CASE WHEN kind < 3 THEN role END AS role FROM (SELECT c.conv_id, c.turn, c.role, (c.conv_id + c.turn) % 5 AS kind FROM conversations c) x",
         "q33_token_admission": f"SELECT conv_id, turn, model, estimated_input, requested_output, input_limit, output_limit, CASE WHEN estimated_input > input_limit THEN 'input' WHEN requested_output > output_limit THEN 'output' END AS refusal FROM (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 16384 ELSE least(8192, output_limit) END AS requested_output FROM (SELECT conv_id, turn, model, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) + CASE WHEN turn % 2 = 0 THEN 400000 ELSE 0 END AS estimated_input, coalesce(mi, CASE WHEN conv_id % 2 = 0 THEN 1048576 ELSE 128000 END) AS input_limit, coalesce(mo, CASE WHEN conv_id % 2 = 0 THEN 65536 ELSE 16384 END) AS output_limit FROM conversations JOIN {limits} ON i = conv_id % 8) a) b",
-        "q34_broad_range": f"WITH {CHECKS}, ends AS (SELECT document_id, start_page AS a, end_page AS b FROM {_SPANS} s WHERE candidate_ord % 10 = 3 UNION ALL SELECT document_id, coalesce(found_page, expected_page), coalesce(found_page, expected_page) FROM checks WHERE {any_of('title', ['재무상태표', '손익계산서', '현금흐름표', '자본변동표'])}) SELECT d.document_id, coalesce(greatest(1, min(a) - 2), 1) AS start_page, least(any_value(page_count), coalesce(max(b) + 2, 20)) AS end_page FROM docs d LEFT JOIN ends e ON e.document_id = d.document_id GROUP BY 1",
+        "q34_broad_range": f"WITH {CHECKS}, ends AS (SELECT document_id, start_page AS a, end_page AS b FROM {_SPANS} s UNION ALL SELECT document_id, coalesce(found_page, expected_page), coalesce(found_page, expected_page) FROM checks WHERE {any_of('title', ['재무상태표', '손익계산서', '현금흐름표', '자본변동표'])}) SELECT d.document_id, coalesce(greatest(1, min(a) - 2), 1) AS start_page, least(any_value(page_count), coalesce(max(b) + 2, 20)) AS end_page FROM docs d LEFT JOIN ends e ON e.document_id = d.document_id GROUP BY 1",
         "q35_evidence_rows": f"WITH {EVIDENCE} SELECT k.document_id, k.page_number, k.row_index, k.kind, k.numeric_cell_count, k.text, string_agg(coalesce(v.col, '.'), '|' ORDER BY v.cell_index) AS value_columns FROM kinds k JOIN valued v USING (document_id, page_number, row_index) GROUP BY ALL",
         "q36_structure_facts": f"""WITH cells AS (SELECT * FROM {V.cells_demo_sql(DUCK)} v), d AS (SELECT DISTINCT l_orderkey % 997 AS k FROM lineitem), refs AS (SELECT * FROM (VALUES (0, '2024', 1, 0, 1, 0), (0, '2023', 1, 0, 1, 1), (0, '2023', 1, 0, 2, 0), (1, '2024', 2, 0, 1, 0), (1, '2023', 2, 50, 1, 0)) v(row_pos, key, page, row_index, pos, cell_index)),
             got AS (SELECT k, row_pos, key, page, string_agg(c.text, '' ORDER BY pos) AS text FROM d CROSS JOIN refs LEFT JOIN cells c ON c.document_id = 'O' || k AND c.page_number = page AND c.row_index = refs.row_index AND c.cell_index = refs.cell_index GROUP BY 1, 2, 3, 4 HAVING bool_and(c.text IS NOT NULL)),
