@@ -1,7 +1,8 @@
 """Saved runs as a table: newest first, bounded in number, found again by the files they were made of.
 
 runs(id, created_at, seq, filename, files ARRAY<STRUCT<name, size>>, report_types ARRAY<STRING>, n_candidates, n_facts, n_issues); seq is
-the order of saving.
+the order of saving. What a run found - its candidates, facts, issues and the objects of its document - are rows of their own:
+payload(run_id, kind, json). A run of millions of facts is never one value, and a listing reads none of them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEEP = 50
+PAYLOAD = "run_id string, kind string, json string"
+KINDS = ("candidates", "facts", "issues", "document")
 SCHEMA = "id string, created_at timestamp, seq long, filename string, files array<struct<name:string,size:long>>, report_types array<string>, n_candidates long, n_facts long, n_issues long"
 
 
@@ -58,3 +61,34 @@ def file_size(total: Column) -> Column:
 def listing(history: DataFrame) -> DataFrame:
     total = F.aggregate("files", F.lit(0).cast("long"), lambda s, f: s + F.coalesce(f["size"], F.lit(0)))
     return history.select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), "filename", F.array_join("report_types", ", ").alias("types"), file_size(total).alias("size"), "n_candidates", "n_facts", "n_issues", "seq")
+
+
+def payload_of(run_id: Column | str, **tables: DataFrame) -> DataFrame:
+    """payload rows of a run's tables, each row as JSON. Their order is what the rows themselves say (fact_ord, candidate_ord), so none is kept."""
+    rows = None
+    for kind, table in tables.items():
+        if kind not in KINDS:
+            raise ValueError(f"{kind} is none of {', '.join(KINDS)}")
+        json = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        own = table.select((F.lit(run_id) if isinstance(run_id, str) else run_id).alias("run_id"), F.lit(kind).alias("kind"), json.alias("json"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+def with_counts(runs: DataFrame, payload: DataFrame) -> DataFrame:
+    """runs with the numbers of what they found."""
+    counts = payload.groupBy(F.col("run_id").alias("id")).agg(*[F.count_if(F.col("kind") == k).alias(f"own_{k}") for k in KINDS[:3]])
+    rest = [c for c in runs.columns if c not in ("n_candidates", "n_facts", "n_issues")]
+    return runs.join(counts, "id", "left").select(*rest, *[F.coalesce(f"own_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS[:3]])
+
+
+def restored(payload: DataFrame, runs: DataFrame, kind: str, schema: str) -> DataFrame:
+    """run_id and the rows of one kind, as they were saved, of the given runs(id)."""
+    own = payload.where(F.col("kind") == kind).join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    return own.select("run_id", F.from_json("json", schema).alias("row")).select("run_id", "row.*")
+
+
+def payload_kept(payload: DataFrame, new: DataFrame, history: DataFrame) -> DataFrame:
+    """The payload of the runs that history has, with the new one's in place of the old of the same run."""
+    old = payload.join(new.select("run_id").distinct(), "run_id", "left_anti").select(*payload.columns)
+    return old.unionByName(new).join(history.select(F.col("id").alias("run_id")), "run_id", "left_semi").select(*payload.columns)

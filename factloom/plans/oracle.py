@@ -352,6 +352,14 @@ def oracle_sql() -> dict[str, str]:
         "q43_type_counts": f"SELECT document_id, statement_type, count(*) AS n, bool_or(include) AS confirmed, max(end_page - start_page + 1) AS longest FROM {_SPANS} s GROUP BY 1, 2",
         "q44_page_scope": f"WITH {PAGES}, {SCOPES} SELECT * FROM scopes",
         "q45_span_start": f"WITH {SEGMENTS}, {PAGE_FLAGS} SELECT document_id, page_number, kind AS statement_type, n_rows, n_numbers, n_valued, {GOES_ON} AS goes_on, n_rows >= 1 AND n_numbers >= 6 AND n_valued >= 2 AS strong, other_section, tail FROM ev JOIN flags USING (document_id, page_number)",
+        "q51_broad_pages": f"WITH {PAGES}, docs AS (SELECT * FROM {V.report_documents_sql(DUCK)} d), ranges AS (SELECT d.document_id, coalesce(greatest(1, min(start_page) - 2), 1) AS a, least(any_value(page_count), coalesce(max(end_page) + 2, 20)) AS b FROM docs d LEFT JOIN {_SPANS} s ON s.document_id = d.document_id GROUP BY 1) SELECT document_id, page_number, length(t) AS n, md5(t) AS digest FROM (SELECT p.document_id, page_number, CASE WHEN length(text) > 400 THEN left(text, 400) || chr(10) || '[TRUNCATED]' ELSE text END AS t FROM pages p JOIN ranges r ON r.document_id = p.document_id AND page_number BETWEEN a AND least(b, a + 7)) x",
+        "q52_edited_spans": f"SELECT s.document_id, s.candidate_ord, coalesce(e.include, s.include) AS include, coalesce(e.scope, s.scope) AS scope, coalesce(e.start_page, s.start_page) AS start_page, s.end_page FROM {_SPANS} s LEFT JOIN {V.edits_demo_sql(DUCK)} e ON e.document_id = s.document_id AND e.candidate_ord = s.candidate_ord",
+        "q53_xbrl_units": f"SELECT upper(measure) AS unit_ref, arg_max(measure, fact_ord) AS measure FROM (SELECT fact_ord, CASE fact_ord % 4 WHEN 0 THEN 'krw' WHEN 1 THEN 'KRW' WHEN 2 THEN '천원' ELSE 'Usd' END AS measure FROM {V.facts_demo_sql(DUCK)} f) x GROUP BY 1",
+        "q54_history_delete": f"SELECT id, seq, filename FROM {runs} r WHERE id NOT IN (SELECT concat('R', s_suppkey * 7) FROM supplier)",
+        "q55_image_tokens": f"SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE CAST(ceil(p_size * 40.0 * (p_partkey % 1000) / 750) + ceil(length(p_name) * (1 + p_size) / 1024) AS BIGINT) END AS tokens FROM {V.images_demo_sql(DUCK)} v",
+        "q56_model_limits": "SELECT * FROM (VALUES ('gemini-2.5-flash-lite', 'gemini', 'speed', 1048576, 65536), ('gemini-2.5-pro', 'gemini', 'quality', 1048576, 65536), ('gemini-1.5-pro', 'gemini', 'quality', 2097152, 8192), ('gpt-5.4-mini', 'openai', 'speed', 400000, 128000), ('gpt-4o', 'openai', 'quality', 128000, 16384), ('o1-preview', 'openai', 'quality', 128000, 32768), ('o1-mini', 'openai', 'speed', 128000, 65536)) AS v(model, provider, tier, input_limit, output_limit)",
+        "q57_history_restored": f"SELECT concat('R', fact_ord // 3) AS run_id, scope, period, concept, fact_ord * 0.5::DOUBLE AS value, fact_ord FROM {V.facts_demo_sql(DUCK)} f WHERE concat('R', fact_ord // 3) IN (SELECT id FROM {runs} r)",
+        "q58_document_facts": f"SELECT fact_ord, regexp_replace(scope || '_' || CASE WHEN period = '' THEN 'unknown' ELSE period END, '[ .]', '_', 'g') AS context_ref, 'KRW' AS unit_ref, concept FROM {V.facts_demo_sql(DUCK)} f",
         "q47_history_listing": f"SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created, filename, array_to_string(report_types, ', ') AS types, CASE WHEN total = 0 THEN '' WHEN total >= 1048576 THEN printf('%.1f MB', total / 1048576) WHEN total >= 1024 THEN printf('%.1f KB', total / 1024) ELSE total || ' B' END AS size, n_candidates, n_facts, n_issues, seq FROM (SELECT *, CAST(files[1].size + files[2].size AS BIGINT) AS total FROM {runs} r) x",
         "q48_pipeline_issues": f"WITH {FACTS} SELECT document_id, scope, period, l + e AS expected, a AS actual, a - (l + e) AS difference FROM ({_BALANCE.format(by='document_id, scope, period', facts='(SELECT *, (candidate_ord, row_ord) AS fact_ord FROM facts) f')}) g WHERE abs(a - (l + e)) > 1",
         "q49_pipeline_facts": f"WITH {FACTS} SELECT document_id, filename, scope, statement_type, concept, label, period, value, unit, page_number, raw_line, all_values, extraction_order FROM facts",

@@ -449,3 +449,66 @@ def q50_provider_fallback(spark, sf_dir):
     asked = turns.select("conv_id", F.col("turn").alias("provider_ord"), F.concat(F.lit("p"), F.col("turn")).alias("provider"), F.when(F.length("text") % 3 == 0, F.col("text")).otherwise(F.lit(" ")).alias("response"), F.lit(None).cast("string").alias("error"))
     asked = order.first_wins(asked, ["conv_id", "provider_ord"], "response")
     return models.first_answers(asked, ["conv_id"])
+
+
+@query
+def q51_broad_pages(spark, sf_dir):
+    """The pages of each document that a request holds, their texts cut."""
+    ranges = spans.broad_range(_documents(spark, sf_dir), _spans(spark, sf_dir), _no_checks(spark))
+    out = spans.broad_pages(_pages(spark, sf_dir), ranges, max_pages=8, max_chars=400)
+    return out.select("document_id", "page_number", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def _no_checks(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "document_id string, title string, found_page int, expected_page int")
+
+
+@query
+def q52_edited_spans(spark, sf_dir):
+    """Spans after a reviewer's edits; what an edit leaves open stays."""
+    edits = V.view(spark, sf_dir, V.edits_demo_sql)
+    return spans.edited(_spans(spark, sf_dir), edits).select(*SPAN_KEYS, "include", "scope", "start_page", "end_page")
+
+
+@query
+def q53_xbrl_units(spark, sf_dir):
+    """The units of the assembled document; the last fact spells each."""
+    unit = F.expr("CASE fact_ord % 4 WHEN 0 THEN 'krw' WHEN 1 THEN '' WHEN 2 THEN '천원' ELSE 'Usd' END")
+    return facts.units(V.view(spark, sf_dir, V.facts_demo_sql).withColumn("unit", unit))
+
+
+@query
+def q54_history_delete(spark, sf_dir):
+    """What stays of the saved runs when those of some files are deleted."""
+    runs = history.normal_runs(V.view(spark, sf_dir, V.runs_demo_sql))
+    gone = V.view(spark, sf_dir, lambda d: "(SELECT DISTINCT concat('R', CAST(s_suppkey * 7 AS STRING)) AS id FROM supplier)")
+    return history.deleted(runs, gone).select("id", "seq", "filename")
+
+
+@query
+def q55_image_tokens(spark, sf_dir):
+    """What the images of a request count for, by area or by encoded length."""
+    parts = V.view(spark, sf_dir, V.images_demo_sql)
+    return parts.select("p_partkey", models.image_tokens(F.col("images")).alias("tokens"))
+
+
+@query
+def q56_model_limits(spark, sf_dir):
+    """The limits of the models that are known, by provider."""
+    return models.model_limits(spark, "gemini").unionByName(models.model_limits(spark, "openai"))
+
+
+@query
+def q57_history_restored(spark, sf_dir):
+    """Facts of saved runs as they come back from what was saved."""
+    found = V.view(spark, sf_dir, V.facts_demo_sql).withColumn("value", F.col("fact_ord") * 0.5).withColumn("run_id", F.concat(F.lit("R"), (F.col("fact_ord") / 3).cast("long").cast("string")))
+    payload = found.select("run_id", F.lit("facts").alias("kind"), F.to_json(F.struct("scope", "period", "concept", "value", "fact_ord"), {"ignoreNullFields": "false"}).alias("json"))
+    runs = history.normal_runs(V.view(spark, sf_dir, V.runs_demo_sql)).select("id").distinct()
+    return history.restored(payload, runs, "facts", "scope string, period string, concept string, value double, fact_ord long")
+
+
+@query
+def q58_document_facts(spark, sf_dir):
+    """Facts of the assembled document with the contexts and units that they refer to."""
+    out = facts.document_facts(V.view(spark, sf_dir, V.facts_demo_sql).withColumn("unit", F.expr("CASE WHEN fact_ord % 5 = 0 THEN '' ELSE 'krw' END")))
+    return out.select("fact_ord", "context_ref", "unit_ref", "concept")

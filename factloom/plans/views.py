@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["customer", "orders", "lineitem", "events", "documents", "conversations"]
+TABLES = ["customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations"]
 
 
 @dataclass(frozen=True)
@@ -207,3 +207,16 @@ def vision_json_sql(dialect: Dialect) -> str:
 def structure_json_sql(dialect: Dialect) -> str:
     """A structure for each document of cells_demo: two good rows out of order, one with a cell that isn't there, one without a label."""
     return """(SELECT concat('O', CAST(k AS STRING)) AS document_id, 0 AS candidate_ord, concat('```json {"unit": "thousand", "columns": [', CASE WHEN k % 3 = 0 THEN '' ELSE '{"key": "2024", "label": "당기"}, {"key": "x"}, {"key": "2023", "label": ""}' END, '], "rows": [{"order": 2, "label": "Ⅰ. 자산  총계", "notes": ["4", " "], "value_cells": {"2024": {"page": 1, "row_index": 0, "cell_indices": [0]}, "2023": {"page": "1", "row_index": 0, "cell_indices": [1, 0]}}}, {"order": 1, "label": "부채 ', CAST(k AS STRING), '", "value_cells": {"2024": {"page": 2, "row_index": 0, "cell_indices": [0]}, "2023": {"page": 2, "row_index": 50, "cell_indices": [0]}}}, {"order": 3, "label": "", "value_cells": {"2024": {"page": 1, "row_index": 0, "cell_indices": [0]}}}, {"label": "없음", "value_cells": {"2023": {"page": 1, "row_index": 0, "cell_indices": []}}}]} ```') AS response FROM (SELECT DISTINCT l_orderkey % 997 AS k FROM lineitem) d)"""
+
+
+def edits_demo_sql(dialect: Dialect) -> str:
+    """What a reviewer changed of spans_demo: nothing of most, one or several values of others."""
+    return """(SELECT concat('C', CAST(o_custkey AS STRING)) AS document_id, CAST(o_orderkey AS INT) AS candidate_ord, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 8 = 0 END AS include, CASE WHEN o_orderkey % 7 = 0 THEN 'consolidated' END AS scope,
+        CASE WHEN o_orderkey % 3 = 0 THEN CAST(2 + o_orderkey % 6 AS INT) END AS start_page, CAST(NULL AS INT) AS end_page FROM orders WHERE o_totalprice > 100000)"""
+
+
+def images_demo_sql(dialect: Dialect) -> str:
+    """Parts as requests with two images, one with a size and one that is only encoded; every ninth has none."""
+    if dialect is SPARK:
+        return "(SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN array(named_struct('width', CAST(p_size * 40 AS DOUBLE), 'height', CAST(p_partkey % 1000 AS DOUBLE), 'base64', CAST(NULL AS STRING)), named_struct('width', CAST(NULL AS DOUBLE), 'height', CAST(NULL AS DOUBLE), 'base64', repeat(p_name, 1 + p_size))) END AS images FROM part)"
+    return "(SELECT p_partkey, p_size, p_name FROM part)"

@@ -1,11 +1,14 @@
-"""The history table on storage: each change writes a new version beside the old one, and readers take the newest whole one."""
+"""The history table on storage: each change writes a new version beside the old one, and readers take the newest whole one.
+
+What runs found (operators.history.payload_of) is written before the version that names the runs, so a whole version has its payload.
+"""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.operators.history import KEEP, SCHEMA, deleted, normal_runs, saved
+from factloom.operators.history import KEEP, PAYLOAD, SCHEMA, deleted, normal_runs, payload_kept, restored, saved, with_counts
 
 
 def _folder(spark: SparkSession, path: str):
@@ -31,19 +34,38 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
 
 
-def _write(history: DataFrame, path: str) -> DataFrame:
+def load_payload(spark: SparkSession, path: str) -> DataFrame:
+    """What the newest version's runs found: run_id, kind, json."""
+    found = versions(spark, path)
+    try:
+        return spark.read.schema(PAYLOAD).parquet(f"{path}/payload/v{found[-1]}") if found else spark.createDataFrame([], PAYLOAD)
+    except AnalysisException:
+        return spark.createDataFrame([], PAYLOAD)
+
+
+def _write(history: DataFrame, new_payload: DataFrame | None, path: str) -> DataFrame:
     spark = history.sparkSession
     found = versions(spark, path)
-    history.write.mode("overwrite").parquet(f"{path}/v{found[-1] + 1 if found else 0}")
+    version = found[-1] + 1 if found else 0
+    new = spark.createDataFrame([], PAYLOAD) if new_payload is None else new_payload
+    payload_kept(load_payload(spark, path), new, history).write.mode("overwrite").parquet(f"{path}/payload/v{version}")
+    history.write.mode("overwrite").parquet(f"{path}/v{version}")
     return load(spark, path)
 
 
-def save(spark: SparkSession, path: str, runs: DataFrame, keep: int = KEEP) -> DataFrame:
-    return _write(saved(load(spark, path), normal_runs(runs), keep), path)
+def save(spark: SparkSession, path: str, runs: DataFrame, keep: int = KEEP, payload: DataFrame | None = None) -> DataFrame:
+    """History with the new runs. payload: what they found; their counts are taken from it. Runs with a payload have an id."""
+    new = normal_runs(runs) if payload is None else with_counts(normal_runs(runs), payload)
+    return _write(saved(load(spark, path), new, keep), payload, path)
 
 
 def delete(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
-    return _write(deleted(load(spark, path), ids), path)
+    return _write(deleted(load(spark, path), ids), None, path)
+
+
+def found_by(spark: SparkSession, path: str, run_id: str, kind: str, schema: str) -> DataFrame:
+    """A saved run's candidates, facts, issues or document, as they were."""
+    return restored(load_payload(spark, path), run(spark, path, run_id), kind, schema).drop("run_id")
 
 
 def run(spark: SparkSession, path: str, run_id: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.history import find_by_files
+
 ITEMS = "document_id string, page_number int, item_ord int, str string, x double, y double, width double, height double"
 DECODED = f"{ITEMS}, error string"
 Decoder = Callable[[bytes], Iterator[tuple[int, int, str, float, float, float, float]]]
@@ -43,6 +45,20 @@ def decoded_items(files: DataFrame, decoder: Decoder) -> tuple[DataFrame, DataFr
     return decoded.where("error is null").drop("error"), decoded.where("error is not null").select("document_id", "error")
 
 
+def ingested(spark: SparkSession, path: str, decoder: Decoder, history: DataFrame) -> dict[str, DataFrame]:
+    """The PDF files below a folder: items and documents of new files, errors of those that can't be decoded, and skipped ones with the run that read them.
+
+    A file is known by its name and size. Files are decoded one by one, so that a bad one costs no other.
+    """
+    files = pdf_files(spark, path)
+    known = find_by_files(history, files.select(F.col("filename").alias("name"), F.col("file_size").alias("size"))).where("run_id is not null")
+    key = (F.col("filename") == F.col("name")) & (F.col("file_size") == F.col("size"))
+    items, errors = decoded_items(files.join(known, key, "left_anti"), decoder)
+    pages = items.groupBy("document_id").agg(F.max("page_number").alias("page_count"))
+    documents = files.drop("content").join(pages, "document_id").withColumn("doc_ord", F.xxhash64("document_id").bitwiseAND(F.lit((1 << 39) - 1)))
+    return {"items": items, "documents": documents, "errors": errors, "skipped": files.drop("content").join(known, key).select("document_id", "filename", "file_size", "run_id")}
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEMS).parquet(path)
 

@@ -155,7 +155,16 @@ def test_history_on_storage(spark, tmp_path):
     assert sorted((r["id"], r["seq"]) for r in again.collect()) == [("b", 9), ("c", 3)]
     files = spark.createDataFrame([("f.pdf", 10), ("g.pdf", 1)], "name string, size long")
     assert {r["name"]: r["run_id"] for r in history.find_by_files(again, files).collect()} == {"f.pdf": "b", "g.pdf": None}
+    found = spark.createDataFrame([(1, "자산", None), (0, "부채", 2.5)], "fact_ord long, label string, value double")
+    payload = history.payload_of("c", facts=found, issues=found.select("label")).unionByName(history.payload_of("lost", facts=found))
+    store.save(spark, path, runs.where("id = 'c'").withColumn("seq", F.lit(10)), keep=2, payload=payload)
+    assert {r["id"]: (r["n_candidates"], r["n_facts"], r["n_issues"]) for r in store.load(spark, path).collect()} == {"b": (0, 0, 0), "c": (0, 2, 2 - 0)}
+    back = store.found_by(spark, path, "c", "facts", "fact_ord long, label string, value double")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, found.collect())) and store.load_payload(spark, path).where("run_id = 'lost'").count() == 0
+    store.save(spark, path, runs.where("id = 'c'").withColumn("seq", F.lit(11)), keep=2, payload=history.payload_of("c", facts=found.where("fact_ord = 0")))
+    assert store.found_by(spark, path, "c", "facts", "label string").count() == 1 and store.found_by(spark, path, "c", "issues", "label string").count() == 0
     assert store.delete(spark, path, spark.createDataFrame([("b",)], "id string")).count() == 1
+    assert store.found_by(spark, path, "c", "facts", "label string").first()["label"] == "부채"
     assert store.run(spark, path, "c").count() == 1 and history.listing(store.load(spark, path)).first()["size"] == ""
     store.clear(spark, path)
     assert store.load(spark, path).count() == 0
@@ -188,6 +197,11 @@ def test_files_landing_folder_and_models(spark, tmp_path):
     (tmp_path / "in" / "c.txt").write_bytes(b"1")
     items, errors = reports.decoded_items(reports.pdf_files(spark, f"file://{tmp_path}/in"), lambda content: [(int(content), 0, "x", 1.0, 2.0, 3.0, 4.0)])
     assert items.count() == 1 and errors.first()["error"].startswith("ValueError")
+    again = history.normal_runs(spark.createDataFrame([("r1", [("A.PDF", 1)])], "id string, files array<struct<name:string,size:long>>"))
+    read = reports.ingested(spark, f"file://{tmp_path}/in", lambda content: [(int(content), 0, "x", 1.0, 2.0, 3.0, 4.0)], again)
+    assert read["skipped"].first()["run_id"] == "r1" and read["items"].count() == 0 and read["errors"].count() == 1
+    fresh = reports.ingested(spark, f"file://{tmp_path}/in", lambda content: [(int(content), 0, "x", 1.0, 2.0, 3.0, 4.0)], again.where("false"))
+    assert [(r["filename"], r["file_size"], r["page_count"]) for r in fresh["documents"].collect()] == [("A.PDF", 1, 1)] and fresh["errors"].count() == 1
     pages(spark, BALANCE).coalesce(1).write.parquet(f"{tmp_path}/landing")
     seen = []
     watch(spark, f"{tmp_path}/landing", f"{tmp_path}/checkpoint", lambda tables, n: seen.append((n, tables["issues"].count()))).awaitTermination(120)
