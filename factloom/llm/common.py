@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,17 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a folder of our own in local mode, and an error on a cluster."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_WRITTEN: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
+def clear_working_tables(spark: SparkSession) -> None:
+    """Deletes whatever working tables and archives this driver has written and not deleted yet. Results that were not written anywhere can't be read any more."""
+    for path in sorted(_WRITTEN):
+        delete_path(spark, path)
 
 
 def stash(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
@@ -58,6 +72,7 @@ def unstash(*stashed: DataFrame) -> None:
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _WRITTEN.discard(path)
 
 
 def numbered(documents: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:

@@ -6,7 +6,8 @@ Burrows-Wheeler transform in a wavelet tree, every SAMPLE-th suffix position. Al
 at once, their occurrences located by walking to sampled suffixes, and the spans merged into removal spans per document.
 
 The benchmark is read in blocks of at most BLOCK_CHARS characters; a block travels with the task's function, and several blocks
-are searched one after the other over the same rows, which carry the spans found so far.
+are searched one after the other over the same rows, which carry the spans found so far and are written between two blocks, so that
+driver and tasks hold one block at a time.
 
 Defined results: a null or blank text has no words and is never contaminated; a null or wordless item has no window; equal
 item ids count once, a null item id is named "null"; repeated rows give repeated results; other columns, whatever their names,
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freed, numbered, sha256_of
+from .common import freed, numbered, sha256_of, stash, unstash
 from .words import byte_column, slabs, word_hashes, word_spans
 
 WINDOW = 13
@@ -246,7 +247,12 @@ def with_hits(documents: DataFrame, benchmark: DataFrame, text_col: str = "text"
     found = documents.withColumns({_WORDS: F.lit(0).cast("long"), _SPANS: F.array().cast("array<struct<start:long,end:long>>"), _ITEMS: F.array().cast("array<string>")})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in found.schema])
     at = documents.columns.index(text_col)
-    for phrases in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
+    written = None
+    for n, phrases in enumerate(benchmark_blocks(benchmark, item_col, item_text_col, block_chars)):
+        if n:
+            found, before = stash(found, "hits"), written
+            written = found
+            unstash(*([before] if before is not None else []))
         found = found.mapInArrow(freed(_searcher(phrases, at)), schema)
     return found
 
