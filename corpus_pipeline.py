@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh_path, table
+from factloom.llm.common import delete_path, fresh_path, table
 from factloom.llm.decontaminate import decontaminated
 from factloom.llm.neardup import without_near_duplicates
 from factloom.llm.packing import pack_documents
@@ -46,10 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what each stage returns is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what each stage returns is written as Parquet and read again, until the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs.select(*[F.col(c) for c in docs.columns])
