@@ -64,7 +64,7 @@ def unit_scale(page_text: Column) -> Column:
 
 def period(page_text: Column, statement_type: Column) -> Column:
     """A balance sheet's day, a range's year, the number of the business year, or ""."""
-    day = first_or_null(F.regexp_extract(page_text, rf"(20\d{{2}})[.\-/]{WS}*12[.\-/]{WS}*31", 1))
+    day = first_or_null(F.regexp_extract(page_text, rf"(20\d{{2}})[.\-/]{WS}*0?12[.\-/]{WS}*0?31", 1))
     year = first_or_null(F.regexp_extract(page_text, rf"(?s)20\d{{2}}[.\-/]{WS}*01[.\-/]{WS}*01.*?(20\d{{2}})[.\-/]{WS}*12[.\-/]{WS}*31", 1))
     term = first_or_null(F.regexp_replace(F.regexp_extract(page_text, rf"제{WS}*\d+(?:\([^)]+\))?{WS}*기", 0), f"{WS}+", ""))
     return F.coalesce(F.when(statement_type == "balance_sheet", F.concat(day, F.lit(".12.31"))), F.concat(F.lit("FY"), year), term, F.lit(""))

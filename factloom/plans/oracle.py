@@ -142,7 +142,7 @@ def metrics(segments: str, name: str) -> str:
     """name(…, line_index, label, value, all_values, unit, scale, period, period_labels) of segments(document_id, candidate_ord, page_number, kind, segment)."""
     c = f"lower(regexp_replace(segment, '{WS}+', '', 'g'))"
     unit = f"CASE WHEN contains({c}, '단위:천원') OR contains({c}, '단위：천원') THEN '천원' WHEN contains({c}, '단위:백만원') THEN '백만원' WHEN contains({c}, '단위:억원') THEN '억원' ELSE 'KRW' END"
-    day = f"nullif(regexp_extract(segment, '(20\\d{{2}})[.\\-/]{WS}*12[.\\-/]{WS}*31', 1), '')"
+    day = f"nullif(regexp_extract(segment, '(20\\d{{2}})[.\\-/]{WS}*0?12[.\\-/]{WS}*0?31', 1), '')"
     year = f"nullif(regexp_extract(segment, '(?s)20\\d{{2}}[.\\-/]{WS}*01[.\\-/]{WS}*01.*?(20\\d{{2}})[.\\-/]{WS}*12[.\\-/]{WS}*31', 1), '')"
     term = f"nullif(regexp_replace(regexp_extract(segment, '제{WS}*\\d+(?:\\([^)]+\\))?{WS}*기'), '{WS}+', '', 'g'), '')"
     label = "array_to_string(tokens[1:len(tokens) - n], ' ')"
