@@ -28,6 +28,8 @@ from .common import text_of
 
 LEAST_DICE = 0.8
 LONG_WORD = 6
+#: Words of any prose, which make anchors only where nothing else is left.
+COMMON_WORDS = frozenset("a all also an and any are as at be but by can for from has have if in is it may no not of on or other such than that the their they this to use was we which will with you your".split())
 
 #: Texts and notices as they are published with these licences; "-line" are one-line references to a licence.
 TEMPLATES = {
@@ -84,12 +86,12 @@ def anchor_words(own: list[str], least: float) -> list[str]:
     """Words such that every unit that reaches `least` with a template of these bigrams has a bigram with one of them.
 
     Such a unit shares at least b least / (2 - least) of the template's b bigrams, so it has one of any b - that + 1 of them: words
-    are taken that so many bigrams hold, the longer ones first and of these the ones that most bigrams hold.
+    are taken that so many bigrams hold, long and telling ones first and of these the ones that most bigrams hold.
     """
     left, out = set(own), []
     while len(left) >= max(1, math.ceil(len(own) * least / (2 - least) - 1e-9)):
         held = Counter(w for g in left for w in set(g.split()))
-        out.append(min(held, key=lambda w: (len(w) < LONG_WORD, -held[w], -len(w), w)))
+        out.append(min(held, key=lambda w: (w in COMMON_WORDS, -min(len(w), LONG_WORD), -held[w], w)))
         left = {g for g in left if out[-1] not in g.split()}
     return sorted(out)
 
@@ -121,18 +123,19 @@ def license_matches(documents: DataFrame, id_col: str = "doc_id", text_col: str
     none = F.array().cast("array<string>")
     texts = documents.select(F.col(id_col).alias("id"), F.when(may, text).alias("text"))
     rows = texts.select("id", F.when(F.col("text").isNotNull(), F.filter(F.transform(units(F.col("text")), lambda u: F.array_distinct(pairs(words(u)))), lambda g: F.size(g) > 0)).otherwise(F.array(none)).alias("units"), F.when(F.col("text").isNotNull(), pairs(words(F.col("text")))).otherwise(none).alias("grams"))
+    listed = lambda values: ", ".join(f"'{g}'" for g in values)  # noqa: E731  (of a to z, digits and spaces)
     anchors = sorted({g for t in tables.values() for g in t.anchors})
-    placed = rows.select("id", "units", "grams", F.filter(F.transform("grams", lambda g, i: F.when(g.isin(anchors), i)), lambda i: i.isNotNull()).alias("places"))
+    placed = rows.select("id", "units", "grams", F.expr(f"filter(transform(grams, (g, i) -> if(g IN ({listed(anchors)}), i, NULL)), i -> i IS NOT NULL)").alias("places"))
 
     def best(t: Template) -> Column:
-        """The best coefficient of the units and windows whose size allows `least`."""
-        literal, size = F.array(*[F.lit(x) for x in t.bigrams]), len(t.bigrams)
-        offsets = F.create_map(*[F.lit(x) for pair in t.anchors.items() for x in pair])
-        own = F.filter("places", lambda p: F.get("grams", p).isin(list(t.anchors)))
-        starts = F.array_distinct(F.transform(own, lambda p: p - F.try_element_at(offsets, F.get("grams", p))))
-        windows = F.transform(starts, lambda s: F.array_distinct(F.slice("grams", F.greatest(s, F.lit(0)) + 1, F.lit(t.words - 1) + F.least(s, F.lit(0)))))
-        fits = F.filter(F.concat("units", windows), lambda g: 2 * F.least(F.size(g), F.lit(size)) >= least * (F.size(g) + size))
-        return F.array_max(F.transform(fits, lambda g: F.lit(2.0) * F.size(F.array_intersect(g, literal)) / (F.size(g) + size)))
+        """The best coefficient of the units and windows whose size allows `least`. As text, since a thousand literals take long to build one by one."""
+        size = len(t.bigrams)
+        own = f"filter(places, p -> get(grams, p) IN ({listed(t.anchors)}))"
+        offsets = "map(" + ", ".join(f"'{g}', {at}" for g, at in t.anchors.items()) + ")"
+        starts = f"array_distinct(transform({own}, p -> p - try_element_at({offsets}, get(grams, p))))"
+        windows = f"transform({starts}, s -> array_distinct(slice(grams, greatest(s, 0) + 1, {t.words - 1} + least(s, 0))))"
+        fits = f"filter(concat(units, {windows}), g -> 2 * least(size(g), {size}) >= {float(least)}D * (size(g) + {size}))"
+        return F.expr(f"array_max(transform({fits}, g -> 2.0D * size(array_intersect(g, array({listed(t.bigrams)}))) / (size(g) + {size})))")
 
     each = F.array(*[F.struct(F.lit(k).alias("name"), best(t).alias("dice")) for k, t in tables.items()])
     return placed.select(F.col("id").alias(id_col), F.filter(each, lambda m: m["dice"] >= least).alias("matches"))
