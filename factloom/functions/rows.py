@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .text import COMMA_NUMBER, WS, first_or_null, let, trimmed
 from .vocabulary import NOT_ACCOUNT_PARTS, NOT_ACCOUNTS
 
+#: Fixed values, here and in the functions below: patterns of values, units, periods and labels.
 _VALUE = rf"^(?:-|0|{COMMA_NUMBER})\z"
 
 

@@ -128,6 +128,7 @@ def balance_issues(facts: DataFrame, tolerance: float = 1.0, by: tuple[str, ...]
     for name in BALANCE:
         finite = finite & F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) < float("inf"))
     expected = F.col("Liabilities") + F.col("Equity")
+    # check_name and message are part of the result rows.
     failed = sums.where(finite & (F.abs(F.col("Assets") - expected) > tolerance))
     return failed.select(F.lit("critical").alias("severity"), F.lit("Assets = Liabilities + Equity").alias("check_name"), F.lit("Balance sheet equation does not reconcile.").alias("message"), *by, F.lit("Assets").alias("concept"), expected.alias("expected"), F.col("Assets").alias("actual"), (F.col("Assets") - expected).alias("difference"))
 

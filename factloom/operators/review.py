@@ -148,6 +148,7 @@ def review_issues(types: DataFrame, toc: DataFrame, entries: DataFrame, sections
         return rows.select("document_id", F.struct(F.lit(step).alias("step"), order.cast("long").alias("ord")).alias("issue_ord"), F.lit(severity).alias("severity"), message.alias("message"))
 
     zero = F.lit(0)
+    # The messages are part of the result rows.
     return (
         issue(types.where("report_type = 'unknown'"), 0, zero, "high", F.lit("Document type could not be identified as audit report or annual report."))
         .unionByName(issue(state.where("toc is null"), 1, zero, "medium", F.lit("No table of contents was detected in the first 20 pages.")))

@@ -79,6 +79,7 @@ def read_references(refs: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def structure_warnings(rows: DataFrame, read: DataFrame) -> DataFrame:
+    """CANDIDATE, row_pos, warning. The warnings are part of the result rows."""
     dropped = rows.where("label = '' or cells is null").select(*CANDIDATE, "row_pos", F.lit("Dropped row without label or value_cells.").alias("warning"))
     bad = read.where(~F.col("valid")).select(*CANDIDATE, "row_pos", F.concat(F.lit("Dropped invalid cell reference for "), F.col("label"), F.lit(" / "), F.col("column_key"), F.lit(".")).alias("warning"))
     return dropped.unionByName(bad)
