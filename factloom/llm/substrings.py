@@ -42,7 +42,7 @@ from .words import BASE, BYTE_VALUES, INVERSE, _powers, byte_column, mix, word_h
 
 LENGTH = 400
 PASSAGE = 51
-TASK_BYTES = 16 << 20
+TASK_BYTES, LEAST_TASK_BYTES = 16 << 20, 1 << 20
 BUCKETS_A_TASK = 4
 
 
@@ -538,7 +538,8 @@ def removal_spans(lists: list[bytes]) -> np.ndarray:
 def repeats_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Symbols, Symbols] = (BYTES, WORDS)) -> DataFrame:
     """One row per input row: <id_col>, n_bytes, n_removed, n_spans, kept_sha256, shares_passage."""
     keyed = _keyed(documents, id_col, text_col)
-    tasks = 1 + int(keyed.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]) // TASK_BYTES
+    n = int(keyed.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
+    tasks = max(1 + n // TASK_BYTES, min(documents.sparkSession.sparkContext.defaultParallelism, 1 + n // LEAST_TASK_BYTES))
     texts, held, alone = parted_copies(keyed)
     gone, shared = (repeated_runs(texts, kind, tasks) for kind in kinds)
     both = gone.withColumn("shares", F.lit(False)).unionByName(shared.select("id", "hash", F.array().cast("array<binary>").alias("runs"), F.lit(True).alias("shares")))
