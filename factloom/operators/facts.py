@@ -15,7 +15,7 @@ from factloom.functions.rows import is_account, parsed_line, period, period_labe
 from factloom.functions.statements import statement_slice, titles
 from factloom.functions.text import WS, let, lines, text
 from factloom.functions.vocabulary import CASH_FLOW_END, CASH_FLOW_START, NOTE_ROWS
-from factloom.operators.order import first_wins
+from factloom.operators.order import first_wins, placed_anew
 
 FACT_COLUMNS = ["document_id", "filename", "scope", "statement_type", "concept", "label", "period", "value", "unit", "page_number", "confidence", "raw_line", "all_values", "period_labels", "column_labels", "notes", "evidence", "extraction_order"]
 
@@ -58,7 +58,7 @@ def first_tier(*tiers: DataFrame) -> DataFrame:
     """For each candidate the facts of the first tier that has any."""
     union = None
     for n, tier in enumerate(tiers):
-        tagged = tier.withColumn("tier", F.lit(n))
+        tagged = placed_anew(tier).withColumn("tier", F.lit(n)) if len(tiers) > 1 else tier.withColumn("tier", F.lit(n))
         union = tagged if union is None else union.unionByName(tagged, allowMissingColumns=True)
     return union.withColumn("best", F.min("tier").over(W.partitionBy("document_id", "candidate_ord"))).where("tier = best").drop("best")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import WS, compact, lines, trimmed
 from factloom.functions.vocabulary import REPORT_PATTERNS, REQUIRED_SECTIONS, STANDALONE_TITLES
-from factloom.operators.order import first_wins
+from factloom.operators.order import first_wins, placed_anew
 
 FIRST_PAGES, CONTENTS_PAGES, MAX_ENTRIES, REACH = 12, 20, 120, 5
 
@@ -145,7 +145,7 @@ def review_issues(types: DataFrame, toc: DataFrame, entries: DataFrame, sections
     state = types.join(toc.select("document_id").distinct().withColumn("toc", F.lit(True)), "document_id", "left").join(parsed, "document_id", "left")
 
     def issue(rows: DataFrame, step: int, order: Column, severity: str, message: Column) -> DataFrame:
-        return rows.select("document_id", F.struct(F.lit(step).alias("step"), order.cast("long").alias("ord")).alias("issue_ord"), F.lit(severity).alias("severity"), message.alias("message"))
+        return placed_anew(rows).select("document_id", F.struct(F.lit(step).alias("step"), order.cast("long").alias("ord")).alias("issue_ord"), F.lit(severity).alias("severity"), message.alias("message"))
 
     zero = F.lit(0)
     # The messages are part of the result rows.

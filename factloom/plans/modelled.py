@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.models import admitted, first_answers
+from factloom.operators.order import placed_anew
 from factloom.operators.spans import broad_pages, broad_range, normal_segments, reconciled
 from factloom.operators.structure import CANDIDATE, structure_facts, vision_facts
 from factloom.plans.pipeline import extracted
@@ -42,7 +43,8 @@ def refined(candidates: DataFrame, documents: DataFrame, responses: DataFrame) -
     """Spans narrowed by the segments of responses(document_id, response); documents without a usable segment keep theirs."""
     segments = normal_segments(responses.select("document_id", "response"), documents)
     told = segments.select("document_id").distinct()
-    return reconciled(candidates.join(told, "document_id", "left_semi"), segments).unionByName(candidates.join(told, "document_id", "left_anti"))
+    narrowed = reconciled(candidates.join(told, "document_id", "left_semi"), segments)
+    return placed_anew(narrowed).unionByName(placed_anew(candidates.join(told, "document_id", "left_anti")))
 
 
 def structure_requests(evidence: DataFrame, candidates: DataFrame, providers: Providers) -> DataFrame:
