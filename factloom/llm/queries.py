@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .clustering import clustered, clusters_sql
 from .common import table
 from .decontaminate import contamination_report
 from .licenses import license_report, report_sql
@@ -15,8 +16,10 @@ from .packing import pack_documents
 from .personal import personal_report
 from .quality import quality_report
 from .secrets import secret_report
+from .simhash import simhash_groups
 from .substrings import repeats_report
 from .warc import warc_round_trip
+from .whitening import whitened
 
 
 def tokenizer_path() -> str:
@@ -65,9 +68,22 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(table(spark, sf_dir, "documents"))
 
 
+def op11_partial_distance_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_scatter_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitened(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", rows["deviation"].cast("long"))
+
+
+def op13_bk_tree_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_cnn_quality, op2_secret_links, op3_warc_boundary_chain, op4_license_dice, op5_minmax_neardup, op6_bootstrapped_personal_data, op7_difference_cover_dedup, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns)}
+    return {f.__name__: f for f in (op1_byte_cnn_quality, op2_secret_links, op3_warc_boundary_chain, op4_license_dice, op5_minmax_neardup, op6_bootstrapped_personal_data, op7_difference_cover_dedup, op8_best_fit_packing, op9_fm_index_decontamination, op10_media_columns, op11_partial_distance_clusters, op12_exact_scatter_whitening, op13_bk_tree_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_dice": report_sql()}
+    return {"op4_license_dice": report_sql(), "op11_partial_distance_clusters": clusters_sql()}
