@@ -1,7 +1,7 @@
 """Extraction with language models, end to end, around whatever answers them.
 
 Every request is a row and every answer is a row: requests(keys, provider_ord, provider, model, prompt) go through admission, a caller
-(sources.models.ask) or a table of recorded answers, and the fallback between providers. An answer that is missing, blank, no JSON or
+(sources.calls, which asks a request's providers in turn) or a table of recorded answers. An answer that is missing, blank, no JSON or
 empties itself leaves what was there before - the heuristic spans, or the facts of the next tier - for its document or span alone.
 """
 
@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.models import admitted, first_answers
 from factloom.operators.order import placed_anew
 from factloom.operators.spans import broad_pages, broad_range, normal_segments, reconciled
 from factloom.operators.structure import CANDIDATE, structure_facts, vision_facts
 from factloom.plans.pipeline import extracted
-from factloom.sources.models import Caller, ask, segment_prompts, structure_prompts, vision_prompts
+from factloom.sources.calls import Policy, answered
+from factloom.sources.models import Caller, segment_prompts, structure_prompts, vision_prompts
 
 Providers = list[tuple[str, str]]  # (provider, model), the preferred one first
 
@@ -27,12 +27,12 @@ def requests(prompts: DataFrame, providers: Providers, max_output: int, extra_to
     return each.withColumn("extra_tokens", F.col(extra_tokens).cast("long") if extra_tokens else F.lit(0).cast("long"))
 
 
-def answers(asked: DataFrame, keys: list[str], caller: Caller) -> DataFrame:
-    """keys, provider, response, errors: of the first provider that admits the request and answers it."""
-    checked = admitted(asked)
-    open_ = checked.where("refusal is null").select(*keys, "provider_ord", "provider", "model", "prompt")
-    refused = checked.where("refusal is not null").select(*keys, "provider_ord", "provider", F.lit(None).cast("string").alias("response"), F.concat(F.lit("refused: "), "refusal", F.lit(" tokens")).alias("error"))
-    return first_answers(ask(open_, caller).drop("model").unionByName(refused), keys)
+def answers(asked: DataFrame, keys: list[str], caller: Caller, ledger: str | None = None, policy: Policy | None = None, run: str | None = None) -> DataFrame:
+    """keys, provider, response, errors: of the first provider that admits the request and answers it; those behind it are not asked.
+
+    The calls are made here and kept in a ledger (sources.calls), so what is made of the answers can be worked out any number of times.
+    """
+    return answered(asked, keys, caller, ledger, policy, run)
 
 
 def segment_requests(pages: DataFrame, documents: DataFrame, candidates: DataFrame, toc_checks: DataFrame, providers: Providers, max_pages: int = 100) -> DataFrame:

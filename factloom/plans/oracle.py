@@ -357,11 +357,18 @@ def oracle_sql() -> dict[str, str]:
         "q53_xbrl_units": f"SELECT upper(measure) AS unit_ref, arg_max(measure, fact_ord) AS measure FROM (SELECT fact_ord, CASE fact_ord % 4 WHEN 0 THEN 'krw' WHEN 1 THEN 'KRW' WHEN 2 THEN '천원' ELSE 'Usd' END AS measure FROM {V.facts_demo_sql(DUCK)} f) x GROUP BY 1",
         "q54_history_delete": f"SELECT id, seq, filename FROM {runs} r WHERE id NOT IN (SELECT concat('R', s_suppkey * 7) FROM supplier)",
         "q55_image_tokens": f"SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE CAST(ceil(p_size * 40.0 * (p_partkey % 1000) / 750) + ceil(length(p_name) * (1 + p_size) / 1024) AS BIGINT) END AS tokens FROM {V.images_demo_sql(DUCK)} v",
-        "q56_model_limits": "SELECT * FROM (VALUES ('gemini-2.5-flash-lite', 'gemini', 'speed', 1048576, 65536), ('gemini-2.5-pro', 'gemini', 'quality', 1048576, 65536), ('gemini-1.5-pro', 'gemini', 'quality', 2097152, 8192), ('gpt-5.4-mini', 'openai', 'speed', 400000, 128000), ('gpt-4o', 'openai', 'quality', 128000, 16384), ('o1-preview', 'openai', 'quality', 128000, 32768), ('o1-mini', 'openai', 'speed', 128000, 65536)) AS v(model, provider, tier, input_limit, output_limit)",
+        "q56_model_limits": "WITH limits(model, provider, tier, input_limit, output_limit) AS (VALUES ('gemini-2.5-flash-lite', 'gemini', 'speed', 1048576, 65536), ('gemini-2.5-pro', 'gemini', 'quality', 1048576, 65536), ('gemini-1.5-pro', 'gemini', 'quality', 2097152, 8192), ('gpt-5.4-mini', 'openai', 'speed', 400000, 128000), ('gpt-4o', 'openai', 'quality', 128000, 16384), ('o1-preview', 'openai', 'quality', 128000, 32768), ('o1-mini', 'openai', 'speed', 128000, 65536)) SELECT conv_id, turn, l.* FROM conversations c JOIN limits l ON l.provider = CASE WHEN conv_id % 2 = 0 THEN 'gemini' ELSE 'openai' END AND l.tier = CASE WHEN turn % 2 = 0 THEN 'speed' ELSE 'quality' END",
         "q57_history_restored": f"SELECT concat('R', fact_ord // 3) AS run_id, scope, period, concept, fact_ord * 0.5::DOUBLE AS value, fact_ord FROM {V.facts_demo_sql(DUCK)} f WHERE concat('R', fact_ord // 3) IN (SELECT id FROM {runs} r)",
         "q58_document_facts": f"SELECT fact_ord, regexp_replace(scope || '_' || CASE WHEN period = '' THEN 'unknown' ELSE period END, '[ .]', '_', 'g') AS context_ref, 'KRW' AS unit_ref, concept FROM {V.facts_demo_sql(DUCK)} f",
         "q47_history_listing": f"SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created, filename, array_to_string(report_types, ', ') AS types, CASE WHEN total = 0 THEN '' WHEN total >= 1048576 THEN printf('%.1f MB', total / 1048576) WHEN total >= 1024 THEN printf('%.1f KB', total / 1024) ELSE total || ' B' END AS size, n_candidates, n_facts, n_issues, seq FROM (SELECT *, CAST(files[1].size + files[2].size AS BIGINT) AS total FROM {runs} r) x",
         "q48_pipeline_issues": f"WITH {FACTS} SELECT document_id, scope, period, l + e AS expected, a AS actual, a - (l + e) AS difference FROM ({_BALANCE.format(by='document_id, scope, period', facts='(SELECT *, (candidate_ord, row_ord) AS fact_ord FROM facts) f')}) g WHERE abs(a - (l + e)) > 1",
         "q49_pipeline_facts": f"WITH {FACTS} SELECT document_id, filename, scope, statement_type, concept, label, period, value, unit, page_number, raw_line, all_values, extraction_order FROM facts",
         "q50_provider_fallback": "WITH a AS (SELECT conv_id, turn AS provider_ord, concat('p', turn) AS provider, nullif(regexp_replace(regexp_replace(CASE WHEN length(text) % 3 = 0 THEN text ELSE ' ' END, '^" + WS + "+', ''), '" + WS + "+$', ''), '') AS answer FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE WHEN length(text) % 3 = 0 THEN text ELSE ' ' END NULLS FIRST) = 1) c) SELECT conv_id, arg_min(provider, provider_ord) FILTER (answer IS NOT NULL) AS provider, arg_min(answer, provider_ord) FILTER (answer IS NOT NULL) AS response, CASE WHEN count(answer) = 0 THEN string_agg(provider || ': returned an empty response.', ' | ' ORDER BY provider_ord) END AS errors FROM a GROUP BY 1",
+        "q59_called_answers": """WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(text, '')) = 1),
+            r AS (SELECT *, turn * 40000 + (n + 3) // 4 > 2097152 AS no_g, turn * 40000 + (n + 3) // 4 > 128000 AS no_o FROM t),
+            g AS (SELECT *, NOT no_g AND n % 4 = 0 AS ok_g, CASE WHEN no_g THEN 0 WHEN n % 4 = 1 THEN 3 ELSE 1 END AS calls_g FROM r),
+            o AS (SELECT *, NOT ok_g AND NOT no_o AND n % 3 <> 0 AS ok_o, CASE WHEN ok_g OR no_o THEN 0 WHEN n % 3 = 0 THEN 3 ELSE 1 END AS calls_o FROM g)
+            SELECT conv_id, turn, CASE WHEN ok_g THEN 'gemini' WHEN ok_o THEN 'openai' END AS provider, CASE WHEN ok_g THEN 'gemini ' || n WHEN ok_o THEN 'openai ' || n END AS response,
+                CASE WHEN NOT ok_g AND NOT ok_o THEN CASE WHEN no_g THEN 'gemini: refused: input tokens' WHEN n % 4 = 1 THEN 'gemini: busy' WHEN n % 4 = 2 THEN 'gemini: bad request' ELSE 'gemini: returned an empty response.' END || CASE WHEN no_o THEN ' | openai: refused: input tokens' ELSE ' | openai: busy' END END AS errors,
+                calls_g + calls_o AS n_calls FROM o""",
     }

@@ -11,8 +11,9 @@ from factloom.functions import amounts, rows, statements, text
 from factloom.functions.json import json_text
 from factloom.functions.vocabulary import STATEMENT_TYPES
 from factloom.operators import display, evidence, facts, history, layout, models, order, review, spans, structure
-from factloom.plans import pipeline
+from factloom.plans import modelled, pipeline
 from factloom.plans import views as V
+from factloom.sources import calls, folders
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -494,8 +495,9 @@ def q55_image_tokens(spark, sf_dir):
 
 @query
 def q56_model_limits(spark, sf_dir):
-    """The limits of the models that are known, by provider."""
-    return models.model_limits(spark, "gemini").unionByName(models.model_limits(spark, "openai"))
+    """For each turn of a conversation the models of its provider and tier, with what they take and give."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, "gemini").otherwise("openai").alias("provider"), F.when(F.col("turn") % 2 == 0, "speed").otherwise("quality").alias("tier"))
+    return turns.join(F.broadcast(models.model_limits(spark)), ["provider", "tier"]).select("conv_id", "turn", "model", "provider", "tier", "input_limit", "output_limit")
 
 
 @query
@@ -512,3 +514,29 @@ def q58_document_facts(spark, sf_dir):
     """Facts of the assembled document with the contexts and units that they refer to."""
     out = facts.document_facts(V.view(spark, sf_dir, V.facts_demo_sql).withColumn("unit", F.expr("CASE WHEN fact_ord % 5 = 0 THEN '' ELSE 'krw' END")))
     return out.select("fact_ord", "context_ref", "unit_ref", "concept")
+
+
+def _stand_in(provider: str, model: str, prompt: str) -> str:
+    """A caller in place of a model: what it does follows from the prompt's length."""
+    n = len(prompt)
+    if provider == "gemini":
+        if n % 4 == 1:
+            raise calls.Passing("busy")
+        if n % 4 == 2:
+            raise ValueError("bad request")
+        return " " if n % 4 == 3 else f"{provider} {n}"
+    if n % 3 == 0:
+        raise calls.Passing("busy")
+    return f"{provider} {n}"
+
+
+@query
+def q59_called_answers(spark, sf_dir):
+    """Each turn of a conversation as a request: who answered it, or all errors, and how many calls that took."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("prompt"))
+    asked = modelled.requests(order.first_wins(turns, ["conv_id", "turn"], "prompt").withColumn("images", F.col("turn") * 40_000), [("gemini", "gemini-1.5-pro"), ("openai", "gpt-4o")], 8_192, "images")
+    keys, ledger, run = ["conv_id", "turn"], folders.new_folder(spark, "calls"), "q59"
+    checked = models.admitted(asked)
+    calls.call_all(checked, keys, _stand_in, ledger, calls.Policy(wait=0.0, flush=1000), run)
+    came = calls.outcomes(checked, keys, ledger, run)
+    return models.first_answers(came, keys).join(came.groupBy(*keys).agg(F.sum("n_calls").alias("n_calls")), keys).select(*keys, "provider", "response", "errors", "n_calls")
