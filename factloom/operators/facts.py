@@ -156,16 +156,26 @@ def units(facts: DataFrame) -> DataFrame:
     return document_facts(facts).groupBy("unit_ref").agg(F.max_by(_unit(), "fact_ord").alias("measure"))
 
 
-def document_json(facts: DataFrame, schema_name: str = "factloom-xbrl-like/v1") -> DataFrame:
-    """One JSON line per object of the assembled document - kind (schema, context, unit, fact), ref, json - to be written by partition.
+def document_objects(facts: DataFrame) -> DataFrame:
+    """The objects of the assembled document - kind (context, unit, fact), ref, json - with their place in it.
 
-    A document over many facts never meets in one row; pretty printing is left to who reads a small one.
+    Contexts and units stand where the first fact that names them does (place), facts at their fact_ord.
     """
     options = {"ignoreNullFields": "false"}
-    context_rows = contexts(facts).select(F.lit("context").alias("kind"), F.col("context_ref").alias("ref"), F.to_json(F.struct("scope", "period"), options).alias("json"))
-    unit_rows = units(facts).select(F.lit("unit").alias("kind"), F.col("unit_ref").alias("ref"), F.to_json(F.struct("measure"), options).alias("json"))
+    named = document_facts(facts)
+    first, last = F.min("fact_ord").alias("place"), F.max_by(F.struct("scope", "period"), "fact_ord")
+    context_rows = named.groupBy("context_ref").agg(last.alias("last"), first).select(F.lit("context").alias("kind"), F.col("context_ref").alias("ref"), F.to_json("last", options).alias("json"), "place")
+    unit_rows = named.groupBy("unit_ref").agg(F.struct(F.max_by(_unit(), "fact_ord").alias("measure")).alias("last"), first).select(F.lit("unit").alias("kind"), F.col("unit_ref").alias("ref"), F.to_json("last", options).alias("json"), "place")
     source = F.struct(F.col("document_id").alias("documentId"), "filename", F.col("page_number").alias("page")).alias("source")
     body = F.struct("concept", F.col("context_ref").alias("contextRef"), F.col("unit_ref").alias("unitRef"), "value", "label", F.col("statement_type").alias("statementType"), source, "confidence", F.col("all_values").alias("allValues"), F.col("raw_line").alias("rawLine"), F.col("period_labels").alias("periodLabels"), F.col("column_labels").alias("columnLabels"), "notes", "evidence", F.col("extraction_order").alias("extractionOrder"))
-    fact_rows = document_facts(facts).select(F.lit("fact").alias("kind"), F.col("fact_ord").cast("string").alias("ref"), F.to_json(body, options).alias("json"))
+    fact_rows = named.select(F.lit("fact").alias("kind"), F.col("fact_ord").cast("string").alias("ref"), F.to_json(body, options).alias("json"), F.col("fact_ord").alias("place"))
+    return context_rows.unionByName(unit_rows).unionByName(fact_rows)
+
+
+def document_json(facts: DataFrame, schema_name: str = "factloom-xbrl-like/v1") -> DataFrame:
+    """One row per object of the assembled document: kind (schema, context, unit, fact), ref, json. sources.documents writes the document itself.
+
+    A document over many facts never meets in one row.
+    """
     head = facts.sparkSession.createDataFrame([("schema", "", f'{{"schema":"{schema_name}"}}')], "kind string, ref string, json string")
-    return head.unionByName(context_rows).unionByName(unit_rows).unionByName(fact_rows)
+    return head.unionByName(document_objects(facts).select("kind", "ref", "json"))

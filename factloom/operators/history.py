@@ -87,8 +87,3 @@ def restored(payload: DataFrame, runs: DataFrame, kind: str, schema: str) -> Dat
     own = payload.where(F.col("kind") == kind).join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi")
     return own.select("run_id", F.from_json("json", schema).alias("row")).select("run_id", "row.*")
 
-
-def payload_kept(payload: DataFrame, new: DataFrame, history: DataFrame) -> DataFrame:
-    """The payload of the runs that history has, with the new one's in place of the old of the same run."""
-    old = payload.join(new.select("run_id").distinct(), "run_id", "left_anti").select(*payload.columns)
-    return old.unionByName(new).join(history.select(F.col("id").alias("run_id")), "run_id", "left_semi").select(*payload.columns)
