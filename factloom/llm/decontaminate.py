@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import freed, numbered, sha256_of, stash, unstash
-from .words import byte_column, slabs, word_hashes, word_spans
+from .words import byte_column, new_seed, slabs, word_hashes, word_spans
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
@@ -46,7 +46,8 @@ class Phrases:
     def __init__(self, ids: list[str], texts: list[str | None]):
         data, offsets = byte_column(pa.array(texts, pa.string()))
         starts, ends, rows = word_spans(data, offsets, WORD_BYTES)
-        hashes = word_hashes(data, starts, ends)
+        self.seed = new_seed()
+        hashes = word_hashes(data, starts, ends, self.seed)
         self.vocabulary, numbers = np.unique(hashes, return_inverse=True)
         bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
         self.names = sorted(set(ids))
@@ -186,7 +187,7 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tup
     """(words per row, rows of words, hit flags of words, distinct (row, item number)) of a shard's texts."""
     n = len(offsets) - 1
     starts, ends, rows = word_spans(data, offsets, WORD_BYTES)
-    numbers = phrases.number(word_hashes(data, starts, ends))
+    numbers = phrases.number(word_hashes(data, starts, ends, phrases.seed))
     count = np.bincount(rows, minlength=n)
     hit = np.zeros(len(rows), bool)
     none: list[tuple[int, int]] = []

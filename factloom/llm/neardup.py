@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow, numbered, stash, unstash
-from .words import byte_column, mix, slabs, word_hashes, word_spans
+from .words import byte_column, mix, new_seed, slabs, word_hashes, word_spans
 
 SHINGLE = 5
 THRESHOLD = 85  # hundredths; op5's contract
@@ -43,11 +43,11 @@ _FLIPS = _random.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _FACTORS = _random.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the sorted distinct shingle hashes of row r are hashes[bounds[r]:bounds[r + 1]]."""
     n = len(offsets) - 1
     starts, ends, rows = word_spans(data, offsets, WORD_BYTES)
-    words = word_hashes(data, starts, ends)
+    words = word_hashes(data, starts, ends, seed)
     count = np.bincount(rows, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])
     if len(words) >= SHINGLE:
@@ -88,14 +88,14 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(documents: DataFrame, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
     """id, n, f1, f2 (a 128-bit print of the set), bands (null for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_column(batch.column(1))
             for first, last in slabs(offsets):
-                hashes, bounds = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                hashes, bounds = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], seed)
                 n = np.diff(bounds)
                 some = np.flatnonzero(n)
                 prints = np.zeros((2, len(n)), np.uint64)
@@ -126,7 +126,7 @@ def marks(ids: DataFrame, most_bits: int = MARK_BITS) -> np.ndarray:
     return np.packbits(out[:bits])
 
 
-def full_sets(documents: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+def full_sets(documents: DataFrame, id_col: str, text_col: str, wanted: DataFrame, seed: int = 0) -> DataFrame:
     """id, shingles (sorted distinct hashes) of the rows with a wanted id (and of a few others), where they are read: no text is shuffled.
 
     More wanted ids than a bitmap of MARK_BITS can tell apart are joined instead.
@@ -145,7 +145,7 @@ def full_sets(documents: DataFrame, id_col: str, text_col: str, wanted: DataFram
             batch = batch.filter(pa.array(marked[slot >> 3] >> (7 - (slot & 7)) & 1 == 1))
             data, offsets = byte_column(batch.column(1))
             for first, last in slabs(offsets):
-                hashes, bounds = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                hashes, bounds = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], seed)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], ["id", "shingles"])
 
@@ -252,7 +252,8 @@ def missing_links(groups: DataFrame, links: DataFrame, comps: DataFrame, sets: D
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: <id_col>, n_shingles, component_id, kept."""
-    signed = stash(signatures(documents, id_col, text_col), "signatures")
+    seed = new_seed()
+    signed = stash(signatures(documents, id_col, text_col, seed), "signatures")
     some = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     nodes = stash(some.groupBy("n", "f1", "f2").agg(F.min("id").alias("node")), "nodes")
     chosen = some.join(nodes, ["n", "f1", "f2"]).where("id = node")
@@ -260,7 +261,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     together = groups.join(groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot").where((F.col("size") > 1) | comparable("n", "pn", threshold))
     wanted = together.select(F.col("node").alias("id")).union(together.select("pivot")).distinct()
-    sets = stash(full_sets(documents, id_col, text_col, wanted), "sets")
+    sets = stash(full_sets(documents, id_col, text_col, wanted, seed), "sets")
 
     stars = groups.where(comparable("n", "pn", threshold)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = stash(confirmed(stars, sets, threshold), "links")

@@ -86,3 +86,11 @@ def test_filter_keeps_columns_and_clean_rows(docs, spark):
     assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
     assert decontaminated(docs([]), bench).count() == 0
     assert decontaminated(table, bench.limit(0)).count() == 4
+
+
+def test_words_that_are_built_to_collide_stay_apart(spark, docs):
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    items = spark.createDataFrame([("i", word)], "item_id string, text string")
+    rows = contamination_report(docs([word, other, f"x {other} {word}"]), items).collect()
+    assert [(r.n_hit, r.n_items) for r in sorted(rows)] == [(1, 1), (0, 0), (1, 1)]

@@ -5,8 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from factloom.llm.neardup import components, marks, near_duplicates, shingle_sets, without_near_duplicates
-from factloom.llm.words import byte_column
+from factloom.llm.neardup import WORD_BYTES, components, marks, near_duplicates, shingle_sets, without_near_duplicates
+from factloom.llm.words import byte_column, word_hashes, word_spans
 
 
 def shingles(text):
@@ -144,3 +144,26 @@ def test_the_pipeline_stage_takes_pairs_from_four_fifths_on(spark, docs):
     alike.append(80)
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(texts), "").collect()}
     assert kept == {k for n, x in enumerate(alike) for k in ((2 * n,) if x >= 80 else (2 * n, 2 * n + 1))}
+
+
+def thue_morse(letters, n=1024):
+    """A word of two letters that, with its complement, has equal polynomial hashes modulo 2^64 for every odd base."""
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_that_are_built_to_collide_stay_apart(docs):
+    texts = [thue_morse("ab"), thue_morse("ba"), thue_morse("ab", 4096) + " x y z", thue_morse("ba", 4096) + " x y z", thue_morse("AB")]
+    assert [tuple(r)[2] for r in sorted(near_duplicates(docs(texts)).collect())] == [0, 1, 2, 3, 0]
+
+
+def test_hashes_of_words_of_any_length():
+    rnd = random.Random(11)
+    words = sorted({"".join(rnd.choice("ab") for _ in range(n)) for n in [1, 2, 3, 5, 63, 64, 64, 65, 127, 128, 129, 200, 5000, 3 << 19, 3 << 19] for _ in range(4)})
+    data, offsets = byte_column(pa.array([" ".join(words)]))
+    starts, ends, _ = word_spans(data, offsets, WORD_BYTES)
+    hashes = word_hashes(data, starts, ends, 5)
+    assert len(set(hashes.tolist())) == len(words)
+    for k, word in enumerate(words):
+        own, _ = byte_column(pa.array([word.upper()]))
+        assert word_hashes(own, np.array([0]), np.array([len(word)]), 5)[0] == hashes[k]
+    assert not set(hashes.tolist()) & set(word_hashes(data, starts, ends, 6).tolist())
