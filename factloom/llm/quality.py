@@ -4,8 +4,8 @@ A document's bytes are cut into overlapping chunks that cover all of it. Learned
 embeddings, each filter keeps its maximum over the chunk, and the maxima - averaged and maximised over the chunks, with the
 number of bytes - are combined by a small hidden layer into one probability. Scoring runs where the rows are; only the fitted numbers travel with the task.
 
-Fitting uses a bounded sample: at most TRAIN_ROWS labelled rows of each class, the first by a hash of their id, with at most
-TRAIN_CHUNKS chunks each; the prior of all labelled rows is put back afterwards. Held-out rows (crc32(id) mod 5 = 0) are never used.
+Fitting uses a bounded sample: at most TRAIN_ROWS labelled rows of each class, the first by a hash of their id, each with all
+its chunks; the prior of all labelled rows is put back afterwards. Held-out rows (crc32(id) mod 5 = 0) are never used.
 
 Defined results: a null or empty text counts as one chunk of padding and has a score; a null id is held out; repeated rows
 give repeated results; without labels of both classes every score is the share of label 1 (1.0 without any label); other
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from .common import freed, in_arrow, numbered
 from .words import byte_column
 
-CHUNK, HOP = 512, 448
+CHUNK, HOP = 512, 447  # odd, so that filters, which move by 2, meet a text at both phases
 WIDTH, STRIDE = 8, 2
 EMBED, FILTERS, HIDDEN = 8, 32, 16
-TRAIN_ROWS, TRAIN_CHUNKS = 4000, 24
+TRAIN_ROWS = 4000
 EPOCHS, BATCH_DOCS, RATE = 10, 48, 0.004
 REJECT_BELOW = 0.3
-SCORE_CHUNKS = 1024
+SCORE_CHUNKS, SLOPE_CHUNKS = 1024, 1024
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -114,14 +114,16 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, n_bytes: np.ndarray, se
             best = top >= given[owner, FILTERS : 2 * FILTERS]
             back = to_given[owner, :FILTERS] / sizes[owner, None] + best * to_given[owner, FILTERS : 2 * FILTERS]
             back = (back * (top > 0)).astype(np.float32)
-            at = place[:, :, None] * STRIDE + np.arange(WIDTH)
-            under = chunks[np.arange(len(chunks))[:, None, None], at]
-            shown = net.embed[under].reshape(len(chunks), FILTERS, WIDTH * EMBED)
-            to_filters = np.einsum("cf,cfw->wf", back, shown, optimize=True)
-            to_shown = back[:, :, None] * net.filters.T[None]
-            to_embed = np.zeros_like(net.embed)
-            for e in range(EMBED):
-                to_embed[:, e] = np.bincount(under.ravel(), to_shown.reshape(-1, WIDTH, EMBED)[:, :, e].ravel(), 256)
+            to_filters, to_embed = np.zeros_like(net.filters), np.zeros_like(net.embed)
+            for j in range(0, len(chunks), SLOPE_CHUNKS):
+                own, back_j = chunks[j : j + SLOPE_CHUNKS], back[j : j + SLOPE_CHUNKS]
+                at = place[j : j + SLOPE_CHUNKS, :, None] * STRIDE + np.arange(WIDTH)
+                under = own[np.arange(len(own))[:, None, None], at]
+                shown = net.embed[under].reshape(len(own), FILTERS, WIDTH * EMBED)
+                to_filters += np.einsum("cf,cfw->wf", back_j, shown, optimize=True)
+                to_shown = (back_j[:, :, None] * net.filters.T[None]).reshape(-1, WIDTH, EMBED)
+                for e in range(EMBED):
+                    to_embed[:, e] += np.bincount(under.ravel(), to_shown[:, :, e].ravel(), 256)
             to_embed[0] = 0
             slopes = [to_embed, to_filters, back.sum(axis=0), given.T @ to_inner, to_inner.sum(axis=0), wrong @ inner, wrong.sum(keepdims=True)]
             steps += 1
@@ -153,22 +155,16 @@ def training_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
         one = usable.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
         chosen = one if chosen is None else chosen.union(one)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = []
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                chunks = chunked(np.frombuffer(text.encode(), np.uint8))
-                if len(chunks) > TRAIN_CHUNKS:
-                    chunks = chunks[np.linspace(0, len(chunks) - 1, TRAIN_CHUNKS).astype(int)]
-                kept.append((key, chunks.tobytes(), len(text.encode())))
-            yield pd.DataFrame(kept, columns=["id", "chunks", "n_bytes"])
+            yield pd.DataFrame({"id": batch["id"], "data": [text.encode() for text in batch["text"]]})
 
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen_texts = texts.join(F.broadcast(chosen.select("id")), "id", "left_semi")  # at most 2 x TRAIN_ROWS ids
-    cut_texts = chosen_texts.mapInPandas(freed(cut), "id long, chunks binary, n_bytes long").join(F.broadcast(chosen), "id")
-    rows = {(r["id"], r["label"], bytes(r["chunks"]), r["n_bytes"]) for r in cut_texts.collect()}
-    rows = sorted(rows)
-    return [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, _, c, _ in rows], np.array([r[1] for r in rows], np.float32), np.array([r[3] for r in rows], np.float32), 1.0 if share is None else float(share)
+    kind = texts.schema["id"].dataType.simpleString()
+    read = chosen_texts.mapInPandas(freed(whole), f"id {kind}, data binary").join(F.broadcast(chosen), "id")
+    rows = sorted({(r["id"], r["label"], bytes(r["data"])) for r in read.collect()})
+    return [chunked(np.frombuffer(data, np.uint8)) for _, _, data in rows], np.array([r[1] for r in rows], np.float32), np.array([len(r[2]) for r in rows], np.float32), 1.0 if share is None else float(share)
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
