@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.text import COMMA_NUMBER, WS, compact, rounded, text, trimmed
+from factloom.functions.text import COMMA_NUMBER, WS, let, rounded, text, trimmed
 
 MAX_ROWS, MAX_CELLS, HEADER_ROWS, MAX_BANDS = 140, 18, 30, 6
 #: Farther than this from a cluster's mean, a center opens the next cluster.
@@ -66,67 +66,87 @@ def evidence_pages(span_pages: DataFrame) -> DataFrame:
     return pages.select(*CANDIDATE, "page_number", F.size("rows").alias("row_count"), F.size(F.filter("rows", lambda r: r.kind == "data")).alias("numeric_row_count"), "rows")
 
 
-def header_cells(pages: DataFrame) -> DataFrame:
-    """Cells of the first 30 rows of each page that name a period."""
-    rows = pages.select(*CANDIDATE, "page_number", F.posexplode(F.slice("rows", 1, HEADER_ROWS)).alias("row_pos", "row"))
-    cells = rows.select(*CANDIDATE, "page_number", "row_pos", F.posexplode("row.cells").alias("cell_pos", "cell"))
-    return cells.select(*CANDIDATE, F.struct("page_number", "row_pos", "cell_pos").alias("seen"), period_key(F.col("cell.text")).alias("key"), F.col("cell.text").alias("label"), (F.col("cell.x") + F.col("cell.width") / 2).alias("center"), F.col("cell.width").alias("width")).where("key is not null")
+def page_features(page_number: Column, rows: Column) -> Column:
+    """What a page tells of its candidate's columns: headers [seen, key, label, center, width], the cells of its first 30 rows that name a
+    period, and centers, those of the numeric cells of its data rows."""
 
+    def header(r: Column, row_pos: Column) -> Column:
+        cells = F.transform(r.cells, lambda c, k: F.struct(F.struct(page_number.alias("page_number"), row_pos.alias("row_pos"), k.alias("cell_pos")).alias("seen"), period_key(c.text).alias("key"), c.text.alias("label"), (c.x + c.width / 2).alias("center"), c.width.alias("width")))
+        return F.filter(cells, lambda c: c.key.isNotNull())
 
-def header_centers(cells: DataFrame) -> DataFrame:
-    """One center for each period of a candidate: mean place, mean width of 30 or more, first label."""
-    return cells.groupBy(*CANDIDATE, "key").agg(F.min_by("label", "seen").alias("label"), F.avg("center").alias("center"), F.greatest(F.lit(30.0), F.avg("width")).alias("width"), F.min("seen").alias("seen"))
+    headers = F.flatten(F.transform(F.slice(rows, 1, HEADER_ROWS), header))
+    centers = F.flatten(F.transform(F.filter(rows, lambda r: r.kind == "data"), lambda r: F.transform(F.filter(r.cells, lambda c: is_numeric_cell(c.text)), lambda c: c.x + c.width / 2)))
+    return F.struct(headers.alias("headers"), centers.alias("centers"))
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda t, v: t + v) / F.size(values)
+
+
+def header_centers(headers: Column) -> Column:
+    """One center for each period: mean place, mean width of 30 or more, first label. [center, seen, key, label, width]."""
+
+    def one(key: Column) -> Column:
+        def told(own: Column) -> Column:
+            first = F.array_min(F.transform(own, lambda h: F.struct(h.seen.alias("seen"), h.label.alias("label"))))
+            return F.struct(_mean(F.transform(own, lambda h: h.center)).alias("center"), first.seen.alias("seen"), key.alias("key"), first.label.alias("label"), F.greatest(F.lit(30.0), _mean(F.transform(own, lambda h: h.width))).alias("width"))
+
+        return let(F.filter(headers, lambda h: h.key == key), told)
+
+    return F.transform(F.array_distinct(F.transform(headers, lambda h: h.key)), one)
 
 
 def clusters(values: Column, gap: float = CLUSTER_GAP) -> Column:
-    """Means of clusters of the sorted values; each value is held against the mean of the last cluster so far. A fold."""
-    start = F.array().cast("array<struct<total:double,n:int>>")
+    """Means of clusters of the sorted values; each value is held against the mean of the last cluster so far. A fold that copies no
+    list but where a cluster ends."""
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("means"))
 
-    def step(found: Column, v: Column) -> Column:
-        last = F.try_element_at(found, F.lit(-1))
-        near = F.coalesce(F.abs(last["total"] / last["n"] - v) <= gap, F.lit(False))
-        grown = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(F.struct((last["total"] + v).alias("total"), (last["n"] + 1).alias("n"))))
-        return F.when(near, grown).otherwise(F.concat(found, F.array(F.struct(v.alias("total"), F.lit(1).alias("n")))))
+    def step(s: Column, v: Column) -> Column:
+        near = (s["n"] > 0) & (F.abs(s["total"] / s["n"] - v) <= gap)
+        opened = F.struct(v.alias("total"), F.lit(1).alias("n"), F.when(s["n"] > 0, F.concat(s["means"], F.array(s["total"] / s["n"]))).otherwise(s["means"]).alias("means"))
+        return F.when(near, F.struct((s["total"] + v).alias("total"), (s["n"] + 1).alias("n"), s["means"].alias("means"))).otherwise(opened)
 
     finite = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.transform(F.aggregate(F.sort_array(finite), start, step), lambda c: c["total"] / c["n"])
+    return F.aggregate(F.sort_array(finite), start, step, lambda s: F.when(s["n"] > 0, F.concat(s["means"], F.array(s["total"] / s["n"]))).otherwise(s["means"]))
 
 
-def numeric_centers(pages: DataFrame) -> DataFrame:
-    """One center for each cluster of numeric cells of a candidate's data rows, the last six. At most 18 * 140 cells a page meet."""
-    own = F.flatten(F.transform(F.filter("rows", lambda r: r.kind == "data"), lambda r: F.transform(F.filter(r.cells, lambda c: is_numeric_cell(c.text)), lambda c: c.x + c.width / 2)))
-    candidates = pages.select(*CANDIDATE, own.alias("own")).groupBy(*CANDIDATE).agg(F.flatten(F.collect_list("own")).alias("all"))
-    means = candidates.select(*CANDIDATE, clusters(F.col("all")).alias("means"))
-    last = F.slice("means", F.greatest(F.size("means") - (MAX_BANDS - 1), F.lit(1)), F.lit(MAX_BANDS))
-    found = means.select(*CANDIDATE, F.posexplode(last).alias("i", "center"))
-    key = F.concat(F.lit("period_"), F.col("i") + 1)
-    return found.select(*CANDIDATE, key.alias("key"), key.alias("label"), "center", F.lit(40.0).alias("width"), F.struct(F.col("i").alias("page_number"), F.lit(0).alias("row_pos"), F.lit(0).alias("cell_pos")).alias("seen"))
+def numeric_centers(centers: Column) -> Column:
+    """One center for each cluster of the numeric cells, the last six. [center, seen, key, label, width]."""
 
+    def one(center: Column, i: Column) -> Column:
+        key = F.concat(F.lit("period_"), i + 1)
+        return F.struct(center.alias("center"), F.struct(i.alias("page_number"), F.lit(0).alias("row_pos"), F.lit(0).alias("cell_pos")).alias("seen"), key.alias("key"), key.alias("label"), F.lit(40.0).alias("width"))
 
-def bands_of(centers: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return let(clusters(centers), lambda means: F.transform(F.slice(means, F.greatest(F.size(means) - (MAX_BANDS - 1), F.lit(1)), F.lit(MAX_BANDS)), one))
+
+
+def bands_of(centers: Column) -> Column:
     """Centers as bands that meet halfway, the outer ones open by 40 or one and a half widths; the last six by center."""
-    keys = keys or CANDIDATE
-    latest = W.partitionBy(*keys).orderBy(F.col("center").desc(), F.col("seen").desc())
-    order = W.partitionBy(*keys).orderBy("center", "seen")
-    kept = centers.withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= MAX_BANDS)
-    before, after = F.lag("center").over(order), F.lead("center").over(order)
-    edge = F.greatest(F.lit(40.0), F.col("width") * 1.5)
-    c = F.col("center")
-    placed = kept.select(*keys, "key", "label", F.when(before.isNull(), c - edge).otherwise((before + c) / 2).alias("x1"), F.when(after.isNull(), c + edge).otherwise((c + after) / 2).alias("x2"), "center", (F.row_number().over(order) - 1).alias("band_ord"))
-    return placed.select(*keys, "band_ord", "key", "label", rounded(F.col("x1")).alias("x1"), rounded(F.col("x2")).alias("x2"), rounded(c).alias("center"))
 
+    def banded(kept: Column) -> Column:
+        def one(b: Column, i: Column) -> Column:
+            before, after, edge = F.get(kept, i - 1).center, F.get(kept, i + 1).center, F.greatest(F.lit(40.0), b.width * 1.5)
+            x1 = F.when(i == 0, b.center - edge).otherwise((before + b.center) / 2)
+            x2 = F.when(i == F.size(kept) - 1, b.center + edge).otherwise((b.center + after) / 2)
+            return F.struct(i.alias("band_ord"), b.key.alias("key"), b.label.alias("label"), rounded(x1).alias("x1"), rounded(x2).alias("x2"), rounded(b.center).alias("center"))
+
+        return F.transform(kept, one)
+
+    last_six = lambda c: F.slice(c, F.greatest(F.size(c) - (MAX_BANDS - 1), F.lit(1)), F.lit(MAX_BANDS))
+    return let(let(F.array_sort(centers), last_six), banded)
 
-def column_bands(pages: DataFrame) -> DataFrame:
-    """Bands of each candidate: of the periods in its headers, or, where it has none, of its numeric cells."""
-    headers = header_centers(header_cells(pages))
-    without = pages.join(headers.select(*CANDIDATE).distinct(), CANDIDATE, "left_anti")
-    return bands_of(headers.unionByName(numeric_centers(without)))
 
+def annotated(pages: DataFrame) -> DataFrame:
+    """Each page with its candidate's column_bands - of the periods in its headers, or, where it has none, of its numeric cells; numeric
+    cells get the first band that their center lies in as value_column.
 
-def annotated(pages: DataFrame, bands: DataFrame) -> DataFrame:
-    """Each page with its candidate's bands; numeric cells get the first band that their center lies in as value_column."""
-    listed = bands.groupBy(*CANDIDATE).agg(F.array_sort(F.collect_list(F.struct("band_ord", "key", "label", "x1", "x2", "center"))).alias("column_bands"))
-    joined = pages.join(listed, CANDIDATE, "left").withColumn("column_bands", F.coalesce("column_bands", F.array().cast("array<struct<band_ord:int,key:string,label:string,x1:double,x2:double,center:double>>")))
+    A candidate's pages (few) meet in a window; only what they tell of columns is gathered, and the bands are worked out on one of them.
+    """
+    candidate = W.partitionBy(*CANDIDATE)
+    told = pages.withColumn("told", page_features(F.col("page_number"), F.col("rows")))
+    gathered = told.withColumns({"headers": F.flatten(F.collect_list("told.headers").over(candidate)), "centers": F.flatten(F.collect_list("told.centers").over(candidate)), "nth": F.row_number().over(candidate.orderBy("page_number"))})
+    found = F.when(F.size("headers") > 0, header_centers(F.col("headers"))).otherwise(numeric_centers(F.col("centers")))
+    placed = gathered.withColumn("own_bands", F.when(F.col("nth") == 1, bands_of(found))).withColumn("column_bands", F.max_by("own_bands", -F.col("nth")).over(candidate))
 
     def cell(c: Column) -> Column:
         center = c.x + c.width / 2
@@ -134,16 +154,20 @@ def annotated(pages: DataFrame, bands: DataFrame) -> DataFrame:
         return F.struct(c.cell_index.alias("cell_index"), c.x.alias("x"), c.y.alias("y"), c.width.alias("width"), c.height.alias("height"), c.text.alias("text"), F.when(is_numeric_cell(c.text), band.key).alias("value_column"))
 
     rows = F.transform("rows", lambda r: F.struct(r.row_index.alias("row_index"), r.y.alias("y"), r.kind.alias("kind"), r.numeric_cell_count.alias("numeric_cell_count"), r.text.alias("text"), F.transform(r.cells, cell).alias("cells")))
-    return joined.withColumn("rows", rows)
+    return placed.select(*pages.columns, "column_bands").withColumn("rows", rows)
+
+
+def header_means(cells: DataFrame) -> DataFrame:
+    """header_centers() over rows (document_id, candidate_ord, seen, key, label, center, width), for candidates of any number of header cells."""
+    return cells.groupBy(*CANDIDATE, "key").agg(F.min_by("label", "seen").alias("label"), F.avg("center").alias("center"), F.greatest(F.lit(30.0), F.avg("width")).alias("width"), F.min("seen").alias("seen"))
 
 
-def in_bands(cells: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells (keys, x, width) left-joined to the first band of their key that their center lies in.
+def in_bands(cells: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells (keys, x, width) with the first band of their key that their center lies in. centers(keys, center, seen, key, label, width): few a key.
 
-    A key has six bands at most, so the join is an equi-join on the key with the interval as a filter, then a first-of window-free
-    aggregate in the band list.
+    A key has six bands at most, so they travel as one array: an equi-join on the key, and the interval is looked up in the array.
     """
-    listed = bands.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("band_ord", "key", "x1", "x2"))).alias("bands"))
+    listed = centers.groupBy(*keys).agg(F.collect_list(F.struct("center", "seen", "key", "label", "width")).alias("centers")).select(*keys, bands_of(F.col("centers")).alias("bands"))
     center = F.col("x") + F.col("width") / 2
     joined = cells.join(listed, keys, "left")
     return joined.withColumn("value_column", F.get(F.filter("bands", lambda b: center.between(b.x1, b.x2)), F.lit(0)).key).drop("bands")

@@ -2,30 +2,81 @@
 
 items(document_id, page_number, item_ord, str, x, y, width, height) -> cells(document_id, page_number, row_index, row_y, cell_index, x,
 y, width, height, text) and pages(document_id, page_number, text).
+
+Which row an item belongs to depends on the rows that items before it have opened, so a page is gone through in order, in Arrow batches
+of pages: three look-ups an item, whatever the number of rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import let, trimmed
+from factloom.functions.text import trimmed
 
 #: An item belongs to a row whose first item is less than this away.
 ROW_GAP = 3.0
+PLACES = ("x", "y", "width", "height")
+_ROWS = "document_id {id}, page_number {page}, item_rows array<struct<row_index:int,y:double,cells:array<struct<cell_index:int,x:double,y:double,width:double,height:double,text:string>>>>"
 
 
-def first_fit(ys: Column, gap: float = ROW_GAP) -> Column:
-    """The row of each y in turn: the first row whose first y is less than gap away, else a new one. {anchors, rows} as a fold."""
-    start = F.struct(F.array().cast("array<double>").alias("anchors"), F.array().cast("array<int>").alias("rows"))
+def first_fit(ys: list[float], gap: float = ROW_GAP) -> tuple[list[int], list[float]]:
+    """(row of each y, first y of each row): the earliest row whose first y is less than gap away, else a new one.
 
-    def step(state: Column, y: Column) -> Column:
-        near = F.filter(F.transform(state["anchors"], lambda a, i: F.when(F.abs(a - y) < gap, i)), lambda i: i.isNotNull())
-        row = F.coalesce(F.get(near, F.lit(0)), F.size(state["anchors"]))
-        anchors = F.when(F.size(near) > 0, state["anchors"]).otherwise(F.concat(state["anchors"], F.array(y)))
-        return F.struct(anchors.alias("anchors"), F.concat(state["rows"], F.array(row)).alias("rows"))
-
-    return F.aggregate(ys, start, step)
+    First ys lie in a grid of cells as wide as the gap, so those that can be near are in the y's own cell and the two beside it.
+    """
+    grid: dict[int, list[int]] = {}
+    rows, firsts = [], []
+    for y in ys:
+        if not math.isfinite(y):  # near nothing, itself included
+            rows.append(len(firsts))
+            firsts.append(y)
+            continue
+        cell = math.floor(y / gap)
+        near = [n for c in (cell - 1, cell, cell + 1) for n in grid.get(c, ()) if abs(firsts[n] - y) < gap]
+        if near:
+            rows.append(min(near))
+        else:
+            grid.setdefault(cell, []).append(len(firsts))
+            rows.append(len(firsts))
+            firsts.append(y)
+    return rows, firsts
+
+
+def _shaped(batch: pa.RecordBatch, gap: float, kind: pa.DataType) -> pa.RecordBatch:
+    """Pages with item_rows. batch: two keys, and of each page's items in their order a list a property."""
+    lists = {name: batch.column(2 + k) for k, name in enumerate((*PLACES, "text"))}
+    offsets = lists["y"].offsets.to_numpy().astype(np.int64)
+    values = {name: lists[name].flatten().to_numpy(zero_copy_only=False) for name in PLACES}
+    page = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+    ys, row, down = values["y"].tolist(), np.empty(len(page), np.int64), np.empty(len(page))
+    base, offsets = 0, offsets - offsets[0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own, firsts = first_fit(ys[a:b], gap)
+        row[a:b], down[a:b] = own, -np.array(firsts)[own] if own else []
+        row[a:b] += base
+        base += len(firsts)
+    # rows downwards (of equal places, the one opened first), cells to the right (of equal places, in the order of items)
+    order = np.lexsort((values["x"], row, down, page))
+    row = row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = row[1:] != row[:-1]
+    begins = np.flatnonzero(new)
+    row_ends = np.append(begins, len(row))
+    cell_index = np.arange(len(row)) - np.repeat(begins, np.diff(row_ends))
+    pages_of_rows = page[order][begins]
+    page_ends = np.searchsorted(pages_of_rows, np.arange(batch.num_rows + 1))
+    row_index = np.arange(len(begins)) - page_ends[:-1][pages_of_rows]
+    text = lists["text"].flatten().take(pa.array(order))
+    cell_type = kind.value_type.field("cells").type
+    cells = pa.StructArray.from_arrays([pa.array(cell_index.astype(np.int32)), *[pa.array(values[n][order]) for n in PLACES], text.cast(pa.string())], fields=list(cell_type.value_type))
+    rows = pa.StructArray.from_arrays([pa.array(row_index.astype(np.int32)), pa.array(-down[order][begins]), pa.ListArray.from_arrays(pa.array(row_ends.astype(np.int32)), cells)], fields=list(kind.value_type))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(page_ends.astype(np.int32)), rows)], ["document_id", "page_number", "item_rows"])
 
 
 def rows_of(items: DataFrame, gap: float = ROW_GAP) -> DataFrame:
@@ -33,22 +84,21 @@ def rows_of(items: DataFrame, gap: float = ROW_GAP) -> DataFrame:
 
     A page's items meet in one row of the table: a page is bounded by what fits on paper.
     """
-    item = F.struct("item_ord", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("x", "y", "width", "height")], trimmed(F.col("str")).alias("text"))
+    item = F.struct("item_ord", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PLACES], "text")
     # blank items go before the shuffle
-    pages = items.where(trimmed(F.coalesce("str", F.lit(""))) != "").groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def row(fit: Column, anchor: Column, n: Column) -> Column:
-        cells = F.filter(F.transform("items", lambda i, k: F.when(fit["rows"][k] == n, F.struct(i.x.alias("x"), i.item_ord.alias("item_ord"), i.y.alias("y"), i.width.alias("width"), i.height.alias("height"), i.text.alias("text")))), lambda c: c.isNotNull())
-        return F.struct((-anchor).alias("down"), n.alias("n"), F.array_sort(cells).alias("cells"))
-
-    fit = first_fit(F.transform("items", lambda i: i.y), gap)
-    placed = pages.withColumn("down", let(fit, lambda f: F.array_sort(F.transform(f["anchors"], lambda anchor, n: row(f, anchor, n)))))
-
-    def shaped(r: Column, row_index: Column) -> Column:
-        cells = F.transform(r.cells, lambda c, k: F.struct(k.alias("cell_index"), c.x.alias("x"), c.y.alias("y"), c.width.alias("width"), c.height.alias("height"), c.text.alias("text")))
-        return F.struct(row_index.alias("row_index"), (-r.down).alias("y"), cells.alias("cells"))
-
-    return placed.select("document_id", "page_number", F.transform("down", shaped).alias("item_rows"))
+    full = items.withColumn("text", trimmed(F.coalesce("str", F.lit("")))).where("text != ''")
+    pages = full.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    listed = pages.select("document_id", "page_number", *[F.col(f"items.{c}").alias(c) for c in (*PLACES, "text")])
+    cell = pa.struct([("cell_index", pa.int32()), *[(c, pa.float64()) for c in PLACES], ("text", pa.string())])
+    kind = pa.list_(pa.struct([("row_index", pa.int32()), ("y", pa.float64()), ("cells", pa.list_(cell))]))
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _shaped(batch, gap, kind)
+
+    id_type, page_type = (items.schema[c].dataType.simpleString() for c in ("document_id", "page_number"))
+    return listed.mapInArrow(shape, _ROWS.format(id=id_type, page=page_type))
 
 
 def page_text(item_rows: Column) -> Column:

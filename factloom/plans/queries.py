@@ -164,8 +164,7 @@ def q16_band_join(spark, sf_dir):
     cells = V.view(spark, sf_dir, V.cells_demo_sql).withColumn("candidate_ord", F.lit(0))
     center = F.col("x") + F.col("width") / 2
     heads = cells.where("row_index = 0").select(*SPAN_KEYS, F.struct(F.col("page_number"), F.col("row_index").alias("row_pos"), F.col("cell_index").alias("cell_pos")).alias("seen"), F.col("cell_index").cast("string").alias("key"), F.col("cell_index").cast("string").alias("label"), center.alias("center"), "width")
-    bands = evidence.bands_of(evidence.header_centers(heads))
-    joined = evidence.in_bands(cells, bands, SPAN_KEYS)
+    joined = evidence.in_bands(cells, evidence.header_means(heads), SPAN_KEYS)
     return joined.select("document_id", "page_number", "row_index", "cell_index", "value_column")
 
 
@@ -328,8 +327,7 @@ def q34_broad_range(spark, sf_dir):
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a candidate of its own."""
     pages = layout.pages_of(V.view(spark, sf_dir, V.items_demo_sql)).withColumn("candidate_ord", F.col("page_number"))
-    found = evidence.evidence_pages(pages)
-    return evidence.annotated(found, evidence.column_bands(found))
+    return evidence.annotated(evidence.evidence_pages(pages))
 
 
 @query

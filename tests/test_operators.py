@@ -212,3 +212,29 @@ def test_files_landing_folder_and_models(spark, tmp_path):
         return prompt.upper()
 
     assert {r["k"]: (r["response"], r["error"]) for r in ask.ask(requests, caller).collect()} == {1: ("HI", None), 2: (None, "empty")}
+
+
+def test_rows_of_pages_equal_first_fit_over_all_rows(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(f"d{k % 3}", k % 4, k, rnd.choice([" a ", "b", "", None, "ㅎ"]), rnd.choice([None, float(rnd.randrange(40))]), rnd.choice([rnd.uniform(-30, 60), float(rnd.randrange(20)), None, 7.0]), 5.0, 2.0) for k in range(900)]
+    items = spark.createDataFrame(rows, "document_id string, page_number int, item_ord int, str string, x double, y double, width double, height double")
+    expected = set()
+    for key in {r[:2] for r in rows}:
+        anchors, held = [], []
+        for _, _, item_ord, text, x, y, _, _ in (r for r in rows if r[:2] == key and (r[3] or "").strip()):
+            y = y or 0.0
+            near = [n for n, a in enumerate(anchors) if abs(a - y) < 3]
+            n = near[0] if near else len(anchors)
+            if not near:
+                anchors.append(y)
+                held.append([])
+            held[n].append((x or 0.0, item_ord, text.strip(), y))
+        for row_index, n in enumerate(sorted(range(len(anchors)), key=lambda n: (-anchors[n], n))):
+            expected |= {(*key, row_index, anchors[n], k, x, text, y) for k, (x, _, text, y) in enumerate(sorted(held[n]))}
+    cells = layout.cells_of(layout.pages_of(items.repartition(5)))
+    got = [(r.document_id, r.page_number, r.row_index, r.row_y, r.cell_index, r.x, r.text, r.y) for r in cells.collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert layout.pages_of(items.where("false")).count() == 0
+    assert layout.first_fit([100, 102, 104, 97.5, 95])[0] == [0, 0, 1, 0, 2] and layout.first_fit([float("nan"), 1.0, float("inf"), float("inf")])[0] == [0, 1, 2, 3]
