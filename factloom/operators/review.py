@@ -1,6 +1,9 @@
 """Structure review: what kind of report a document is, its table of contents, and which expected parts are missing.
 
-pages(document_id, page_number, text), documents(document_id, page_count). All steps shuffle by document_id only.
+pages(document_id, page_number, text), documents(document_id, page_count). A document is gone through once: windows over its pages find
+the contents pages and hand their entries (120 at most) to every page, each page tells which entries and sections it has, and the
+best page of each is a small aggregate. All of it is dealt by document_id, so it costs one shuffle of the pages (and one for the report
+types); what comes out is one row a document, and every table of the review is read from that row.
 """
 
 from __future__ import annotations
@@ -9,15 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.text import WS, compact, lines, trimmed
+from factloom.functions.text import WS, compact, let, lines, trimmed
 from factloom.functions.vocabulary import REPORT_PATTERNS, REQUIRED_SECTIONS, STANDALONE_TITLES
-from factloom.operators.order import first_wins, placed_anew
 
 FIRST_PAGES, CONTENTS_PAGES, MAX_ENTRIES, REACH = 12, 20, 120, 5
+SECTIONS = sorted({name for names in REQUIRED_SECTIONS.values() for name in names})
 
 
 def _ranked(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("nth", F.row_number().over(W.partitionBy("document_id").orderBy("page_number")))
+    return pages.select("document_id", "page_number", "text").withColumn("nth", F.row_number().over(W.partitionBy("document_id").orderBy("page_number")))
 
 
 def report_types(pages: DataFrame) -> DataFrame:
@@ -42,24 +45,6 @@ def page_references(page_text: Column) -> Column:
     return F.size(kept)
 
 
-def contents_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """document_id, toc_page, confidence, page_number, text: the pages of the table of contents.
-
-    The best scored of the first twenty pages, if it scores 20 or more, and up to two page numbers after it while these have three
-    references or more; page numbers that the document lacks are skipped.
-    """
-    document = W.partitionBy("document_id")
-    c = compact(F.col("text"))
-    refs = _ranked(pages).withColumn("refs", page_references(F.col("text"))).withColumn("score", F.when(c.contains("목차") | c.contains("contents"), 50).otherwise(0) + F.least(F.lit(50), 5 * F.col("refs")))
-    best = F.max(F.when(F.col("nth") <= CONTENTS_PAGES, F.struct(F.col("score").alias("score"), (-F.col("nth")).alias("early"), F.col("page_number").alias("page_number")))).over(document)
-    with_best = refs.withColumn("best", best).where(F.col("best.score") >= 20).join(documents.select("document_id", "page_count"), "document_id")
-    start = F.col("best.page_number")
-    near = with_best.where(F.col("page_number").between(start, F.least(F.col("page_count"), start + 2)))
-    stop = F.min(F.when((F.col("page_number") != start) & (F.col("refs") < 3), F.col("page_number"))).over(document)
-    kept = near.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("page_number") < F.col("stop")))
-    return kept.select("document_id", start.alias("toc_page"), F.least(F.lit(0.95), F.col("best.score") / F.lit(100.0)).alias("confidence"), "page_number", "text")
-
-
 def clean_contents_title(title: Column) -> Column:
     out = F.regexp_replace(title, rf"(?i)^[IVXLCDMⅠ-ⅿ\d]+(?:{WS}|[.)-])*", "")
     out = F.regexp_replace(out, rf"^[①-⑳❶-❿]{WS}*", "")
@@ -67,22 +52,65 @@ def clean_contents_title(title: Column) -> Column:
     return trimmed(out)
 
 
-def contents_entries(toc: DataFrame) -> DataFrame:
-    """document_id, entry_ord, title, expected_page: lines of title and page number, the first of equal ones, 120 at most a document."""
-    rows = toc.select("document_id", "page_number", F.posexplode(lines(F.col("text"))).alias("line_index", "raw"))
-    rows = rows.withColumn("line", trimmed(F.regexp_replace("raw", f"{WS}+", " "))).where((F.col("line") != "") & (compact(F.col("line")) != "목차"))
+def contents_lines(page_number: Column, page_text: Column) -> Column:
+    """The lines of title and page number of a contents page: [page_number, line_index, title, title_key, expected_page]."""
     pattern = r"(?s)^(.{2,100}?)(?:\.{2,}|\s{2,}|\s)\s*(\d{1,4})\z"
-    rows = rows.where(F.col("line").rlike(pattern)).select("document_id", "page_number", "line_index", clean_contents_title(F.regexp_extract("line", pattern, 1)).alias("title"), F.regexp_extract("line", pattern, 2).cast("int").alias("expected_page")).where("title != ''")
-    rows = first_wins(rows.withColumn("title_key", compact(F.col("title"))), ["document_id", "title_key", "expected_page"], "page_number", "line_index")
-    rows = rows.withColumn("entry_ord", F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "line_index")) - 1).where(F.col("entry_ord") < MAX_ENTRIES)
-    return rows.select("document_id", "entry_ord", "title", "title_key", "expected_page")
+    told = F.transform(lines(page_text), lambda raw, k: F.struct(k.alias("line_index"), trimmed(F.regexp_replace(raw, f"{WS}+", " ")).alias("line")))
+    told = F.filter(told, lambda t: (t.line != "") & (compact(t.line) != "목차") & t.line.rlike(pattern))
+    told = F.transform(told, lambda t: F.struct(t.line_index.alias("line_index"), clean_contents_title(F.regexp_extract(t.line, pattern, 1)).alias("title"), F.regexp_extract(t.line, pattern, 2).cast("int").alias("expected_page")))
+    return F.transform(F.filter(told, lambda t: t.title != ""), lambda t: F.struct(page_number.alias("page_number"), t.line_index.alias("line_index"), t.title.alias("title"), compact(t.title).alias("title_key"), t.expected_page.alias("expected_page")))
+
+
+def _numbered_entries(found: Column) -> Column:
+    """The first of equal lines, in their order, 120 at most, with their words: [entry_ord, title, title_key, expected_page, words, joined]."""
+
+    def first_of_equal(rows: Column) -> Column:
+        keys = F.transform(rows, lambda e: F.struct(e.title_key.alias("k"), e.expected_page.alias("p")))
+        return let(keys, lambda ks: F.filter(rows, lambda e, n: F.array_position(ks, F.struct(e.title_key.alias("k"), e.expected_page.alias("p"))) == n + 1))
+
+    def entry(e: Column, n: Column) -> Column:
+        words = F.slice(F.filter(F.split(e.title_key, r"[.()/\-\d]+"), lambda t: F.length(t) >= 2), 1, 4)
+        return F.struct(n.alias("entry_ord"), e.title.alias("title"), e.title_key.alias("title_key"), e.expected_page.alias("expected_page"), words.alias("words"), F.array_join(words, "").alias("joined"))
+
+    return F.transform(F.slice(let(F.array_sort(found), first_of_equal), 1, MAX_ENTRIES), entry)
+
+
+def page_features(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_id, page_number, nth, text, compact_text, toc_page, confidence, in_toc, entries: each page with its document's contents.
+
+    The contents begin on the best scored of the first twenty pages, if it scores 20 or more, and go on over up to two page numbers after
+    it while these have three references or more; page numbers that the document lacks are skipped.
+    """
+    document = W.partitionBy("document_id")
+    # text is compacted behind the shuffle, so that it is shuffled once
+    seen = _ranked(pages).withColumns({"compact_text": compact(F.col("text")), "refs": page_references(F.col("text"))}).join(documents.select("document_id", "page_count"), "document_id", "left")
+    score = F.when(F.col("compact_text").contains("목차") | F.col("compact_text").contains("contents"), 50).otherwise(0) + F.least(F.lit(50), 5 * F.col("refs"))
+    best = F.max(F.when(F.col("nth") <= CONTENTS_PAGES, F.struct(score.alias("score"), (-F.col("nth")).alias("early"), F.col("page_number").alias("page_number")))).over(document)
+    start = F.when((F.col("best.score") >= 20) & F.col("page_count").isNotNull(), F.col("best.page_number"))
+    near = seen.withColumn("best", best).withColumn("toc_page", start).withColumn("near", F.coalesce(F.col("page_number").between(F.col("toc_page"), F.least(F.col("page_count"), F.col("toc_page") + 2)), F.lit(False)))
+    stop = F.min(F.when(F.col("near") & (F.col("page_number") != F.col("toc_page")) & (F.col("refs") < 3), F.col("page_number"))).over(document)
+    placed = near.withColumn("stop", stop).withColumn("in_toc", F.col("near") & (F.col("stop").isNull() | (F.col("page_number") < F.col("stop"))))
+    own = placed.withColumn("own", F.when(F.col("in_toc"), contents_lines(F.col("page_number"), F.col("text"))))
+    # the lines of all contents pages are put in order on one page, which hands them to the others
+    gathered = own.withColumn("all", F.flatten(F.collect_list("own").over(document)))
+    first = gathered.withColumn("first_entries", F.when(F.col("nth") == 1, _numbered_entries(F.col("all"))))
+    entries = first.withColumn("entries", F.max_by("first_entries", -F.col("nth")).over(document))
+    return entries.select("document_id", "page_number", "nth", "text", "compact_text", "toc_page", F.least(F.lit(0.95), F.col("best.score") / F.lit(100.0)).alias("confidence"), "in_toc", "entries")
+
+
+def contents_pages(features: DataFrame) -> DataFrame:
+    """document_id, toc_page, confidence, page_number, text: the pages of the table of contents."""
+    return features.where("in_toc").select("document_id", "toc_page", "confidence", "page_number", "text")
 
 
-def searchable(pages: DataFrame, toc: DataFrame) -> DataFrame:
-    """Pages outside of the table of contents: their compact text and their lines that may be a statement's title."""
-    own = F.filter(F.transform(lines(F.col("text")), lambda line: F.regexp_replace(compact(line), r"^\d+(?:-\d+)?\.", "")), lambda c: ~c.contains("주석") & (F.length(c) <= 40) & (F.length(c) > 0))
-    ranked = pages.join(toc.select("document_id", "page_number"), ["document_id", "page_number"], "left_anti")
-    return ranked.select("document_id", "page_number", compact(F.col("text")).alias("compact_text"), own.alias("own_lines"))
+def contents_entries(features: DataFrame) -> DataFrame:
+    """document_id, entry_ord, title, title_key, expected_page: the entries of the table of contents."""
+    return features.where("nth = 1").select("document_id", F.explode("entries").alias("e")).select("document_id", "e.entry_ord", "e.title", "e.title_key", "e.expected_page")
+
+
+def own_lines(page_text: Column) -> Column:
+    """The lines that may be a statement's title."""
+    return F.filter(F.transform(lines(page_text), lambda line: F.regexp_replace(compact(line), r"^\d+(?:-\d+)?\.", "")), lambda c: ~c.contains("주석") & (F.length(c) <= 40) & (F.length(c) > 0))
 
 
 def section_is_on(needle: Column) -> Column:
@@ -91,84 +119,107 @@ def section_is_on(needle: Column) -> Column:
     return F.when(needle.isin(STANDALONE_TITLES), F.arrays_overlap("own_lines", variants)).otherwise(F.col("compact_text").contains(needle))
 
 
-def section_checks(types: DataFrame, pages: DataFrame) -> DataFrame:
-    """document_id, section_ord, section, found_page: the first searchable page with each expected section, null without one."""
-    expected = F.create_map(*[x for kind, names in REQUIRED_SECTIONS.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))])
-    wanted = types.select("document_id", F.posexplode(F.element_at(expected, F.col("report_type"))).alias("section_ord", "section"))
-    # a page meets its document's few sections as one array, so its text is never copied for each
-    packed = wanted.groupBy("document_id").agg(F.collect_list(F.struct("section_ord", "section")).alias("sections"))
-    found = F.filter("sections", lambda s: section_is_on(s["section"]))
-    hits = pages.join(packed, "document_id").select("document_id", "page_number", F.explode(F.transform(found, lambda s: s["section_ord"])).alias("section_ord"))
-    hits = hits.groupBy("document_id", "section_ord").agg(F.min("page_number").alias("found_page"))
-    return wanted.join(hits, ["document_id", "section_ord"], "left")
+#: A page's rank for an entry or section as one number: tier, then nearness, then page number; the least is the best.
+_TIER, _NEAR = 1 << 48, 1 << 40
+
 
+def _page_of(rank: Column) -> Column:
+    return (rank % _NEAR).cast("int")
 
-def contents_checks(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """document_id, entry_ord, title, expected_page, found_page, status.
+
+def entry_rank(e: Column) -> Column:
+    """How good the page is for a contents entry, null if it isn't on it.
 
     A page within five of the expected one comes first, the nearest (the later of two equally near) before others; then the first page
     with the title; then the first with the title's words joined.
     """
-    words = F.slice(F.filter(F.split(F.col("title_key"), r"[.()/\-\d]+"), lambda t: F.length(t) >= 2), 1, 4)
-    wanted = entries.withColumn("words", words).withColumn("joined", F.array_join("words", ""))
-    # a page meets its document's entries (MAX_ENTRIES at most) as one array, so its text is never copied for each
-    packed = wanted.groupBy("document_id").agg(F.collect_list(F.struct("entry_ord", "title_key", "expected_page", "words", "joined")).alias("entries"))
-
-    def ranked(tier: int, near: Column) -> Column:
-        return F.struct(F.lit(tier).alias("tier"), near.cast("long").alias("near"), F.col("page_number").alias("page_number"))
+    page = F.col("page_number").cast("long")
+    off = page - e["expected_page"]
+    by_title = (e["title_key"] != "") & section_is_on(e["title_key"])
+    by_words = (F.size(e["words"]) > 0) & section_is_on(e["joined"]) & F.forall(e["words"], lambda w: F.col("compact_text").contains(w))
+    titled = F.when(F.abs(off) <= REACH, (F.abs(off) * 2 + F.when(off > 0, 0).otherwise(1)) * _NEAR + page).otherwise(_TIER + page)
+    return F.when(by_title, titled).when(by_words, 2 * _TIER + page)
+
+
+def reviewed(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row a document: report_type, confidence, type_reasons, has_toc, sections [section_ord, section, found_page], checks [entry_ord,
+    title, expected_page, found_page, status], issues [issue_ord, severity, message], status."""
+    features = page_features(pages, documents)
+    searched = features.withColumn("own_lines", F.when(~F.col("in_toc"), own_lines(F.col("text"))))
+
+    def told(kind: str, ord_: Column, rank: Column, info: Column | None = None) -> Column:
+        nothing = F.lit(None).cast("struct<entries:array<struct<entry_ord:int,title:string,title_key:string,expected_page:int,words:array<string>,joined:string>>>")
+        return F.struct(F.lit(kind).alias("kind"), ord_.cast("int").alias("ord"), rank.cast("long").alias("rank"), (nothing if info is None else info).alias("info"))
+
+    on_page = F.filter(F.transform("entries", lambda e: told("entry", e["entry_ord"], entry_rank(e))), lambda t: t["rank"].isNotNull())
+    names = F.filter(F.transform(F.array(*map(F.lit, SECTIONS)), lambda s, n: told("section", n, F.when(section_is_on(s), F.col("page_number")))), lambda t: t["rank"].isNotNull())
+    contents = F.when(F.col("in_toc"), F.array(told("contents", F.lit(0), F.col("page_number")))).otherwise(F.concat(on_page, names))
+    first = F.when(F.col("nth") == 1, F.array(told("document", F.lit(0), F.lit(0), F.struct("entries")))).otherwise(F.array().cast("array<struct<kind:string,ord:int,rank:bigint,info:struct<entries:array<struct<entry_ord:int,title:string,title_key:string,expected_page:int,words:array<string>,joined:string>>>>>"))
+    tellings = searched.select("document_id", F.explode(F.concat(first, contents)).alias("t")).select("document_id", "t.*")
+    best = tellings.groupBy("document_id", "kind", "ord").agg(F.min("rank").alias("rank"), F.first("info", ignorenulls=True).alias("info"))
+    places = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "rank"))))
+    met = best.groupBy("document_id").agg(F.first("info", ignorenulls=True).alias("info"), places("entry").alias("on_pages"), places("section").alias("has_sections"), F.bool_or(F.col("kind") == "contents").alias("has_toc"))
+    return _judged(report_types(pages).join(met, "document_id"))
+
+
+def _judged(documents: DataFrame) -> DataFrame:
+    def check(e: Column) -> Column:
+        found = _page_of(F.try_element_at("on_pages", e["entry_ord"]))
+        apart = F.abs(found - e["expected_page"])
+        status = F.when(found.isNull(), "missing").when(apart == 0, "matched").when(apart <= 2, "near").otherwise("page_mismatch")
+        return F.struct(e["entry_ord"].alias("entry_ord"), e["title"].alias("title"), e["expected_page"].alias("expected_page"), found.alias("found_page"), status.alias("status"))
+
+    expected = F.create_map(*[x for kind, names in REQUIRED_SECTIONS.items() for x in (F.lit(kind), F.array(*[F.struct(F.lit(n).alias("section_ord"), F.lit(name).alias("section"), F.lit(SECTIONS.index(name)).alias("place")) for n, name in enumerate(names)]))])
+    nothing = F.array().cast("array<struct<section_ord:int,section:string,place:int>>")
+    sections = F.transform(F.coalesce(F.try_element_at(expected, F.col("report_type")), nothing), lambda s: F.struct(s["section_ord"].alias("section_ord"), s["section"].alias("section"), _page_of(F.try_element_at("has_sections", s["place"])).alias("found_page")))
+    rows = documents.withColumns({"checks": F.transform("info.entries", check), "sections": sections})
+
+    def issue(step: int, ord_: Column, severity: str, message: Column) -> Column:
+        return F.struct(F.struct(F.lit(step).alias("step"), ord_.cast("long").alias("ord")).alias("issue_ord"), F.lit(severity).alias("severity"), message.alias("message"))
+
+    none, zero = F.array().cast("array<struct<issue_ord:struct<step:int,ord:bigint>,severity:string,message:string>>"), F.lit(0)
+    only = lambda condition, i: F.when(condition, F.array(i)).otherwise(none)
+    # The messages are part of the result rows.
+    issues = F.concat(
+        only(F.col("report_type") == "unknown", issue(0, zero, "high", F.lit("Document type could not be identified as audit report or annual report."))),
+        only(~F.col("has_toc"), issue(1, zero, "medium", F.lit("No table of contents was detected in the first 20 pages."))),
+        only(F.col("has_toc") & (F.size("checks") == 0), issue(1, zero, "medium", F.lit("A table of contents page was detected, but structured entries could not be parsed."))),
+        F.transform(F.filter("sections", lambda s: s["found_page"].isNull()), lambda s: issue(2, s["section_ord"], "medium", F.concat(F.lit("Expected section not found: "), s["section"]))),
+        F.transform(failed_entries(F.col("checks"), 20), lambda c: issue(3, c["entry_ord"], "low", F.concat(F.lit("TOC entry check failed: "), c["title"]))),
+    )
+    worst = F.when(F.exists("issues", lambda i: i["severity"] == "high"), "error").when(F.size("issues") > 0, "warn").otherwise("ok")
+    return rows.withColumn("issues", issues).withColumn("status", worst).select("document_id", "report_type", "confidence", "type_reasons", "has_toc", "sections", "checks", "issues", "status")
 
-    def rank(e: Column) -> Column:
-        off = F.col("page_number") - e["expected_page"]
-        by_title = (e["title_key"] != "") & section_is_on(e["title_key"])
-        by_words = (F.size(e["words"]) > 0) & section_is_on(e["joined"]) & F.forall(e["words"], lambda w: F.col("compact_text").contains(w))
-        titled = F.when(F.abs(off) <= REACH, ranked(0, F.abs(off) * 2 - F.when(off > 0, 1).otherwise(0))).otherwise(ranked(1, F.lit(0)))
-        return F.when(by_title, titled).when(by_words, ranked(2, F.lit(0)))
 
-    met = F.filter(F.transform("entries", lambda e: F.struct(e["entry_ord"].alias("entry_ord"), rank(e).alias("rank"))), lambda m: m["rank"].isNotNull())
-    hits = pages.join(packed, "document_id").select("document_id", F.explode(met).alias("m"))
-    best = hits.groupBy("document_id", F.col("m.entry_ord").alias("entry_ord")).agg(F.min("m.rank").alias("best"))
-    checked = entries.join(best, ["document_id", "entry_ord"], "left").withColumn("found_page", F.col("best.page_number"))
-    apart = F.abs(F.col("found_page") - F.col("expected_page"))
-    status = F.when(F.col("found_page").isNull(), "missing").when(apart == 0, "matched").when(apart <= 2, "near").otherwise("page_mismatch")
-    return checked.select("document_id", "entry_ord", "title", "expected_page", "found_page", status.alias("status"))
+def failed_entries(checks: Column, limit: int = 50) -> Column:
+    """The first entries that were not found where they should be."""
+    return F.slice(F.filter(checks, lambda c: c["status"].isin("missing", "page_mismatch")), 1, limit)
 
 
-def failed_entries(checks: DataFrame, limit: int = 50) -> DataFrame:
-    """The first entries of each document that were not found where they should be."""
-    failed = checks.where(F.col("status").isin("missing", "page_mismatch"))
-    return failed.withColumn("nth", F.row_number().over(W.partitionBy("document_id").orderBy("entry_ord"))).where(F.col("nth") <= limit)
+def _each(documents: DataFrame, array: str) -> DataFrame:
+    return documents.select("document_id", F.explode(array).alias("x")).select("document_id", "x.*")
 
 
-def review_issues(types: DataFrame, toc: DataFrame, entries: DataFrame, sections: DataFrame, checks: DataFrame) -> DataFrame:
-    """document_id, issue_ord, severity, message."""
-    parsed = entries.groupBy("document_id").agg(F.count("*").alias("n"))
-    state = types.join(toc.select("document_id").distinct().withColumn("toc", F.lit(True)), "document_id", "left").join(parsed, "document_id", "left")
+def section_checks(documents: DataFrame) -> DataFrame:
+    """document_id, section_ord, section, found_page: the first searchable page with each expected section, null without one. documents: reviewed()."""
+    return _each(documents, "sections")
 
-    def issue(rows: DataFrame, step: int, order: Column, severity: str, message: Column) -> DataFrame:
-        return placed_anew(rows).select("document_id", F.struct(F.lit(step).alias("step"), order.cast("long").alias("ord")).alias("issue_ord"), F.lit(severity).alias("severity"), message.alias("message"))
 
-    zero = F.lit(0)
-    # The messages are part of the result rows.
-    return (
-        issue(types.where("report_type = 'unknown'"), 0, zero, "high", F.lit("Document type could not be identified as audit report or annual report."))
-        .unionByName(issue(state.where("toc is null"), 1, zero, "medium", F.lit("No table of contents was detected in the first 20 pages.")))
-        .unionByName(issue(state.where("toc and n is null"), 1, zero, "medium", F.lit("A table of contents page was detected, but structured entries could not be parsed.")))
-        .unionByName(issue(sections.where("found_page is null"), 2, F.col("section_ord"), "medium", F.concat(F.lit("Expected section not found: "), F.col("section"))))
-        .unionByName(issue(failed_entries(checks, 20), 3, F.col("entry_ord"), "low", F.concat(F.lit("TOC entry check failed: "), F.col("title"))))
-    )
+def contents_checks(documents: DataFrame) -> DataFrame:
+    """document_id, entry_ord, title, expected_page, found_page, status. documents: reviewed()."""
+    return _each(documents, "checks")
 
 
-def review_status(types: DataFrame, issues: DataFrame) -> DataFrame:
-    """document_id, status: error with a high issue, warn with any, else ok."""
-    worst = issues.groupBy("document_id").agg(F.max(F.when(F.col("severity") == "high", 2).otherwise(1)).alias("worst"))
-    rank = F.coalesce("worst", F.lit(0))
-    return types.join(worst, "document_id", "left").select("document_id", F.when(rank == 2, "error").when(rank == 1, "warn").otherwise("ok").alias("status"))
+def review_issues(documents: DataFrame) -> DataFrame:
+    """document_id, issue_ord, severity, message. documents: reviewed()."""
+    return _each(documents, "issues")
 
 
-def review(pages: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
-    """The whole review as named tables."""
-    types, toc = report_types(pages), contents_pages(pages, documents)
-    entries, places = contents_entries(toc), searchable(pages, toc)
-    sections, checks = section_checks(types, places), contents_checks(entries, places)
-    issues = review_issues(types, toc, entries, sections, checks)
-    return {"reviews": types, "toc_pages": toc, "toc_entries": entries, "section_checks": sections, "toc_checks": checks, "review_issues": issues, "status": review_status(types, issues)}
+def review(pages: DataFrame, documents: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
+    """The whole review as named tables. folder: where the documents' rows are written, so that all tables are read from there."""
+    rows = reviewed(pages, documents)
+    if folder:
+        rows.write.mode("overwrite").parquet(folder)
+        rows = pages.sparkSession.read.schema(rows.schema).parquet(folder)
+    features = page_features(pages, documents)
+    return {"reviews": rows.select("document_id", "report_type", "confidence", "type_reasons"), "toc_pages": contents_pages(features), "toc_entries": contents_entries(features), "section_checks": section_checks(rows), "toc_checks": contents_checks(rows), "review_issues": review_issues(rows), "status": rows.select("document_id", "status"), "documents": rows}

@@ -231,23 +231,20 @@ def order_free(rows_: DataFrame) -> DataFrame:
     return rows_.select("event_id", "document_id", "candidate_ord", "event_type", "tier")
 
 
-def _toc(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pages, documents = _pages(spark, sf_dir), _documents(spark, sf_dir)
-    toc = review.contents_pages(pages, documents)
-    return pages, toc, review.contents_entries(toc)
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.reviewed(_pages(spark, sf_dir), _documents(spark, sf_dir))
 
 
 @query
 def q24_toc_parse(spark, sf_dir):
     """The entries of the tables of contents."""
-    return _toc(spark, sf_dir)[2].select("document_id", "entry_ord", "title", "expected_page")
+    return review.contents_entries(review.page_features(_pages(spark, sf_dir), _documents(spark, sf_dir))).select("document_id", "entry_ord", "title", "expected_page")
 
 
 @query
 def q25_toc_match(spark, sf_dir):
     """Where the entries are found."""
-    pages, toc, entries = _toc(spark, sf_dir)
-    return review.contents_checks(entries, review.searchable(pages, toc))
+    return review.contents_checks(_reviewed(spark, sf_dir))
 
 
 @query
@@ -319,8 +316,7 @@ def q33_token_admission(spark, sf_dir):
 @query
 def q34_broad_range(spark, sf_dir):
     """The pages of each document worth sending to a model."""
-    pages, toc, entries = _toc(spark, sf_dir)
-    checks = review.contents_checks(entries, review.searchable(pages, toc))
+    checks = review.contents_checks(_reviewed(spark, sf_dir))
     return spans.broad_range(_documents(spark, sf_dir), _spans(spark, sf_dir), checks)
 
 
@@ -371,16 +367,15 @@ def q39_span_pages(spark, sf_dir):
 @query
 def q40_section_checks(spark, sf_dir):
     """The first page of each section that a report should have."""
-    pages, toc, _ = _toc(spark, sf_dir)
-    return review.section_checks(review.report_types(pages), review.searchable(pages, toc))
+    return review.section_checks(_reviewed(spark, sf_dir))
 
 
 @query
 def q41_review_issues(spark, sf_dir):
     """What is wrong with each document's structure, and how bad it is."""
-    found = review.review(_pages(spark, sf_dir), _documents(spark, sf_dir))
-    issues = found["review_issues"].groupBy("document_id").agg(F.count("*").alias("n_issues"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("issue_ord", "severity", "message"))), lambda i: F.concat(i.severity, F.lit(":"), i.message)), "\n").cast("binary")).alias("digest"))
-    return found["status"].join(issues, "document_id", "left")
+    lines = F.transform("issues", lambda i: F.concat(i["severity"], F.lit(":"), i["message"]))
+    found = F.size("issues") > 0
+    return _reviewed(spark, sf_dir).select("document_id", "status", F.when(found, F.size("issues")).cast("long").alias("n_issues"), F.when(found, F.md5(F.array_join(lines, "\n").cast("binary"))).alias("digest"))
 
 
 @query
