@@ -15,6 +15,7 @@ from factloom.functions.vocabulary import EQUITY_COLUMN_NAMES, EQUITY_COLUMNS, E
 from factloom.operators.order import first_wins
 
 GROUP = ["scope", "statement_type"]
+SALTS = 64
 
 
 def formatted(value: Column) -> Column:
@@ -99,7 +100,10 @@ def columns_of(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     long = rows.select(*GROUP, "extraction_order", "fact_ord", F.posexplode(_source_labels()).alias("pos", "raw"))
     long = long.withColumn("column_label", column_label(F.col("raw"), F.col("statement_type"))).where("column_label != ''")
     first = long.groupBy(*GROUP, "column_label").agg(F.min(F.struct("extraction_order", "fact_ord", "pos")).alias("seen"))
-    ranked = first.withColumn("nth", F.row_number().over(W.partitionBy(*GROUP).orderBy("seen"))).join(grouped.select(*GROUP, "column_count"), GROUP).where("nth <= column_count")
+    # groups are few and labels may be many: each of SALTS parts of a group keeps its own first ones, and only those meet
+    dealt = first.join(grouped.select(*GROUP, "column_count"), GROUP).withColumn("salt", F.pmod(F.xxhash64("column_label"), F.lit(SALTS)))
+    nth = lambda *keys: F.row_number().over(W.partitionBy(*GROUP, *keys).orderBy("seen"))
+    ranked = dealt.withColumn("nth", nth("salt")).where("nth <= column_count").withColumn("nth", nth()).where("nth <= column_count")
     found = ranked.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "column_label"))), lambda x: x["column_label"]).alias("labels"))
     joined = grouped.select(*GROUP, "column_count").join(found, GROUP, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
     equity = F.col("statement_type") == "equity_changes"

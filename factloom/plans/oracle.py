@@ -315,7 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "q20_cell_read": f"WITH {_REF} SELECT * EXCLUDE (valid) FROM got WHERE valid",
         "q21_cash_flow_filter": f"WITH {LINES}, labels AS (SELECT document_id, page_number AS candidate_ord, idx AS row_ord, 'cash_flow_statement' AS statement_type, regexp_replace(line, '[0-9,()]', '', 'g') AS label FROM lines), {cash_flow('labels', 'cf')} SELECT document_id, candidate_ord, row_ord, label FROM cf",
         "q22_text_metrics": f"WITH {TITLES}, {slices('pages', 'titles', 'seg')}, taken AS (SELECT *, 0 AS candidate_ord FROM (SELECT document_id, page_number, kind, segment FROM seg) s), one AS (SELECT * REPLACE ({TYPE_ORD} AS candidate_ord) FROM taken), {metrics('one', 'm')} SELECT document_id, page_number, kind AS statement_type, line_index, label, value, all_values, unit, scale, period, period_labels FROM m",
-        "q23_tier_fallback": "SELECT event_id, document_id, candidate_ord, event_type, tier FROM (SELECT *, min(tier) OVER (PARTITION BY document_id, candidate_ord) AS best FROM (SELECT event_id, concat('U', user_id) AS document_id, CAST(dayofyear(ts) AS INT) AS candidate_ord, event_type, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS tier FROM events WHERE event_type IN ('purchase', 'signup', 'click')) e) x WHERE tier = best",
+        "q23_tier_fallback": "SELECT event_id, document_id, candidate_ord, event_type, tier FROM (SELECT *, min(tier) OVER (PARTITION BY document_id, candidate_ord) AS best FROM (SELECT event_id, concat('U', user_id) AS document_id, CAST(dayofyear(ts) AS INT) AS candidate_ord, event_type, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS tier FROM events) e) x WHERE tier = best",
         "q24_toc_parse": f"WITH {ENTRIES} SELECT document_id, entry_ord, title, expected_page FROM entries",
         "q25_toc_match": f"WITH {CHECKS} SELECT * FROM checks",
         "q26_report_type": f"WITH {PAGES}, {TYPES} SELECT document_id, report_type, confidence, type_reasons FROM types",
@@ -328,7 +328,7 @@ def oracle_sql() -> dict[str, str]:
         "q33_token_admission": f"SELECT conv_id, turn, model, estimated_input, requested_output, input_limit, output_limit, CASE WHEN estimated_input > input_limit THEN 'input' WHEN requested_output > output_limit THEN 'output' END AS refusal FROM (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 16384 ELSE least(8192, output_limit) END AS requested_output FROM (SELECT conv_id, turn, model, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) + CASE WHEN turn % 2 = 0 THEN 400000 ELSE 0 END AS estimated_input, coalesce(mi, CASE WHEN conv_id % 2 = 0 THEN 1048576 ELSE 128000 END) AS input_limit, coalesce(mo, CASE WHEN conv_id % 2 = 0 THEN 65536 ELSE 16384 END) AS output_limit FROM conversations JOIN {limits} ON i = conv_id % 8) a) b",
         "q34_broad_range": f"WITH {CHECKS}, ends AS (SELECT document_id, start_page AS a, end_page AS b FROM {_SPANS} s UNION ALL SELECT document_id, coalesce(found_page, expected_page), coalesce(found_page, expected_page) FROM checks WHERE {any_of('title', ['재무상태표', '손익계산서', '현금흐름표', '자본변동표'])}) SELECT d.document_id, coalesce(greatest(1, min(a) - 2), 1) AS start_page, least(any_value(page_count), coalesce(max(b) + 2, 20)) AS end_page FROM docs d LEFT JOIN ends e ON e.document_id = d.document_id GROUP BY 1",
         "q35_evidence_rows": f"WITH {EVIDENCE} SELECT k.document_id, k.page_number, k.row_index, k.kind, k.numeric_cell_count, k.text, string_agg(coalesce(v.col, '.'), '|' ORDER BY v.cell_index) AS value_columns FROM kinds k JOIN valued v USING (document_id, page_number, row_index) GROUP BY ALL",
-        "q36_structure_facts": f"""WITH cells AS (SELECT * FROM {V.cells_demo_sql(DUCK)} v), d AS (SELECT DISTINCT l_orderkey % 997 AS k FROM lineitem), refs AS (SELECT * FROM (VALUES (0, '2024', 1, 0, 1, 0), (0, '2023', 1, 0, 1, 1), (0, '2023', 1, 0, 2, 0), (1, '2024', 2, 0, 1, 0), (1, '2023', 2, 50, 1, 0)) v(row_pos, key, page, row_index, pos, cell_index)),
+        "q36_structure_facts": f"""WITH cells AS (SELECT * FROM {V.cells_demo_sql(DUCK)} v), d AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), refs AS (SELECT * FROM (VALUES (0, '2024', 1, 0, 1, 0), (0, '2023', 1, 0, 1, 1), (0, '2023', 1, 0, 2, 0), (1, '2024', 2, 0, 1, 0), (1, '2023', 2, 50, 1, 0)) v(row_pos, key, page, row_index, pos, cell_index)),
             got AS (SELECT k, row_pos, key, page, string_agg(c.text, '' ORDER BY pos) AS text FROM d CROSS JOIN refs LEFT JOIN cells c ON c.document_id = 'O' || k AND c.page_number = page AND c.row_index = refs.row_index AND c.cell_index = refs.cell_index GROUP BY 1, 2, 3, 4 HAVING bool_and(c.text IS NOT NULL)),
             cols AS (SELECT DISTINCT k, key, CASE WHEN k % 3 = 0 THEN key ELSE translate(key, '34', '43') END AS ord, CASE WHEN k % 3 <> 0 AND key = '2024' THEN '당기' ELSE key END AS lbl FROM got),
             grid AS (SELECT r.k, r.row_pos, c.key, ord, lbl, coalesce(text, '') AS text, page FROM (SELECT DISTINCT k, row_pos FROM got) r JOIN cols c ON c.k = r.k LEFT JOIN got g ON g.k = r.k AND g.row_pos = r.row_pos AND g.key = c.key),

@@ -223,7 +223,7 @@ def q22_text_metrics(spark, sf_dir):
 def q23_tier_fallback(spark, sf_dir):
     """For each user and day the events of the first kind that there are any of."""
     events = V.view(spark, sf_dir, lambda d: "(SELECT event_id, concat('U', CAST(user_id AS STRING)) AS document_id, CAST(date_format(ts, 'D') AS INT) AS candidate_ord, event_type FROM events)")
-    tiers = [events.where(F.col("event_type") == kind) for kind in ("purchase", "signup", "click")]
+    tiers = [events.where(F.col("event_type") == kind) for kind in ("purchase", "signup", "click", "view", "error")]
     return order_free(facts.first_tier(*tiers))
 
 

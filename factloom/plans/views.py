@@ -125,9 +125,9 @@ def segments_demo_sql(dialect: Dialect) -> str:
 
 
 def cells_demo_sql(dialect: Dialect) -> str:
-    """Lineitems as the cells of an order's table: nth of the order by all its values; eight cells a row."""
-    return """(SELECT document_id, page_number, CAST(floor((nth - 1) / 4) AS INT) AS row_index, CAST((nth - 1) % 4 AS INT) AS cell_index, 60.0 + 110.0 * ((nth - 1) % 4) + jitter AS x, 800.0 - 14.0 * floor((nth - 1) / 4) AS y, 40.0 + jitter AS width, 10.0 AS height, text FROM (
-        SELECT concat('O', CAST(l_orderkey % 997 AS STRING)) AS document_id, CAST(floor(l_orderkey / 997) AS INT) + 1 AS page_number, CAST(l_partkey % 13 AS DOUBLE) AS jitter, CASE l_partkey % 6 WHEN 0 THEN '-' WHEN 1 THEN concat('항목 ', l_returnflag) WHEN 2 THEN '(1,234)' ELSE CAST(l_partkey AS STRING) END AS text,
+    """Lineitems as the cells of their order's tables, a document an order: in the order of all their values, two cells a row, two rows a page."""
+    return """(SELECT document_id, CAST(floor((nth - 1) / 4) AS INT) + 1 AS page_number, CAST(floor((nth - 1) % 4 / 2) AS INT) AS row_index, CAST((nth - 1) % 2 AS INT) AS cell_index, 60.0 + 110.0 * ((nth - 1) % 2) + jitter AS x, 800.0 - 14.0 * floor((nth - 1) % 4 / 2) AS y, 40.0 + jitter AS width, 10.0 AS height, text FROM (
+        SELECT concat('O', CAST(l_orderkey AS STRING)) AS document_id, CAST(l_partkey % 13 AS DOUBLE) AS jitter, CASE l_partkey % 6 WHEN 0 THEN '-' WHEN 1 THEN concat('항목 ', l_returnflag) WHEN 2 THEN '(1,234)' ELSE CAST(l_partkey AS STRING) END AS text,
             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS nth
         FROM lineitem) numbered)"""
 
@@ -157,7 +157,7 @@ def references_demo_sql(dialect: Dialect) -> str:
     """Orders as references to cells of cells_demo: one or two cells of a row, none for every seventh; some cells don't exist."""
     make = "array" if dialect is SPARK else "list_value"
     none = "CAST(array() AS ARRAY<INT>)" if dialect is SPARK else "CAST([] AS INT[])"
-    return f"""(SELECT concat('O', CAST(k % 997 AS STRING)) AS document_id, 0 AS candidate_ord, CAST(k AS INT) AS row_pos, concat('label ', CAST(k AS STRING)) AS label, CAST(2020 + k % 3 AS STRING) AS column_key, CAST(floor(k / 997) AS INT) + 1 AS page, CAST(k % 3 AS INT) AS row_index,
+    return f"""(SELECT concat('O', CAST(k AS STRING)) AS document_id, 0 AS candidate_ord, CAST(k AS INT) AS row_pos, concat('label ', CAST(k AS STRING)) AS label, CAST(2020 + k % 3 AS STRING) AS column_key, CAST(k % 2 AS INT) + 1 AS page, CAST(k % 3 AS INT) AS row_index,
         CASE WHEN k % 7 = 0 THEN {none} WHEN k % 2 = 0 THEN {make}(CAST((k + 1) % 6 AS INT), CAST(k % 4 AS INT)) ELSE {make}(CAST(k % 4 AS INT)) END AS cell_indices FROM (SELECT o_orderkey AS k FROM orders) o)"""
 
 
@@ -206,7 +206,7 @@ def vision_json_sql(dialect: Dialect) -> str:
 
 def structure_json_sql(dialect: Dialect) -> str:
     """A structure for each document of cells_demo: two good rows out of order, one with a cell that isn't there, one without a label."""
-    return """(SELECT concat('O', CAST(k AS STRING)) AS document_id, 0 AS candidate_ord, concat('```json {"unit": "thousand", "columns": [', CASE WHEN k % 3 = 0 THEN '' ELSE '{"key": "2024", "label": "당기"}, {"key": "x"}, {"key": "2023", "label": ""}' END, '], "rows": [{"order": 2, "label": "Ⅰ. 자산  총계", "notes": ["4", " "], "value_cells": {"2024": {"page": 1, "row_index": 0, "cell_indices": [0]}, "2023": {"page": "1", "row_index": 0, "cell_indices": [1, 0]}}}, {"order": 1, "label": "부채 ', CAST(k AS STRING), '", "value_cells": {"2024": {"page": 2, "row_index": 0, "cell_indices": [0]}, "2023": {"page": 2, "row_index": 50, "cell_indices": [0]}}}, {"order": 3, "label": "", "value_cells": {"2024": {"page": 1, "row_index": 0, "cell_indices": [0]}}}, {"label": "없음", "value_cells": {"2023": {"page": 1, "row_index": 0, "cell_indices": []}}}]} ```') AS response FROM (SELECT DISTINCT l_orderkey % 997 AS k FROM lineitem) d)"""
+    return """(SELECT concat('O', CAST(k AS STRING)) AS document_id, 0 AS candidate_ord, concat('```json {"unit": "thousand", "columns": [', CASE WHEN k % 3 = 0 THEN '' ELSE '{"key": "2024", "label": "당기"}, {"key": "x"}, {"key": "2023", "label": ""}' END, '], "rows": [{"order": 2, "label": "Ⅰ. 자산  총계", "notes": ["4", " "], "value_cells": {"2024": {"page": 1, "row_index": 0, "cell_indices": [0]}, "2023": {"page": "1", "row_index": 0, "cell_indices": [1, 0]}}}, {"order": 1, "label": "부채 ', CAST(k AS STRING), '", "value_cells": {"2024": {"page": 2, "row_index": 0, "cell_indices": [0]}, "2023": {"page": 2, "row_index": 50, "cell_indices": [0]}}}, {"order": 3, "label": "", "value_cells": {"2024": {"page": 1, "row_index": 0, "cell_indices": [0]}}}, {"label": "없음", "value_cells": {"2023": {"page": 1, "row_index": 0, "cell_indices": []}}}]} ```') AS response FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) d)"""
 
 
 def edits_demo_sql(dialect: Dialect) -> str:
