@@ -6,7 +6,6 @@ The structure names cells only; every number is read from the page's own cells.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.amounts import amount, concept, unit_label
@@ -23,10 +22,12 @@ def structure_label(label: Column) -> Column:
     return trimmed(F.regexp_replace(out, f"{WS}+", " "))
 
 
+OBJECT = "map<string,string>"
+
+
 def _number(item: Column, name: str) -> Column:
-    """A JSON number, or text that is one; JSON null and "" are 0, a missing key is null."""
-    there = F.array_contains(F.json_object_keys(item), name)
-    return let(F.get_json_object(item, f"$.{name}"), lambda v: F.when(there & (v.isNull() | (F.trim(v) == "")), F.lit(0.0)).otherwise(v.try_cast("double")))
+    """A JSON number of a parsed object, or text that is one; JSON null and "" are 0, a missing key is null."""
+    return let(F.try_element_at(item, F.lit(name)), lambda v: F.when(F.map_contains_key(item, name) & (v.isNull() | (F.trim(v) == "")), F.lit(0.0)).otherwise(v.try_cast("double")))
 
 
 def _notes(raw: Column) -> Column:
@@ -39,11 +40,20 @@ def parsed(responses: DataFrame) -> DataFrame:
     return responses.select(*CANDIDATE, F.inline_outer(F.array(doc)))
 
 
+def _row(item: Column, row_pos: Column) -> Column:
+    """A row of an answer, parsed once: row_pos, order, label, notes, cells (map of column to JSON reference, null if there is none)."""
+
+    def shaped(m: Column) -> Column:
+        get = lambda name: F.try_element_at(m, F.lit(name))
+        return F.struct(row_pos.alias("row_pos"), F.coalesce(_number(m, "order"), F.lit(0.0)).alias("order"), structure_label(get("label")).alias("label"), _notes(get("notes")).alias("notes"), F.from_json(get("value_cells"), OBJECT).alias("cells"))
+
+    return let(F.coalesce(F.from_json(item, OBJECT), F.create_map().cast(OBJECT)), shaped)
+
+
 def structure_rows(responses: DataFrame) -> DataFrame:
-    """CANDIDATE, row_pos, unit, order, label, notes, cells (map of column to JSON reference, null if there is none)."""
-    rows = parsed(responses).select(*CANDIDATE, unit_label(F.col("unit")).alias("unit"), F.posexplode("rows").alias("row_pos", "item"))
-    get = lambda name: F.get_json_object("item", f"$.{name}")
-    return rows.select(*CANDIDATE, "row_pos", "unit", F.coalesce(_number(F.col("item"), "order"), F.lit(0.0)).alias("order"), structure_label(get("label")).alias("label"), _notes(get("notes")).alias("notes"), F.from_json(get("value_cells"), "map<string,string>").alias("cells"))
+    """CANDIDATE, row_pos, unit, order, label, notes, cells."""
+    rows = parsed(responses).select(*CANDIDATE, unit_label(F.col("unit")).alias("unit"), F.inline(F.transform("rows", _row)))
+    return rows.select(*CANDIDATE, "row_pos", "unit", "order", "label", "notes", "cells")
 
 
 def key_order(key: Column, pos: Column) -> Column:
@@ -52,11 +62,21 @@ def key_order(key: Column, pos: Column) -> Column:
     return F.struct(F.when(whole, 0).otherwise(1).alias("other"), F.when(whole, key.try_cast("long")).otherwise(pos.cast("long")).alias("at"))
 
 
+def _reference(ref: Column) -> Column:
+    """page, row_index, cell_indices of a JSON reference."""
+
+    def shaped(m: Column) -> Column:
+        raw = F.from_json(F.try_element_at(m, F.lit("cell_indices")), "array<string>")
+        indices = F.transform(raw, lambda i: F.coalesce(F.when(F.trim(i) == "", 0.0), i.try_cast("double"), F.lit(0.0)).cast("int"))
+        return F.struct(_number(m, "page").cast("int").alias("page"), _number(m, "row_index").cast("int").alias("row_index"), F.coalesce(indices, F.array().cast("array<int>")).alias("cell_indices"))
+
+    return let(F.coalesce(F.from_json(ref, OBJECT), F.create_map().cast(OBJECT)), shaped)
+
+
 def references(rows: DataFrame) -> DataFrame:
     """One row for each cell reference: CANDIDATE, row_pos, column_key, key_ord, page, row_index, cell_indices."""
     entries = rows.where("label != '' and cells is not null").select(*CANDIDATE, "row_pos", "label", F.posexplode("cells").alias("pos", "column_key", "ref"))
-    indices = F.transform(F.from_json(F.get_json_object("ref", "$.cell_indices"), "array<string>"), lambda i: F.coalesce(F.when(F.trim(i) == "", 0.0), i.try_cast("double"), F.lit(0.0)).cast("int"))
-    return entries.select(*CANDIDATE, "row_pos", "label", "column_key", key_order(F.col("column_key"), F.col("pos")).alias("key_ord"), _number(F.col("ref"), "page").cast("int").alias("page"), _number(F.col("ref"), "row_index").cast("int").alias("row_index"), F.coalesce(indices, F.array().cast("array<int>")).alias("cell_indices"))
+    return entries.select(*CANDIDATE, "row_pos", "label", "column_key", key_order(F.col("column_key"), F.col("pos")).alias("key_ord"), F.inline(F.array(_reference(F.col("ref")))))
 
 
 def read_references(refs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -67,15 +87,24 @@ def read_references(refs: DataFrame, cells: DataFrame) -> DataFrame:
     """
     keys = [*CANDIDATE, "row_pos", "column_key"]
     listed = refs.select(*keys, "page", "row_index", F.posexplode_outer("cell_indices").alias("pos", "cell_index"))
-    joined = listed.join(cells.withColumnRenamed("page_number", "page").select("document_id", "page", "row_index", "cell_index", F.struct("x", "y", F.coalesce("width", F.lit(0.0)).alias("width"), F.coalesce("height", F.lit(0.0)).alias("height"), "text").alias("cell")), ["document_id", "page", "row_index", "cell_index"], "left")
+    return refs.join(_read(listed.join(_by_place(cells), ["document_id", "page", "row_index", "cell_index"], "left"), keys).select(*keys, "valid", "text", "bbox"), keys)
+
+
+def _by_place(cells: DataFrame) -> DataFrame:
+    return cells.withColumnRenamed("page_number", "page").select("document_id", "page", "row_index", "cell_index", F.struct("x", "y", F.coalesce("width", F.lit(0.0)).alias("width"), F.coalesce("height", F.lit(0.0)).alias("height"), "text").alias("cell"))
+
+
+def _read(found: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """keys, valid, text, bbox of references that have met their cells. found(keys, pos, cell)."""
     there = F.col("cell").isNotNull()
-    got = joined.groupBy(*keys).agg(
+    got = found.groupBy(*keys).agg(
         F.bool_and(there).alias("valid"),
         F.array_sort(F.collect_list(F.when(there, F.struct("pos", "cell.text")))).alias("parts"),
-        F.min("cell.x").alias("x1"), F.min("cell.y").alias("y1"), F.max(F.col("cell.x") + F.col("cell.width")).alias("x2"), F.max(F.col("cell.y") + F.col("cell.height")).alias("y2"),
+        F.min("cell.x").alias("x1"), F.min("cell.y").alias("y1"), F.max(F.col("cell.x") + F.col("cell.width")).alias("x2"), F.max(F.col("cell.y") + F.col("cell.height")).alias("y2"), *more,
     )
     box = F.when(F.col("x1").isNotNull(), F.array(*[rounded(F.col(c)) for c in ("x1", "y1", "x2", "y2")]))
-    return refs.join(got.select(*keys, "valid", trimmed(F.array_join(F.transform("parts", lambda p: p.text), "")).alias("text"), box.alias("bbox")), keys)
+    rest = [c for c in got.columns if c not in ("parts", "x1", "y1", "x2", "y2")]
+    return got.select(*rest, trimmed(F.array_join(F.transform("parts", lambda p: p.text), "")).alias("text"), box.alias("bbox"))
 
 
 def structure_warnings(rows: DataFrame, read: DataFrame) -> DataFrame:
@@ -85,58 +114,100 @@ def structure_warnings(rows: DataFrame, read: DataFrame) -> DataFrame:
     return dropped.unionByName(bad)
 
 
-def structure_columns(responses: DataFrame, valid: DataFrame) -> DataFrame:
-    """CANDIDATE, column_ord, key, column_label: as the response lists them (eight at most), else the rows' keys as first seen; unused ones go."""
-    listed = parsed(responses).select(*CANDIDATE, F.posexplode("columns").alias("pos", "item"))
-    key = trimmed(text(F.get_json_object("item", "$.key")))
-    listed = listed.select(*CANDIDATE, F.struct(F.lit(0).alias("row_pos"), F.struct(F.lit(0).alias("other"), F.col("pos").cast("long").alias("at")).alias("key_ord")).alias("seen"), key.alias("key"), trimmed(F.coalesce(F.get_json_object("item", "$.label"), key)).alias("column_label")).where("key != ''")
-    nth = F.row_number().over(W.partitionBy(*CANDIDATE).orderBy("seen"))
-    listed = listed.withColumn("nth", nth).where(F.col("nth") <= MAX_COLUMNS).drop("nth")
-    used = valid.groupBy(*CANDIDATE, F.col("column_key").alias("key")).agg(F.min(F.struct("row_pos", "key_ord")).alias("seen"))
-    inferred = used.join(listed.select(*CANDIDATE).distinct(), CANDIDATE, "left_anti").withColumn("column_label", F.col("key")).select(*listed.columns)
-    kept = listed.join(used.select(*CANDIDATE, "key"), [*CANDIDATE, "key"], "left_semi").select(*listed.columns)
-    return kept.unionByName(inferred).select(*CANDIDATE, (nth - 1).alias("column_ord"), "key", "column_label")
+def _listed_columns(columns: Column) -> Column:
+    """The columns that a response lists, eight at most: [key, label]."""
+
+    def column(c: Column) -> Column:
+        key = trimmed(text(F.get_json_object(c, "$.key")))
+        return F.struct(key.alias("key"), trimmed(F.coalesce(F.get_json_object(c, "$.label"), key)).alias("label"))
+
+    return F.slice(F.filter(F.transform(F.coalesce(columns, F.array().cast("array<string>")), column), lambda c: c["key"] != ""), 1, MAX_COLUMNS)
+
+
+def _cells_wanted(rows: Column) -> Column:
+    """An element for each cell that the rows point to, and one without a cell for a reference to none: [row_pos, key, key_ord, page, row_index, pos, cell_index]."""
+
+    def of_reference(row: Column, pos: Column, entry: Column) -> Column:
+        def listed(ref: Column) -> Column:
+            one = lambda at, cell: F.struct(row["row_pos"].alias("row_pos"), entry["key"].alias("key"), key_order(entry["key"], pos).alias("key_ord"), ref["page"].alias("page"), ref["row_index"].alias("row_index"), at.cast("int").alias("pos"), cell.cast("int").alias("cell_index"))
+            return F.when(F.size(ref["cell_indices"]) > 0, F.transform(ref["cell_indices"], lambda c, k: one(k, c))).otherwise(F.array(one(F.lit(0), F.lit(None))))
+
+        return let(_reference(entry["value"]), listed)
+
+    pointing = F.filter(rows, lambda r: (r["label"] != "") & r["cells"].isNotNull())
+    return F.flatten(F.transform(pointing, lambda r: F.flatten(F.transform(F.map_entries(r["cells"]), lambda e, k: of_reference(r, k, e)))))
 
 
 def structure_facts(responses: DataFrame, cells: DataFrame, candidates: DataFrame, documents: DataFrame) -> DataFrame:
-    """Facts of the rows that read anything, in the order of the rows; the first value that isn't empty counts."""
-    rows = structure_rows(responses)
-    valid = read_references(references(rows), cells).where("valid")  # twice in the plan; its exchanges are reused
-    columns = structure_columns(responses, valid)
-    read = valid.select(*CANDIDATE, "row_pos", F.col("column_key").alias("key"), "key_ord", "page", "text", "bbox")
+    """Facts of the rows that read anything, in the order of the rows; the first value that isn't empty counts.
+
+    A response is parsed once. The cells that it points to go to meet the pages' cells, and the response itself goes with them as one more
+    row, so that both come together again by candidate: no part of the plan is worked out twice. What one model answered meets in one row.
+    """
+    shaped = parsed(responses).select(*CANDIDATE, F.inline(F.array(F.struct(unit_label(F.col("unit")).alias("unit"), _listed_columns(F.col("columns")).alias("listed"), F.transform("rows", _row).alias("rows")))))
+    told = F.struct("unit", "listed", F.transform("rows", lambda r: F.struct(r["row_pos"].alias("row_pos"), r["order"].alias("order"), r["label"].alias("label"), r["notes"].alias("notes"))).alias("rows"))
+    itself = F.struct(F.lit(-1).alias("row_pos"), F.lit("").alias("key"), F.struct(F.lit(0).alias("other"), F.lit(0).cast("long").alias("at")).alias("key_ord"), *[F.lit(None).cast("int").alias(c) for c in ("page", "row_index", "pos", "cell_index")], told.alias("told"))
+    kind = "struct<unit:string,listed:array<struct<key:string,label:string>>,rows:array<struct<row_pos:int,order:double,label:string,notes:array<string>>>>"
+    wanted = F.transform(_cells_wanted(F.col("rows")), lambda w: F.struct(*[w[c].alias(c) for c in ("row_pos", "key", "key_ord", "page", "row_index", "pos", "cell_index")], F.lit(None).cast(kind).alias("told")))
+    asked = shaped.where("rows is not null").select(*CANDIDATE, F.inline(F.concat(F.array(itself), wanted)))
+    found = asked.join(_by_place(cells), ["document_id", "page", "row_index", "cell_index"], "left")
+    read = _read(found, [*CANDIDATE, "row_pos", "key"], F.min("key_ord").alias("key_ord"), F.min("page").alias("page"), F.first("told", ignorenulls=True).alias("told"))
+    good = F.when(F.col("valid"), F.struct("row_pos", "key_ord", "key", "page", "text", "bbox"))
+    packed = read.groupBy(*CANDIDATE).agg(F.array_sort(F.collect_list(good)).alias("refs"), F.first("told", ignorenulls=True).alias("told"))
+    packed = packed.where(F.size("refs") > 0).select(*CANDIDATE, "refs", "told.*")
+
+    used = F.array_distinct(F.transform("refs", lambda r: r["key"]))
+    columns = F.when(F.size("listed") > 0, F.filter("listed", lambda c: F.exists("refs", lambda r: r["key"] == c["key"]))).otherwise(F.transform(used, lambda k: F.struct(k.alias("key"), k.alias("label"))))
+
+    def fact(row: Column) -> Column:
+        def with_cells(own: Column) -> Column:
+            def cell(c: Column, k: Column) -> Column:
+                return let(F.get(F.filter(own, lambda r: r["key"] == c["key"]), F.lit(0)), lambda r: F.struct(k.alias("column_ord"), c["key"].alias("key"), c["label"].alias("column_label"), F.coalesce(r["text"], F.lit("")).alias("text"), r["page"].alias("page"), r["bbox"].alias("bbox")))
+
+            return F.struct(row["order"].alias("order"), row["row_pos"].alias("row_pos"), row["label"].alias("label"), row["notes"].alias("notes"), F.when(F.size(own) > 0, F.transform("columns", cell)).alias("cells_read"))
+
+        return let(F.filter("refs", lambda r: r["row_pos"] == row["row_pos"]), with_cells)
+
     # a row with no valid reference goes; every column of the candidate is then read for each row that stays
-    grid = read.select(*CANDIDATE, "row_pos").distinct().join(columns, CANDIDATE).join(read, [*CANDIDATE, "row_pos", "key"], "left")
-    cell = F.struct("column_ord", "key", "column_label", F.coalesce("text", F.lit("")).alias("text"), "page", "bbox")
-    # a key listed twice reads the same cell, and the evidence is enumerated like an object's keys
-    packed = grid.groupBy(*CANDIDATE, "row_pos").agg(F.array_sort(F.collect_list(cell)).alias("cells_read"), F.min_by("page", F.when(F.col("page").isNotNull(), key_order(F.col("key"), F.col("column_ord")))).alias("page"))
+    facts = F.filter(F.transform("rows", fact), lambda f: F.coalesce(F.exists(f["cells_read"], lambda c: c["text"] != ""), F.lit(False)))
+    each = packed.withColumn("columns", columns).select(*CANDIDATE, "unit", F.posexplode(F.array_sort(facts)).alias("row_ord", "f")).select(*CANDIDATE, "unit", "row_ord", "f.*")
+    joined = each.join(candidates.select(*CANDIDATE, "scope", "statement_type", "start_page"), CANDIDATE).join(documents.select("document_id", "filename"), "document_id", "left")
     values = F.transform("cells_read", lambda c: c.text)
     first = F.get(F.filter(values, lambda v: v != ""), F.lit(0))
-    joined = rows.drop("cells").join(packed.where(F.exists(values, lambda v: v != "")), [*CANDIDATE, "row_pos"]).join(candidates.select(*CANDIDATE, "scope", "statement_type", "start_page"), CANDIDATE).join(documents.select("document_id", "filename"), "document_id", "left")
-    order = W.partitionBy(*CANDIDATE).orderBy("order", "row_pos")
+    # the evidence is enumerated like an object's keys
+    on_page = F.array_min(F.transform(F.filter("cells_read", lambda c: c.page.isNotNull()), lambda c: F.struct(key_order(c["key"], c["column_ord"]).alias("place"), c["page"].alias("page"))))["page"]
     labels = F.transform("cells_read", lambda c: F.when(c.column_label != "", c.column_label).otherwise(c.key))
     return joined.select(
         *CANDIDATE, "filename", "scope", "statement_type", concept(F.col("label")).alias("concept"), "label", F.get(F.transform("cells_read", lambda c: c.key), F.lit(0)).alias("period"),
-        amount(first, F.col("unit")).alias("value"), "unit", F.coalesce("page", "start_page").alias("page_number"), F.lit(0.88).alias("confidence"), F.lit("").alias("raw_line"),
-        values.alias("all_values"), F.transform("cells_read", lambda c: c.key).alias("period_labels"), labels.alias("column_labels"), "notes", F.to_json(F.map_from_entries(F.transform("cells_read", lambda c: F.struct(c.key, F.struct(c.page.alias("page"), c.text.alias("text"), c.bbox.alias("bbox")))))).alias("evidence"), (F.row_number().over(order) - 1).cast("int").alias("row_ord"),
+        amount(first, F.col("unit")).alias("value"), "unit", F.coalesce(on_page, "start_page").alias("page_number"), F.lit(0.88).alias("confidence"), F.lit("").alias("raw_line"),
+        values.alias("all_values"), F.transform("cells_read", lambda c: c.key).alias("period_labels"), labels.alias("column_labels"), "notes", F.to_json(F.map_from_entries(F.transform("cells_read", lambda c: F.struct(c.key, F.struct(c.page.alias("page"), c.text.alias("text"), c.bbox.alias("bbox")))))).alias("evidence"), F.col("row_ord").cast("int").alias("row_ord"),
     )
 
 
 def vision_facts(responses: DataFrame, candidates: DataFrame, documents: DataFrame) -> DataFrame:
     """Facts of rows that a model read from page images: rows with a label and any value besides "" and "-"."""
-    doc = parsed(responses)
     columns = F.filter(F.transform(F.coalesce("columns", F.array().cast("array<string>")), lambda c: F.struct(F.get_json_object(c, "$.key").alias("key"), F.get_json_object(c, "$.label").alias("label"))), lambda c: F.coalesce(c.key, F.lit("")) != "")
-    rows = doc.withColumn("columns", columns).select(*CANDIDATE, unit_label(F.col("unit")).alias("unit"), "columns", F.posexplode("rows").alias("row_pos", "item"))
-    shown = F.coalesce(F.from_json(F.get_json_object("item", "$.values"), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    rows = rows.withColumn("shown", shown).withColumn("label", trimmed(text(F.get_json_object("item", "$.label")))).withColumn("all_values", F.transform("columns", lambda c: F.coalesce(F.try_element_at(F.col("shown"), c.key), F.lit(""))))
-    rows = rows.where((F.col("label") != "") & F.exists("all_values", lambda v: ~v.isin("", "-")))
+    doc = parsed(responses).select(*CANDIDATE, "rows", F.inline(F.array(F.struct(unit_label(F.col("unit")).alias("unit"), columns.alias("columns")))))
+
+    def row(item: Column) -> Column:
+        """A row, parsed once: label, all_values by the columns, notes, depth."""
+
+        def shaped(m: Column) -> Column:
+            get = lambda name: F.try_element_at(m, F.lit(name))
+            values = let(F.coalesce(F.from_json(get("values"), OBJECT), F.create_map().cast(OBJECT)), lambda shown: F.transform("columns", lambda c: F.coalesce(F.try_element_at(shown, c["key"]), F.lit(""))))
+            notes = F.filter(F.coalesce(F.from_json(get("notes"), "array<string>"), F.array().cast("array<string>")), lambda n: n != "")
+            return F.struct(trimmed(text(get("label"))).alias("label"), values.alias("all_values"), notes.alias("notes"), F.coalesce(_number(m, "depth"), F.lit(0.0)).cast("int").alias("depth"))
+
+        return let(F.coalesce(F.from_json(item, OBJECT), F.create_map().cast(OBJECT)), shaped)
+
+    shown = F.filter(F.transform("rows", row), lambda r: (r["label"] != "") & F.exists(r["all_values"], lambda v: ~v.isin("", "-")))
+    rows = doc.select(*CANDIDATE, "unit", "columns", F.posexplode(shown).alias("row_ord", "r")).select(*CANDIDATE, "unit", "columns", "row_ord", "r.*")
     joined = rows.join(candidates.select(*CANDIDATE, "scope", "statement_type", "start_page"), CANDIDATE).join(documents.select("document_id", "filename"), "document_id", "left")
-    order = W.partitionBy(*CANDIDATE).orderBy("row_pos")
     first = F.get(F.filter("all_values", lambda v: v != ""), F.lit(0))
     keys = F.transform("columns", lambda c: c.key)
-    notes = F.filter(F.coalesce(F.from_json(F.get_json_object("item", "$.notes"), "array<string>"), F.array().cast("array<string>")), lambda n: n != "")
     return joined.select(
         *CANDIDATE, "filename", "scope", "statement_type", concept(F.col("label")).alias("concept"), "label", F.coalesce(F.get(keys, F.lit(0)), F.lit("")).alias("period"),
         amount(first, F.col("unit")).alias("value"), "unit", F.col("start_page").alias("page_number"), F.lit(0.92).alias("confidence"), F.lit("").alias("raw_line"),
-        "all_values", keys.alias("period_labels"), F.transform("columns", lambda c: F.when(F.coalesce(c.label, F.lit("")) != "", c.label).otherwise(c.key)).alias("column_labels"), notes.alias("notes"),
-        F.to_json(F.struct(F.lit("vision").alias("source"), F.coalesce(_number(F.col("item"), "depth"), F.lit(0.0)).cast("int").alias("depth"))).alias("evidence"), (F.row_number().over(order) - 1).cast("int").alias("row_ord"),
+        "all_values", keys.alias("period_labels"), F.transform("columns", lambda c: F.when(F.coalesce(c.label, F.lit("")) != "", c.label).otherwise(c.key)).alias("column_labels"), "notes",
+        F.to_json(F.struct(F.lit("vision").alias("source"), "depth")).alias("evidence"), F.col("row_ord").cast("int").alias("row_ord"),
     )
