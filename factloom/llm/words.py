@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLAB_BYTES = 1 << 20
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 17
 CHUNK = 64
 _random = np.random.Generator(np.random.PCG64(20240229))
 #: Values of bytes for prints of strings (substrings.py); A-Z count as a-z.
