@@ -63,12 +63,21 @@ def unit_scale(page_text: Column) -> Column:
     return let(F.lower(F.regexp_replace(page_text, f"{WS}+", "")), named)
 
 
-def period(page_text: Column, statement_type: Column) -> Column:
-    """A balance sheet's day, a range's year, the number of the business year, or ""."""
+def period_parts(page_text: Column) -> Column:
+    """What a text says of its period: day (of a balance sheet, or null) and other (a range's year, the number of the business year, or "")."""
     day = first_or_null(F.regexp_extract(page_text, rf"(20\d{{2}})[.\-/]{WS}*0?12[.\-/]{WS}*0?31", 1))
     year = first_or_null(F.regexp_extract(page_text, rf"(?s)20\d{{2}}[.\-/]{WS}*01[.\-/]{WS}*01.*?(20\d{{2}})[.\-/]{WS}*12[.\-/]{WS}*31", 1))
     term = first_or_null(F.regexp_replace(F.regexp_extract(page_text, rf"제{WS}*\d+(?:\([^)]+\))?{WS}*기", 0), f"{WS}+", ""))
-    return F.coalesce(F.when(statement_type == "balance_sheet", F.concat(day, F.lit(".12.31"))), F.concat(F.lit("FY"), year), term, F.lit(""))
+    return F.struct(F.concat(day, F.lit(".12.31")).alias("day"), F.coalesce(F.concat(F.lit("FY"), year), term, F.lit("")).alias("other"))
+
+
+def period_of(parts: Column, statement_type: Column) -> Column:
+    return F.coalesce(F.when(statement_type == "balance_sheet", parts["day"]), parts["other"])
+
+
+def period(page_text: Column, statement_type: Column) -> Column:
+    """A balance sheet's day, a range's year, the number of the business year, or ""."""
+    return let(period_parts(page_text), lambda parts: period_of(parts, statement_type))
 
 
 def period_labels(page_text: Column) -> Column:

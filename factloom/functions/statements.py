@@ -62,8 +62,8 @@ def has_title(found: Column, statement_type: Column) -> Column:
     return F.exists(found, lambda t: t.statement_type == statement_type)
 
 
-def statement_slice(page_text: Column, page_lines: Column, found: Column, statement_type: Column) -> Column:
-    """The part of a page that belongs to a statement.
+def slice_bounds(found: Column, statement_type: Column) -> Column:
+    """start and stop (line places, stop excluded; null: open) of the part of a page that belongs to a statement.
 
     From the statement's first title without a section number, else its last title with one, to the next title without one. Without
     a title of its own: what comes before the first title without a section number, else the whole page.
@@ -74,16 +74,27 @@ def statement_slice(page_text: Column, page_lines: Column, found: Column, statem
 
     def until_next(start: Column) -> Column:
         after = F.filter(found, lambda t: ~t.has_section_prefix & (t["index"] > F.coalesce(start, F.lit(-1))))
-        return let(F.struct(start.alias("start"), F.get(after, F.lit(0))["index"].alias("stop")), cut)
-
-    def cut(at: Column) -> Column:
-        begin = F.coalesce(at["start"], F.lit(0))
-        part = F.slice(page_lines, begin + 1, F.coalesce(at["stop"], F.size(page_lines)) - begin)
-        return F.when(at["start"].isNull() & at["stop"].isNull(), text(page_text)).otherwise(F.array_join(part, "\n"))
+        return F.struct(start.alias("start"), F.get(after, F.lit(0))["index"].alias("stop"))
 
     return let(first, until_next)
 
 
+def is_whole(at: Column) -> Column:
+    return at["start"].isNull() & at["stop"].isNull()
+
+
+def cut(page_text: Column, page_lines: Column, at: Column) -> Column:
+    """The text within the bounds."""
+    begin = F.coalesce(at["start"], F.lit(0))
+    part = F.slice(page_lines, begin + 1, F.coalesce(at["stop"], F.size(page_lines)) - begin)
+    return F.when(is_whole(at), text(page_text)).otherwise(F.array_join(part, "\n"))
+
+
+def statement_slice(page_text: Column, page_lines: Column, found: Column, statement_type: Column) -> Column:
+    """The part of a page that belongs to a statement."""
+    return let(slice_bounds(found, statement_type), lambda at: cut(page_text, page_lines, at))
+
+
 def value_lines(page_text: Column) -> Column:
     """Lines with at least two values."""
     return F.size(F.filter(lines(page_text), lambda line: matches(line, _VALUE_MARK) >= 2))

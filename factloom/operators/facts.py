@@ -11,35 +11,58 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.amounts import amount, concept
-from factloom.functions.rows import is_account, parsed_line, period, period_labels, unit_scale
-from factloom.functions.statements import statement_slice, titles
+from factloom.functions.rows import is_account, parsed_line, period_labels, period_of, period_parts, unit_scale
+from factloom.functions.statements import cut, is_whole, slice_bounds, titles
 from factloom.functions.text import WS, let, lines, text
 from factloom.functions.vocabulary import CASH_FLOW_END, CASH_FLOW_START, NOTE_ROWS
-from factloom.operators.order import first_wins, placed_anew
+from factloom.operators.order import placed_anew
 
 FACT_COLUMNS = ["document_id", "filename", "scope", "statement_type", "concept", "label", "period", "value", "unit", "page_number", "confidence", "raw_line", "all_values", "period_labels", "column_labels", "notes", "evidence", "extraction_order"]
 
 
-def text_metrics(span_pages: DataFrame) -> DataFrame:
-    """Account rows of span pages (document_id, candidate_ord, scope, statement_type, page_number, text; lines and titles, if there already).
-
-    Unit, period and period labels are read once from the page's slice; of equal rows of a page the first stays.
-    """
-    kind = F.col("statement_type")
-    page = span_pages if "titles" in span_pages.columns else span_pages.withColumn("lines", lines(F.col("text"))).withColumn("titles", titles(F.col("lines")))
-    page = page.withColumn("segment", statement_slice(F.col("text"), F.col("lines"), F.col("titles"), kind))
-    keys = [c for c in span_pages.columns if c not in ("text", "lines", "titles")]
+def with_parsed(pages: DataFrame) -> DataFrame:
+    """pages with lines, titles, parsed (the account rows among the lines) and told (unit, period, years of the whole text): once a page, however many statements it is read as."""
+    page = pages if "titles" in pages.columns else pages.withColumn("lines", lines(F.col("text"))).withColumn("titles", titles(F.col("lines")))
 
     def account_row(line: Column, i: Column) -> Column:
         return let(parsed_line(line), lambda row: F.when(is_account(row.label), F.struct(i.alias("line_index"), line.alias("raw_line"), row.label.alias("label"), row["values"].alias("values"))))
 
     # lines are parsed and filtered inside one array, so each is parsed once
-    found = let(F.col("segment"), lambda s: F.struct(unit_scale(s).alias("us"), period(s, kind).alias("period"), period_labels(s).alias("years"), F.filter(F.transform(lines(s), account_row), lambda r: r.isNotNull()).alias("rows")))
-    page = page.select(*keys, found.alias("page"))
-    rows = page.select(*keys, "page.us", "page.period", "page.years", F.explode("page.rows").alias("row"))
+    rows = F.filter(F.transform("lines", account_row), lambda r: r.isNotNull())
+    return page.withColumns({"parsed": rows, "told": _told(text(F.col("text")))})
+
+
+def _told(segment: Column) -> Column:
+    return let(segment, lambda s: F.struct(unit_scale(s).alias("us"), period_parts(s).alias("period"), period_labels(s).alias("years")))
+
+
+def _first_of_equal(rows: Column) -> Column:
+    """Of rows of equal label and first value the first."""
+    key = lambda r: F.struct(r["label"].alias("label"), r["values"][0].alias("value"))
+    return let(F.transform(rows, key), lambda keys: F.filter(rows, lambda r, n: F.array_position(keys, key(r)) == n + 1))
+
+
+def text_metrics(span_pages: DataFrame) -> DataFrame:
+    """Account rows of span pages (document_id, candidate_ord, scope, statement_type, page_number, text; what with_parsed() adds, if there already).
+
+    Unit, period and period labels are read once from the page's slice; of equal rows of a page the first stays. A page is one row of a span.
+    """
+    kind = F.col("statement_type")
+    page = span_pages if "parsed" in span_pages.columns else with_parsed(span_pages)
+    keys = [c for c in span_pages.columns if c not in ("text", "lines", "titles", "parsed", "told")]
+
+    def of_slice(at: Column) -> Column:
+        begin, end = F.coalesce(at["start"], F.lit(0)), F.coalesce(at["stop"], F.size("lines"))
+        part = F.transform(F.filter("parsed", lambda r: r["line_index"].between(begin, end - 1)), lambda r: F.struct((r["line_index"] - begin).alias("line_index"), r["raw_line"].alias("raw_line"), r["label"].alias("label"), r["values"].alias("values")))
+        own = let(F.when(is_whole(at), F.col("parsed")).otherwise(part), _first_of_equal)
+        # most slices are whole pages, of which it is known already; one without rows tells nothing
+        told = F.when(is_whole(at), F.col("told")).otherwise(_told(cut(F.col("text"), F.col("lines"), at)))
+        return let(own, lambda rows: F.struct(F.when(F.size(rows) > 0, told).alias("told"), rows.alias("rows")))
+
+    page = page.select(*keys, let(slice_bounds(F.col("titles"), kind), of_slice).alias("page"))
+    rows = page.select(*keys, F.col("page.told").alias("told"), F.explode("page.rows").alias("row"))
     values = F.col("row.values")
-    shaped = rows.select(*keys, "row.line_index", "row.label", values[0].alias("value"), values.alias("all_values"), F.col("us.unit").alias("unit"), F.col("us.scale").alias("scale"), "period", F.lit(0.55).alias("confidence"), "row.raw_line", F.slice("years", F.lit(1), F.size(values)).alias("period_labels"))
-    return first_wins(shaped, ["document_id", "candidate_ord", "page_number", "label", "value"], "line_index")
+    return rows.select(*keys, "row.line_index", "row.label", values[0].alias("value"), values.alias("all_values"), F.col("told.us.unit").alias("unit"), F.col("told.us.scale").alias("scale"), period_of(F.col("told.period"), kind).alias("period"), F.lit(0.55).alias("confidence"), "row.raw_line", F.slice("told.years", F.lit(1), F.size(values)).alias("period_labels"))
 
 
 def metrics_to_facts(metrics: DataFrame, documents: DataFrame) -> DataFrame:

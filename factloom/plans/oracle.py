@@ -371,4 +371,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT conv_id, turn, CASE WHEN ok_g THEN 'gemini' WHEN ok_o THEN 'openai' END AS provider, CASE WHEN ok_g THEN 'gemini ' || n WHEN ok_o THEN 'openai ' || n END AS response,
                 CASE WHEN NOT ok_g AND NOT ok_o THEN CASE WHEN no_g THEN 'gemini: refused: input tokens' WHEN n % 4 = 1 THEN 'gemini: busy' WHEN n % 4 = 2 THEN 'gemini: bad request' ELSE 'gemini: returned an empty response.' END || CASE WHEN no_o THEN ' | openai: refused: input tokens' ELSE ' | openai: busy' END END AS errors,
                 calls_g + calls_o AS n_calls FROM o""",
+        "q60_document_objects": f"""WITH f AS (SELECT *, regexp_replace(scope || '_' || CASE WHEN coalesce(period, '') = '' THEN 'unknown' ELSE period END, '[ .]', '_', 'g') AS context_ref, CASE fact_ord % 3 WHEN 2 THEN '천원' ELSE 'KRW' END AS unit_ref, CASE fact_ord % 3 WHEN 0 THEN 'krw' WHEN 1 THEN 'KRW' ELSE '천원' END AS measure FROM {V.facts_demo_sql(DUCK)} v)
+            SELECT 'context' AS kind, context_ref AS ref, min(fact_ord) AS place, arg_max(scope, fact_ord) AS scope, arg_max(period, fact_ord) AS period, NULL AS measure, NULL AS concept, NULL AS context_ref, NULL AS unit_ref, NULL::DOUBLE AS value, NULL AS label, NULL AS filename FROM f GROUP BY context_ref
+            UNION ALL SELECT 'unit', unit_ref, min(fact_ord), NULL, NULL, arg_max(measure, fact_ord), NULL, NULL, NULL, NULL, NULL, NULL FROM f GROUP BY unit_ref
+            UNION ALL SELECT 'fact', CAST(fact_ord AS VARCHAR), fact_ord, NULL, NULL, NULL, concept, context_ref, unit_ref, fact_ord * 0.5::DOUBLE, '"' || concept || '" \\ 계정', 'd.pdf' FROM f""",
     }

@@ -21,9 +21,20 @@ def extracted(pages: DataFrame, candidates: DataFrame, documents: DataFrame, *be
     return X.numbered(X.filtered_cash_flow(X.first_tier(*better, text)), documents)
 
 
-def text_pipeline(pages: DataFrame, documents: DataFrame | None = None, span: int = MAX_SPAN) -> dict[str, DataFrame]:
+def text_pipeline(pages: DataFrame, documents: DataFrame | None = None, span: int = MAX_SPAN, folder: str | None = None) -> dict[str, DataFrame]:
+    """candidates, facts, issues and the objects of the assembled document.
+
+    Issues and objects are made of the facts: whoever wants more than one table names a folder, to which the facts are written once.
+    """
     documents = documents_of(pages) if documents is None else documents
     candidates = discover_spans(pages, span)
-    # issues, contexts, units and facts are all made of the same rows; whoever has used the tables unpersists them
-    facts = extracted(pages, candidates, documents).persist()
+    facts = extracted(pages, candidates, documents)
+    if folder:
+        facts = written(facts, f"{folder}/facts")
     return {"candidates": candidates, "facts": facts, "issues": X.balance_issues(facts), "document": X.document_json(facts)}
+
+
+def written(rows: DataFrame, path: str) -> DataFrame:
+    """rows, written as Parquet and read back."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

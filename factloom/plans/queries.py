@@ -213,8 +213,8 @@ def q21_cash_flow_filter(spark, sf_dir):
 def q22_text_metrics(spark, sf_dir):
     """Account rows of every page, read as each statement."""
     kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(STATEMENT_TYPES)]))
-    pages = spans.with_titles(_pages(spark, sf_dir)).withColumn("t", kinds)  # a page's titles are found before it is read four times
-    taken = pages.select("document_id", F.col("t.i").alias("candidate_ord"), F.lit("unknown").alias("scope"), F.col("t.k").alias("statement_type"), "page_number", "text", "lines", "titles")
+    pages = facts.with_parsed(_pages(spark, sf_dir)).withColumn("t", kinds)  # a page's lines are parsed before it is read four times
+    taken = pages.select("document_id", F.col("t.i").alias("candidate_ord"), F.lit("unknown").alias("scope"), F.col("t.k").alias("statement_type"), "page_number", "text", "lines", "titles", "parsed", "told")
     out = facts.text_metrics(taken)
     return out.select("document_id", "page_number", "statement_type", "line_index", "label", "value", F.array_join("all_values", "|").alias("all_values"), "unit", "scale", "period", F.array_join("period_labels", "|").alias("period_labels"))
 
@@ -412,7 +412,7 @@ def q45_span_start(spark, sf_dir):
 @query
 def q46_xbrl_json(spark, sf_dir):
     """The whole text path: pages to spans to facts to the assembled document, as JSON objects."""
-    return pipeline.text_pipeline(_pages(spark, sf_dir), _documents(spark, sf_dir))["document"]
+    return pipeline.text_pipeline(_pages(spark, sf_dir), _documents(spark, sf_dir), folder=folders.new_folder(spark, "facts"))["document"]
 
 
 @query
@@ -533,3 +533,13 @@ def q59_called_answers(spark, sf_dir):
     calls.call_all(checked, keys, _stand_in, ledger, calls.Policy(wait=0.0, flush=1000), run)
     came = calls.outcomes(checked, keys, ledger, run)
     return models.first_answers(came, keys).join(came.groupBy(*keys).agg(F.sum("n_calls").alias("n_calls")), keys).select(*keys, "provider", "response", "errors", "n_calls")
+
+
+@query
+def q60_document_objects(spark, sf_dir):
+    """The JSON objects of an assembled document, read back: what each says of its kind, and its place."""
+    told = V.view(spark, sf_dir, V.facts_demo_sql)
+    full = told.select("scope", "period", "concept", "fact_ord", F.lit("d").alias("document_id"), F.lit("d.pdf").alias("filename"), F.lit("balance_sheet").alias("statement_type"), F.concat(F.lit('"'), "concept", F.lit('" \\ 계정')).alias("label"), (F.col("fact_ord") * 0.5).alias("value"), F.expr("CASE fact_ord % 3 WHEN 0 THEN 'krw' WHEN 1 THEN '' ELSE '천원' END").alias("unit"), F.lit(1).alias("page_number"), F.lit(0.5).alias("confidence"), F.lit("").alias("raw_line"), *[F.array().cast("array<string>").alias(c) for c in ("all_values", "period_labels", "column_labels", "notes")], F.create_map().cast("map<string,string>").alias("evidence"), F.lit(0).alias("extraction_order"))
+    objects = facts.document_objects(full)
+    read = F.from_json("json", "scope string, period string, measure string, concept string, contextRef string, unitRef string, value double, label string, source struct<documentId:string,filename:string,page:int>")
+    return objects.select("kind", "ref", "place", F.inline(F.array(read))).select("kind", "ref", "place", "scope", "period", "measure", "concept", F.col("contextRef").alias("context_ref"), F.col("unitRef").alias("unit_ref"), "value", "label", F.col("source.filename").alias("filename"))
