@@ -28,7 +28,7 @@ from .common import freed, numbered, sha256_of, stash, unstash
 from .words import byte_column, new_seed, slabs, word_hashes, word_spans
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_CHARS = 16 << 20
 SAMPLE = 16
 PERCENT = 5
