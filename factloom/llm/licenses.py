@@ -1,6 +1,6 @@
 """License scans: normalised text against licence templates by the Dice coefficient over word bigrams, in DataFrame functions.
 
-Text is normalised: lower case (A-Z), words of ASCII letters and digits, so that line breaks, comment marks and quotes don't count. A text is
+Text is normalised: lower case (A-Z), licence spelled license, words of ASCII letters and digits, so that line breaks, comment marks and quotes don't count. A text is
 compared line by line, paragraph by paragraph (runs of lines that are not blank), as a whole, and by windows of a template's own
 number of words: wherever one of the template's anchors (see anchor_words()) stands in the text, the window is compared that puts it
 at its place in the template. So a notice is found inside a longer line, wrapped over lines, or in a comment. A template is a
@@ -31,15 +31,23 @@ LONG_WORD = 6
 #: Words of any prose, which make anchors only where nothing else is left.
 COMMON_WORDS = frozenset("a all also an and any are as at be but by can for from has have if in is it may no not of on or other such than that the their they this to use was we which will with you your".split())
 
-#: Texts and notices as they are published with these licences; "-line" are one-line references to a licence.
+#: Texts and notices as they are published with these licences; "-line" and "-spdx" are one-line references to a licence, "-opening" the head of a long text.
 TEMPLATES = {
     "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3.0-line": "the GNU Affero General Public License version 3",
+    "agpl-3.0-opening": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
     "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "apache-2.0-opening": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "apache-2.0-spdx": "SPDX-License-Identifier: Apache-2.0",
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-2-clause-line": "the BSD 2-Clause License",
+    "bsd-2-clause-spdx": "SPDX-License-Identifier: BSD-2-Clause",
     "bsd-2-clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "bsd-3-clause-line": "the BSD 3-Clause License",
+    "bsd-3-clause-spdx": "SPDX-License-Identifier: BSD-3-Clause",
     "bsd-3-clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "bsl-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -47,18 +55,34 @@ TEMPLATES = {
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
     "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl-2.0-line": "the Eclipse Public License 2.0",
     "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-2.0-line": "the GNU General Public License version 2",
+    "gpl-2.0-opening": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "gpl-2.0-or-later-line": "under the GPL v2 or later",
+    "gpl-2.0-spdx": "SPDX-License-Identifier: GPL-2.0",
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-named-line": "the GNU General Public License version 3",
+    "gpl-3.0-opening": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "gpl-3.0-or-later-line": "under the GPL v3 or later",
+    "gpl-3.0-spdx": "SPDX-License-Identifier: GPL-3.0",
     "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "isc-spdx": "SPDX-License-Identifier: ISC",
     "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-2.1-line": "the GNU Lesser General Public License version 2.1",
     "lgpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-3.0-opening": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-licensed-line": "Licensed under the MIT License.",
     "mit-line": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
     "mit-named-line": "Released under the MIT License.",
+    "mit-spdx": "SPDX-License-Identifier: MIT",
     "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "mit-under-line": "under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-2.0-line": "the Mozilla Public License 2.0",
+    "mpl-2.0-spdx": "SPDX-License-Identifier: MPL-2.0",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "unlicense-text": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.',
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
@@ -69,7 +93,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normal_words(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
+    return re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)).replace("licence", "license"))
 
 
 def pairs(words: Column) -> Column:
@@ -118,8 +142,8 @@ def license_matches(documents: DataFrame, id_col: str = "doc_id", text_col: str
     tables = prepared(templates or TEMPLATES, least)
     text = text_of(text_col)
     every = sorted({w for t in tables.values() for w in anchor_words(t.bigrams, least)})
-    may = text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(every) + ")(?![a-z0-9])")
-    words = lambda u: F.regexp_extract_all(F.translate(u, UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0))
+    may = text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(w.replace("license", "licen[cs]e") for w in every) + ")(?![a-z0-9])")
+    words = lambda u: F.regexp_extract_all(F.replace(F.translate(u, UPPER, LOWER), F.lit("licence"), F.lit("license")), F.lit("[a-z0-9]+"), F.lit(0))
     none = F.array().cast("array<string>")
     texts = documents.select(F.col(id_col).alias("id"), F.when(may, text).alias("text"))
     rows = texts.select("id", F.when(F.col("text").isNotNull(), F.filter(F.transform(units(F.col("text")), lambda u: F.array_distinct(pairs(words(u)))), lambda g: F.size(g) > 0)).otherwise(F.array(none)).alias("units"), F.when(F.col("text").isNotNull(), pairs(words(F.col("text")))).otherwise(none).alias("grams"))
@@ -159,9 +183,9 @@ WITH templates(name, own, words) AS (VALUES {values}),
 anchors(name, gram, spot) AS (VALUES {anchors}),
 numbered AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 parts AS (SELECT rid, unnest(list_distinct(list_concat(string_split_regex(t, '[\r\n]+'), string_split_regex(t, '(?:\r?\n[ \t]*){{2,}}'), [t]))) AS u FROM numbered),
-worded AS (SELECT rid, regexp_extract_all(translate(u, '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS w FROM parts),
+worded AS (SELECT rid, regexp_extract_all(replace(translate(u, '{UPPER}', '{LOWER}'), 'licence', 'license'), '[a-z0-9]+') AS w FROM parts),
 grams AS (SELECT rid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM worded WHERE len(w) > 1),
-whole AS (SELECT rid, regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS w FROM numbered),
+whole AS (SELECT rid, regexp_extract_all(replace(translate(t, '{UPPER}', '{LOWER}'), 'licence', 'license'), '[a-z0-9]+') AS w FROM numbered),
 paired AS (SELECT rid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS all_grams FROM whole WHERE len(w) > 1),
 placed AS (SELECT rid, unnest(all_grams) AS gram, generate_subscripts(all_grams, 1) - 1 AS place FROM paired),
 starts AS (SELECT DISTINCT rid, name, place - spot AS s FROM placed JOIN anchors USING (gram)),

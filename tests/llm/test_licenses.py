@@ -30,11 +30,11 @@ def brute(text, least=L.LEAST_DICE):
 
 def texts():
     rnd = random.Random(6)
-    out = [None, "", "word", "license license license", "LICENSED under CC BY-NC 4.0 " * 30, "é Licensed under the Apache License, Version 2.0.", "x" * 100_000]
+    out = [None, "", "word", "license license license", "LICENSED under CC BY-NC 4.0 " * 30, "é Licensed under the Apache License, Version 2.0.", "x" * 100_000, "a Licence under the MIT licence.", "SPDX-LICENCE-identifier: mit"]
     for _ in range(150):
         words = rnd.choice(list(L.TEMPLATES.values())).split()
         for _ in range(rnd.randrange(0, 6)):
-            at = rnd.randrange(len(words))
+            at = rnd.randrange(max(1, len(words)))
             words[at : at + rnd.choice([0, 1, 2])] = rnd.choice([[], ["zz"], ["the"], ["a\n"], ["b\n\n"]])
         out.append(rnd.choice(["", "intro words\n", "intro "]) + rnd.choice([" ", "\n"] if rnd.random() < 0.2 else [" "]).join(words or ["x"]) + rnd.choice(["", "\nend", " tail of words"]))
     return out
@@ -76,5 +76,15 @@ def test_notices_inside_lines_wrapped_and_in_comments_are_found(docs):
         assert names[k] == 1, (k, names)
 
 
+def test_short_references_and_openings_are_found(docs):
+    prose = "some words of prose " * 30
+    cases = {"Licensed under the MIT licence": "mit", "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: Apache-2.0": "apache-2.0", "distributed under the GNU General Public License version 2": "gpl-2.0", "released under the GPL v3 or later": "gpl-3.0", "under the terms of the BSD 3-Clause License": "bsd-3-clause", "see the Mozilla Public License 2.0": "mpl-2.0"}
+    cases["GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n Preamble"] = "gpl-3.0"
+    texts = [f"{a}{text}{b}" for text in cases for a, b in (("", ""), (prose, " " + prose))]
+    best = [r.best_license or "" for r in L.license_report(docs(texts)).orderBy("doc_id").collect()]
+    assert [b.startswith(w) for b, w in zip(best, [w for w in cases.values() for _ in range(2)], strict=True)] == [True] * len(texts), best
+    assert not any(r.n_licenses for r in L.license_report(docs(["the general public may see version 2 of it", "a mit glove under the table", "later the gpl or v3"])).collect())
+
+
 def test_empty_table(docs):
     assert L.license_report(docs([])).count() == 0
