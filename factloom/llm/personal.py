@@ -8,7 +8,8 @@ SETTLED in all). Then unknown tokens in confident patterns are reported as `seen
 
 A pattern is confident with LEAST_SEEDS distinct instances and a confidence of LEAST_PATTERN, an instance with LEAST_INSTANCE. An
 unknown token is what stands between spaces, brackets, quotes, commas and semicolons and has a digit, an underscore or an @, of
-any length; a plain word, or an identifier in groups parted by spaces, is never one.
+any length; a plain word, or an identifier in groups parted by spaces, is never one. Patterns are made of the whole words that begin
+or end within AROUND characters of an instance.
 
 Defined results: a null or empty text has no spans; a null id is carried along; repeated rows give repeated results and count once
 as evidence; ties between kinds go to the first by name; other columns of the input are not read; an empty table gives an
@@ -42,7 +43,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 _PARTING = r"""\s"'<>(){}\[\],;|"""
 _UNKNOWN = re.compile(rf"(?<![^{_PARTING}])[^{_PARTING}0-9_@]*[0-9_@][^{_PARTING}]*")
 _WORD = re.compile(r"[^\W\d_]+|[=:#@]")
-_AROUND = 48
+AROUND = 48
 SPANS = "array<struct<start:long,ord:int,end:long,kind:string>>"
 
 
@@ -85,10 +86,21 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def around(text: str, start: int, end: int) -> tuple[int, int]:
+    """Bounds of what stands within AROUND characters of a place, moved outward to whole words, however long these are."""
+    first, last = max(0, start - AROUND), min(len(text), end + AROUND)
+    while 0 < first < start and text[first].isalpha() and text[first - 1].isalpha():
+        first -= 1
+    while end < last < len(text) and text[last - 1].isalpha() and text[last].isalpha():
+        last += 1
+    return first, last
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a place: two words before, one before and one after."""
-    before = _WORD.findall(text[max(0, start - _AROUND) : start].lower())[-2:]
-    after = _WORD.findall(text[end : end + _AROUND].lower())[:1]
+    first, last = around(text, start, end)
+    before = _WORD.findall(text[first:start].lower())[-2:]
+    after = _WORD.findall(text[end:last].lower())[:1]
     out = []
     if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")

@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+from factloom.llm import personal as P
 from factloom.llm.personal import KINDS, LEAST_INSTANCE, LEAST_PATTERN, LEAST_SEEDS, base_spans, bootstrap, emails, personal_report, personal_spans, unknown_spans
 
 PATTERNS = {
@@ -106,3 +107,11 @@ def test_scores_of_patterns_equal_brute_force(spark):
     assert rounds > 2 and ("v110", "email") in seen and ("p21", "email") in want
     got = {(r.pattern, r.kind): r.confidence for r in bootstrap(spark.createDataFrame(found * 2, "value string, kind string, pattern string")).collect()}
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-4 for x in want)
+
+
+def test_patterns_are_made_of_whole_words():
+    long = "q" * 200
+    assert P.patterns(f"call {long} x1 {long} end", 206, 208) == [f"call {long} _", f"{long} _ {long}"]
+    text = "intro " + "a" * 30 + " " + "b" * 30 + " x1 c"
+    assert P.patterns(text, 68, 70)[0] == "a" * 30 + " " + "b" * 30 + " _"
+    assert P.patterns("x1", 0, 2) == [] and P.patterns("a b x1", 4, 6) == ["a b _"]
