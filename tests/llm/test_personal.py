@@ -111,7 +111,7 @@ def test_scores_of_patterns_equal_brute_force(spark):
 
 def test_patterns_are_made_of_whole_words():
     long = "q" * 200
-    assert P.patterns(f"call {long} x1 {long} end", 206, 208) == [f"call {long} _", f"{long} _ {long}"]
+    assert P.patterns(f"call {long} x1 {long} end", 206, 208) == [f"{long} _ {long}"]
     text = "intro " + "a" * 30 + " " + "b" * 30 + " x1 c"
     assert P.patterns(text, 68, 70)[0] == "a" * 30 + " " + "b" * 30 + " _"
     assert P.patterns("x1", 0, 2) == [] and P.patterns("a b x1", 4, 6) == ["a b _"]
