@@ -39,7 +39,7 @@ BITS = 64
 TREE = 512
 PART = 8192
 _HASHES = 1 << 16
-_QUERIES = 1024
+_PAIRS = 1 << 20  # of queries and nodes that a search holds at once
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -155,11 +155,11 @@ def linked(tree: Tree, prints: np.ndarray, labels: np.ndarray, radius: int, with
     A link names components, not the nodes that touch, and is told only where it joins two.
     """
     links: list[tuple[int, int]] = []
-    labels = labels.copy()
-    for at in range(0, len(prints), _QUERIES):
+    labels, step = labels.copy(), max(16, _PAIRS // max(1, len(tree.prints)))
+    for at in range(0, len(prints), step):
         mixed = tree.mixed()
-        own = (tree.labels if within else labels)[at : at + _QUERIES].copy()
-        asked = prints[at : at + _QUERIES]
+        own = (tree.labels if within else labels)[at : at + step].copy()
+        asked = prints[at : at + step]
         query, place = np.arange(len(asked)), np.zeros(len(asked), np.int64)
         met_a, met_b = [], []
         while len(query):
