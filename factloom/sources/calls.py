@@ -149,7 +149,7 @@ def call_all(asked: DataFrame, keys: list[str], caller: Caller, ledger: str, pol
     asked(keys, provider_ord, provider, model, prompt, max_output, refusal): a row for each provider of a request.
     """
     provider = F.struct("provider_ord", "provider", "model", "refusal")
-    grouped = asked.withColumn("request", request_of(keys)).groupBy("request").agg(F.first("prompt").alias("prompt"), F.array_sort(F.collect_list(provider)).alias("providers"))
+    grouped = asked.withColumn("request", request_of(keys)).groupBy("request").agg(F.first("prompt").alias("prompt"), F.array_sort(F.collect_set(provider)).alias("providers"))
     open_ = grouped.where(F.exists("providers", lambda p: p["refusal"].isNull()))
     dealt = open_.withColumn("bucket", F.pmod(F.xxhash64("request"), F.lit(BUCKETS)).cast("int")).repartition(policy.tasks, "bucket").sortWithinPartitions("bucket")
 
@@ -185,7 +185,7 @@ def outcomes(checked: DataFrame, keys: list[str], ledger: str, run: str) -> Data
     """keys, provider_ord, provider, response, error, n_calls: what became of each provider of a request; those that were not asked have no row."""
     calls = read_ledger(checked.sparkSession, ledger).where(F.col("response").isNotNull() | (F.col("run") == run))
     last = calls.groupBy("request", "provider", "model").agg(F.max(F.struct(F.col("response").isNotNull().alias("good"), "attempt", "response", "error")).alias("last"), F.count(F.lit(1)).alias("n_calls"))
-    offers = checked.select(*keys, request_of(keys).alias("request"), "provider_ord", "provider", "model", "refusal")
+    offers = checked.select(*keys, request_of(keys).alias("request"), "provider_ord", "provider", "model", "refusal").distinct()  # a request that comes twice is one
     met = offers.join(last, ["request", "provider", "model"], "left").where("refusal is not null or n_calls is not null")
     error = F.coalesce(F.concat(F.lit("refused: "), "refusal", F.lit(" tokens")), "last.error")
     return met.select(*keys, "provider_ord", "provider", F.when(F.col("refusal").isNull(), F.col("last.response")).alias("response"), error.alias("error"), F.when(F.col("refusal").isNull(), F.col("n_calls")).otherwise(F.lit(0)).alias("n_calls"))

@@ -3,7 +3,7 @@
 Objects (kind, ref, json) are dealt to tasks by ranges of their place - the schema, the contexts and units in the order in which facts
 first name them, the facts by fact_ord - so no task sees the whole and no order is lost. A task writes its objects with commas between
 them; what opens, closes and parts the sections between two tasks is known only at the end, and the job's commit adds it as small parts
-of its own. A task that fails or is tried again leaves a file that no commit names; abort deletes it.
+of its own. What a task that failed has left is deleted by then.
 """
 
 from __future__ import annotations
@@ -72,6 +72,12 @@ class _DocumentWriter(DataSourceArrowWriter):
         for m in told:
             if not m.objects:
                 files.delete_file(f"{root}/{m.file}")
+        from pyarrow import fs
+
+        named = {m.file for m in told}
+        for left in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if left.base_name[:2] == "_0" and left.base_name not in named:  # of a task that was tried again
+                files.delete_file(left.path)
         some = [m for m in told if m.objects]
         before = -1
         head = '{"schema":' + json.dumps(self.schema_name)

@@ -143,8 +143,11 @@ def vacuum(spark: SparkSession, path: str, kept: int = KEPT_VERSIONS, unused: fl
     found = versions(spark, path)
     used: set[str] = set()
     for version in found[-kept:]:
-        manifest = _manifest(spark, path, version)
-        used |= {manifest["runs"], *[f"part={p}" for p in manifest["parts"]]}
+        try:
+            manifest = _manifest(spark, path, version)
+            used |= {manifest["runs"], *[f"part={p}" for p in manifest["parts"]]}
+        except (AnalysisException, ValueError, KeyError):
+            return []  # what it uses isn't known
     gone, now = [], time.time()
     for version in found[:-kept]:
         delete_folder(spark, f"{path}/versions/v{version:08d}.json")

@@ -92,6 +92,17 @@ def test_a_task_that_dies_pays_nothing_twice(spark, place):
     assert made(log) == {("gemini", p): {"p7": 2, "p9": 3}.get(p, 1) for p in prompts}
 
 
+def test_a_request_that_comes_twice_is_asked_once(spark, place):
+    log, ledger = place
+
+    def behave(provider, prompt, n):
+        raise ValueError("no")
+
+    rows = asked(spark, ["a"])
+    assert told(calls.answered(rows.unionAll(rows), ["k"], logging_caller(log, behave), ledger, FAST)) == {0: (None, None, "gemini: no | openai: no")}
+    assert made(log) == {("gemini", "a"): 1, ("openai", "a"): 1}
+
+
 def test_refusals_cost_no_call_and_attempts_are_bounded(spark, place):
     log, ledger = place
 
