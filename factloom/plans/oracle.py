@@ -292,7 +292,7 @@ def oracle_sql() -> dict[str, str]:
     spelled = "[" + ", ".join(map(q, ["thousand_KRW", "백 만 원", "hundred_million_KRW", "십억원", "won", "USD", " KRW ", "", "천원"])) + "][o_orderkey % 9 + 1]"
     limits = "(VALUES ('gemini-2.5-flash-lite', 0, 1048576, 65536), ('gemini-2.5-pro', 1, 1048576, 65536), ('gemini-1.5-pro', 2, 2097152, 8192), ('gpt-5.4-mini', 3, 400000, 128000), ('gpt-4o', 4, 128000, 16384), ('o1-preview', 5, 128000, 32768), ('o1-mini', 6, 128000, 65536), ('other', 7, NULL, NULL)) l(model, i, mi, mo)"
     runs = f"(SELECT id, created_at, seq, CASE WHEN filename = '' THEN 'Untitled extraction' ELSE filename END AS filename, files, report_types, n_candidates, n_facts, n_issues FROM {V.runs_demo_sql(DUCK)} v)"
-    return {
+    found = {
         "q01_compact_text": docs.format(compact("text")),
         "q02_normalize_ws": docs.format(squeezed("text")),
         "q03_page_lines": "SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_index FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\n+') AS ls FROM documents) d",
@@ -376,3 +376,13 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'unit', unit_ref, min(fact_ord), NULL, NULL, arg_max(measure, fact_ord), NULL, NULL, NULL, NULL, NULL, NULL FROM f GROUP BY unit_ref
             UNION ALL SELECT 'fact', CAST(fact_ord AS VARCHAR), fact_ord, NULL, NULL, NULL, concept, context_ref, unit_ref, fact_ord * 0.5::DOUBLE, '"' || concept || '" \\ 계정', 'd.pdf' FROM f""",
     }
+    found["q61_refined_spans"] = f"""WITH c AS (SELECT * FROM {_SPANS} s), g AS ({found['q38_segment_normalise']}), told AS (SELECT DISTINCT document_id FROM g),
+        best AS (SELECT c.*, g.candidate_ord IS NOT NULL AS matched, g.scope AS gs, g.start_page AS s, g.end_page AS e, g.score AS gscore, g.reasons AS gr, least(g.end_page, c.end_page) - greatest(g.start_page, c.start_page) AS overlap FROM c SEMI JOIN told ON told.document_id = c.document_id
+            LEFT JOIN g ON g.document_id = c.document_id AND g.statement_type = c.statement_type AND (g.scope = c.scope OR g.scope = 'unknown' OR c.scope = 'unknown') AND g.start_page <= c.end_page AND c.start_page <= g.end_page
+            QUALIFY row_number() OVER (PARTITION BY c.document_id, c.candidate_ord ORDER BY overlap DESC NULLS LAST, g.score DESC, g.candidate_ord) = 1),
+        n AS (SELECT document_id, candidate_ord AS found_ord, include, statement_type, CASE WHEN matched AND gs <> 'unknown' THEN gs ELSE scope END AS scope, CASE WHEN matched THEN greatest(start_page, s) ELSE start_page END AS start_page, CASE WHEN matched THEN least(end_page, e) ELSE end_page END AS end_page,
+            CASE WHEN matched THEN greatest(score, gscore) ELSE score END AS score, CASE WHEN matched THEN 'demo,' || gr || ',llm_range_clamped_to_heuristic' ELSE 'demo' END AS reasons FROM best),
+        u AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY document_id, scope, statement_type, start_page, end_page ORDER BY found_ord) = 1)
+        SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY start_page, score DESC, found_ord) - 1 AS INT) AS candidate_ord, include, scope, statement_type, start_page, end_page, score, reasons FROM u
+        UNION ALL SELECT document_id, candidate_ord, include, scope, statement_type, start_page, end_page, score, 'demo' FROM c WHERE document_id NOT IN (SELECT document_id FROM told)"""
+    return found

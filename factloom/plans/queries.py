@@ -543,3 +543,10 @@ def q60_document_objects(spark, sf_dir):
     objects = facts.document_objects(full)
     read = F.from_json("json", "scope string, period string, measure string, concept string, contextRef string, unitRef string, value double, label string, source struct<documentId:string,filename:string,page:int>")
     return objects.select("kind", "ref", "place", F.inline(F.array(read))).select("kind", "ref", "place", "scope", "period", "measure", "concept", F.col("contextRef").alias("context_ref"), F.col("unitRef").alias("unit_ref"), "value", "label", F.col("source.filename").alias("filename"))
+
+
+@query
+def q61_refined_spans(spark, sf_dir):
+    """Spans narrowed by the recorded answers of a model; documents without a usable answer keep theirs."""
+    out = modelled.refined(_spans(spark, sf_dir), _documents(spark, sf_dir), V.view(spark, sf_dir, V.segments_json_sql))
+    return out.withColumn("reasons", F.array_join("reasons", ","))
