@@ -18,12 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, in_arrow, numbered
+from .common import in_arrow, numbered
 from .words import byte_column
 
 CHUNK, HOP = 512, 447  # odd, so that filters, which move by 2, meet a text at both phases
@@ -155,14 +154,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
         one = usable.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
         chosen = one if chosen is None else chosen.union(one)
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "data": [text.encode() for text in batch["text"]]})
-
-    texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chosen_texts = texts.join(F.broadcast(chosen.select("id")), "id", "left_semi")  # at most 2 x TRAIN_ROWS ids
-    kind = texts.schema["id"].dataType.simpleString()
-    read = chosen_texts.mapInPandas(freed(whole), f"id {kind}, data binary").join(F.broadcast(chosen), "id")
+    texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    read = texts.join(F.broadcast(chosen), "id")  # at most 2 x TRAIN_ROWS ids
     rows = sorted({(r["id"], r["label"], bytes(r["data"])) for r in read.collect()})
     return [chunked(np.frombuffer(data, np.uint8)) for _, _, data in rows], np.array([r[1] for r in rows], np.float32), np.array([len(r[2]) for r in rows], np.float32), 1.0 if share is None else float(share)
 
