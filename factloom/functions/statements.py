@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import COMMA_NUMBER, compact, hits, last_match_at, let, lines, matches, squeezed, text, trimmed
+from .text import COMMA_NUMBER, WS, compact, hits, last_match_at, let, lines, matches, squeezed, text, trimmed
 from .vocabulary import CASH_FLOW_TAIL, ROW_KEYWORDS, STATEMENT_TYPES
 
 #: How a title line reads once its section number is cut off.
@@ -48,14 +48,13 @@ def _title_type(c: Column) -> Column:
 
 
 def titles(page_lines: Column) -> Column:
-    """All titles among the lines: index, statement_type, has_section_prefix. Most pages hold no statement's name and are done with one look."""
-    none = F.array().cast("array<struct<index:int,statement_type:string,has_section_prefix:boolean>>")
+    """All titles among the lines: index, statement_type, has_section_prefix. Lines without the last letter of a statement's name are done with one look."""
 
-    def listed(page: Column) -> Column:
-        found = F.transform(page_lines, lambda line, i: let(compact(line), lambda c: F.struct(i.alias("index"), _title_type(c).alias("statement_type"), c.rlike(_PREFIX).alias("has_section_prefix"))))
-        return F.when(_names_a_statement(page), F.filter(found, lambda t: t.statement_type.isNotNull())).otherwise(none)
+    def told(line: Column, i: Column) -> Column:
+        title = let(compact(line), lambda c: F.struct(i.alias("index"), _title_type(c).alias("statement_type"), c.rlike(_PREFIX).alias("has_section_prefix")))
+        return F.when(line.contains("표") | line.contains("서"), title)
 
-    return let(compact(F.array_join(page_lines, "")), listed)
+    return F.filter(F.transform(page_lines, told), lambda t: t.statement_type.isNotNull())
 
 
 def has_title(found: Column, statement_type: Column) -> Column:
@@ -100,13 +99,24 @@ def value_lines(page_text: Column) -> Column:
     return F.size(F.filter(lines(page_text), lambda line: matches(line, _VALUE_MARK) >= 2))
 
 
+def look(segment: Column) -> Column:
+    """What evidence() of every statement needs of a text: compact, numbers (with commas), valued (lines with two values)."""
+    return let(segment, lambda x: F.struct(compact(x).alias("compact"), F.coalesce(matches(x, COMMA_NUMBER), F.lit(0)).alias("numbers"), value_lines(x).alias("valued")))
+
+
+def of_look(seen: Column, statement_type: str) -> Column:
+    return F.struct(hits(seen["compact"], ROW_KEYWORDS[statement_type]).alias("rows"), seen["numbers"].alias("numbers"), seen["valued"].alias("valued"))
+
+
 def evidence(segment: Column, statement_type: str) -> Column:
     """rows (keywords of the statement's rows), numbers (with commas) and valued (lines) of a text."""
+    return let(look(segment), lambda seen: of_look(seen, statement_type))
 
-    def counted(t: Column) -> Column:
-        return F.struct(hits(t.s, t.c, ROW_KEYWORDS[statement_type]).alias("rows"), matches(t.s, COMMA_NUMBER).alias("numbers"), value_lines(t.whole).alias("valued"))
 
-    return let(segment, lambda x: let(F.struct(squeezed(x).alias("s"), compact(x).alias("c"), x.alias("whole")), counted))
+def look_at_slice(segment: Column, page_text: Column, page_look: Column) -> Column:
+    """look() of a page's slice, given that of the page: most slices are the page or empty."""
+    nothing = F.struct(F.lit("").alias("compact"), F.lit(0).alias("numbers"), F.lit(0).alias("valued"))
+    return F.when(segment == "", nothing).when(segment == page_text, page_look).otherwise(look(segment))
 
 
 def by_type(statement_type: Column, make) -> Column:
@@ -117,35 +127,40 @@ def by_type(statement_type: Column, make) -> Column:
     return out
 
 
-def _goes_on(segment: Column, e: Column) -> Column:
-    return F.coalesce((trimmed(segment) != "") & (((e.rows >= 1) & (e.numbers >= 2)) | (e.valued >= 2)), F.lit(False))
+def _goes_on(e: Column) -> Column:
+    # a text that is blank shows nothing of these
+    return ((e.rows >= 1) & (e.numbers >= 2)) | (e.valued >= 2)
 
 
-def _strong(e: Column) -> Column:
+def is_strong(e: Column) -> Column:
+    """Is the evidence that of a statement's body?"""
     return (e.rows >= 1) & (e.numbers >= 6) & (e.valued >= 2)
 
 
 def continues(segment: Column, statement_type: str) -> Column:
     """Does the segment go on with the statement?"""
-    return let(segment, lambda x: let(evidence(x, statement_type), lambda e: _goes_on(x, e)))
+    return let(evidence(segment, statement_type), _goes_on)
 
 
-def has_strong_body(segment: Column, statement_type: str) -> Column:
-    return let(evidence(segment, statement_type), _strong)
+def goes_on_with(seen: Column, statement_type: str) -> Column:
+    """continues() of a look()."""
+    return let(of_look(seen, statement_type), _goes_on)
 
 
-def shown(segment: Column, statement_type: str) -> Column:
-    """evidence() with goes_on and strong, all of one look at the segment."""
-    return let(evidence(segment, statement_type), lambda e: F.struct(e.rows.alias("rows"), e.numbers.alias("numbers"), e.valued.alias("valued"), _goes_on(segment, e).alias("goes_on"), _strong(e).alias("strong")))
+def shown(seen: Column, statement_type: str) -> Column:
+    """evidence() with goes_on and strong, all of one look() at the segment."""
+    return let(of_look(seen, statement_type), lambda e: F.struct(e.rows.alias("rows"), e.numbers.alias("numbers"), e.valued.alias("valued"), _goes_on(e).alias("goes_on"), is_strong(e).alias("strong")))
 
 
 def cash_flow_tail(page_text: Column) -> Column:
-    both = F.struct(squeezed(page_text).alias("s"), compact(page_text).alias("c"))
-    return let(both, lambda t: (hits(t.s, t.c, CASH_FLOW_TAIL) >= 2) & (matches(t.s, COMMA_NUMBER) >= 4))
+    # all of its words are about cash
+    about_cash = page_text.contains("현") & page_text.contains("금") & (matches(page_text, COMMA_NUMBER) >= 4)
+    return F.when(about_cash, let(compact(page_text), lambda c: hits(c, CASH_FLOW_TAIL) >= 2)).otherwise(False)
 
 
-def looks_like_contents(squeezed_text: Column) -> Column:
-    return squeezed_text.contains("목차") | squeezed_text.contains("table of contents") | (matches(squeezed_text, r"\.\.\.") > 20)
+def looks_like_contents(page_text: Column) -> Column:
+    named = F.lower(page_text).contains("table") & squeezed(page_text).contains("table of contents")
+    return page_text.contains("목차") | named | (page_text.contains("...") & (matches(page_text, r"\.\.\.") > 20))
 
 
 def starts_other_section(page_text: Column) -> Column:
@@ -157,7 +172,10 @@ def starts_other_section(page_text: Column) -> Column:
         return numbered | c.startswith("주석") | c.startswith("재무제표주석") | c.startswith("연결재무제표주석") | c.startswith("외부감사실시내용")
 
     # without any line both texts are empty, and open nothing
-    return let(head, lambda h: let(F.struct(squeezed(F.array_join(h, " ")).alias("s"), compact(F.array_join(h, "")).alias("c")), lambda t: opens(t.s, t.c)))
+    told = let(head, lambda h: let(F.struct(squeezed(F.array_join(h, " ")).alias("s"), compact(F.array_join(h, "")).alias("c")), lambda t: opens(t.s, t.c)))
+    # most pages hold neither word and are done with one look
+    named = (page_text.contains("주") & page_text.contains("석")) | (page_text.contains("외") & page_text.contains("부"))
+    return F.when(named, told).otherwise(False)
 
 
 def heading_scope(squeezed_text: Column) -> Column:
@@ -172,9 +190,7 @@ def heading_scope(squeezed_text: Column) -> Column:
 
 def page_scope(page_text: Column, carried: Column) -> Column:
     """Scope by a title, by the last heading up to and with the page (carried), or by the word itself."""
-
-    def by_text(s: Column) -> Column:
-        other = F.coalesce(carried, F.when(s.contains("consolidated"), "consolidated").otherwise("unknown"))
-        return F.when(s.rlike(f"연결 *{_NAMES}"), "consolidated").when(s.rlike(f"(?:개별|별도) *{_NAMES}"), "separate").otherwise(other)
-
-    return let(squeezed(page_text), by_text)
+    other = F.coalesce(carried, F.when(F.lower(page_text).contains("consolidated"), "consolidated").otherwise("unknown"))
+    joint = page_text.contains("연결") & page_text.rlike(f"연결{WS}*{_NAMES}")
+    alone = (page_text.contains("개별") | page_text.contains("별도")) & page_text.rlike(f"(?:개별|별도){WS}*{_NAMES}")
+    return F.when(joint, "consolidated").when(alone, "separate").otherwise(other)

@@ -11,7 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+PLAIN_WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The same class for Java's patterns: most letters of a Korean text are told from whitespace by the range alone, not by each of its parts.
+WS = rf"[\x00-\u3000\uFEFF&&{PLAIN_WS}]"
+WS_CHARACTERS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Most texts have no character of these, and so no whitespace but spaces and line breaks.
+_RARE = r"[^\n\x20-\x7E\u3001-\uFEFE]"
 #: A number whose thousands are parted by commas, with or without parentheses.
 COMMA_NUMBER = r"\(?\d{1,3}(?:,\d{3})+(?:\.\d+)?\)?"
 
@@ -30,12 +35,23 @@ def text(value: Column) -> Column:
 
 
 def trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(value, F.lit(WS_CHARACTERS))
 
 
 def compact(value: Column) -> Column:
     """Without any whitespace, in lower case."""
-    return F.lower(F.regexp_replace(text(value), f"{WS}+", ""))
+    return F.lower(unspaced(text(value)))
+
+
+def unspaced(value: Column) -> Column:
+    """Without any whitespace."""
+    plain = lambda x: F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    return let(value, lambda x: F.when(x.rlike(_RARE), F.regexp_replace(x, f"{WS}+", "")).otherwise(plain(x)))
+
+
+def spaces(value: Column) -> Column:
+    """Each whitespace character but line breaks as one space."""
+    return let(value, lambda x: F.when(x.rlike(_RARE), F.regexp_replace(x, rf"[{WS}&&[^\n]]", " ")).otherwise(x))
 
 
 def squeezed(value: Column) -> Column:
@@ -53,17 +69,16 @@ def matches(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern))
 
 
-def has_keyword(squeezed_text: Column, compact_text: Column, keyword: str) -> Column:
-    """Is the keyword in the squeezed text, or without its spaces in the compact text?"""
-    lower = keyword.lower()
-    return squeezed_text.contains(lower) | compact_text.contains("".join(lower.split()))
+def has_keyword(compact_text: Column, keyword: str) -> Column:
+    """Is the keyword there, with whatever whitespace? Whatever the squeezed text holds, the compact one holds without its spaces."""
+    return compact_text.contains("".join(keyword.lower().split()))
 
 
-def hits(squeezed_text: Column, compact_text: Column, keywords: list[str]) -> Column:
+def hits(compact_text: Column, keywords: list[str]) -> Column:
     """How many of the keywords are there."""
     total = F.lit(0)
     for keyword in keywords:
-        total = total + has_keyword(squeezed_text, compact_text, keyword).cast("int")
+        total = total + has_keyword(compact_text, keyword).cast("int")
     return total
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.statements import by_type, cash_flow_tail, continues, evidence, has_strong_body, has_title, heading_scope, looks_like_contents, page_scope, starts_other_section, statement_slice, titles
+from factloom.functions.statements import by_type, cash_flow_tail, evidence, goes_on_with, has_title, heading_scope, is_strong, look, look_at_slice, looks_like_contents, page_scope, starts_other_section, statement_slice, titles
 from factloom.functions.text import let, lines, page_range, squeezed
 from factloom.functions.vocabulary import STATEMENT_TYPES, TITLE_REASON
 from factloom.operators.order import carried, first_wins
@@ -26,7 +26,8 @@ def with_titles(pages: DataFrame) -> DataFrame:
 
 def with_carried_scope(pages: DataFrame) -> DataFrame:
     """context_scope: the last scope that a heading told, up to and with the page."""
-    detected = pages.withColumn("detected_scope", heading_scope(squeezed(F.col("text"))))
+    # headings name the statements without a space; most pages hold none and are done with one look
+    detected = pages.withColumn("detected_scope", F.when(F.col("text").contains("재무제표"), heading_scope(squeezed(F.col("text")))))
     return detected.withColumn("context_scope", carried("detected_scope", ["document_id"], "page_number"))
 
 
@@ -37,13 +38,13 @@ def forward_text(pages: DataFrame, span: int = MAX_SPAN) -> DataFrame:
 
 
 def score(segment: Column, statement_type: str) -> Column:
-    """score, rows, numbers, toc of a segment that has the title; 0 without a row keyword or with fewer than six numbers."""
+    """score, rows, numbers, toc, strong of a segment that has the title; 0 without a row keyword or with fewer than six numbers."""
 
     def points(e: Column, toc: Column) -> Column:
         sum_ = F.lit(50) + F.least(F.lit(40), 8 * e.rows) + F.least(F.lit(30), e.numbers) - F.when(toc, 180).otherwise(0)
-        return F.struct(F.when((e.rows >= 1) & (e.numbers >= 6), F.greatest(sum_, F.lit(0))).otherwise(0).alias("score"), e.rows.alias("rows"), e.numbers.alias("numbers"), toc.alias("toc"))
+        return F.struct(F.when((e.rows >= 1) & (e.numbers >= 6), F.greatest(sum_, F.lit(0))).otherwise(0).alias("score"), e.rows.alias("rows"), e.numbers.alias("numbers"), toc.alias("toc"), is_strong(e).alias("strong"))
 
-    return let(segment, lambda x: let(F.struct(evidence(x, statement_type).alias("e"), looks_like_contents(squeezed(x)).alias("toc")), lambda t: points(t.e, t.toc)))
+    return let(segment, lambda x: let(F.struct(evidence(x, statement_type).alias("e"), looks_like_contents(x).alias("toc")), lambda t: points(t.e, t.toc)))
 
 
 def page_signals(pages: DataFrame, span: int = MAX_SPAN) -> DataFrame:
@@ -54,16 +55,19 @@ def page_signals(pages: DataFrame, span: int = MAX_SPAN) -> DataFrame:
     reach = 2 * (span - 1)
     document = W.partitionBy("document_id")
     order = document.orderBy("page_number")
-    signals = with_carried_scope(with_titles(pages)).withColumn("kinds", F.array_distinct(F.transform("titles", lambda t: t.statement_type)))
+    # lines and titles are found behind the shuffle
+    signals = with_titles(with_carried_scope(pages)).withColumn("kinds", F.array_distinct(F.transform("titles", lambda t: t.statement_type)))
     # a page is asked only whether it goes on with what a page before it has a title of; most pages are asked nothing
     signals = signals.withColumn("recent", F.flatten(F.collect_list("kinds").over(order.rangeBetween(-reach, -1))))
+    signals = signals.withColumn("page_look", F.when(F.size("recent") > 0, look(F.col("text"))))
 
     def asked(kind: str) -> Column:
         own = statement_slice(F.col("text"), F.col("lines"), F.col("titles"), F.lit(kind))
-        return F.when(F.array_contains("recent", kind), continues(own, kind)).otherwise(False)
+        seen = let(own, lambda segment: look_at_slice(segment, F.col("text"), F.col("page_look")))
+        return F.when(F.array_contains("recent", kind), let(seen, lambda s: goes_on_with(s, kind))).otherwise(False)
 
     goes_on = F.struct(*[asked(kind).alias(kind) for kind in STATEMENT_TYPES])
-    signals = signals.withColumn("signal", F.struct(F.col("page_number").alias("page_number"), (F.size("titles") > 0).alias("titled"), starts_other_section(F.col("text")).alias("other_section"), cash_flow_tail(F.col("text")).alias("tail"), goes_on.alias("continues")))
+    signals = signals.withColumn("signal", F.struct(F.col("page_number").alias("page_number"), (F.size("titles") > 0).alias("titled"), starts_other_section(F.col("text")).alias("other_section"), cash_flow_tail(F.col("text")).alias("tail"), goes_on.alias("continues"))).drop("recent", "page_look")
     return (
         forward_text(signals, span)
         .withColumn("ahead", F.collect_list("signal").over(order.rangeBetween(1, reach)))
@@ -72,9 +76,8 @@ def page_signals(pages: DataFrame, span: int = MAX_SPAN) -> DataFrame:
     )
 
 
-def span_start(statement_type: Column, segment: Column, span: int) -> Column:
+def span_start(statement_type: Column, strong: Column, span: int) -> Column:
     """The page itself if its body is strong; else the first page ahead that goes on before another title, if there is one."""
-    strong = by_type(statement_type, lambda kind: has_strong_body(segment, kind))
     limit = F.least(F.col("last_page"), F.col("page_number") + span - 1)
     events = F.filter("ahead", lambda p: (p.page_number <= limit) & (p.titled | by_type(statement_type, lambda kind: p["continues"][kind])))
     return let(F.get(events, F.lit(0)), lambda first: F.when(~strong & ~first.titled, first.page_number).otherwise(F.col("page_number")))
@@ -101,7 +104,7 @@ def scored_pages(pages: DataFrame, span: int = MAX_SPAN) -> DataFrame:
 
     def of_kind(kind: Column) -> Column:
         segment = statement_slice(F.col("text"), F.col("lines"), F.col("titles"), kind)
-        return let(segment, lambda x: let(by_type(kind, lambda k: score(x, k)), lambda own: F.struct(kind.alias("statement_type"), x.alias("segment"), F.when(own.score > 0, own).otherwise(forward_score(kind)).alias("scored"))))
+        return let(segment, lambda x: let(by_type(kind, lambda k: score(x, k)), lambda own: F.struct(kind.alias("statement_type"), own.strong.alias("strong"), F.when(own.score > 0, own).otherwise(forward_score(kind)).alias("scored"))))
 
     # scored and filtered inside one array: a filter over the rows would evaluate the score again
     found = F.filter(F.transform("kinds", of_kind), lambda f: f.scored.score > 0)
@@ -111,7 +114,7 @@ def scored_pages(pages: DataFrame, span: int = MAX_SPAN) -> DataFrame:
 def discover_spans(pages: DataFrame, span: int = MAX_SPAN) -> DataFrame:
     """Candidate spans: scored, scoped, extended, the first of equal ones kept, in page order."""
     kind = F.col("statement_type")
-    found = scored_pages(pages, span).withColumn("start_page", span_start(kind, F.col("segment"), span).cast("int"))
+    found = scored_pages(pages, span).withColumn("start_page", span_start(kind, F.col("strong"), span).cast("int"))
     found = found.withColumn("end_page", span_end(kind, F.col("start_page"), span).cast("int"))
     type_ord = by_type(kind, lambda k: F.lit(STATEMENT_TYPES.index(k)))
     reason = by_type(kind, lambda k: F.lit(TITLE_REASON[k]))

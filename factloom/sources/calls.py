@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.text import WS
+from factloom.functions.text import PLAIN_WS
 from factloom.operators.models import admitted, first_answers
 from factloom.sources.folders import arrow_files, new_folder
 from factloom.sources.models import Caller
@@ -33,7 +33,7 @@ from factloom.sources.models import Caller
 BUCKETS = 256
 LEDGER = "request string, run string, provider_ord int, provider string, model string, attempt int, response string, error string, passing boolean, bucket int"
 EMPTY = "returned an empty response."  # fixed value: part of the result rows
-_BLANK = re.compile(f"{WS}*")
+_BLANK = re.compile(f"{PLAIN_WS}*")
 
 
 class Passing(Exception):

@@ -69,3 +69,10 @@ def test_clusters_and_empty_ranges(spark):
     frame = spark.createDataFrame([([0.0, 10.0, 20.0, 21.0, 60.0, 70.0],), ([],)], "v array<double>")
     assert [r[0] for r in frame.select(evidence.clusters(F.col("v"))).collect()] == [[5.0, 20.5, 65.0], []]
     assert spark.range(1).select(text.page_range(F.lit(5), F.lit(3))).first()[0] == []
+
+
+def test_slices_share_the_look_at_their_page(spark):
+    page = "재무상태표\n자산총계 1,000 2,000\n부채총계 1,000 -"
+    seen = statements.look_at_slice(F.col("v"), F.col("v"), statements.look(F.col("v")))
+    (got,) = values(spark, [page], lambda v: statements.shown(seen, "balance_sheet"))
+    assert (got["rows"], got["numbers"], got["valued"], got["goes_on"], got["strong"]) == (4, 3, 2, True, False)
