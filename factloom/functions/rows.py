@@ -5,50 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import COMMA_NUMBER, WS, first_or_null, let, trimmed
+from .text import COMMA_NUMBER, PLAIN_WS, WS, WS_CHARACTERS, first_or_null, let, spaces, trimmed, unspaced
 from .vocabulary import NOT_ACCOUNT_PARTS, NOT_ACCOUNTS
 
-#: Fixed values, here and in the functions below: patterns of values, units, periods and labels.
-_VALUE = rf"^(?:-|0|{COMMA_NUMBER})\z"
-
-
-def is_value(token: Column) -> Column:
-    """Plain numbers below a thousand are no values."""
-    return token.rlike(_VALUE)
+#: Fixed values, here and in the functions below: patterns of values, units, periods and labels. Plain numbers below a thousand are no values.
+_VALUE = rf"(?:-|0|{COMMA_NUMBER})"
+#: A line up to the end of its last word that is no value; the search goes backwards from the line's end.
+_WORDS = rf"(?s)^(?:.*[ \n])?(?!{_VALUE}(?:[ \n]|\z))[^ \n]+"
+#: Roman, circled and plain numbering, each once, in this order.
+_ROMAN, _CIRCLED, _PLAIN = rf"(?i:[IVXLCDMⅠ-ⅿ]+)[\x00-\u3000\uFEFF&&[{PLAIN_WS[1:-1]}.)]]+", rf"[①-⑳❶-❿]{WS}*", rf"\d+[.)]{WS}*"
+_NUMBERING = rf"^(?:{_ROMAN}(?:{_CIRCLED})?(?:{_PLAIN})?|{_CIRCLED}(?:{_PLAIN})?|{_PLAIN})"
 
 
 def parsed_line(line: Column) -> Column:
     """label, values: the values that end the line, the first three, and the label before them; null for any other line."""
-    tokens = F.filter(F.split(trimmed(line), f"{WS}+"), lambda t: t != "")
 
-    def parted(t: Column) -> Column:
-        last_word = F.coalesce(F.array_max(F.transform(t, lambda token, i: F.when(~is_value(token), i))), F.lit(-1))
-        return let(last_word, lambda n: F.struct(F.slice(t, F.lit(1), n + 1).alias("words"), F.slice(t, n + 2, F.lit(3)).alias("values"), F.size(t).alias("size")))
+    def told(line: Column, words: Column) -> Column:
+        values = F.slice(F.split(_spaced(line.substr(F.length(words) + 1, F.length(line))), " "), 1, 3)
+        label = clean_label(F.btrim(_spaced(words), F.lit(WS_CHARACTERS + ":·ㆍ-")))
+        row = let(F.struct(label.alias("label"), values.alias("values")), lambda r: F.when((r["label"] != "") & (r["values"][0] != ""), r))
+        return F.when((words != "") & (F.length(words) < F.length(line)), row)
+
+    return let(spaces(line), lambda x: let(F.regexp_extract(x, _WORDS, 0), lambda words: told(x, words)))
 
-    def labelled(p: Column) -> Column:
-        label = clean_label(F.regexp_replace(trimmed(F.array_join(p["words"], " ")), rf"^(?:{WS}|[:·ㆍ-])+|(?:{WS}|[:·ㆍ-])+\z", ""))
-        return let(label, lambda x: F.when((p["size"] >= 2) & (F.size(p["values"]) > 0) & (x != ""), F.struct(x.alias("label"), p["values"].alias("values"))))
 
-    return let(let(tokens, parted), labelled)
+def _spaced(part: Column) -> Column:
+    """Words with a single space between them; part has no other whitespace than spaces and line breaks."""
+    return F.trim(let(part, lambda x: F.when(x.contains("  ") | x.contains("\n"), F.regexp_replace(x, r"[ \n]+", " ")).otherwise(x)))
 
 
 def clean_label(label: Column) -> Column:
     """Without roman, circled or plain numbering in front and note numbers behind."""
-    out = F.regexp_replace(label, rf"(?i)^[IVXLCDMⅠ-ⅿ]+(?:{WS}|[.)])+", "")
-    out = F.regexp_replace(out, rf"^[①-⑳❶-❿]{WS}*", "")
-    out = F.regexp_replace(out, rf"^\d+[.)]{WS}*", "")
-    out = F.regexp_replace(out, rf"{WS}+\d+(?:{WS}*,{WS}*\d+)*\z", "")
-    return trimmed(out)
+    out = F.regexp_replace(label, _NUMBERING, "")
+    noted = lambda x: F.when(F.right(x, F.lit(1)).between("0", "9"), F.regexp_replace(x, rf"{WS}+\d+(?:{WS}*,{WS}*\d+)*\z", "")).otherwise(x)
+    return trimmed(let(out, noted))
 
 
 def is_account(label: Column) -> Column:
     """Can the label name an account?"""
-    c = F.regexp_replace(label, f"{WS}+", "")
-    lower = F.lower(c)
-    banned = c.isin(NOT_ACCOUNTS) | c.rlike(r"^제\d+(?:\([^)]+\))?기") | c.rlike(r"^20\d{2}[.\-/]") | c.contains("전자공시시스템")
-    for part in NOT_ACCOUNT_PARTS:
-        banned = banned | lower.contains(part)
-    return F.length(c).between(2, 80) & ~banned & ~F.lower(label).contains("dart.fss.or.kr") & ~label.rlike(COMMA_NUMBER) & label.rlike("[가-힣a-zA-Z]")
+
+    def names_one(c: Column, lower: Column) -> Column:
+        banned = c.isin(NOT_ACCOUNTS) | (c.startswith("제") & c.rlike(r"^제\d+(?:\([^)]+\))?기")) | (c.startswith("20") & c.rlike(r"^20\d{2}[.\-/]")) | c.contains("전자공시시스템")
+        for part in NOT_ACCOUNT_PARTS:
+            banned = banned | lower.contains(part)
+        return F.length(c).between(2, 80) & ~banned & ~(label.contains(",") & label.rlike(COMMA_NUMBER)) & label.rlike("[가-힣a-zA-Z]")
+
+    return let(unspaced(label), lambda c: let(F.lower(c), lambda lower: names_one(c, lower)))
 
 
 def unit_scale(page_text: Column) -> Column:
@@ -60,14 +62,17 @@ def unit_scale(page_text: Column) -> Column:
     def named(c: Column) -> Column:
         return F.when(c.contains("단위:천원") | c.contains("단위：천원"), pair("천원", 1_000)).when(c.contains("단위:백만원"), pair("백만원", 1_000_000)).when(c.contains("단위:억원"), pair("억원", 100_000_000)).otherwise(pair("KRW", 1))
 
-    return let(F.lower(F.regexp_replace(page_text, f"{WS}+", "")), named)
+    # most texts are done with one look; in lower case these words are the same
+    captioned = page_text.contains("단") & page_text.contains("위")
+    return F.when(captioned, let(unspaced(page_text), named)).otherwise(pair("KRW", 1))
 
 
 def period_parts(page_text: Column) -> Column:
     """What a text says of its period: day (of a balance sheet, or null) and other (a range's year, the number of the business year, or "")."""
-    day = first_or_null(F.regexp_extract(page_text, rf"(20\d{{2}})[.\-/]{WS}*0?12[.\-/]{WS}*0?31", 1))
-    year = first_or_null(F.regexp_extract(page_text, rf"(?s)20\d{{2}}[.\-/]{WS}*01[.\-/]{WS}*01.*?(20\d{{2}})[.\-/]{WS}*12[.\-/]{WS}*31", 1))
-    term = first_or_null(F.regexp_replace(F.regexp_extract(page_text, rf"제{WS}*\d+(?:\([^)]+\))?{WS}*기", 0), f"{WS}+", ""))
+    day = F.when(page_text.contains("31"), first_or_null(F.regexp_extract(page_text, rf"(20\d{{2}})[.\-/]{WS}*0?12[.\-/]{WS}*0?31", 1)))
+    year = F.when(page_text.contains("01") & page_text.contains("31"), first_or_null(F.regexp_extract(page_text, rf"(?s)20\d{{2}}[.\-/]{WS}*01[.\-/]{WS}*01.*?(20\d{{2}})[.\-/]{WS}*12[.\-/]{WS}*31", 1)))
+    numbered = F.regexp_extract(page_text, rf"제{WS}*\d+(?:\([^)]+\))?{WS}*기", 0)
+    term = F.when(page_text.contains("제") & page_text.contains("기"), first_or_null(F.regexp_replace(numbered, f"{WS}+", "")))
     return F.struct(F.concat(day, F.lit(".12.31")).alias("day"), F.coalesce(F.concat(F.lit("FY"), year), term, F.lit("")).alias("other"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.amounts import amount, concept
 from factloom.functions.rows import is_account, parsed_line, period_labels, period_of, period_parts, unit_scale
-from factloom.functions.statements import cut, is_whole, slice_bounds, titles
+from factloom.functions.statements import cut, slice_bounds, titles
 from factloom.functions.text import WS, let, lines, text
 from factloom.functions.vocabulary import CASH_FLOW_END, CASH_FLOW_START, NOTE_ROWS
 from factloom.operators.order import placed_anew
@@ -21,7 +21,7 @@ FACT_COLUMNS = ["document_id", "filename", "scope", "statement_type", "concept",
 
 
 def with_parsed(pages: DataFrame) -> DataFrame:
-    """pages with lines, titles, parsed (the account rows among the lines) and told (unit, period, years of the whole text): once a page, however many statements it is read as."""
+    """pages with lines, titles, parsed (the account rows among the lines: all, and first of equal ones) and told (unit, period, years of the whole text): once a page, however many statements it is read as."""
     page = pages if "titles" in pages.columns else pages.withColumn("lines", lines(F.col("text"))).withColumn("titles", titles(F.col("lines")))
 
     def account_row(line: Column, i: Column) -> Column:
@@ -29,7 +29,7 @@ def with_parsed(pages: DataFrame) -> DataFrame:
 
     # lines are parsed and filtered inside one array, so each is parsed once
     rows = F.filter(F.transform("lines", account_row), lambda r: r.isNotNull())
-    return page.withColumns({"parsed": rows, "told": _told(text(F.col("text")))})
+    return page.withColumns({"parsed": let(rows, lambda all_: F.struct(all_.alias("all"), _first_of_equal(all_).alias("first"))), "told": _told(text(F.col("text")))})
 
 
 def _told(segment: Column) -> Column:
@@ -53,14 +53,16 @@ def text_metrics(span_pages: DataFrame) -> DataFrame:
 
     def of_slice(at: Column) -> Column:
         begin, end = F.coalesce(at["start"], F.lit(0)), F.coalesce(at["stop"], F.size("lines"))
-        part = F.transform(F.filter("parsed", lambda r: r["line_index"].between(begin, end - 1)), lambda r: F.struct((r["line_index"] - begin).alias("line_index"), r["raw_line"].alias("raw_line"), r["label"].alias("label"), r["values"].alias("values")))
-        own = let(F.when(is_whole(at), F.col("parsed")).otherwise(part), _first_of_equal)
-        # most slices are whole pages, of which it is known already; one without rows tells nothing
-        told = F.when(is_whole(at), F.col("told")).otherwise(_told(cut(F.col("text"), F.col("lines"), at)))
+        part = F.transform(F.filter("parsed.all", lambda r: r["line_index"].between(begin, end - 1)), lambda r: F.struct((r["line_index"] - begin).alias("line_index"), r["raw_line"].alias("raw_line"), r["label"].alias("label"), r["values"].alias("values")))
+        # most slices hold all lines of a page, of which all is known already; one without rows tells nothing
+        full = (begin == 0) & at["stop"].isNull()
+        own = F.when(full, F.col("parsed.first")).otherwise(let(part, _first_of_equal))
+        told = F.when(full, F.col("told")).otherwise(_told(cut(F.col("text"), F.col("lines"), at)))
         return let(own, lambda rows: F.struct(F.when(F.size(rows) > 0, told).alias("told"), rows.alias("rows")))
 
-    page = page.select(*keys, let(slice_bounds(F.col("titles"), kind), of_slice).alias("page"))
-    rows = page.select(*keys, F.col("page.told").alias("told"), F.explode("page.rows").alias("row"))
+    # parted before the rows are taken out, or each would be given all of them to carry
+    page = page.select(*keys, let(slice_bounds(F.col("titles"), kind), of_slice).alias("page")).select(*keys, "page.told", "page.rows")
+    rows = page.select(*keys, "told", F.explode("rows").alias("row"))
     values = F.col("row.values")
     return rows.select(*keys, "row.line_index", "row.label", values[0].alias("value"), values.alias("all_values"), F.col("told.us.unit").alias("unit"), F.col("told.us.scale").alias("scale"), period_of(F.col("told.period"), kind).alias("period"), F.lit(0.55).alias("confidence"), "row.raw_line", F.slice("told.years", F.lit(1), F.size(values)).alias("period_labels"))
 

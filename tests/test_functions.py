@@ -71,6 +71,11 @@ def test_clusters_and_empty_ranges(spark):
     assert spark.range(1).select(text.page_range(F.lit(5), F.lit(3))).first()[0] == []
 
 
+def test_long_numbering_is_cut(spark):
+    """A run of points behind the numbering once overflowed the pattern's stack."""
+    assert values(spark, ["I" + "." * 30_000 + " 매출"], rows.clean_label) == ["매출"]
+
+
 def test_slices_share_the_look_at_their_page(spark):
     page = "재무상태표\n자산총계 1,000 2,000\n부채총계 1,000 -"
     seen = statements.look_at_slice(F.col("v"), F.col("v"), statements.look(F.col("v")))
