@@ -82,3 +82,13 @@ def test_every_latin_character_and_a_random_mix(docs):
     texts += ["".join(rnd.choice(["the", "ER", "'s", "'", "'ll", "é", "ß", "1", "²", "!", "-", " ", "\n", "\xa0", "\x85", "\x1c", "İ", "ŉ", "ǰ", "ﬁ", "<", "|", "Σ", "語"][: rnd.choice([18, 24])]) for _ in range(40)) for _ in range(400)]
     for text in texts:
         assert own(text) == np.array(ids_of(text)[:-1], "<u4").tobytes(), ascii(text)
+
+
+def test_a_worker_keeps_a_bounded_share_of_memory_for_words():
+    from factloom.llm.packing import WordTokenizer
+
+    tokens, text = WordTokenizer(PATH), " ".join("".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(250_000))
+    ids = tokens(text)
+    kept = sum(len(w) + len(x) + 82 for w, x in tokens.known.items())  # 49 and 33 bytes more for each word and its ids
+    assert kept < 16 << 20
+    assert ids == np.array(ids_of(text)[:-1], "<u4").tobytes()
