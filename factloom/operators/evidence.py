@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.text import COMMA_NUMBER, WS, let, rounded, text, trimmed
+from factloom.functions.text import COMMA_NUMBER, first_or_null, let, rounded, text, trimmed, unspaced
 
 MAX_ROWS, MAX_CELLS, HEADER_ROWS, MAX_BANDS = 140, 18, 30, 6
 #: Farther than this from a cluster's mean, a center opens the next cluster.
@@ -19,26 +19,27 @@ CANDIDATE = ["document_id", "candidate_ord"]
 
 
 def is_numeric_cell(value: Column) -> Column:
-    t = trimmed(text(value))
-    return (t == "-") | t.rlike(r"^\(?\d+(?:\.\d+)?\)?\z") | t.rlike(rf"^{COMMA_NUMBER}\z")
+    return trimmed(text(value)).rlike(rf"^(?:-|\(?\d+(?:\.\d+)?\)?|{COMMA_NUMBER})\z")
 
 
 def row_kind(row_text: Column, numeric_cells: Column) -> Column:
-    c = F.regexp_replace(text(row_text), f"{WS}+", "")
-    title = c.rlike(r"^(?:연결|개별|별도)?(?:포괄)?(?:재무상태표|손익계산서|현금흐름표|자본변동표)\z")
-    return F.when(title, "title").when(c.contains("단위") | c.rlike(r"20\d{2}|제\d+"), "header").when(numeric_cells > 0, "data").otherwise("text")
+    def told(c: Column) -> Column:
+        title = c.rlike(r"^(?:연결|개별|별도)?(?:포괄)?(?:재무상태표|손익계산서|현금흐름표|자본변동표)\z")
+        return F.when(title, "title").when(c.contains("단위") | c.rlike(r"20\d{2}|제\d+"), "header").when(numeric_cells > 0, "data").otherwise("text")
+
+    return let(unspaced(text(row_text)), told)
 
 
 def period_key(cell_text: Column) -> Column:
     """The period that a header cell names: a year, prior_2, prior or current; else null."""
-    c = F.regexp_replace(trimmed(text(cell_text)), f"{WS}+", "")
-    year = F.regexp_extract(c, r"20\d{2}", 0)
-    return (
-        F.when(year != "", year)
-        .when(c.contains("전전기"), "prior_2")
-        .when(c.contains("전기") | c.rlike(r"제\d+\(?전\)?기"), "prior")
-        .when(c.contains("당기") | c.rlike(r"제\d+\(?당\)?기"), "current")
-    )
+
+    def told(c: Column) -> Column:
+        year = F.when(c.contains("20"), first_or_null(F.regexp_extract(c, r"20\d{2}", 0)))
+        named = F.when(c.contains("전전기"), "prior_2").when(c.contains("전기") | c.rlike(r"제\d+\(?전\)?기"), "prior").when(c.contains("당기") | c.rlike(r"제\d+\(?당\)?기"), "current")
+        # most cells hold neither a year nor the last letter of a period's name, and are done with two looks
+        return F.coalesce(year, F.when(c.contains("기"), named))
+
+    return let(unspaced(text(cell_text)), told)
 
 
 def normal_rows(item_rows: Column) -> Column:

@@ -81,3 +81,12 @@ def test_slices_share_the_look_at_their_page(spark):
     seen = statements.look_at_slice(F.col("v"), F.col("v"), statements.look(F.col("v")))
     (got,) = values(spark, [page], lambda v: statements.shown(seen, "balance_sheet"))
     assert (got["rows"], got["numbers"], got["valued"], got["goes_on"], got["strong"]) == (4, 3, 2, True, False)
+
+
+def test_a_cell_s_whitespace_is_looked_at_once(spark):
+    one = spark.createDataFrame([(" 제 5(전)　기\t",)], "x string")
+    for rule, cleaner in ((evidence.period_key, "regexp_replace("), (lambda c: evidence.row_kind(c, F.lit(0)), "regexp_replace("), (evidence.is_numeric_cell, "trim(")):
+        made = one.select(rule(F.col("x")).alias("y"))
+        assert made._jdf.queryExecution().analyzed().toString().count(cleaner) == 1
+    assert one.select(evidence.period_key(F.col("x"))).first()[0] == "prior"
+    assert one.select(evidence.is_numeric_cell(F.lit("　(1,234.5)﻿"))).first()[0]
