@@ -30,12 +30,29 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(array: str | Column) -> Column:
+    """An array to explode, without nulls.
+
+    Of an array that is a plain column Spark infers filters over its size, and moves them down to where the column is made, into a join's
+    condition too: what it is made of would be worked out twice more. Of an expression it infers none.
+    """
+    return F.array_compact(array)
+
+
 def text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
 def trimmed(value: Column) -> Column:
-    return F.btrim(value, F.lit(WS_CHARACTERS))
+    """Without whitespace at its ends; of most texts only spaces have to go, and the ends then show that nothing else is there."""
+
+    def no_whitespace(end: Column) -> Column:
+        return end.between("!", "~") | end.between("\u3001", "\ufefe")
+
+    def cut(x: Column) -> Column:
+        return F.when(no_whitespace(F.left(x, F.lit(1))) & no_whitespace(F.right(x, F.lit(1))), x).otherwise(F.btrim(x, F.lit(WS_CHARACTERS)))
+
+    return let(F.trim(value), cut)
 
 
 def compact(value: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factloom.functions.amounts import amount, concept
 from factloom.functions.rows import is_account, parsed_line, period_labels, period_of, period_parts, unit_scale
 from factloom.functions.statements import cut, slice_bounds, titles
-from factloom.functions.text import WS, let, lines, text
+from factloom.functions.text import WS, let, lines, once, text
 from factloom.functions.vocabulary import CASH_FLOW_END, CASH_FLOW_START, NOTE_ROWS
 from factloom.operators.order import placed_anew
 
@@ -62,7 +62,7 @@ def text_metrics(span_pages: DataFrame) -> DataFrame:
 
     # parted before the rows are taken out, or each would be given all of them to carry
     page = page.select(*keys, let(slice_bounds(F.col("titles"), kind), of_slice).alias("page")).select(*keys, "page.told", "page.rows")
-    rows = page.select(*keys, "told", F.explode("rows").alias("row"))
+    rows = page.select(*keys, "told", F.explode(once("rows")).alias("row"))
     values = F.col("row.values")
     return rows.select(*keys, "row.line_index", "row.label", values[0].alias("value"), values.alias("all_values"), F.col("told.us.unit").alias("unit"), F.col("told.us.scale").alias("scale"), period_of(F.col("told.period"), kind).alias("period"), F.lit(0.55).alias("confidence"), "row.raw_line", F.slice("told.years", F.lit(1), F.size(values)).alias("period_labels"))
 
