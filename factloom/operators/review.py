@@ -2,8 +2,7 @@
 
 pages(document_id, page_number, text), documents(document_id, page_count). A document is gone through once: windows over its pages find
 the contents pages and hand their entries (120 at most) to every page, each page tells which entries and sections it has, and the
-best page of each is a small aggregate. All of it is dealt by document_id, so it costs one shuffle of the pages (and one for the report
-types); what comes out is one row a document, and every table of the review is read from that row.
+best page of each is a small aggregate. All of it is dealt by document_id, so it costs one shuffle of the pages; what comes out is one row a document, and every table of the review is read from that row.
 """
 
 from __future__ import annotations
@@ -26,23 +25,27 @@ def _ranked(pages: DataFrame) -> DataFrame:
 def report_types(pages: DataFrame) -> DataFrame:
     """document_id, report_type, confidence, type_reasons: by how many patterns the first twelve pages hold; a tie is an annual report."""
     first = _ranked(pages).where(F.col("nth") <= FIRST_PAGES).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("first"))
-    joined = first.withColumn("head", compact(F.array_join(F.transform("first", lambda p: p.text), "\n")))
+    return first.select("document_id", compact(F.array_join(F.transform("first", lambda p: p.text), "\n")).alias("head")).transform(_typed).drop("head")
+
+
+def _typed(documents: DataFrame) -> DataFrame:
+    """documents with the kind of report that their head (the compact text of the first pages) tells."""
 
     def found(kind: str) -> Column:
         return F.filter(F.array(*[F.when(F.col("head").contains("".join(p.split())), F.lit(p)) for p in REPORT_PATTERNS[kind]]), lambda p: p.isNotNull())
 
-    scored = joined.select("document_id", found("annual_report").alias("annual"), found("audit_report").alias("audit"))
+    scored = documents.withColumns({"annual": found("annual_report"), "audit": found("audit_report")})
     annual, audit = F.size("annual"), F.size("audit")
     best = F.when((annual == 0) & (audit == 0), "unknown").when(annual >= audit, "annual_report").otherwise("audit_report")
     count = F.greatest(annual, audit)
     reasons = F.when(best == "annual_report", F.col("annual")).when(best == "audit_report", F.col("audit")).otherwise(F.array().cast("array<string>"))
-    return scored.select("document_id", best.alias("report_type"), F.when(count == 0, 0.0).otherwise(F.least(F.lit(0.95), F.lit(0.45) + count * F.lit(0.2))).alias("confidence"), reasons.alias("type_reasons"))
+    told = {"report_type": best, "confidence": F.when(count == 0, 0.0).otherwise(F.least(F.lit(0.95), F.lit(0.45) + count * F.lit(0.2))), "type_reasons": reasons}
+    return scored.withColumns(told).drop("annual", "audit")
 
 
 def page_references(page_text: Column) -> Column:
     """Lines that end in a number and are longer than three characters."""
-    kept = F.filter(lines(page_text), lambda line: trimmed(line).rlike(r"\d{1,4}\z") & (F.length(trimmed(line)) > 3))
-    return F.size(kept)
+    return F.size(F.filter(lines(page_text), lambda line: let(trimmed(line), lambda t: F.right(t, F.lit(1)).between("0", "9") & (F.length(t) > 3))))
 
 
 def clean_contents_title(title: Column) -> Column:
@@ -78,6 +81,8 @@ def _numbered_entries(found: Column) -> Column:
 def page_features(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """document_id, page_number, nth, text, compact_text, toc_page, confidence, in_toc, entries: each page with its document's contents.
 
+    head: on the first page the compact text of the first twelve, by which the kind of report is told.
+
     The contents begin on the best scored of the first twenty pages, if it scores 20 or more, and go on over up to two page numbers after
     it while these have three references or more; page numbers that the document lacks are skipped.
     """
@@ -92,10 +97,12 @@ def page_features(pages: DataFrame, documents: DataFrame) -> DataFrame:
     placed = near.withColumn("stop", stop).withColumn("in_toc", F.col("near") & (F.col("stop").isNull() | (F.col("page_number") < F.col("stop"))))
     own = placed.withColumn("own", F.when(F.col("in_toc"), contents_lines(F.col("page_number"), F.col("text"))))
     # the lines of all contents pages are put in order on one page, which hands them to the others
-    gathered = own.withColumn("all", F.flatten(F.collect_list("own").over(document)))
-    first = gathered.withColumn("first_entries", F.when(F.col("nth") == 1, _numbered_entries(F.col("all"))))
+    early = F.collect_list(F.when(F.col("nth") <= FIRST_PAGES, F.struct("nth", "compact_text"))).over(document)
+    gathered = own.withColumn("all", F.flatten(F.collect_list("own").over(document))).withColumn("early", early)
+    head = F.array_join(F.transform(F.array_sort("early"), lambda p: p["compact_text"]), "")
+    first = gathered.withColumns({"first_entries": F.when(F.col("nth") == 1, _numbered_entries(F.col("all"))), "head": F.when(F.col("nth") == 1, head)})
     entries = first.withColumn("entries", F.max_by("first_entries", -F.col("nth")).over(document))
-    return entries.select("document_id", "page_number", "nth", "text", "compact_text", "toc_page", F.least(F.lit(0.95), F.col("best.score") / F.lit(100.0)).alias("confidence"), "in_toc", "entries")
+    return entries.select("document_id", "page_number", "nth", "text", "compact_text", "toc_page", F.least(F.lit(0.95), F.col("best.score") / F.lit(100.0)).alias("confidence"), "in_toc", "entries", "head")
 
 
 def contents_pages(features: DataFrame) -> DataFrame:
@@ -109,14 +116,20 @@ def contents_entries(features: DataFrame) -> DataFrame:
 
 
 def own_lines(page_text: Column) -> Column:
-    """The lines that may be a statement's title."""
-    return F.filter(F.transform(lines(page_text), lambda line: F.regexp_replace(compact(line), r"^\d+(?:-\d+)?\.", "")), lambda c: ~c.contains("주석") & (F.length(c) <= 40) & (F.length(c) > 0))
+    """The lines that may be a statement's title; those without the last letter of one are done with one look."""
+    named = F.filter(lines(page_text), lambda line: line.contains("표") | line.contains("서"))
+    return F.filter(F.transform(named, lambda line: F.regexp_replace(compact(line), r"^\d+(?:-\d+)?\.", "")), lambda c: ~c.contains("주석") & (F.length(c) <= 40))
 
 
-def section_is_on(needle: Column) -> Column:
+def section_is_on(needle: Column | str) -> Column:
     """Is the (compact) section name on the searchable page? Statement titles need a line of their own."""
-    variants = F.array(*[F.concat(F.lit(prefix), needle) for prefix in ("", "연결", "개별", "별도", "포괄", "연결포괄")])
-    return F.when(needle.isin(STANDALONE_TITLES), F.arrays_overlap("own_lines", variants)).otherwise(F.col("compact_text").contains(needle))
+    known = isinstance(needle, str)
+    name = F.lit(needle) if known else needle
+    variants = F.array(*[F.lit(prefix + needle) if known else F.concat(F.lit(prefix), needle) for prefix in ("", "연결", "개별", "별도", "포괄", "연결포괄")])
+    alone, within = (F.size("own_lines") > 0) & F.arrays_overlap("own_lines", variants), F.col("compact_text").contains(name)
+    if known:
+        return alone if needle in STANDALONE_TITLES else within
+    return F.when(needle.isin(STANDALONE_TITLES), alone).otherwise(within)
 
 
 #: A page's rank for an entry or section as one number: tier, then nearness, then page number; the least is the best.
@@ -136,7 +149,8 @@ def entry_rank(e: Column) -> Column:
     page = F.col("page_number").cast("long")
     off = page - e["expected_page"]
     by_title = (e["title_key"] != "") & section_is_on(e["title_key"])
-    by_words = (F.size(e["words"]) > 0) & section_is_on(e["joined"]) & F.forall(e["words"], lambda w: F.col("compact_text").contains(w))
+    # words that make up the title itself say what the title said
+    by_words = (F.size(e["words"]) > 0) & (e["joined"] != e["title_key"]) & section_is_on(e["joined"]) & F.forall(e["words"], lambda w: F.col("compact_text").contains(w))
     titled = F.when(F.abs(off) <= REACH, (F.abs(off) * 2 + F.when(off > 0, 0).otherwise(1)) * _NEAR + page).otherwise(_TIER + page)
     return F.when(by_title, titled).when(by_words, 2 * _TIER + page)
 
@@ -148,18 +162,18 @@ def reviewed(pages: DataFrame, documents: DataFrame) -> DataFrame:
     searched = features.withColumn("own_lines", F.when(~F.col("in_toc"), own_lines(F.col("text"))))
 
     def told(kind: str, ord_: Column, rank: Column, info: Column | None = None) -> Column:
-        nothing = F.lit(None).cast("struct<entries:array<struct<entry_ord:int,title:string,title_key:string,expected_page:int,words:array<string>,joined:string>>>")
+        nothing = F.lit(None).cast("struct<entries:array<struct<entry_ord:int,title:string,title_key:string,expected_page:int,words:array<string>,joined:string>>,head:string>")
         return F.struct(F.lit(kind).alias("kind"), ord_.cast("int").alias("ord"), rank.cast("long").alias("rank"), (nothing if info is None else info).alias("info"))
 
     on_page = F.filter(F.transform("entries", lambda e: told("entry", e["entry_ord"], entry_rank(e))), lambda t: t["rank"].isNotNull())
-    names = F.filter(F.transform(F.array(*map(F.lit, SECTIONS)), lambda s, n: told("section", n, F.when(section_is_on(s), F.col("page_number")))), lambda t: t["rank"].isNotNull())
+    names = F.array_compact(F.array(*[F.when(section_is_on(name), told("section", F.lit(n), F.col("page_number"))) for n, name in enumerate(SECTIONS)]))
     contents = F.when(F.col("in_toc"), F.array(told("contents", F.lit(0), F.col("page_number")))).otherwise(F.concat(on_page, names))
-    first = F.when(F.col("nth") == 1, F.array(told("document", F.lit(0), F.lit(0), F.struct("entries")))).otherwise(F.array().cast("array<struct<kind:string,ord:int,rank:bigint,info:struct<entries:array<struct<entry_ord:int,title:string,title_key:string,expected_page:int,words:array<string>,joined:string>>>>>"))
+    first = F.when(F.col("nth") == 1, F.array(told("document", F.lit(0), F.lit(0), F.struct("entries", "head")))).otherwise(F.array().cast("array<struct<kind:string,ord:int,rank:bigint,info:struct<entries:array<struct<entry_ord:int,title:string,title_key:string,expected_page:int,words:array<string>,joined:string>>,head:string>>>"))
     tellings = searched.select("document_id", F.explode(F.concat(first, contents)).alias("t")).select("document_id", "t.*")
     best = tellings.groupBy("document_id", "kind", "ord").agg(F.min("rank").alias("rank"), F.first("info", ignorenulls=True).alias("info"))
     places = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "rank"))))
     met = best.groupBy("document_id").agg(F.first("info", ignorenulls=True).alias("info"), places("entry").alias("on_pages"), places("section").alias("has_sections"), F.bool_or(F.col("kind") == "contents").alias("has_toc"))
-    return _judged(report_types(pages).join(met, "document_id"))
+    return _judged(_typed(met.withColumn("head", F.col("info.head"))))
 
 
 def _judged(documents: DataFrame) -> DataFrame:
