@@ -63,12 +63,10 @@ def _alias_key(label: Column) -> Column:
 
 def concept(label: Column) -> Column:
     """The concept whose alias, the longest that the label holds, names it; else the label itself, 80 characters at most."""
-    (longest, its_name), *shorter = sorted(CONCEPT_ALIASES, key=lambda pair: -len(pair[0]))
+    longest_first = sorted(CONCEPT_ALIASES, key=lambda pair: -len(pair[0]))
 
     def named(key: Column) -> Column:
-        found = F.when(key.contains(longest), its_name)
-        for alias, name in shorter:
-            found = found.when(key.contains(alias), name)
-        return F.coalesce(found, first_or_null(F.left(key, F.lit(80))), F.lit("UnknownConcept"))
+        # a case each: inside a lambda one case of many branches goes through its list anew for each branch
+        return F.coalesce(*[F.when(key.contains(alias), name) for alias, name in longest_first], first_or_null(F.left(key, F.lit(80))), F.lit("UnknownConcept"))
 
     return let(_alias_key(unescaped(label)), named)
