@@ -27,7 +27,7 @@ OBJECT = "map<string,string>"
 
 def _number(item: Column, name: str) -> Column:
     """A JSON number of a parsed object, or text that is one; JSON null and "" are 0, a missing key is null."""
-    return let(F.try_element_at(item, F.lit(name)), lambda v: F.when(F.map_contains_key(item, name) & (v.isNull() | (F.trim(v) == "")), F.lit(0.0)).otherwise(v.try_cast("double")))
+    return let(F.try_element_at(item, F.lit(name)), lambda v: F.when((v.isNull() | (F.trim(v) == "")) & F.map_contains_key(item, name), F.lit(0.0)).otherwise(v.try_cast("double")))
 
 
 def _notes(raw: Column) -> Column:
@@ -35,19 +35,24 @@ def _notes(raw: Column) -> Column:
 
 
 def parsed(responses: DataFrame) -> DataFrame:
-    """CANDIDATE, unit, columns, rows. A generator's columns are never written out where they are used, so an answer is parsed once."""
-    doc = F.from_json(json_text(F.col("response")), "unit string, columns array<string>, rows array<string>")
-    return responses.select(*CANDIDATE, F.inline_outer(F.array(doc)))
+    """CANDIDATE, unit, columns, rows (an object each). A generator's columns are never written out where they are used, so an answer is parsed once."""
 
+    def told(answer: Column) -> Column:
+        # an answer whose rows are all objects is parsed with them; of others each row is parsed by itself, and what is no object is empty
+        def by_row(doc: Column) -> Column:
+            return F.struct(doc["unit"].alias("unit"), doc["columns"].alias("columns"), F.transform(doc["rows"], lambda r: F.coalesce(F.from_json(r, OBJECT), F.create_map().cast(OBJECT))).alias("rows"))
 
-def _row(item: Column, row_pos: Column) -> Column:
-    """A row of an answer, parsed once: row_pos, order, label, notes, cells (map of column to JSON reference, null if there is none)."""
+        apart = let(F.from_json(answer, "unit string, columns array<string>, rows array<string>"), by_row)
+        at_once = F.from_json(answer, f"unit string, columns array<string>, rows array<{OBJECT}>")
+        return let(at_once, lambda doc: F.when(F.forall(doc["rows"], lambda r: r.isNotNull()), doc).otherwise(apart))
+
+    return responses.select(*CANDIDATE, F.inline_outer(F.array(let(json_text(F.col("response")), told))))
 
-    def shaped(m: Column) -> Column:
-        get = lambda name: F.try_element_at(m, F.lit(name))
-        return F.struct(row_pos.alias("row_pos"), F.coalesce(_number(m, "order"), F.lit(0.0)).alias("order"), structure_label(get("label")).alias("label"), _notes(get("notes")).alias("notes"), F.from_json(get("value_cells"), OBJECT).alias("cells"))
 
-    return let(F.coalesce(F.from_json(item, OBJECT), F.create_map().cast(OBJECT)), shaped)
+def _row(m: Column, row_pos: Column) -> Column:
+    """A row of an answer: row_pos, order, label, notes, cells (map of column to JSON reference, null if there is none)."""
+    get = lambda name: F.try_element_at(m, F.lit(name))
+    return F.struct(row_pos.alias("row_pos"), F.coalesce(_number(m, "order"), F.lit(0.0)).alias("order"), structure_label(get("label")).alias("label"), _notes(get("notes")).alias("notes"), F.from_json(get("value_cells"), OBJECT).alias("cells"))
 
 
 def structure_rows(responses: DataFrame) -> DataFrame:
@@ -62,9 +67,22 @@ def key_order(key: Column, pos: Column) -> Column:
     return F.struct(F.when(whole, 0).otherwise(1).alias("other"), F.when(whole, key.try_cast("long")).otherwise(pos.cast("long")).alias("at"))
 
 
+#: A reference as it is mostly written: page, row and cells as plain numbers (page and row also in quotes), in this order and nothing else.
+_PLAIN_REFERENCE = r'^\{ *"page" *: *("?)(\d{1,9})\1 *, *"row_index" *: *("?)(\d{1,9})\3 *, *"cell_indices" *: *\[ *(\d{1,9}(?: *, *\d{1,9})*)? *\] *\}\z'
+
+
 def _reference(ref: Column) -> Column:
-    """page, row_index, cell_indices of a JSON reference."""
+    """page, row_index, cell_indices of a JSON reference; one that is written plainly is read without a parser."""
+
+    def plain(r: Column) -> Column:
+        part = lambda n: F.regexp_extract(r, _PLAIN_REFERENCE, n)
+        cells = let(part(5), lambda c: F.when(c == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(c, ","), lambda i: F.trim(i).cast("int"))))
+        return F.struct(part(2).cast("int").alias("page"), part(4).cast("int").alias("row_index"), cells.alias("cell_indices"))
 
+    return let(ref, lambda r: F.when(r.rlike(_PLAIN_REFERENCE), plain(r)).otherwise(_parsed_reference(r)))
+
+
+def _parsed_reference(ref: Column) -> Column:
     def shaped(m: Column) -> Column:
         raw = F.from_json(F.try_element_at(m, F.lit("cell_indices")), "array<string>")
         indices = F.transform(raw, lambda i: F.coalesce(F.when(F.trim(i) == "", 0.0), i.try_cast("double"), F.lit(0.0)).cast("int"))
@@ -189,16 +207,12 @@ def vision_facts(responses: DataFrame, candidates: DataFrame, documents: DataFra
     columns = F.filter(F.transform(F.coalesce("columns", F.array().cast("array<string>")), lambda c: F.struct(F.get_json_object(c, "$.key").alias("key"), F.get_json_object(c, "$.label").alias("label"))), lambda c: F.coalesce(c.key, F.lit("")) != "")
     doc = parsed(responses).select(*CANDIDATE, "rows", F.inline(F.array(F.struct(unit_label(F.col("unit")).alias("unit"), columns.alias("columns")))))
 
-    def row(item: Column) -> Column:
-        """A row, parsed once: label, all_values by the columns, notes, depth."""
-
-        def shaped(m: Column) -> Column:
-            get = lambda name: F.try_element_at(m, F.lit(name))
-            values = let(F.coalesce(F.from_json(get("values"), OBJECT), F.create_map().cast(OBJECT)), lambda shown: F.transform("columns", lambda c: F.coalesce(F.try_element_at(shown, c["key"]), F.lit(""))))
-            notes = F.filter(F.coalesce(F.from_json(get("notes"), "array<string>"), F.array().cast("array<string>")), lambda n: n != "")
-            return F.struct(trimmed(text(get("label"))).alias("label"), values.alias("all_values"), notes.alias("notes"), F.coalesce(_number(m, "depth"), F.lit(0.0)).cast("int").alias("depth"))
-
-        return let(F.coalesce(F.from_json(item, OBJECT), F.create_map().cast(OBJECT)), shaped)
+    def row(m: Column) -> Column:
+        """label, all_values by the columns, notes, depth."""
+        get = lambda name: F.try_element_at(m, F.lit(name))
+        values = let(F.coalesce(F.from_json(get("values"), OBJECT), F.create_map().cast(OBJECT)), lambda shown: F.transform("columns", lambda c: F.coalesce(F.try_element_at(shown, c["key"]), F.lit(""))))
+        notes = F.filter(F.coalesce(F.from_json(get("notes"), "array<string>"), F.array().cast("array<string>")), lambda n: n != "")
+        return F.struct(trimmed(text(get("label"))).alias("label"), values.alias("all_values"), notes.alias("notes"), F.coalesce(_number(m, "depth"), F.lit(0.0)).cast("int").alias("depth"))
 
     shown = F.filter(F.transform("rows", row), lambda r: (r["label"] != "") & F.exists(r["all_values"], lambda v: ~v.isin("", "-")))
     rows = doc.select(*CANDIDATE, "unit", "columns", F.posexplode(shown).alias("row_ord", "r")).select(*CANDIDATE, "unit", "columns", "row_ord", "r.*")
