@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def first_wins(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
-    """Of rows equal in the keys the first by the order; dropDuplicates() would keep any."""
+def first_wins(rows: DataFrame, keys: list[str], *order: str | Column, stays: Column | None = None) -> DataFrame:
+    """Of rows equal in the keys the first by the order; dropDuplicates() would keep any. stays: rows that no other stands for."""
     nth = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    first = F.col("__nth") == 1
+    return rows.withColumn("__nth", nth).where(first if stays is None else first | stays).drop("__nth")
 
 
 def carried(value: str, keys: list[str], *order: str | Column) -> Column:

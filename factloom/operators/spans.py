@@ -123,14 +123,15 @@ def discover_spans(pages: DataFrame, span: int = MAX_SPAN) -> DataFrame:
     return ordered(first_of_equal(shaped))
 
 
-def first_of_equal(candidates: DataFrame) -> DataFrame:
-    return first_wins(candidates, ["document_id", "scope", "statement_type", "start_page", "end_page"], "found_ord")
+def first_of_equal(candidates: DataFrame, stays: Column | None = None) -> DataFrame:
+    return first_wins(candidates, ["document_id", "scope", "statement_type", "start_page", "end_page"], "found_ord", stays=stays)
 
 
-def ordered(candidates: DataFrame) -> DataFrame:
-    """candidate_ord: by start page, the better score first."""
+def ordered(candidates: DataFrame, stays: Column | None = None) -> DataFrame:
+    """candidate_ord: by start page, the better score first. stays: candidates that keep the number they had (found_ord)."""
     order = W.partitionBy("document_id").orderBy("start_page", F.col("score").desc(), "found_ord")
-    out = candidates.withColumn("candidate_ord", (F.row_number().over(order) - 1).cast("int"))
+    number = (F.row_number().over(order) - 1).cast("int")
+    out = candidates.withColumn("candidate_ord", number if stays is None else F.when(stays, F.col("found_ord")).otherwise(number))
     return out.select("document_id", "candidate_ord", "include", "scope", "statement_type", "start_page", "end_page", "score", "reasons")
 
 
@@ -178,26 +179,51 @@ def normal_segments(responses: DataFrame, documents: DataFrame) -> DataFrame:
 def best_overlap(candidates: DataFrame, segments: DataFrame) -> DataFrame:
     """Each candidate with the segment of its type and a fitting scope that overlaps it most, else with nulls.
 
-    A document has a handful of each, so they meet by document and type; the largest overlap, then score, then order wins.
+    The largest overlap, then score, then order wins.
     """
-    other = segments.select("document_id", "statement_type", F.struct(F.col("scope").alias("scope"), F.col("start_page").alias("start_page"), F.col("end_page").alias("end_page"), F.col("score").alias("score"), F.col("reasons").alias("reasons"), F.col("candidate_ord").alias("ord")).alias("seg"))
-    joined = candidates.join(other, ["document_id", "statement_type"], "left")
-    fits = (F.col("seg.scope") == F.col("scope")) | (F.col("seg.scope") == "unknown") | (F.col("scope") == "unknown")
-    meet = (F.col("seg.start_page") <= F.col("end_page")) & (F.col("start_page") <= F.col("seg.end_page"))
-    overlap = F.greatest(F.lit(0), F.least("seg.end_page", "end_page") - F.greatest("seg.start_page", "start_page") + 1)
-    ranked = joined.withColumn("overlap", F.when(fits & meet, overlap))
-    return first_wins(ranked, ["document_id", "candidate_ord"], F.col("overlap").desc_nulls_last(), F.col("seg.score").desc(), "seg.ord").withColumn("seg", F.when(F.col("overlap").isNotNull(), F.col("seg")))
+    return _first_of_candidate(_with_best(candidates, segments))
+
+
+def _with_best(candidates: DataFrame, segments: DataFrame) -> DataFrame:
+    """candidates with overlap, seg and told (has the document any segment?).
+
+    A document has a handful of segments, which meet its candidates as one array: both are dealt by document, and so is all that follows.
+    """
+    listed = F.struct("statement_type", "scope", "start_page", "end_page", "score", "reasons", F.col("candidate_ord").alias("ord"))
+    joined = candidates.join(segments.groupBy("document_id").agg(F.collect_list(listed).alias("segs")), "document_id", "left")
+
+    def met(s: Column) -> Column:
+        fits = (s["scope"] == F.col("scope")) | (s["scope"] == "unknown") | (F.col("scope") == "unknown")
+        meet = (s["start_page"] <= F.col("end_page")) & (F.col("start_page") <= s["end_page"])
+        overlap = F.greatest(F.lit(0), F.least(s["end_page"], F.col("end_page")) - F.greatest(s["start_page"], F.col("start_page")) + 1)
+        seg = F.struct(*[s[c].alias(c) for c in ("scope", "start_page", "end_page", "score", "reasons", "ord")])
+        return F.when((s["statement_type"] == F.col("statement_type")) & fits & meet, F.struct(overlap.alias("overlap"), s["score"].alias("score"), (-s["ord"]).alias("early"), seg.alias("seg")))
+
+    best = joined.withColumn("best", F.array_max(F.transform("segs", met)))
+    return best.withColumns({"overlap": F.col("best.overlap"), "seg": F.col("best.seg"), "told": F.col("segs").isNotNull()}).drop("segs", "best")
+
+
+def _first_of_candidate(rows: DataFrame, stays: Column | None = None) -> DataFrame:
+    return first_wins(rows, ["document_id", "candidate_ord"], F.col("overlap").desc_nulls_last(), F.col("seg.score").desc(), "seg.ord", stays=stays)
 
 
 def reconciled(candidates: DataFrame, segments: DataFrame) -> DataFrame:
     """Spans narrowed to their best segment; a segment never widens one. Candidates without a match stay."""
-    joined = best_overlap(candidates, segments)
+    return ordered(first_of_equal(_narrowed(best_overlap(candidates, segments))))
+
+
+def refined(candidates: DataFrame, segments: DataFrame) -> DataFrame:
+    """Spans narrowed to their best segment in documents that have any segment; those of other documents as they are."""
+    stays = ~F.col("told")
+    return ordered(first_of_equal(_narrowed(_first_of_candidate(_with_best(candidates, segments), stays)), stays), stays)
+
+
+def _narrowed(joined: DataFrame) -> DataFrame:
     matched = F.col("seg").isNotNull()
     low, high = F.greatest("start_page", "seg.start_page"), F.least("end_page", "seg.end_page")
     scope = F.when(matched & (F.col("seg.scope") != "unknown"), F.col("seg.scope")).otherwise(F.col("scope"))
     reasons = F.when(matched, F.concat("reasons", "seg.reasons", F.array(F.lit("llm_range_clamped_to_heuristic")))).otherwise(F.col("reasons"))
-    out = joined.select("document_id", "include", scope.alias("scope"), "statement_type", F.when(matched & (low <= high), low).otherwise(F.col("start_page")).alias("start_page"), F.when(matched & (low <= high), high).otherwise(F.col("end_page")).alias("end_page"), F.when(matched, F.greatest("score", "seg.score")).otherwise(F.col("score")).alias("score"), reasons.alias("reasons"), F.col("candidate_ord").alias("found_ord"))
-    return ordered(first_of_equal(out))
+    return joined.select("document_id", "include", scope.alias("scope"), "statement_type", F.when(matched & (low <= high), low).otherwise(F.col("start_page")).alias("start_page"), F.when(matched & (low <= high), high).otherwise(F.col("end_page")).alias("end_page"), F.when(matched, F.greatest("score", "seg.score")).otherwise(F.col("score")).alias("score"), reasons.alias("reasons"), F.col("candidate_ord").alias("found_ord"), "told")
 
 
 def broad_range(documents: DataFrame, candidates: DataFrame, toc_checks: DataFrame) -> DataFrame:

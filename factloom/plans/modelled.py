@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.order import placed_anew
-from factloom.operators.spans import broad_pages, broad_range, normal_segments, reconciled
+from factloom.operators import spans
+from factloom.operators.spans import broad_pages, broad_range, normal_segments
 from factloom.operators.structure import CANDIDATE, structure_facts, vision_facts
 from factloom.plans.pipeline import extracted
 from factloom.sources.calls import Policy, answered
@@ -41,10 +41,7 @@ def segment_requests(pages: DataFrame, documents: DataFrame, candidates: DataFra
 
 def refined(candidates: DataFrame, documents: DataFrame, responses: DataFrame) -> DataFrame:
     """Spans narrowed by the segments of responses(document_id, response); documents without a usable segment keep theirs."""
-    segments = normal_segments(responses.select("document_id", "response"), documents)
-    told = segments.select("document_id").distinct()
-    narrowed = reconciled(candidates.join(told, "document_id", "left_semi"), segments)
-    return placed_anew(narrowed).unionByName(placed_anew(candidates.join(told, "document_id", "left_anti")))
+    return spans.refined(candidates, normal_segments(responses.select("document_id", "response"), documents))
 
 
 def structure_requests(evidence: DataFrame, candidates: DataFrame, providers: Providers) -> DataFrame:
