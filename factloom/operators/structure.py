@@ -168,7 +168,8 @@ def structure_facts(responses: DataFrame, cells: DataFrame, candidates: DataFram
     kind = "struct<unit:string,listed:array<struct<key:string,label:string>>,rows:array<struct<row_pos:int,order:double,label:string,notes:array<string>>>>"
     wanted = F.transform(_cells_wanted(F.col("rows")), lambda w: F.struct(*[w[c].alias(c) for c in ("row_pos", "key", "key_ord", "page", "row_index", "pos", "cell_index")], F.lit(None).cast(kind).alias("told")))
     asked = shaped.where("rows is not null").select(*CANDIDATE, F.inline(F.concat(F.array(itself), wanted)))
-    found = asked.join(_by_place(cells), ["document_id", "page", "row_index", "cell_index"], "left")
+    # what was found is dealt by document once, which serves both the references and the responses
+    found = asked.join(_by_place(cells), ["document_id", "page", "row_index", "cell_index"], "left").repartition("document_id")
     read = _read(found, [*CANDIDATE, "row_pos", "key"], F.min("key_ord").alias("key_ord"), F.min("page").alias("page"), F.first("told", ignorenulls=True).alias("told"))
     good = F.when(F.col("valid"), F.struct("row_pos", "key_ord", "key", "page", "text", "bbox"))
     packed = read.groupBy(*CANDIDATE).agg(F.array_sort(F.collect_list(good)).alias("refs"), F.first("told", ignorenulls=True).alias("told"))
