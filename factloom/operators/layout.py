@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,21 +80,68 @@ def _shaped(batch: pa.RecordBatch, gap: float, kind: pa.DataType) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(page_ends.astype(np.int32)), rows)], ["document_id", "page_number", "item_rows"])
 
 
-def rows_of(items: DataFrame, gap: float = ROW_GAP) -> DataFrame:
+def _begins(table: pa.Table) -> np.ndarray:
+    """Where the pages of items begin that come one after another; the keys are the first two columns."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for key in table.columns[:2]:
+        codes = key.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of the same items that end where a page ends."""
+    held: list[pa.RecordBatch] = []  # of one page, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(_begins(pa.Table.from_batches([batch]))[-1])
+        if held and (last or len(_begins(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))) > 1):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _listed(table: pa.Table) -> pa.RecordBatch:
+    """Pages out of items that come page by page: two keys, and of each page's items in their order a list a property."""
+    begins = _begins(table)
+    page = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, table.num_rows)))
+    place = table.column("item_ord")
+    places = place.to_numpy() if not place.null_count else None
+    if places is None or not ((places[1:] > places[:-1]) | (page[1:] != page[:-1])).all():
+        # as array_sort has it: unknown places first, equal ones by what the items are
+        keyed = table.append_column("page", pa.array(page)).append_column("known", pc.cast(place.is_valid(), pa.int8()))
+        table = table.take(pc.sort_indices(keyed, sort_keys=[(c, "ascending") for c in ("page", "known", "item_ord", *PLACES, "text")]))
+    ends = pa.array(np.append(begins, table.num_rows).astype(np.int32))
+    keys = [table.column(k).combine_chunks().take(pa.array(begins)) for k in (0, 1)]
+    lists = [pa.ListArray.from_arrays(ends, table.column(c).combine_chunks()) for c in (*PLACES, "text")]
+    return pa.RecordBatch.from_arrays([*keys, *lists], [*table.column_names[:2], *PLACES, "text"])
+
+
+def rows_of(items: DataFrame, gap: float = ROW_GAP, together: bool = False) -> DataFrame:
     """Pages with item_rows: [row_index, y, cells [cell_index, x, y, width, height, text]], rows downwards, cells to the right.
 
-    A page's items meet in one row of the table: a page is bounded by what fits on paper.
+    A page's items meet in one row of the table: a page is bounded by what fits on paper. together: the caller knows that a page's
+    items lie one after another in one partition, as where each page's row was exploded; they are not shuffled or sorted then.
     """
-    item = F.struct("item_ord", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PLACES], "text")
     # blank items go before the shuffle
     full = items.withColumn("text", trimmed(F.coalesce("str", F.lit("")))).where("text != ''")
-    pages = full.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    listed = pages.select("document_id", "page_number", *[F.col(f"items.{c}").alias(c) for c in (*PLACES, "text")])
+    placed = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PLACES]
+    if together:
+        listed = full.select("document_id", "page_number", "item_ord", *placed, "text")
+    else:
+        pages = full.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("item_ord", *placed, "text"))).alias("items"))
+        listed = pages.select("document_id", "page_number", *[F.col(f"items.{c}").alias(c) for c in (*PLACES, "text")])
     cell = pa.struct([("cell_index", pa.int32()), *[(c, pa.float64()) for c in PLACES], ("text", pa.string())])
     kind = pa.list_(pa.struct([("row_index", pa.int32()), ("y", pa.float64()), ("cells", pa.list_(cell))]))
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_listed, _whole_pages(batches)) if together else batches:
             if batch.num_rows:
                 yield _shaped(batch, gap, kind)
 
@@ -106,8 +154,8 @@ def page_text(item_rows: Column) -> Column:
     return F.array_join(F.transform(item_rows, lambda r: F.array_join(F.transform(r.cells, lambda c: c.text), " ")), "\n")
 
 
-def pages_of(items: DataFrame, gap: float = ROW_GAP) -> DataFrame:
-    return rows_of(items, gap).select("document_id", "page_number", page_text(F.col("item_rows")).alias("text"), "item_rows")
+def pages_of(items: DataFrame, gap: float = ROW_GAP, together: bool = False) -> DataFrame:
+    return rows_of(items, gap, together).select("document_id", "page_number", page_text(F.col("item_rows")).alias("text"), "item_rows")
 
 
 def cells_of(pages: DataFrame) -> DataFrame:
