@@ -19,7 +19,11 @@ CANDIDATE = ["document_id", "candidate_ord"]
 
 
 def is_numeric_cell(value: Column) -> Column:
-    return trimmed(text(value)).rlike(rf"^(?:-|\(?\d+(?:\.\d+)?\)?|{COMMA_NUMBER})\z")
+    return _is_number(trimmed(text(value)))
+
+
+def _is_number(trimmed_text: Column) -> Column:
+    return trimmed_text.rlike(rf"^(?:-|\(?\d+(?:\.\d+)?\)?|{COMMA_NUMBER})\z")
 
 
 def row_kind(row_text: Column, numeric_cells: Column) -> Column:
@@ -43,17 +47,20 @@ def period_key(cell_text: Column) -> Column:
 
 
 def normal_rows(item_rows: Column) -> Column:
-    """Rows with at most 18 cells each, rounded, with text, count of numeric cells and kind; the first 140 that aren't empty."""
+    """Rows with at most 18 cells each, rounded, with text, count of numeric cells and kind; the first 140 that aren't empty.
+
+    Whether a cell is numeric is told once, with its text.
+    """
 
     def cell(c: Column) -> Column:
-        return F.struct(c.cell_index.alias("cell_index"), rounded(c.x).alias("x"), rounded(c.y).alias("y"), rounded(c.width).alias("width"), rounded(c.height).alias("height"), trimmed(text(c.text)).alias("text"))
+        return let(trimmed(text(c.text)), lambda t: F.struct(c.cell_index.alias("cell_index"), rounded(c.x).alias("x"), rounded(c.y).alias("y"), rounded(c.width).alias("width"), rounded(c.height).alias("height"), t.alias("text"), _is_number(t).alias("numeric")))
 
     def with_cells(r: Column) -> Column:
         return F.struct(r.row_index.alias("row_index"), rounded(r.y).alias("y"), F.transform(F.slice(r.cells, 1, MAX_CELLS), cell).alias("cells"))
 
     def with_text(r: Column) -> Column:
         joined = F.array_join(F.filter(F.transform(r.cells, lambda c: c.text), lambda t: t != ""), " ")
-        return F.struct(r.row_index.alias("row_index"), r.y.alias("y"), F.size(F.filter(r.cells, lambda c: is_numeric_cell(c.text))).alias("numeric_cell_count"), joined.alias("text"), r.cells.alias("cells"))
+        return F.struct(r.row_index.alias("row_index"), r.y.alias("y"), F.size(F.filter(r.cells, lambda c: c.numeric)).alias("numeric_cell_count"), joined.alias("text"), r.cells.alias("cells"))
 
     def with_kind(r: Column) -> Column:
         return F.struct(r.row_index.alias("row_index"), r.y.alias("y"), row_kind(r.text, r.numeric_cell_count).alias("kind"), r.numeric_cell_count.alias("numeric_cell_count"), r.text.alias("text"), r.cells.alias("cells"))
@@ -72,11 +79,15 @@ def page_features(page_number: Column, rows: Column) -> Column:
     period, and centers, those of the numeric cells of its data rows."""
 
     def header(r: Column, row_pos: Column) -> Column:
-        cells = F.transform(r.cells, lambda c, k: F.struct(F.struct(page_number.alias("page_number"), row_pos.alias("row_pos"), k.alias("cell_pos")).alias("seen"), period_key(c.text).alias("key"), c.text.alias("label"), (c.x + c.width / 2).alias("center"), c.width.alias("width")))
-        return F.filter(cells, lambda c: c.key.isNotNull())
+        def named(c: Column, k: Column) -> Column:
+            seen = F.struct(page_number.alias("page_number"), row_pos.alias("row_pos"), k.alias("cell_pos"))
+            return let(period_key(c.text), lambda key: F.when(key.isNotNull(), F.struct(seen.alias("seen"), key.alias("key"), c.text.alias("label"), (c.x + c.width / 2).alias("center"), c.width.alias("width"))))
+
+        # a number without a year's first two digits is done with one look
+        return F.array_compact(F.transform(r.cells, lambda c, k: F.when(~c.numeric | c.text.contains("20"), named(c, k))))
 
     headers = F.flatten(F.transform(F.slice(rows, 1, HEADER_ROWS), header))
-    centers = F.flatten(F.transform(F.filter(rows, lambda r: r.kind == "data"), lambda r: F.transform(F.filter(r.cells, lambda c: is_numeric_cell(c.text)), lambda c: c.x + c.width / 2)))
+    centers = F.flatten(F.transform(F.filter(rows, lambda r: r.kind == "data"), lambda r: F.transform(F.filter(r.cells, lambda c: c.numeric), lambda c: c.x + c.width / 2)))
     return F.struct(headers.alias("headers"), centers.alias("centers"))
 
 
@@ -137,27 +148,39 @@ def bands_of(centers: Column) -> Column:
     return let(let(F.array_sort(centers), last_six), banded)
 
 
-def annotated(pages: DataFrame) -> DataFrame:
-    """Each page with its candidate's column_bands - of the periods in its headers, or, where it has none, of its numeric cells; numeric
-    cells get the first band that their center lies in as value_column.
+def annotated(pages: DataFrame, alone: bool = False) -> DataFrame:
+    """Each page of evidence_pages() with its candidate's column_bands - of the periods in its headers, or, where it has none, of its
+    numeric cells; numeric cells get the first band that their center lies in as value_column.
 
     A candidate's pages (few) meet in a window; only what they tell of columns is gathered, and the bands are worked out on one of them.
+    alone: the caller knows that each candidate has one page, which tells all there is; nothing is shuffled or gathered then.
     """
-    candidate = W.partitionBy(*CANDIDATE)
     told = pages.withColumn("told", page_features(F.col("page_number"), F.col("rows")))
-    gathered = told.withColumns({"headers": F.flatten(F.collect_list("told.headers").over(candidate)), "centers": F.flatten(F.collect_list("told.centers").over(candidate)), "nth": F.row_number().over(candidate.orderBy("page_number"))})
-    found = F.when(F.size("headers") > 0, header_centers(F.col("headers"))).otherwise(numeric_centers(F.col("centers")))
-    placed = gathered.withColumn("own_bands", F.when(F.col("nth") == 1, bands_of(found))).withColumn("column_bands", F.max_by("own_bands", -F.col("nth")).over(candidate))
-
-    def cell(c: Column) -> Column:
+    if alone:
+        placed = told.withColumn("column_bands", let(F.col("told"), _found_bands))
+    else:
+        candidate = W.partitionBy(*CANDIDATE)
+        all_told = F.struct(*[F.flatten(F.collect_list(f"told.{c}").over(candidate)).alias(c) for c in ("headers", "centers")])
+        gathered = told.withColumns({"all_told": all_told, "nth": F.row_number().over(candidate.orderBy("page_number"))})
+        placed = gathered.withColumn("own_bands", F.when(F.col("nth") == 1, let(F.col("all_told"), _found_bands))).withColumn("column_bands", F.max_by("own_bands", -F.col("nth")).over(candidate))
+
+    def cell(c: Column, bands: Column) -> Column:
         center = c.x + c.width / 2
-        band = F.get(F.filter("column_bands", lambda b: center.between(b.x1, b.x2)), F.lit(0))
-        return F.struct(c.cell_index.alias("cell_index"), c.x.alias("x"), c.y.alias("y"), c.width.alias("width"), c.height.alias("height"), c.text.alias("text"), F.when(is_numeric_cell(c.text), band.key).alias("value_column"))
+        band = F.get(F.filter(bands, lambda b: center.between(b.x1, b.x2)), F.lit(0))
+        return F.struct(c.cell_index.alias("cell_index"), c.x.alias("x"), c.y.alias("y"), c.width.alias("width"), c.height.alias("height"), c.text.alias("text"), F.when(c.numeric, band.key).alias("value_column"))
+
+    def row(r: Column, bands: Column) -> Column:
+        return F.struct(r.row_index.alias("row_index"), r.y.alias("y"), r.kind.alias("kind"), r.numeric_cell_count.alias("numeric_cell_count"), r.text.alias("text"), F.transform(r.cells, lambda c: cell(c, bands)).alias("cells"))
 
-    rows = F.transform("rows", lambda r: F.struct(r.row_index.alias("row_index"), r.y.alias("y"), r.kind.alias("kind"), r.numeric_cell_count.alias("numeric_cell_count"), r.text.alias("text"), F.transform(r.cells, cell).alias("cells")))
+    # bound first: a column that only a lambda names is written out there, and worked out for each cell
+    rows = let(F.col("column_bands"), lambda bands: F.transform("rows", lambda r: row(r, bands)))
     return placed.select(*pages.columns, "column_bands").withColumn("rows", rows)
 
 
+def _found_bands(told: Column) -> Column:
+    return bands_of(F.when(F.size(told["headers"]) > 0, header_centers(told["headers"])).otherwise(numeric_centers(told["centers"])))
+
+
 def header_means(cells: DataFrame) -> DataFrame:
     """header_centers() over rows (document_id, candidate_ord, seen, key, label, center, width), for candidates of any number of header cells."""
     return cells.groupBy(*CANDIDATE, "key").agg(F.min_by("label", "seen").alias("label"), F.avg("center").alias("center"), F.greatest(F.lit(30.0), F.avg("width")).alias("width"), F.min("seen").alias("seen"))

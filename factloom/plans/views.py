@@ -147,9 +147,16 @@ def registered(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def view(spark: SparkSession, sf_dir: str, sql) -> DataFrame:
-    """A view's rows in Spark; names are resolved at once, so later registrations don't change them."""
+def view(spark: SparkSession, sf_dir: str, sql, dealt: tuple[str, str] | None = None) -> DataFrame:
+    """A view's rows in Spark; names are resolved at once, so later registrations don't change them.
+
+    dealt: a table and its column that the view deals it by. It is dealt to as many tasks as the session asks for, however small the
+    table is: where much is made of few bytes, the few partitions that adaptive execution would join them to leave cores idle.
+    """
     registered(spark, sf_dir)
+    if dealt:
+        table, key = dealt
+        spark.table(table).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).createOrReplaceTempView(table)
     return spark.sql(f"SELECT * FROM {sql(SPARK)} AS v")
 
 
