@@ -44,13 +44,22 @@ def clean_label(label: Column) -> Column:
 def is_account(label: Column) -> Column:
     """Can the label name an account?"""
 
-    def names_one(c: Column, lower: Column) -> Column:
+    def in_latin(lower: Column) -> Column:
+        found = F.lit(False)
+        for part in filter(str.isascii, NOT_ACCOUNT_PARTS):
+            found = found | lower.contains(part)
+        return found
+
+    def names_one(c: Column) -> Column:
         banned = c.isin(NOT_ACCOUNTS) | (c.startswith("제") & c.rlike(r"^제\d+(?:\([^)]+\))?기")) | (c.startswith("20") & c.rlike(r"^20\d{2}[.\-/]")) | c.contains("전자공시시스템")
         for part in NOT_ACCOUNT_PARTS:
-            banned = banned | lower.contains(part)
-        return F.length(c).between(2, 80) & ~banned & ~(label.contains(",") & label.rlike(COMMA_NUMBER)) & label.rlike("[가-힣a-zA-Z]")
+            if not part.isascii():
+                banned = banned | c.contains(part)
+        # only parts in Latin letters have cases, and these hold a dot or a p: most labels need not be put in lower case
+        latin = F.when(c.contains(".") | c.contains("p") | c.contains("P"), let(F.lower(c), in_latin)).otherwise(False)
+        return F.length(c).between(2, 80) & ~banned & ~latin & ~(label.contains(",") & label.rlike(COMMA_NUMBER)) & label.rlike("[가-힣a-zA-Z]")
 
-    return let(unspaced(label), lambda c: let(F.lower(c), lambda lower: names_one(c, lower)))
+    return let(unspaced(label), names_one)
 
 
 def unit_scale(page_text: Column) -> Column:

@@ -32,6 +32,12 @@ def with_parsed(pages: DataFrame) -> DataFrame:
     return page.withColumns({"parsed": let(rows, lambda all_: F.struct(all_.alias("all"), _first_of_equal(all_).alias("first"))), "told": _told(text(F.col("text")))})
 
 
+def parsed_span_pages(pages: DataFrame) -> DataFrame:
+    """What text_metrics() reads of pages (document_id, page_number, text, spans), each parsed once for all its spans."""
+    parsed = with_parsed(pages.select("document_id", "page_number", "text", "spans"))
+    return parsed.withColumn("span", F.explode(once("spans"))).select("document_id", "span.*", *[c for c in parsed.columns if c not in ("document_id", "spans")])
+
+
 def _told(segment: Column) -> Column:
     return let(segment, lambda s: F.struct(unit_scale(s).alias("us"), period_parts(s).alias("period"), period_labels(s).alias("years")))
 

@@ -145,8 +145,17 @@ def edited(candidates: DataFrame, edits: DataFrame) -> DataFrame:
 
 def span_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """The pages of each confirmed span; page numbers that the document lacks are skipped. An equi-join over the numbers of the span."""
-    numbered = candidates.where("include").withColumn("page_number", F.explode(page_range(F.col("start_page"), F.col("end_page"))))
-    return numbered.join(pages, ["document_id", "page_number"])
+    return _numbered(candidates).join(pages, ["document_id", "page_number"])
+
+
+def _numbered(candidates: DataFrame) -> DataFrame:
+    return candidates.where("include").withColumn("page_number", F.explode(page_range(F.col("start_page"), F.col("end_page"))))
+
+
+def pages_with_spans(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages that confirmed spans hold, each once, with all its spans: [candidate_ord, scope, statement_type]."""
+    listed = _numbered(candidates).groupBy("document_id", "page_number").agg(F.collect_list(F.struct("candidate_ord", "scope", "statement_type")).alias("spans"))
+    return listed.join(pages, ["document_id", "page_number"])
 
 
 # ---- a model's segments -----------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import facts as X
-from factloom.operators.spans import MAX_SPAN, discover_spans, span_pages
+from factloom.operators.spans import MAX_SPAN, discover_spans, pages_with_spans
 
 
 def documents_of(pages: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def documents_of(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame, candidates: DataFrame, documents: DataFrame, *better: DataFrame) -> DataFrame:
     """Facts of confirmed spans: of the first tier that has any (better tiers first, the text last), filtered and numbered."""
-    text = X.metrics_to_facts(X.text_metrics(span_pages(candidates, pages).select("document_id", "candidate_ord", "scope", "statement_type", "page_number", "text")), documents)
+    text = X.metrics_to_facts(X.text_metrics(X.parsed_span_pages(pages_with_spans(candidates, pages))), documents)
     return X.numbered(X.filtered_cash_flow(X.first_tier(*better, text)), documents)
 
 
